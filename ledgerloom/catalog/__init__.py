@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["scalars", "series", "backfill", "checks"]
+_MODULES = ["scalars", "series", "backfill", "checks", "reshape", "appends", "layout"]
 
 for _name in _MODULES:
     import_module(f"{__name__}.{_name}")

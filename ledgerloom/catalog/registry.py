@@ -49,6 +49,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
  (values (0.0::double, 0.0::double, 0.25::double, 0.125::double), (0.5, 0.5, 0.25, 0.25)) v(x, y, w, h))"""),
     "tpl_rows": ((), """tpl_rows as (select 'DOC' as doc, 'P' || cast(p_size % 4 as varchar) as page, cast(p_partkey % 194 as int) as r,
  cast(11000 + (p_partkey % 194) % 97 as varchar) as code, min(p_name) as name from part group by all)"""),
+    "sheet_cells": ((), """sheet_cells as (select '月报_2024-0' || (o_custkey % 9 + 1) || '-15.xlsx' as workbook, 'C' || o_custkey as sheet, o_orderkey * 2 + 3 + i.i as r, u.c, u.v
+ from orders, range(2) i(i), lateral (values (1, case when i.i = 0 then (11000 + o_orderkey % 97) || '.0' end), (2, o_orderpriority),
+ (3, cast(cast(o_totalprice as decimal(18,2)) * (i.i + 1) as varchar)), (4, case when o_orderstatus <> 'P' then o_orderstatus end),
+ (5, case when o_orderkey % 3 = 0 then '' else cast(o_orderkey as varchar) end)) u(c, v)
+ union all select '月报_2024-0' || (k % 9 + 1) || '-15.xlsx', 'C' || k, h.r, h.c, h.v from (select distinct o_custkey as k from orders),
+ (values (1,1,'车间'),(1,2,'名称'),(1,3,'一月'),(1,5,'二月'),(2,2,'名称'),(2,3,'计划'),(2,4,'实际'),(2,5,'计划')) h(r, c, v))"""),
+    "sheet_merges": ((), """sheet_merges as (select '月报_2024-0' || (k % 9 + 1) || '-15.xlsx' as workbook, 'C' || k as sheet, h.r0, h.c0, h.r1, h.c1 from (select distinct o_custkey as k from orders),
+ (values (1,1,2,1),(1,3,1,4)) h(r0, c0, r1, c1) union all select '月报_2024-0' || (o_custkey % 9 + 1) || '-15.xlsx', 'C' || o_custkey, o_orderkey * 2 + 3, 1, o_orderkey * 2 + 4, 1 from orders where o_orderkey % 3 <> 0)"""),
     "grid": ((), """grid as (select 'lineitem' as workbook, 'S' || l_suppkey as sheet, l_orderkey * 8 + l_linenumber as r, u.c, u.v
  from lineitem, lateral (values (1, cast(l_partkey as varchar)), (2, l_returnflag), (3, cast(cast(l_quantity as int) as varchar)),
  (4, cast(cast(l_extendedprice as decimal(18,2)) as varchar))) u(c, v))"""),

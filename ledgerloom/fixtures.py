@@ -155,3 +155,47 @@ class Tables:
             F.lit("lineitem").alias("workbook"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("sheet"),
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("r"), F.inline(cols),
         )
+
+    @cached_property
+    def sheet_cells(self) -> DataFrame:
+        """orders as sheets: one per customer, two header rows, two rows per order."""
+        o = self.read("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast(MONEY).alias("price"))
+        k = F.col("o_orderkey")
+        row = lambda i: F.array(*[
+            F.struct((k * 2 + 3 + i).alias("r"), F.lit(c).alias("c"), v.cast("string").alias("v"))
+            for c, v in [
+                (1, F.when(F.lit(i == 0), F.concat(11000 + k % 97, F.lit(".0")))),
+                (2, F.col("o_orderpriority")),
+                (3, F.col("price") * (i + 1)),
+                (4, F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))),
+                (5, F.when(k % 3 == 0, "").otherwise(k.cast("string"))),
+            ]
+        ])
+        book, sheet = book_of(F.col("o_custkey")), F.concat(F.lit("C"), "o_custkey")
+        data = o.select(book.alias("workbook"), sheet.alias("sheet"), F.inline(F.concat(row(0), row(1))))
+        heads = [(1, 1, "车间"), (1, 2, "名称"), (1, 3, "一月"), (1, 5, "二月"), (2, 2, "名称"), (2, 3, "计划"), (2, 4, "实际"), (2, 5, "计划")]
+        head = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(c).alias("c"), F.lit(v).alias("v")) for r, c, v in heads])
+        return data.unionByName(
+            self.read("orders").select("o_custkey").distinct().select(book.alias("workbook"), sheet.alias("sheet"), F.inline(head))
+        )
+
+    @cached_property
+    def sheet_merges(self) -> DataFrame:
+        """Two header merges per sheet, and the head cell of an order's two rows."""
+        book, sheet = book_of(F.col("o_custkey")), F.concat(F.lit("C"), "o_custkey")
+        box = lambda r0, c0, r1, c1: F.struct(
+            r0.cast("long").alias("r0"), F.lit(c0).alias("c0"), r1.cast("long").alias("r1"), F.lit(c1).alias("c1")
+        )
+        heads = F.array(box(F.lit(1), 1, F.lit(2), 1), box(F.lit(1), 3, F.lit(1), 4))
+        k = F.col("o_orderkey")
+        o = self.read("orders")
+        return (
+            o.select("o_custkey").distinct().select(book.alias("workbook"), sheet.alias("sheet"), F.inline(heads))
+            .unionByName(o.filter(k % 3 != 0).select(
+                book.alias("workbook"), sheet.alias("sheet"), F.inline(F.array(box(k * 2 + 3, 1, k * 2 + 4, 1)))
+            ))
+        )
+
+
+def book_of(custkey):
+    return F.concat(F.lit("月报_2024-0"), custkey % 9 + 1, F.lit("-15.xlsx"))

@@ -65,7 +65,7 @@ def backfill_values(src: DataFrame, eligible: DataFrame, fees: DataFrame, increm
     return hits.select(
         *FILE_KEY, "code", F.col("fee").cast(dict(src.dtypes)["value"]).alias("v1"), F.col("value").alias("v2"),
         group.alias("grp"),
-    ).withColumn("d12", F.col("v1") - F.col("v2")).withColumn("source", F.lit(fv.BACKFILL_SOURCE)).withColumn(
+    ).withColumn("d12", (F.col("v1") - F.col("v2")).cast(dict(src.dtypes)["value"])).withColumn("source", F.lit(fv.BACKFILL_SOURCE)).withColumn(
         "detail", F.lit(fv.BACKFILL_DETAIL)
     )
 

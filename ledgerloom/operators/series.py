@@ -63,12 +63,10 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 def unpivot(wide: DataFrame, ids: Sequence[str], as_text: bool = True) -> DataFrame:
     """Wide sheet columns -> (ids, period, value); empty cells are skipped, zeros stay."""
     months = [c for c in wide.columns if c not in ids]
-    texts = [F.col(f"`{c}`").cast("string").alias(c) for c in months]
-    long = wide.select(*ids, *texts).unpivot(list(ids), [f"`{c}`" for c in months], "header", "cell")
-    filled = long.filter(F.col("cell").isNotNull() & (F.col("cell") != ""))
+    cells = F.array(*[F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").cast("string").alias("cell")) for c in months])
+    filled = wide.select(*ids, F.inline(cells)).filter(F.col("cell").isNotNull() & (F.col("cell") != ""))
     value = num_lenient(F.col("cell")) if as_text else num_of_double(F.col("cell"))
-    period = header_period(F.col("header"))
-    return filled.select(*ids, period.alias("period"), value.alias("value"))
+    return filled.select(*ids, header_period(F.col("header")).alias("period"), value.alias("value"))
 
 
 def pivot(

@@ -83,3 +83,23 @@ def with_rects(
         "_ty", F.floor(y / size[1]).cast("long")
     )
     return placed.join(tiled, [*keys, "_tx", "_ty"], "left").drop("_tx", "_ty")
+
+
+def lead_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, chunk: Column, out: str) -> DataFrame:
+    """lead(value) per key, without one task per key.
+
+    `chunk` must not decrease along `order`. Rows look ahead inside their chunk; the last
+    row of a chunk takes the first value of the next one.
+    """
+    names = [*keys, "_chunk"]
+    cut = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    firsts = cut.groupBy(*names).agg(F.min_by("_value", F.struct(*order)).alias("_first"))
+    following = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    nexts = firsts.select(*names, following.alias("_next"))
+    local = F.lead("_value").over(Window.partitionBy(*names).orderBy(*order))
+    looked = cut.withColumn("_local", local)
+    return (
+        looked.join(nexts, names)
+        .withColumn(out, F.coalesce("_local", "_next"))
+        .drop("_chunk", "_value", "_local", "_next")
+    )
