@@ -20,7 +20,7 @@ from ledgerloom.scale import lead_within, rects_by_tile, with_rects
 
 PAGE = ["page_id"]
 CELL = ["page_id", "r", "c"]
-_CJK = F.lit(r"[一-鿿]")
+_CJK = r"[一-鿿]"
 
 
 def placed(items: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def holes(cells: DataFrame, filled: DataFrame, rects: DataFrame, page_w: float,
 def line_veto(lines: DataFrame, items: DataFrame, margin: int = 6, limit: int = 4, tile: int = 64) -> DataFrame:
     """Vertical lines (page_id, x) with the number of distinct CJK boxes across them (counted up to
     `limit`) and whether they stay. Boxes overlapping by IoU > 0.4 count once, first seen first."""
-    cjk = items.filter(F.regexp_like("text", _CJK)).groupBy("page_id", "x0", "y0", "x1", "y1").agg(F.min("item_no").alias("no"))
+    cjk = items.filter(F.regexp_like("text", F.lit(_CJK))).groupBy("page_id", "x0", "y0", "x1", "y1").agg(F.min("item_no").alias("no"))
     spans = cjk.select("*", F.explode(F.sequence(F.floor(F.col("x0") / tile), F.floor(F.col("x1") / tile))).alias("_tx"))
     asked = lines.withColumn("_tx", F.floor(F.col("x") / tile))
     across = asked.join(spans, ["page_id", "_tx"]).filter((F.col("x0") < F.col("x") - margin) & (F.col("x1") > F.col("x") + margin))
@@ -410,7 +410,7 @@ def photo_lines(items: DataFrame) -> DataFrame:
     n_digits = F.length(F.regexp_replace(t, r"[^\p{Nd}]", ""))
     at = F.struct("cy", "item_no")
     code = F.min_by(t, F.when(n_digits >= F.greatest(F.lit(3), F.length(t) - 1), at))
-    name = F.min_by(t, F.when(F.regexp_like(t, _CJK), F.struct(-F.length(t), "cy", "item_no")))
+    name = F.min_by(t, F.when(F.regexp_like(t, F.lit(_CJK)), F.struct(-F.length(t), "cy", "item_no")))
     words = F.array_sort(F.collect_list(F.struct("cx", "cy", "item_no", "text")))
     return lined.groupBy("page_id", "line_no").agg(
         F.first("y").alias("y"), F.first("tol").alias("tol"), F.coalesce(code, F.lit("")).alias("code"), F.coalesce(name, F.lit("")).alias("name"),
