@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import shared_folder
+
 CHUNK = 1 << 16
 
 
@@ -103,3 +105,11 @@ def lead_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         .withColumn(out, F.coalesce("_local", "_next"))
         .drop("_chunk", "_value", "_local", "_next")
     )
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The frame as a written table in the cluster's shared folder: computed once, read by several
+    consumers, with real size statistics, and not recomputed when an executor is lost."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
