@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["scalars", "series", "backfill", "checks", "reshape", "appends", "layout", "align", "diffs", "exports"]
+_MODULES = ["scalars", "series", "backfill", "checks", "reshape", "appends", "layout", "align", "diffs", "exports", "streams"]
 
 for _name in _MODULES:
     import_module(f"{__name__}.{_name}")

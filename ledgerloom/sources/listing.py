@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fv
 
 # Picture files taken into a batch.
-IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp", ".pdf"]
+IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".heif"]
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
