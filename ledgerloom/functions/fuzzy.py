@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.number import looks_numeric
-from ledgerloom.functions.text import digits, key_code, squeeze, text_or_empty
+from ledgerloom.functions.text import digits, key_code, let, squeeze, text_or_empty
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -16,13 +16,18 @@ def agreement(a: Column, b: Column) -> Column:
     return same / F.greatest(F.length(a), F.length(b))
 
 
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def _near(a: Column, b: Column, share: float) -> Column:
+    return (F.abs(F.length(a) - F.length(b)) <= 1) & (agreement(a, b) >= share)
+
+
 def codes_match(a: Column, b: Column) -> Column:
-    ka, kb = key_code(a), key_code(b)
-    return (ka == kb) | (
-        (ka != "")
-        & (kb != "")
-        & (F.abs(F.length(ka) - F.length(kb)) <= 1)
-        & (agreement(ka, kb) >= 0.7)
+    return let(
+        _pair(key_code(a), key_code(b)),
+        lambda k: (k["a"] == k["b"]) | ((k["a"] != "") & (k["b"] != "") & _near(k["a"], k["b"], 0.7)),
     )
 
 
@@ -32,32 +37,28 @@ def _digits_inside(short: Column, long: Column) -> Column:
 
 
 def key_match(a: Column, b: Column) -> Column:
-    ka, kb = key_code(a), key_code(b)
-    da, db = digits(ka), digits(kb)
-    return (
-        (ka != "")
-        & (kb != "")
-        & (
-            (ka == kb)
-            | ((da != "") & (db != "") & (_digits_inside(da, db) | _digits_inside(db, da)))
-            | ((F.abs(F.length(ka) - F.length(kb)) <= 1) & (agreement(ka, kb) >= 0.75))
-        )
+    """Equal keys, digits inside one another, or nearly the same positions."""
+    inside = lambda d: _digits_inside(d["a"], d["b"]) | _digits_inside(d["b"], d["a"])
+    return let(
+        _pair(key_code(a), key_code(b)),
+        lambda k: (k["a"] != "") & (k["b"] != "")
+        & ((k["a"] == k["b"]) | let(_pair(digits(k["a"]), digits(k["b"])), inside) | _near(k["a"], k["b"], 0.75)),
     )
 
 
 def text_match(a: Column, b: Column) -> Column:
-    sa, sb = squeeze(a), squeeze(b)
-    both_numeric = looks_numeric(sa) & looks_numeric(sb)
+    """Same text without spaces, same number without commas, or long texts that nearly agree."""
     no_comma = lambda c: F.replace(c, F.lit(","), F.lit(""))
-    return (
-        (sa != "")
-        & (sb != "")
-        & (
-            (sa == sb)
-            | F.when(both_numeric, no_comma(sa) == no_comma(sb)).otherwise(
-                (F.length(sa) >= 4) & (F.length(sb) >= 4) & (agreement(sa, sb) >= 0.8)
-            )
-        )
+
+    def similar(s: Column) -> Column:
+        x, y = s["a"], s["b"]
+        both_numeric = looks_numeric(x) & looks_numeric(y)
+        long = (F.length(x) >= 4) & (F.length(y) >= 4)
+        return F.when(both_numeric, no_comma(x) == no_comma(y)).otherwise(long & (agreement(x, y) >= 0.8))
+
+    return let(
+        _pair(squeeze(a), squeeze(b)),
+        lambda s: (s["a"] != "") & (s["b"] != "") & ((s["a"] == s["b"]) | similar(s)),
     )
 
 

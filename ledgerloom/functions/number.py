@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import half_width, strip, text_or_empty
+from ledgerloom.functions.text import SPACES, half_width, let, strip, text_or_empty
 
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NON_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
+# Digit groups such as 1_000; an underscore stands between two digits.
+_GROUPED = r"^[+-]?\d+(_\d+)*(\.\d+(_\d+)*)?$"
 
 
 def numeric_text(c: Column) -> Column:
     """Amount text without whitespace and thousands marks."""
-    return F.regexp_replace(text_or_empty(c), r"(?U)[\s,，]", "")
+    return F.regexp_replace(text_or_empty(c), f"[{SPACES},，]", "")
 
 
 def _parse(text: Column) -> Column:
     """Double for a plain number (try_cast alone would also take '1.0d')."""
-    plain = F.regexp_replace(half_width(text), r"(?<=\d)_(?=\d)", "")
-    ok = F.regexp_like(plain, F.lit(PLAIN_NUMBER)) | F.regexp_like(plain, F.lit(_NON_FINITE))
-    return F.when(ok, plain.try_cast("double"))
+    ok = F.regexp_like(text, F.lit(PLAIN_NUMBER)) | F.regexp_like(text, F.lit(_NON_FINITE))
+    return F.when(ok, text.try_cast("double")).when(
+        F.contains(text, F.lit("_")) & F.regexp_like(text, F.lit(_GROUPED)), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    )
 
 
 def num_lenient(c: Column) -> Column:
     """Number from messy text: blank is 0, else the number, else its numeric prefix, else 0."""
-    text = numeric_text(c)
-    prefix = F.regexp_extract(half_width(text), r"^([-+]?\d*\.?\d+)", 1).try_cast("double")
-    return F.coalesce(_parse(text), prefix, F.lit(0.0))
+    prefix = lambda t: F.regexp_extract(t, r"^([-+]?\d*\.?\d+)", 1).try_cast("double")
+    return let(half_width(numeric_text(c)), lambda t: F.coalesce(_parse(t), prefix(t), F.lit(0.0)))
 
 
 def num_of_double(c: Column) -> Column:
@@ -35,7 +37,7 @@ def num_of_double(c: Column) -> Column:
 
 
 def looks_numeric(c: Column) -> Column:
-    return _parse(numeric_text(c)).isNotNull()
+    return number_or_null(c).isNotNull()
 
 
 def is_amount_text(c: Column) -> Column:
@@ -43,7 +45,7 @@ def is_amount_text(c: Column) -> Column:
 
 
 def number_or_null(c: Column) -> Column:
-    return _parse(numeric_text(c))
+    return let(half_width(numeric_text(c)), _parse)
 
 
 def code_text(c: Column) -> Column:

@@ -8,14 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions.text import strip, text_or_empty
+from ledgerloom.functions.text import let, strip, text_or_empty
 
 
 def normalize_period(c: Column) -> Column:
     """'2026-09', '202609' ... -> '2026.09'; shorter text unchanged."""
+    month = lambda t: F.lpad(F.substring(t, 5, 2), 2, "0")
     bare = strip(F.regexp_replace(text_or_empty(c), r"[-./]", ""))
-    month = F.lpad(F.substring(bare, 5, 2), 2, "0")
-    return F.when(F.length(bare) >= 6, F.concat(F.substring(bare, 1, 4), F.lit("."), month)).otherwise(c)
+    return let(bare, lambda t: F.when(F.length(t) >= 6, F.concat(F.substring(t, 1, 4), F.lit("."), month(t))).otherwise(c))
 
 
 def header_period(text: Column, num: Column | None = None) -> Column:
@@ -52,9 +52,8 @@ def match_region(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     Rules are job configuration, so the match is a plain projection: no join.
     """
     ordered = sorted(rules, key=lambda rule: -len(rule[1]))
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kw")) for n, k in ordered])
-    hits = F.filter(table, lambda x: F.contains(text, x["kw"]))
-    return F.coalesce(F.get(hits, F.lit(0))["name"], F.lit(fv.UNKNOWN_REGION))
+    first = lambda t: F.coalesce(*[F.when(F.contains(t, F.lit(k)), F.lit(n)) for n, k in ordered], F.lit(fv.UNKNOWN_REGION))
+    return let(text, first)
 
 
 def file_region(name: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 
-# (?U) makes \s cover no-break and ideographic spaces.
-_WS = r"(?U)\s"
+# Space characters, with the no-break and ideographic ones that \s leaves out.
+SPACES = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS = f"[{SPACES}]"
 FULL_WIDTH = "".join(chr(c) for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)])
 HALF_WIDTH = "".join(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH)
 
@@ -20,6 +23,11 @@ _CJK = r"一-鿿"
 _CJK_CONTEXT = _CJK + "，。；：！？（）"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -34,7 +42,8 @@ def squeeze(c: Column) -> Column:
 
 
 def half_width(c: Column) -> Column:
-    return F.translate(c, FULL_WIDTH, HALF_WIDTH)
+    wide = F.regexp_like(c, F.lit("[０-９Ａ-Ｚａ-ｚ]"))
+    return F.when(wide, F.translate(c, FULL_WIDTH, HALF_WIDTH)).otherwise(c)
 
 
 def has_meaning(c: Column) -> Column:
@@ -56,13 +65,17 @@ def normalize_text(c: Column) -> Column:
     Marks are flagged first, each by its original neighbours, and widened afterwards,
     so a widened mark never counts as context for the next one.
     """
-    out = half_width(text_or_empty(c))
+    # Text without CJK or full-width marks has no context to widen and no mark to trim around.
+    has_context = F.lit(f"[{_CJK_CONTEXT}【】《》]")
+    return let(half_width(text_or_empty(c)), lambda t: F.when(F.regexp_like(t, has_context), _widen_marks(t)).otherwise(t))
+
+
+def _widen_marks(out: Column) -> Column:
     out = F.regexp_replace(out, rf"([{_CJK_CONTEXT}][ 　]*+)([{HALF_MARKS}])", f"$1{_FLAG}$2")
     out = F.regexp_replace(out, rf"{_FLAG}?+([{HALF_MARKS}])(?=[ 　]*[{_CJK_CONTEXT}])", f"{_FLAG}$1")
     for half, full in zip(HALF_MARKS, FULL_MARKS):
         out = F.replace(out, F.lit(_FLAG + half), F.lit(full))
-    out = F.regexp_replace(out, rf"{_WS}++([，。；：！？）】》])", "$1")
-    out = F.regexp_replace(out, rf"{_WS}++([（【《])", "$1")
+    out = F.regexp_replace(out, rf"{_WS}++([，。；：！？）】》（【《])", "$1")
     return F.regexp_replace(out, rf"([（【《]){_WS}+", "$1")
 
 
@@ -74,7 +87,7 @@ def compare_key(c: Column) -> Column:
 
 def title_like(c: Column) -> Column:
     bare = F.regexp_replace(text_or_empty(c), "|".join(fv.TITLE_STOP_WORDS), "")
-    bare = F.regexp_replace(bare, r"(?U)[\s0-9（）()：:．.、·—\-‐–]+", "")
+    bare = F.regexp_replace(bare, f"[{SPACES}0-9（）()：:．.、·—\\-‐–]+", "")
     return F.length(bare) >= 2
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.fuzzy import codes_match, key_match, row_key_match, text_match
 from ledgerloom.functions.number import numeric_text
-from ledgerloom.functions.text import has_meaning, key_code, strip
+from ledgerloom.functions.text import has_meaning, key_code, let, strip
 from ledgerloom.operators.layout import gaps, upper_median
 from ledgerloom.scale import first_row, number_within
 
@@ -107,9 +107,11 @@ def unknown_lines(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
     both = F.concat("code", F.lit(" "), "name")
     spare = lines.filter(coded(F.col("code")) & ~F.regexp_like(both, F.lit(words)) & ~F.contains(both, F.lit(fv.TOTAL_WORD)))
     spare = spare.join(aligned.select("page_id", "line_no"), ["page_id", "line_no"], "left_anti")
-    codes = tpl.filter(coded(F.col("code"))).groupBy(*TPL).agg(F.collect_set("code").alias("_codes"))
-    known = F.exists("_codes", lambda k: key_match(k, F.col("code")))
-    return spare.join(pages, "page_id").join(codes, TPL, "left").filter(~F.coalesce(known, F.lit(False))).select("page_id", "line_no", "code")
+    placed = spare.join(pages, "page_id")
+    codes = tpl.filter(coded(F.col("code"))).select(*TPL, F.col("code").alias("_t")).distinct()
+    seen = placed.select(*TPL, "code").distinct()
+    known = seen.join(codes, TPL).filter(key_match(F.col("_t"), F.col("code"))).select(*TPL, "code").distinct()
+    return placed.join(known, [*TPL, "code"], "left_anti").select("page_id", "line_no", "code")
 
 
 def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -131,15 +133,14 @@ def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
         inner = low["y"] + (high["y"] - low["y"]) * (r - low["r"]) / F.nullif(high["r"] - low["r"], F.lit(0))
         return F.when(r <= first["r"], first["y"]).when(r >= last["r"], last["y"]).otherwise(F.coalesce(inner, low["y"]))
 
+    def claim(acc: Column, r: Column, y: Column) -> Column:
+        near = F.filter("_lines", lambda x: (F.abs(x["y"] - y) <= F.col("_reach")) & ~F.exists(acc, lambda p: p["li"] == x["line_no"]))
+        ranked = F.transform(near, lambda x: F.struct(F.abs(x["y"] - y).alias("d"), x["line_no"].cast("bigint").alias("li")))
+        pair = lambda best: F.when(best.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(r.alias("r"), best["li"].alias("li")))))
+        return let(F.array_min(ranked), pair)
+
     def step(acc: Column, r: Column) -> Column:
-        near = F.transform(
-            F.filter("_lines", lambda x: ~F.exists(acc, lambda p: p["li"] == x["line_no"]) & (F.abs(x["y"] - expected(r)) <= F.col("_reach"))),
-            lambda x: F.struct(F.abs(x["y"] - expected(r)).alias("d"), x["line_no"].cast("bigint").alias("li")),
-        )
-        best = F.array_min(near)
-        pair = F.struct(r.alias("r"), best["li"].alias("li"))
-        done = F.exists(acc, lambda p: p["r"] == r)
-        return F.when(done | best.isNull(), acc).otherwise(F.concat(acc, F.array(pair)))
+        return F.when(F.exists(acc, lambda p: p["r"] == r), acc).otherwise(let(expected(r), lambda y: claim(acc, r, y)))
 
     walked = work.withColumn("_reach", reach).withColumn("_claims", F.aggregate("_blank", used, step))
     gained = F.slice("_claims", F.size("_at") + 1, F.greatest(F.size("_claims") - F.size("_at"), F.lit(0)))

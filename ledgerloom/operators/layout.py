@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.fuzzy import codes_match
 from ledgerloom.functions.geometry import inside_closed, inside_half_open
 from ledgerloom.functions.number import is_amount_text, number_or_null
-from ledgerloom.functions.text import key_code, strip, text_or_empty, title_like
+from ledgerloom.functions.text import key_code, let, strip, text_or_empty, title_like
 from ledgerloom.scale import lead_within, rects_by_tile, with_rects
 
 PAGE = ["page_id"]
@@ -273,10 +273,6 @@ def snap_lines(values: DataFrame, lines: DataFrame) -> DataFrame:
 # --- text lines -----------------------------------------------------------
 
 
-def _starts_at(cy: Column, seq: Column) -> Column:
-    return F.struct(cy.alias("cy"), seq.alias("seq"))
-
-
 def text_lines(items: DataFrame) -> DataFrame:
     """(page_id, line_no, text, score, x0, y0, x1, y1) of free text.
 
@@ -292,10 +288,16 @@ def text_lines(items: DataFrame) -> DataFrame:
         fits = (F.size(acc) > 0) & (F.abs(s["cy"] - last["cy"]) < F.greatest(F.lit(6.0), F.greatest(s["h"], last["h"]) * 0.6))
         return F.when(fits, acc).otherwise(F.concat(acc, F.array(s)))
 
-    anchors = page.select("page_id", F.aggregate("_s", F.slice(F.col("_s"), 1, 0), step).alias("_a"))
-    here = _starts_at(F.col("cy"), F.col("item_no"))
-    line = F.size(F.filter("_a", lambda a: _starts_at(a["cy"], a["seq"]) <= here)) - 1
-    lined = used.join(anchors, "page_id").withColumn("line_no", line).drop("_a")
+    anchored = page.select("page_id", "_s", F.aggregate("_s", F.slice(F.col("_s"), 1, 0), step).alias("_a"))
+
+    def located(s: Column) -> Column:
+        until = F.size(F.filter("_a", lambda a: a["cy"] <= s["cy"]))
+        own = F.element_at("_a", until)
+        return F.struct(s["cy"].alias("cy"), s["h"].alias("h"), (until - 1).alias("no"), F.when(own["cy"] == s["cy"], own["seq"]).alias("cut"))
+
+    levels = anchored.select("page_id", F.inline(F.transform("_s", located)))
+    early = F.coalesce(F.col("item_no") < F.col("cut"), F.lit(False))
+    lined = used.join(levels, ["page_id", "cy", "h"]).withColumn("line_no", F.col("no") - early.cast("int"))
     words = F.array_sort(F.collect_list(F.struct("cx", "cy", "item_no", "text")))
     return lined.groupBy("page_id", "line_no").agg(
         F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"), F.min("score").alias("score"),
@@ -360,21 +362,21 @@ def _page_shapes(used: DataFrame) -> DataFrame:
 def photo_line_starts(used: DataFrame) -> DataFrame:
     """(page_id, lines, tol): text lines by running mean, split lines merged, with where each starts."""
 
+    def grow(acc: Column, g: Column, late: Column) -> Column:
+        last, cut = F.element_at(acc, -1), F.get(late, F.lit(0))
+        fits = F.size(late) == 0
+        joined = F.when(fits, g["total"]).otherwise(cut["pos"])
+        grown = _line(last["cy"], last["seq"], (last["mean"] * last["n"] + g["cy"] * joined) / (last["n"] + joined), last["n"] + joined)
+        head = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
+        return F.when(fits, head).otherwise(F.concat(head, F.array(_line(g["cy"], cut["first"], g["cy"], g["total"] - joined))))
+
     def step(acc: Column, g: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
         # After p boxes of this level joined, the distance to the mean is gap * n / (n + p).
-        gap = g["cy"] - last["mean"]
-        late = F.filter(g["kinds"], lambda k: gap * last["n"] / (last["n"] + k["pos"]) > F.greatest(F.col("med_h"), k["h"]) * 0.6)
-        cut = F.get(late, F.lit(0))
-        joined = F.when(F.size(late) == 0, g["total"]).otherwise(cut["pos"])
-        grown = _line(last["cy"], last["seq"], (last["mean"] * last["n"] + g["cy"] * joined) / (last["n"] + joined), last["n"] + joined)
-        head = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))
-        opened = F.array(_line(g["cy"], cut["first"], g["cy"], g["total"] - joined))
-        return (
-            F.when(F.size(acc) == 0, F.array(_line(g["cy"], F.get(g["kinds"], F.lit(0))["first"], g["cy"], g["total"])))
-            .when(F.size(late) == 0, head)
-            .otherwise(F.concat(head, opened))
-        )
+        last = F.element_at(acc, -1)
+        room = (g["cy"] - last["mean"]) * last["n"]
+        late = F.filter(g["kinds"], lambda k: room / (last["n"] + k["pos"]) > F.greatest(F.col("med_h"), k["h"]) * 0.6)
+        first = F.array(_line(g["cy"], F.get(g["kinds"], F.lit(0))["first"], g["cy"], g["total"]))
+        return F.when(F.size(acc) == 0, first).otherwise(let(late, lambda found: grow(acc, g, found)))
 
     walked = _page_shapes(used).withColumn("lines", F.aggregate("levels", F.array().cast(_LINE), step))
     split = upper_median(gaps(F.transform("lines", lambda x: x["mean"]))) * 0.5
@@ -391,16 +393,33 @@ def photo_line_starts(used: DataFrame) -> DataFrame:
     )
     typical = upper_median(gaps(F.transform("lines", lambda x: x["mean"])))
     tol = F.greatest(F.when(F.size("lines") >= 3, typical * 0.55).otherwise(F.col("med_h")), F.col("med_h") * 0.8)
-    return merged.select("page_id", "lines", tol.alias("tol"))
+    return merged.select("page_id", "lines", "levels", tol.alias("tol"))
 
 
 def photo_line_items(items: DataFrame) -> DataFrame:
-    """Items with their text line (line_no, y, tol)."""
+    """Items with their text line (line_no, y, tol).
+
+    Lines are given to the levels of a page first; the items then join on (page, y), which
+    spreads a hot page. At most one line starts on a level, from box `cut` on.
+    """
     used = placed(items).filter(strip(F.col("text")) != "")
     starts = photo_line_starts(used)
-    here = _starts_at(F.col("cy"), F.col("item_no"))
-    no = F.size(F.filter("lines", lambda a: _starts_at(a["cy"], a["seq"]) <= here))
-    return used.join(starts, "page_id").withColumn("line_no", no - 1).withColumn("y", F.element_at("lines", F.col("line_no") + 1)["mean"]).drop("lines")
+
+    def located(g: Column) -> Column:
+        until = F.size(F.filter("lines", lambda a: a["cy"] <= g["cy"]))
+        own, before = F.element_at("lines", until), F.get(F.col("lines"), until - 2)
+        cut = F.when(own["cy"] == g["cy"], own["seq"])
+        return F.struct(
+            g["cy"].alias("cy"), (until - 1).alias("no"), cut.alias("cut"), own["mean"].alias("own_y"), before["mean"].alias("before_y")
+        )
+
+    levels = starts.select("page_id", "tol", F.inline(F.transform("levels", located)))
+    early = F.coalesce(F.col("item_no") < F.col("cut"), F.lit(False))
+    return (
+        used.join(levels, ["page_id", "cy"])
+        .withColumns({"line_no": F.col("no") - early.cast("int"), "y": F.when(early, F.col("before_y")).otherwise(F.col("own_y"))})
+        .drop("no", "cut", "own_y", "before_y")
+    )
 
 
 def photo_lines(items: DataFrame) -> DataFrame:
