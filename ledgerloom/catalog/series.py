@@ -88,11 +88,12 @@ def _saved_with_faults(t: Tables) -> DataFrame:
     return t.obs.filter(~lost).select("region", "code", "period", value.alias("value"))
 
 
-_READBACK = f"""select o.period, o.region as source, o.code, '写入核对不符' || case when o.region = 'EUROPE' then '：缺少地区工作表'
- when o.region = 'ASIA' and o.period like '1996%' then '：缺少月份列' when {_CODE.replace('code', 'o.code')} % 11 = 0 then '：缺少指标行'
- when {_CODE.replace('code', 'o.code')} % 13 = 0 then '：时序值为空' else '：金额不一致' end as detail, cast(o.value as double) as v1,
+_READBACK = """select o.period, o.region as source, o.code, '写入核对不符' || case when sr.region is null then '：缺少地区工作表' when sp.period is null then '：缺少月份列'
+ when sc.code is null then '：缺少指标行' when s.value is null then '：时序值为空' else '：金额不一致' end as detail, cast(o.value as double) as v1,
  cast(s.value as double) as v3, cast(o.value as double) - cast(s.value as double) as d13
- from obs o left join readback_saved s using (region, code, period) where s.value is null and abs(o.value) > 0.01 or abs(cast(o.value as double) - cast(s.value as double)) > 0.010000001"""
+ from obs o left join readback_saved s using (region, code, period) left join (select distinct region from readback_saved) sr on sr.region = o.region
+ left join (select distinct region, period from readback_saved) sp on sp.region = o.region and sp.period = o.period left join (select distinct region, code from readback_saved) sc on sc.region = o.region and sc.code = o.code
+ where sr.region is null or sp.period is null or sc.code is null or s.value is null and abs(o.value) > 0.01 or abs(cast(o.value as double) - cast(s.value as double)) > 0.010000001"""
 
 
 def readback(t: Tables) -> DataFrame:

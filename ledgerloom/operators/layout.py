@@ -539,9 +539,10 @@ def page_mode(counts: DataFrame) -> DataFrame:
 
 
 def min_confidence(scored: DataFrame) -> DataFrame:
+    """Lowest score per cell and per page."""
     cells = scored.groupBy(*CELL).agg(F.min("score").alias("score"))
-    page = Window.partitionBy("page_id")
-    return cells.withColumn("page_score", F.min("score").over(page))
+    pages = scored.groupBy("page_id").agg(F.min("score").alias("page_score"))
+    return cells.join(pages, "page_id").select(*CELL, "score", "page_score")
 
 
 def turn_quality(items: DataFrame) -> DataFrame:
