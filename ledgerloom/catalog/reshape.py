@@ -10,6 +10,7 @@ from ledgerloom.fixtures import Tables
 from ledgerloom.functions.period import data_date as data_date_of
 from ledgerloom.operators import reshape
 from ledgerloom.operators.reshape import ExtractRule
+from ledgerloom.scale import materialized
 from ledgerloom.sources.tables import drop_blank_rows as drop_blank
 
 RULES = [
@@ -115,7 +116,9 @@ define("wide", ("paths1", "paths2", "sheet_merges"), "wide as (" + _wide_sql(0,
 
 
 def wide(t: Tables) -> DataFrame:
-    parts = [reshape.wide_rows(t.sheet_cells, t.sheet_merges, rule).withColumn("rule", F.lit(rule.name)) for rule in RULES]
+    # Sheets are stored tables in real use: written once here, then each rule reads what it needs.
+    cells, merges = t.sheet_cells, t.sheet_merges
+    parts = [reshape.wide_rows(cells, merges, rule).withColumn("rule", F.lit(rule.name)) for rule in RULES]
     rows = parts[0].unionByName(parts[1])
     stem = F.regexp_replace("workbook", r"\.[^.]*$", "")
     dated = rows.withColumn("data_date", data_date_of(stem, F.lit(None).cast("date")))

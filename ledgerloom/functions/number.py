@@ -28,8 +28,14 @@ def _parse(text: Column) -> Column:
 
 def num_lenient(c: Column) -> Column:
     """Number from messy text: blank is 0, else the number, else its numeric prefix, else 0."""
+    text = c.cast("string")
     prefix = lambda t: F.regexp_extract(t, r"^([-+]?\d*\.?\d+)", 1).try_cast("double")
-    return let(half_width(numeric_text(c)), lambda t: F.coalesce(_parse(t), prefix(t), F.lit(0.0)))
+    messy = let(half_width(numeric_text(text)), lambda t: F.coalesce(_parse(t), prefix(t), F.lit(0.0)))
+    return (
+        F.when(text.isNull() | (text == ""), 0.0)
+        .when(F.regexp_like(text, F.lit(PLAIN_NUMBER)), text.try_cast("double"))
+        .otherwise(messy)
+    )
 
 
 def num_of_double(c: Column) -> Column:

@@ -11,11 +11,24 @@ from ledgerloom import fixed_values as fv
 from ledgerloom.functions.text import let, strip, text_or_empty
 
 
+def _bare(c: Column) -> Column:
+    return strip(F.regexp_replace(text_or_empty(c), r"[-./]", ""))
+
+
+def _dotted(bare: Column, raw: Column) -> Column:
+    month = F.lpad(F.substring(bare, 5, 2), 2, "0")
+    return F.when(F.length(bare) >= 6, F.concat(F.substring(bare, 1, 4), F.lit("."), month)).otherwise(raw)
+
+
 def normalize_period(c: Column) -> Column:
     """'2026-09', '202609' ... -> '2026.09'; shorter text unchanged."""
-    month = lambda t: F.lpad(F.substring(t, 5, 2), 2, "0")
-    bare = strip(F.regexp_replace(text_or_empty(c), r"[-./]", ""))
-    return let(bare, lambda t: F.when(F.length(t) >= 6, F.concat(F.substring(t, 1, 4), F.lit("."), month(t))).otherwise(c))
+    return let(_bare(c), lambda t: _dotted(t, c))
+
+
+def constant_period(header: str) -> Column:
+    """Period of a header known when the plan is built; folds to a literal."""
+    raw = strip(F.lit(header))
+    return _dotted(_bare(raw), raw)
 
 
 def header_period(text: Column, num: Column | None = None) -> Column:

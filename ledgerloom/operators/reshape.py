@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.geometry import column_letter
 from ledgerloom.functions.number import code_text, number_or_null
-from ledgerloom.functions.text import drop_repeats, has_any_keyword, match_all_keywords, strip
+from ledgerloom.functions.text import drop_repeats, has_any_keyword, let, match_all_keywords, strip
 from ledgerloom.scale import rects_by_tile, with_rects
 
 SHEET = ["workbook", "sheet"]
@@ -187,10 +187,14 @@ def wide_rows(cells: DataFrame, merges: DataFrame, rule: ExtractRule) -> DataFra
     paths = column_paths(used, merges, rule.header_rows, c_first, c_last).groupBy(*SHEET).agg(
         F.map_from_entries(F.collect_list(F.struct("c", "path"))).alias("paths")
     )
-    pathed = named.join(paths, SHEET, "left").withColumn("entries", F.transform("cells", lambda x: F.struct(F.element_at("paths", x["c"]).alias("k"), x["t"].alias("t"))))
-    keys = F.transform("entries", lambda e: e["k"])
-    first_wins = F.filter("entries", lambda e, i: F.array_position(keys, e["k"]) == i + 1)
-    return pathed.select(*SHEET, "row_head", "r", F.map_from_entries(first_wins).alias("values"))
+    pathed = named.join(paths, SHEET, "left")
+    entries = F.transform("cells", lambda x: F.struct(F.element_at("paths", x["c"]).alias("k"), x["t"].alias("t")))
+
+    def first_wins(found: Column) -> Column:
+        keys = F.transform(found, lambda e: e["k"])
+        return let(keys, lambda ks: F.map_from_entries(F.filter(found, lambda e, i: F.array_position(ks, e["k"]) == i + 1)))
+
+    return pathed.select(*SHEET, "row_head", "r", let(entries, first_wins).alias("values"))
 
 
 def strip_list(text: str) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.number import num_lenient, num_of_double
-from ledgerloom.functions.period import header_period
+from ledgerloom.functions.period import constant_period
 from ledgerloom.scale import number_within
 
 KEY = ("region", "code", "period")
@@ -63,10 +63,10 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 def unpivot(wide: DataFrame, ids: Sequence[str], as_text: bool = True) -> DataFrame:
     """Wide sheet columns -> (ids, period, value); empty cells are skipped, zeros stay."""
     months = [c for c in wide.columns if c not in ids]
-    cells = F.array(*[F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").cast("string").alias("cell")) for c in months])
+    cells = F.array(*[F.struct(constant_period(c).alias("period"), F.col(f"`{c}`").cast("string").alias("cell")) for c in months])
     filled = wide.select(*ids, F.inline(cells)).filter(F.col("cell").isNotNull() & (F.col("cell") != ""))
     value = num_lenient(F.col("cell")) if as_text else num_of_double(F.col("cell"))
-    return filled.select(*ids, header_period(F.col("header")).alias("period"), value.alias("value"))
+    return filled.select(*ids, "period", value.alias("value"))
 
 
 def pivot(
