@@ -36,13 +36,18 @@ def _digits_inside(short: Column, long: Column) -> Column:
     return (F.length(short) >= 3) & F.contains(long, short) & (spare <= F.length(long) * F.lit(0.6))
 
 
+def keys_match(ka: Column, da: Column, kb: Column, db: Column) -> Column:
+    """`key_match` on keys and digits that are columns already."""
+    return (ka != "") & (kb != "") & (
+        (ka == kb) | _digits_inside(da, db) | _digits_inside(db, da) | _near(ka, kb, 0.75)
+    )
+
+
 def key_match(a: Column, b: Column) -> Column:
     """Equal keys, digits inside one another, or nearly the same positions."""
-    inside = lambda d: _digits_inside(d["a"], d["b"]) | _digits_inside(d["b"], d["a"])
     return let(
         _pair(key_code(a), key_code(b)),
-        lambda k: (k["a"] != "") & (k["b"] != "")
-        & ((k["a"] == k["b"]) | let(_pair(digits(k["a"]), digits(k["b"])), inside) | _near(k["a"], k["b"], 0.75)),
+        lambda k: let(_pair(digits(k["a"]), digits(k["b"])), lambda d: keys_match(k["a"], d["a"], k["b"], d["b"])),
     )
 
 

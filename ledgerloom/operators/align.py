@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions.fuzzy import codes_match, key_match, row_key_match, text_match
+from ledgerloom.functions.fuzzy import codes_match, key_match, keys_match, text_match
 from ledgerloom.functions.number import numeric_text
-from ledgerloom.functions.text import has_meaning, key_code, let, strip
+from ledgerloom.functions.text import digits, has_meaning, key_code, let, strip
 from ledgerloom.operators.layout import gaps, upper_median
 from ledgerloom.scale import first_row, number_within
 
@@ -52,13 +52,26 @@ def _candidates(pages: DataFrame, tpl: DataFrame, spare: DataFrame) -> DataFrame
     The fuzzy tests run once per distinct (code, name) of a template page, not per line.
     """
     rows = tpl.select(*TPL, "r", F.col("code").alias("t_code"), F.col("name").alias("t_name"))
-    seen = spare.select(*TPL, "code", "name").distinct()
-    both = seen.join(rows.select(*TPL, "t_code", "t_name").distinct(), TPL)
     code, name, t_code, t_name = (F.col(c) for c in ("code", "name", "t_code", "t_name"))
+    both_text = F.concat("code", "name")
+    seen = spare.select(*TPL, "code", "name").distinct().select(
+        "*", both_text.alias("_both"), key_code(code).alias("_k"), digits(key_code(code)).alias("_d"),
+        key_code(both_text).alias("_kb"), digits(key_code(both_text)).alias("_db"),
+    )
+    wanted = rows.select(*TPL, "t_code", "t_name").distinct().select(
+        "*", key_code(t_code).alias("_tk"), digits(key_code(t_code)).alias("_td")
+    )
+    both = seen.join(wanted, TPL)
+    whole = F.col("_both")
+    # The parts of row_key_match, on keys computed once per side.
+    by_code = keys_match(*[F.col(c) for c in ("_tk", "_td", "_kb", "_db")]) & (F.contains(whole, t_code) | (F.length("_tk") >= 3))
+    by_name = (F.length(t_name) >= 3) & (F.contains(whole, t_name) | F.contains(t_name, whole))
+    named = (t_name != "") & (name != "")
+    same_name = F.when(named, text_match(t_name, name)).otherwise(F.lit(False))
     like = both.select(
         *TPL, "code", "name", "t_code", "t_name",
-        (coded(t_code) & row_key_match(t_code, t_name, code, name)).alias("by_key"),
-        ((t_name != "") & (name != "") & text_match(t_name, name)).alias("by_name"),
+        ((F.col("_tk") != "") & (by_code | by_name | keys_match(*[F.col(c) for c in ("_tk", "_td", "_k", "_d")]) | same_name)).alias("by_key"),
+        same_name.alias("by_name"),
     ).filter("by_key or by_name")
     by_text = spare.filter("code = ''").join(rows.filter(coded(t_code)), TPL).filter(F.contains("text", t_code))
     glued = by_text.select("page_id", "r", "line_no", F.lit(True).alias("by_key"), F.lit(False).alias("by_name"))

@@ -191,3 +191,46 @@ def test_line_veto_counts_overlapping_boxes_once(spark):
     lines = spark.createDataFrame([(1, 100), (1, 300)], "page_id bigint, x int")
     got = {r.x: (r.crossings, r.stays) for r in layout.line_veto(lines, items).collect()}
     assert got == {100: (4, False), 300: (0, True)}
+
+
+def test_sinks(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from ledgerloom import sinks
+
+    grid = spark.createDataFrame(
+        [(p, r, c, f"{p},{r}|{c}", 0.5) for p in (1, 2) for r in range(30) for c in range(2)], "page_id bigint, r int, c int, text string, score double"
+    )
+    pages = spark.createDataFrame([(1, "p1", "", "table"), (2, "p2", "T", "table")], "page_id bigint, name string, title string, mode string")
+    text = lambda name: "".join(f.read_text(encoding="utf-8") for f in sorted((tmp_path / name).glob("part-*")))
+    sinks.write_csv(grid, 2, str(tmp_path / "csv"))
+    assert text("csv").startswith('\ufeff"2,0|0","2,0|1"\n"2,1|0"') and text("csv").count("\ufeff") == 1
+    sinks.write_text(grid, pages, str(tmp_path / "txt"))
+    lines = text("txt").split("\n")
+    assert lines[:2] == ["===== p1 =====", "1,0|0  1,0|1"] and lines[31:33] == ["", "===== T ====="]
+    sinks.write_markdown(grid, pages, str(tmp_path / "md"))
+    assert text("md").startswith("## p1\n\n| 1,0\\|0 | 1,0\\|1 |\n|---|---|\n| 1,1\\|0 |")
+    merges = spark.createDataFrame([], "page_id bigint, r int, c int, rspan int, cspan int")
+    sinks.write_json(grid.filter("page_id = 2"), pages.filter("page_id = 2"), merges, str(tmp_path / "json"))
+    assert json.loads(text("json").replace("\n", ""))["rows"][29] == ["2,29|0", "2,29|1"]
+    sinks.publish(grid.select(F.col("text").alias("v")), str(tmp_path / "pub"))
+    with pytest.raises(ValueError):
+        sinks.publish(grid.select(F.lit("C:\\x").alias("v")), str(tmp_path / "pub2"))
+
+
+def test_extract_rules(spark):
+    from ledgerloom.sources.rules import extract_rules
+
+    names = ["enabled", "name", "wb_keyword", "sheet_keyword", "row_header_col", "header_rows", "row_start", "row_end", "col_start", "col_end", "skip_keywords", "target", "dedup", "write"]
+    sheet_rows = [
+        ("是", "a", "", "", "B", "1, 2,x", "3", "", "C", "H", "", "t", "", ""), ("", "off", "", "", "A", "1", "", "", "", "", "", "", "", ""),
+        ("1", "b", "", "", "?", "", "", "9", "4", "", "", "t", "", " No "),
+    ]
+    df = spark.createDataFrame(sheet_rows, ", ".join(f"{n} string" for n in names))
+    got = {r.name: r for r in extract_rules(df).collect()}
+    assert set(got) == {"a", "b"}
+    a, b = got["a"], got["b"]
+    assert (a.row_header_col, a.header_rows, a.row_start, a.row_end, a.col_start, a.col_end, a.write) == (2, [1, 2], 3, 0, 3, 8, True)
+    assert (b.row_header_col, b.header_rows, b.row_end, b.col_start, b.col_end, b.write) == (1, [1], 9, 4, 0, False)
