@@ -46,15 +46,16 @@ def _claim(pairs: Column, state: Column) -> Column:
     return F.aggregate(pairs, state, step)
 
 
-def _candidates(pages: DataFrame, tpl: DataFrame, spare: DataFrame) -> DataFrame:
-    """(page_id, r, line_no, by_key, by_name) for spare lines that resemble a template row.
+def _candidates(tpl: DataFrame, spare: DataFrame) -> DataFrame:
+    """(page_id, r, line_no, by_key, by_name) for spare lines that resemble a template row; lines with
+    neither code nor name only where their text holds the code.
 
     The fuzzy tests run once per distinct (code, name) of a template page, not per line.
     """
     rows = tpl.select(*TPL, "r", F.col("code").alias("t_code"), F.col("name").alias("t_name"))
     code, name, t_code, t_name = (F.col(c) for c in ("code", "name", "t_code", "t_name"))
     both_text = F.concat("code", "name")
-    seen = spare.select(*TPL, "code", "name").distinct().select(
+    seen = spare.filter("code <> '' or name <> ''").select(*TPL, "code", "name").distinct().select(
         "*", both_text.alias("_both"), key_code(code).alias("_k"), digits(key_code(code)).alias("_d"),
         key_code(both_text).alias("_kb"), digits(key_code(both_text)).alias("_db"),
     )
@@ -79,6 +80,29 @@ def _candidates(pages: DataFrame, tpl: DataFrame, spare: DataFrame) -> DataFrame
     return found.select("page_id", "r", "line_no", "by_key", "by_name").unionByName(glued)
 
 
+def _walk_rows(rows: Column, candidates: Column, blanks: Column) -> Column:
+    """Pairs of the row-key stage: each open row takes its first free line.
+
+    A line without code and name fits every row whose name has 3 characters; such lines are
+    kept as one list per page instead of as pairs.
+    """
+    start = F.struct(F.array().cast(_PAIRS).alias("pairs"), blanks.alias("rest"))
+
+    def step(acc: Column, row: Column) -> Column:
+        listed = F.coalesce(F.try_element_at(candidates, row["r"]), F.array().cast("array<bigint>"))
+        own = F.get(F.filter(listed, lambda x: ~F.exists(acc["pairs"], lambda p: p["li"] == x)), F.lit(0))
+        line = F.least(own, F.when(row["any"], F.get(acc["rest"], F.lit(0))))
+
+        def take(li: Column) -> Column:
+            pair = F.struct(row["r"].alias("r"), li.alias("li"))
+            grown = F.struct(F.concat(acc["pairs"], F.array(pair)).alias("pairs"), F.array_remove(acc["rest"], li).alias("rest"))
+            return F.when(li.isNull(), acc).otherwise(grown)
+
+        return let(line, take)
+
+    return F.aggregate(rows, start, step)["pairs"]
+
+
 def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame:
     """(page_id, r, line_no, stage): exact codes first, then row keys, then names, each 1:1 in template order.
 
@@ -86,14 +110,32 @@ def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame
     """
     exact = align_exact(pages, tpl, lines)
     spare = lines.join(exact, ["page_id", "line_no"], "left_anti").join(pages, "page_id")
-    pairs = _candidates(pages, tpl, spare).join(exact.select("page_id", "r"), ["page_id", "r"], "left_anti")
-    pair = F.struct(F.col("r").cast("bigint").alias("r"), F.col("line_no").cast("bigint").alias("li"))
-    per_page = pairs.groupBy("page_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("by_key"), pair))).alias("_keys"),
-        F.array_sort(F.collect_set(F.when(F.col("by_name"), pair))).alias("_names"),
+    row, line = F.col("r").cast("bigint"), F.col("line_no").cast("bigint")
+    is_blank = (F.col("code") == "") & (F.col("name") == "")
+    blanks = spare.filter(is_blank).groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("_blank"))
+    pairs = _candidates(tpl, spare)
+    keyed = (
+        pairs.filter("by_key").groupBy("page_id", row.alias("r")).agg(F.array_sort(F.collect_set(line)).alias("lis"))
+        .groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "lis"))).alias("_keys"))
+    )
+    named = pairs.filter("by_name").join(exact.select("page_id", "r"), ["page_id", "r"], "left_anti").groupBy("page_id").agg(
+        F.array_sort(F.collect_set(F.struct(row.alias("r"), line.alias("li")))).alias("_names")
+    )
+    taken = exact.groupBy("page_id").agg(F.collect_set(row).alias("_taken"))
+    library = tpl.filter(coded(F.col("code"))).groupBy(*TPL).agg(
+        F.array_sort(F.collect_list(F.struct(row.alias("r"), (F.length("name") >= 3).alias("any")))).alias("_rows")
+    )
+    work = pages.join(library, TPL, "left")
+    for part in (blanks, keyed, named, taken):
+        work = work.join(part, "page_id", "left")
+    none = F.array().cast("array<bigint>")
+    open_rows = F.filter(
+        F.coalesce("_rows", F.array().cast("array<struct<r:bigint,any:boolean>>")),
+        lambda t: ~F.array_contains(F.coalesce("_taken", none), t["r"]),
     )
-    work = per_page.withColumn("_keyed", _claim(F.col("_keys"), F.array().cast(_PAIRS)))
-    work = work.withColumn("_all", _claim(F.col("_names"), F.col("_keyed")))
+    candidates = F.coalesce("_keys", F.create_map().cast("map<bigint,array<bigint>>"))
+    work = work.withColumn("_keyed", _walk_rows(open_rows, candidates, F.coalesce("_blank", none)))
+    work = work.withColumn("_all", _claim(F.coalesce("_names", F.array().cast(_PAIRS)), F.col("_keyed")))
     found = work.select("page_id", F.posexplode("_all").alias("i", "p"), F.size("_keyed").alias("n")).select(
         "page_id", F.col("p.r").cast("int").alias("r"), F.col("p.li").cast("int").alias("line_no"),
         F.when(F.col("i") < F.col("n"), "key").otherwise("name").alias("stage"),
