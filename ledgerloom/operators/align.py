@@ -172,14 +172,17 @@ def unknown_lines(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
 def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: DataFrame) -> DataFrame:
     """(page_id, r, line_no): rows without a code take the nearest unused line around the y their
     matched neighbours imply, within 1.3 x the median line distance."""
-    read = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "y"))).alias("_lines"))
+    place = F.struct("line_no", "y")
+    read = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(place)).alias("_lines"))
+    spare = lines.join(aligned.select("page_id", "line_no"), ["page_id", "line_no"], "left_anti")
+    free = spare.groupBy("page_id").agg(F.array_sort(F.collect_list(place)).alias("_free"))
     anchors = aligned.join(lines.select("page_id", "line_no", "y"), ["page_id", "line_no"]).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("r").cast("bigint").alias("r"), "y", F.col("line_no").cast("bigint").alias("li")))).alias("_at")
+        F.array_sort(F.collect_list(F.struct(F.col("r").cast("bigint").alias("r"), "y"))).alias("_at")
     )
     blank = tpl.filter(~coded(F.col("code"))).groupBy(*TPL).agg(F.sort_array(F.collect_set(F.col("r").cast("bigint"))).alias("_blank"))
-    work = pages.join(read, "page_id").join(anchors, "page_id").join(blank, TPL)
+    work = pages.join(free, "page_id").join(read, "page_id").join(anchors, "page_id").join(blank, TPL)
     reach = F.coalesce(upper_median(gaps(F.transform("_lines", lambda x: x["y"]))), F.lit(20.0)) * 1.3
-    used = F.transform("_at", lambda a: F.struct(a["r"].alias("r"), a["li"].alias("li")))
+    open_rows = F.array_except("_blank", F.transform("_at", lambda a: a["r"]))
 
     def expected(r: Column) -> Column:
         low = F.element_at(F.filter("_at", lambda a: a["r"] <= r), -1)
@@ -189,17 +192,16 @@ def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
         return F.when(r <= first["r"], first["y"]).when(r >= last["r"], last["y"]).otherwise(F.coalesce(inner, low["y"]))
 
     def claim(acc: Column, r: Column, y: Column) -> Column:
-        near = F.filter("_lines", lambda x: (F.abs(x["y"] - y) <= F.col("_reach")) & ~F.exists(acc, lambda p: p["li"] == x["line_no"]))
+        near = F.filter("_free", lambda x: (F.abs(x["y"] - y) <= F.col("_reach")) & ~F.exists(acc, lambda p: p["li"] == x["line_no"]))
         ranked = F.transform(near, lambda x: F.struct(F.abs(x["y"] - y).alias("d"), x["line_no"].cast("bigint").alias("li")))
         pair = lambda best: F.when(best.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(r.alias("r"), best["li"].alias("li")))))
         return let(F.array_min(ranked), pair)
 
     def step(acc: Column, r: Column) -> Column:
-        return F.when(F.exists(acc, lambda p: p["r"] == r), acc).otherwise(let(expected(r), lambda y: claim(acc, r, y)))
+        return let(expected(r), lambda y: claim(acc, r, y))
 
-    walked = work.withColumn("_reach", reach).withColumn("_claims", F.aggregate("_blank", used, step))
-    gained = F.slice("_claims", F.size("_at") + 1, F.greatest(F.size("_claims") - F.size("_at"), F.lit(0)))
-    return walked.select("page_id", F.inline(gained)).select("page_id", F.col("r").cast("int").alias("r"), F.col("li").cast("int").alias("line_no"))
+    walked = work.withColumn("_reach", reach).withColumn("_claims", F.aggregate(open_rows, F.array().cast(_PAIRS), step))
+    return walked.select("page_id", F.inline("_claims")).select("page_id", F.col("r").cast("int").alias("r"), F.col("li").cast("int").alias("line_no"))
 
 
 def _segments(key: Column) -> Column:
