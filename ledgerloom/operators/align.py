@@ -191,16 +191,18 @@ def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
         inner = low["y"] + (high["y"] - low["y"]) * (r - low["r"]) / F.nullif(high["r"] - low["r"], F.lit(0))
         return F.when(r <= first["r"], first["y"]).when(r >= last["r"], last["y"]).otherwise(F.coalesce(inner, low["y"]))
 
-    def claim(acc: Column, r: Column, y: Column) -> Column:
-        near = F.filter("_free", lambda x: (F.abs(x["y"] - y) <= F.col("_reach")) & ~F.exists(acc, lambda p: p["li"] == x["line_no"]))
+    def claim(acc: Column, r: Column, y: Column, limit: Column) -> Column:
+        near = F.filter("_free", lambda x: (F.abs(x["y"] - y) <= limit) & ~F.exists(acc, lambda p: p["li"] == x["line_no"]))
         ranked = F.transform(near, lambda x: F.struct(F.abs(x["y"] - y).alias("d"), x["line_no"].cast("bigint").alias("li")))
         pair = lambda best: F.when(best.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(r.alias("r"), best["li"].alias("li")))))
         return let(F.array_min(ranked), pair)
 
-    def step(acc: Column, r: Column) -> Column:
-        return let(expected(r), lambda y: claim(acc, r, y))
+    def walk(limit: Column) -> Column:
+        step = lambda acc, r: let(expected(r), lambda y: claim(acc, r, y, limit))
+        return F.aggregate(open_rows, F.array().cast(_PAIRS), step)
 
-    walked = work.withColumn("_reach", reach).withColumn("_claims", F.aggregate(open_rows, F.array().cast(_PAIRS), step))
+    # `let` keeps the page's limit from being computed again for every line.
+    walked = work.withColumn("_claims", let(reach, walk))
     return walked.select("page_id", F.inline("_claims")).select("page_id", F.col("r").cast("int").alias("r"), F.col("li").cast("int").alias("line_no"))
 
 

@@ -381,16 +381,15 @@ def photo_line_starts(used: DataFrame) -> DataFrame:
     walked = _page_shapes(used).withColumn("lines", F.aggregate("levels", F.array().cast(_LINE), step))
     split = upper_median(gaps(F.transform("lines", lambda x: x["mean"]))) * 0.5
 
-    def merge(acc: Column, x: Column) -> Column:
+    def merge(acc: Column, x: Column, near: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         n = last["n"] + x["n"]
         both = _line(last["cy"], last["seq"], (last["mean"] * last["n"] + x["mean"] * x["n"]) / n, n)
         head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) > 0) & (x["mean"] - last["mean"] <= F.col("_split")), F.concat(head, F.array(both))).otherwise(F.concat(acc, F.array(x)))
+        return F.when((F.size(acc) > 0) & (x["mean"] - last["mean"] <= near), F.concat(head, F.array(both))).otherwise(F.concat(acc, F.array(x)))
 
-    merged = walked.withColumn("_split", split).withColumn(
-        "lines", F.when(F.size("lines") >= 3, F.aggregate("lines", F.array().cast(_LINE), merge)).otherwise(F.col("lines"))
-    )
+    joined_lines = let(split, lambda near: F.aggregate("lines", F.array().cast(_LINE), lambda acc, x: merge(acc, x, near)))
+    merged = walked.withColumn("lines", F.when(F.size("lines") >= 3, joined_lines).otherwise(F.col("lines")))
     typical = upper_median(gaps(F.transform("lines", lambda x: x["mean"])))
     tol = F.greatest(F.when(F.size("lines") >= 3, typical * 0.55).otherwise(F.col("med_h")), F.col("med_h") * 0.8)
     return merged.select("page_id", "lines", "levels", tol.alias("tol"))
