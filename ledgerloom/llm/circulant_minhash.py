@@ -10,7 +10,7 @@ gives its pairs (at most SMALL per member). A large one links its members to one
 links among members that the leader does not account for are found exactly from their differences to
 the leader: for r not linked to the leader and any a, |r ^ a| = p + q - 2 * overlap of the differences
 (p, q long), so r and a must share many elements of their differences. Elements that one member alone
-has cannot be shared; what remains after them decides who can have a partner at all.
+has cannot be shared; what remains decides who can have a partner at all, and a prefix join finds it.
 
 Defined cases: null and empty texts, or texts without a word, have no set and stand alone; texts of
 fewer than five words have their whole sequence as the one shingle; repeated rows are documents with
@@ -25,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WordHashes, as_bytes, connected, map_slices, mixed
@@ -40,7 +40,6 @@ BINS = 1 << 22
 # limit the estimate has a deviation of 0.022, so this is over five deviations.
 LEAST_AGREEMENT = 0.73
 SMALL = 16
-VOTES = 64
 
 _ODD = np.random.default_rng(20_2).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_ODD = np.random.default_rng(20_3).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,7 +85,7 @@ def class_of(shingle_set: np.ndarray) -> bytes | None:
 
 def _described(hashes: WordHashes):
     def one(batch: pa.RecordBatch) -> dict:
-        n, cls, bands, low, vote = [], [], [], [], []
+        n, cls, bands, low = [], [], [], []
         for text in as_bytes(batch):
             s = shingles(text, hashes)
             n.append(len(s))
@@ -94,11 +93,10 @@ def _described(hashes: WordHashes):
             sig = signature(s) if len(s) else None
             bands.append(band_keys(sig).tolist() if len(s) else None)
             low.append((sig & 0xFF).astype(np.uint8).tobytes() if len(s) else None)
-            vote.append(int(np.packbits((sig[-VOTES:] & 1).astype(np.uint8)).view(">i8")[0]) if len(s) else None)
         return {
             "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": pa.array(n, pa.int64()),
             "cls": pa.array(cls, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
-            "low": pa.array(low, pa.binary()), "vote": pa.array(vote, pa.int64()),
+            "low": pa.array(low, pa.binary()),
         }
 
     return one
@@ -134,49 +132,56 @@ def _small_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return map_slices(pairs.join(a, "a").join(b, "b").select("a", "b", "low_a", "low_b"), _agreeing, "a binary, b binary", "low_a")
 
 
-def _stars(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(leader, cls) of large buckets. The leader is the member nearest to the bucket's majority of
-    one-bit coordinates; the majority is a sum for each bit, pre-aggregated before the shuffle."""
-    members = shared.filter(F.col("m") > SMALL).select("key", "cls").join(classes.select("cls", "vote"), "cls")
-    bit = [F.shiftrightunsigned("vote", i).bitwiseAND(F.lit(1)) for i in range(VOTES)]
-    ayes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[F.sum(b).alias(f"b{i}") for i, b in enumerate(bit)])
-    majority = ayes.select(
-        "key", F.array(*[(2 * F.col(f"b{i}") > F.col("m")).cast("int") for i in range(VOTES)]).alias("top")
-    )
-    agreed = sum((F.get("top", F.lit(i)) == b).cast("int") for i, b in enumerate(bit))
-    leaders = members.join(majority, "key").groupBy("key").agg(F.min_by("cls", F.struct(-agreed, "cls")).alias("leader"))
+def _stars(shared: DataFrame) -> DataFrame:
+    """(leader, cls) of large buckets. The leader is the member that meets the most others over all its
+    large buckets: the text that the others are variants of, and the same one in most buckets."""
+    members = shared.filter(F.col("m") > SMALL)
+    central = members.groupBy("cls").agg(F.sum("m").alias("mates"))
+    members = members.select("key", "cls").join(central, "cls")
+    leaders = members.groupBy("key").agg(F.min_by("cls", F.struct(-F.col("mates"), "cls")).alias("leader"))
     return members.select("key", "cls").join(leaders, "key").filter("cls <> leader").select("leader", "cls").distinct()
 
 
 def _links_beside(star: DataFrame) -> DataFrame:
     """Links between members of a star of which at least one is not linked to the leader.
 
-    With c = 3/37 (100 i >= 85 u turned into a bound on the symmetric difference): r not linked has
-    p > c (|r| + |leader|), and a partner a must satisfy 2 * overlap >= p + q - c (|r| + |a|).
-    Hence r needs at least p - c (|r| + |r| / 0.85) shared elements, a more than half of q, corrected by size.
+    All in whole numbers: sets of sizes n, m with symmetric difference d are linked if 185 d <= 15 (n + m).
+    A member r that is not linked to the leader has 185 p >= 15 (|r| + |leader|) + 5. A partner a of r
+    overlaps it in o = (p + q - d) / 2 elements, so
+    - r needs o >= p - d, and d is at most 15 (|r| + |r| / 0.85) / 185;
+    - a needs 370 o >= 5 + 185 q + 15 (|leader| - |a|).
+    Only elements that some other member also has count towards o. Pairs must meet in the first
+    (elements - o + 1) of either side, taken from the rarest; they are verified on the whole differences.
     """
-    c = (100 - LINK_PCT) / (100 + LINK_PCT)
-    open_stars = star.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("all"))
-    star = star.join(open_stars.filter("open > 0 and all > 1").select("leader"), "leader")
-    removed = F.transform("removed", lambda x: F.bitwise_not(x))
-    elements = star.select("leader", "cls", F.explode(F.concat("added", removed)).alias("e"))
-    common = elements.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("leader", "e")
+    of = Window.partitionBy("leader")
+    star = star.withColumn("_open", F.count_if(~F.col("linked")).over(of)).withColumn("_all", F.count(F.lit(1)).over(of))
+    star = star.filter("_open > 0 and _all > 1").drop("_open", "_all")
+    elements = star.select("leader", "cls", F.explode("delta").alias("e"))
+    common = elements.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     held = elements.join(common, ["leader", "e"])
     counts = held.groupBy("leader", "cls").agg(F.count(F.lit(1)).alias("nn"))
-    facts = star.select("leader", "cls", "n_leader", "n", "linked", "p").join(counts, ["leader", "cls"])
-    as_probe = F.col("nn") >= F.col("p") - c * (F.col("n") + F.col("n") * 100 / LINK_PCT) - 1e-6
-    as_partner = 2 * F.col("nn") >= F.col("p") + c * (F.col("n_leader") - F.col("n")) - 1e-6
+    most_apart = F.floor(15 * (F.col("n") + F.floor(F.col("n") * 100 / LINK_PCT)) / 185)
+    as_probe = F.greatest(F.lit(1), F.col("p") - most_apart)
+    as_partner = F.greatest(F.lit(1), F.ceil((5 + 185 * F.col("p") + 15 * (F.col("n_leader") - F.col("n"))) / 370))
     able = materialized(
-        facts.filter((F.col("linked") & as_partner) | (~F.col("linked") & as_probe))
-        .select("leader", "cls", "n", "p", "linked", as_partner.alias("partner"))
+        star.select("leader", "cls", "n", "n_leader", "linked", "p").join(counts, ["leader", "cls"])
+        .withColumn("probe_take", F.when(~F.col("linked"), F.col("nn") - as_probe + 1))
+        .withColumn("partner_take", F.col("nn") - F.when(F.col("linked"), as_partner).otherwise(F.greatest(as_partner, as_probe)) + 1)
+        .filter("probe_take > 0 or partner_take > 0").select("leader", "cls", "linked", "probe_take", "partner_take")
     )
-    rows = held.join(able, ["leader", "cls"])
-    probes = rows.filter(~F.col("linked")).select("leader", "e", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("partner").alias("pa"))
-    partners = rows.filter("partner").select("leader", "e", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("linked").alias("lb"))
-    met = probes.join(partners, ["leader", "e"]).filter("lb or (pa and a < b)")
-    overlap = met.groupBy("leader", "a", "b", "n_a", "n_b", "p_a", "p_b").agg(F.count(F.lit(1)).alias("o"))
-    sizes, apart = F.col("n_a") + F.col("n_b"), F.col("p_a") + F.col("p_b") - 2 * F.col("o")
-    return overlap.filter(100 * (sizes - apart) >= LINK_PCT * (sizes + apart)).select("a", "b")
+    rarest_first = Window.partitionBy("leader", "cls").orderBy("k", "e")
+    ranked = held.join(able, ["leader", "cls"]).withColumn("rank", F.row_number().over(rarest_first))
+    ranked = materialized(ranked.filter("rank <= greatest(probe_take, partner_take)"))
+    probes = ranked.filter("rank <= probe_take").select("leader", "e", F.col("cls").alias("a"), (F.col("partner_take") > 0).alias("pa"))
+    partners = ranked.filter("rank <= partner_take").select("leader", "e", F.col("cls").alias("b"), F.col("linked").alias("lb"))
+    met = probes.join(partners, ["leader", "e"]).filter("a <> b and (lb or pa)").select("leader", "a", "b").distinct()
+
+    def side(x: str) -> DataFrame:
+        return star.select("leader", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("delta").alias(f"d_{x}"))
+
+    verified = met.join(side("a"), ["leader", "a"]).join(side("b"), ["leader", "b"])
+    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    return verified.filter(185 * apart <= 15 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def near_links(docs: DataFrame, described: DataFrame) -> DataFrame:
@@ -184,14 +189,14 @@ def near_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     known = described.filter("cls is not null")
     classes = materialized(
         known.groupBy("cls").agg(
-            F.min_by(F.struct("bands", "low", "vote"), F.struct("doc_id", "text_hash")).alias("x"),
+            F.min_by(F.struct("bands", "low"), F.struct("doc_id", "text_hash")).alias("x"),
             F.min(F.struct("doc_id", "text_hash")).alias("rep"),
         ).select("cls", "x.*", "rep")
     )
     keys = classes.select("cls", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = materialized(keys.join(sizes, "key"))
-    pairs, stars = materialized(_small_pairs(shared, classes)), materialized(_stars(shared, classes))
+    pairs, stars = materialized(_small_pairs(shared, classes)), materialized(_stars(shared))
     needed = (
         pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(stars.select("leader")).union(stars.select("cls")).distinct()
     )
@@ -208,9 +213,11 @@ def near_links(docs: DataFrame, described: DataFrame) -> DataFrame:
         "leader", "cls", F.size("s_leader").alias("n_leader"), F.size("s_cls").alias("n"),
         F.array_except("s_cls", "s_leader").alias("added"), F.array_except("s_leader", "s_cls").alias("removed"),
     )
+    removed = F.transform("removed", lambda x: F.bitwise_not(x))
     star = materialized(
-        met.withColumn("p", F.size("added") + F.size("removed"))
-        .withColumn("linked", _is_link(F.col("n") - F.size("added"), F.col("n"), F.col("n_leader")))
+        met.withColumn("linked", _is_link(F.col("n") - F.size("added"), F.col("n"), F.col("n_leader")))
+        .select("leader", "cls", "n_leader", "n", "linked", F.concat("added", removed).alias("delta"))
+        .withColumn("p", F.size("delta"))
         .dropDuplicates(["leader", "cls"])
     )
     return linked.union(star.filter("linked").select("leader", "cls")).union(_links_beside(star))
@@ -220,7 +227,7 @@ def _components(docs: DataFrame) -> DataFrame:
     described = materialized(
         map_slices(
             docs, _described(WordHashes()),
-            "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, low binary, vote long",
+            "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, low binary",
         )
     )
     labels = connected(near_links(docs, described), "a", "b")
