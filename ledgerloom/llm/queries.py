@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import circulant_minhash, host_rules, language_mix, prefix_decontam, sentencepiece_codec
-from ledgerloom.llm.statements import DECONTAM_SQL, HOST_SQL, NEAR_SQL
+from ledgerloom.llm import (
+    circulant_minhash, host_rules, language_mix, longest_match, packing, prefix_decontam, sentencepiece_codec, toxicity_cnn, url_asof,
+    warc_derivatives,
+)
+from ledgerloom.llm.statements import DECONTAM_SQL, HOST_SQL, NEAR_SQL, URL_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,18 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mix.language_mixture(table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc_derivatives.derivatives(warc_derivatives.responses(table(spark, sf_dir, "pages")), ["page_id"])
+    return made.drop("block").withColumn("headers_sha256", F.sha2("headers", 256)).drop("headers")
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_match.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_quality(table(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_ids", "offsets", "cu_seqlens", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
+    )
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_asof.judged(url_asof.captures_of(pages), url_asof.entries_of(pages))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
@@ -40,15 +68,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity_cnn": op1,
     "op2_language_mixture": op2,
+    "op3_warc_derivatives": op3,
+    "op4_longest_match_tokens": op4,
     "op5_host_rules": op5,
+    "op6_packed_ids": op6,
     "op7_circulant_minhash": op7,
+    "op8_url_asof": op8,
     "op9_prefix_decontamination": op9,
     "op10_sentencepiece": op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_derivatives": WARC_SQL,
     "op5_host_rules": HOST_SQL,
     "op7_circulant_minhash": NEAR_SQL,
+    "op8_url_asof": URL_SQL,
     "op9_prefix_decontamination": DECONTAM_SQL,
 }

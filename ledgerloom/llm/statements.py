@@ -51,3 +51,42 @@ select d.doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, coalesce(n_hit,
  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join t using (doc_id) left join m using (doc_id)
 """
+
+URL_SQL = r"""
+with c as (select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') as host,
+ cast(date '2024-01-01' + cast(page_id % 366 as int) as date) as day from pages),
+w as (select page_id, host, day, i as rank, array_to_string(l[i:], '.') as domain from (select *, string_split(host, '.') as l from c where host is not null),
+ lateral (select unnest(generate_series(1, greatest(len(l) - 1, 1))) as i)),
+n as (select domain, cast('0x' || substr(md5(domain), 1, 6) as bigint) as k from (select distinct domain from w)),
+e as (select domain, cast(date '2024-01-01' + cast(k % 200 + p.d as int) as date) as list_day, p.action from n join
+ (values (0, 0, 'block'), (1, 0, 'block'), (2, 0, 'block'), (2, 30, 'allow'), (2, 60, 'block'), (3, 0, 'block'), (3, 90, 'allow')) p(m, d, action) on k % 7 = m),
+a as (select w.page_id, w.rank, e.domain, e.list_day, e.action from w asof join e on w.domain = e.domain and w.day >= e.list_day),
+b as (select page_id, arg_min(domain, rank) as list_domain, arg_min(list_day, rank) as list_day, arg_min(action, rank) as action from a group by page_id)
+select c.page_id, c.host, c.day, coalesce(b.action = 'block', false) as blocked, b.list_domain, b.list_day from c left join b using (page_id)
+"""
+
+WARC_SQL = r"""
+with r as (select page_id, coalesce(html, '') as payload, coalesce(url, '') as target_uri, '2024-01-01T00:00:00Z' as refers_to_date,
+ md5('response|' || coalesce(cast(page_id as varchar), '') || '|' || coalesce(url, '')) as h from pages),
+s as (select *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' as refers_to,
+ 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) as hs from r),
+t as (select *, 'sha256:' || sha256('HTTP/1.1 200 OK' || chr(13) || chr(10) || hs || chr(13) || chr(10) || chr(13) || chr(10) || payload) as source_block_digest,
+ 'sha256:' || sha256(payload) as source_payload_digest from s),
+x as (select *, regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+ '(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|title|article|footer|nav)\s*>', chr(10), 'g'), '<[^>]*>', '', 'g') as p from t),
+y as (select *, replace(replace(replace(replace(replace(replace(replace(replace(p, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
+ '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as q from x),
+b as (select page_id, refers_to, target_uri, refers_to_date, source_block_digest, source_payload_digest, 'metadata' as record_type,
+ 'application/warc-fields' as content_type, 'source-status: 200' || chr(13) || chr(10) || 'title: ' || trim(regexp_extract(payload, '(?is)<title>([^<]*)</title>', 1))
+ || chr(13) || chr(10) || 'source-block-digest: ' || source_block_digest || chr(13) || chr(10) || 'source-payload-digest: ' || source_payload_digest
+ || chr(13) || chr(10) || 'source-header: ' || replace(hs, chr(13) || chr(10), chr(13) || chr(10) || 'source-header: ') || chr(13) || chr(10) as block from y
+ union all select page_id, refers_to, target_uri, refers_to_date, source_block_digest, source_payload_digest, 'conversion', 'text/plain',
+ regexp_replace(regexp_replace(regexp_replace(q, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') from y),
+c as (select *, md5(record_type || '|' || refers_to) as g, 'sha256:' || sha256(block) as block_digest, cast(strlen(block) as bigint) as content_length from b),
+d as (select *, '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-' || g[13:16] || '-' || g[17:20] || '-' || g[21:32] || '>' as record_id, chr(13) || chr(10) as nl from c)
+select page_id, refers_to, target_uri, refers_to_date, source_block_digest, source_payload_digest, record_type, content_type, record_id, content_length, block_digest,
+ sha256('WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || refers_to || nl
+ || 'WARC-Refers-To-Target-URI: ' || target_uri || nl || 'WARC-Refers-To-Date: ' || refers_to_date || nl || 'WARC-Target-URI: ' || target_uri || nl
+ || 'WARC-Date: ' || refers_to_date || nl || 'WARC-Block-Digest: ' || block_digest || nl || 'Content-Type: ' || content_type || nl
+ || 'Content-Length: ' || content_length || nl) as headers_sha256 from d
+"""
