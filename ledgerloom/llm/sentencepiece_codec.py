@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,19 @@ def build_tokenizer(model: Model) -> Tokenizer:
     return tokenizer
 
 
+def _grouped(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str | None]]:
+    """The texts in groups of about `most` characters, at least one text each."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 class Codec:
     """Encoder and decoder of one worker, with a memory of cuts."""
 
@@ -140,7 +154,9 @@ class Codec:
         mixed = any(re.match(f"{MARK}{MARK}+[^{MARK}]", p) for p in self.pieces)
         self.cuts = None if crossing or mixed else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.known: dict[str, tuple[np.ndarray, bool, bool]] = {}
+        self.known: dict[str, bytes] = {}  # ids of a cut, as 32-bit numbers
+        self.lossy: set[str] = set()
+        self.differing: set[str] = set()
 
     def spaces(self, n: int) -> list[int]:
         """Ids of a run of n markers of a model of merges: all space runs may share one score, where the
@@ -176,7 +192,7 @@ class Codec:
     def learn(self, cuts: list[str]) -> None:
         """Encodes cuts not met yet, decodes them, and compares the ids with the sentencepiece library."""
         new = [c for c in dict.fromkeys(cuts) if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED // 2:
             self.known.clear()
             new = list(dict.fromkeys(cuts))
         core = [re.sub(f"^{MARK}+", MARK, c) for c in new] if self.cuts and self.model.kind == MERGES else new
@@ -188,18 +204,22 @@ class Codec:
         judged = self.judge.encode(texts, num_threads=1)
         for cut, ids, text, again, other in zip(new, found, texts, back, judged):
             # the library writes nothing for an empty text, where a lone marker stands inside a longer one
-            self.known[cut] = np.array(ids, np.int32), again == text, ids == other or not text
+            self.known[cut] = np.array(ids, np.int32).tobytes()
+            if again != text:
+                self.lossy.add(cut)
+            if ids != other and text:
+                self.differing.add(cut)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, round trip is whole, equal to the sentencepiece library) of each text."""
-        normal = [self.whole.normalizer.normalize_str(t) if t else "" for t in texts]
-        cuts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in normal]
-        self.learn([c for row in cuts for c in row])
         out = []
-        for row in cuts:
-            parts = [self.known[c] for c in row]
-            ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
-            out.append((ids, all(p[1] for p in parts), all(p[2] for p in parts)))
+        for group in _grouped(texts):
+            normal = [self.whole.normalizer.normalize_str(t) if t else "" for t in group]
+            cuts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in normal]
+            self.learn(list(chain.from_iterable(cuts)))
+            for row in cuts:
+                ids = np.frombuffer(b"".join(map(self.known.__getitem__, row)), np.int32)
+                out.append((ids, self.lossy.isdisjoint(row), self.differing.isdisjoint(row)))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
