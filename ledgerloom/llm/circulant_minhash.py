@@ -260,10 +260,14 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     id and text one stays."""
     found = materialized(_components(_picked(docs)))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    this = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    left = docs.join(gone, this, "left_anti")
+
+    def listed(rows: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_hash"])
+
+    left = docs.join(gone, listed(gone), "left_anti")
     again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    again = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    again = materialized(again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     if again.isEmpty():
         return left
-    return left.join(again, this, "left_anti").unionByName(left.join(again, this, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = left.join(again, listed(again), "left_anti")
+    return once.unionByName(left.join(again, listed(again), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -149,4 +149,4 @@ def keep_good(docs: DataFrame, rules: HostRules | None = None) -> DataFrame:
     """The rows that base rules and host verdicts accept, with all their columns. Rows that share an
     id and of which one is rejected all go; rows without an id go when any of them is rejected."""
     dropped = host_quality(docs, rules).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")

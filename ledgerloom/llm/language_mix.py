@@ -152,4 +152,4 @@ def keep_identified(docs: DataFrame, least_share: float = 0.4) -> DataFrame:
         return docs
     gone = predict(docs, names, model).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_share))
     gone = gone.select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_dropped"]), "left_anti")
