@@ -63,7 +63,7 @@ define("cjk_items", ("items",), "cjk_items as (select page_id, item_no, x0, y0,
  where i.item_no % 2 = 0 and i.x0 < l.x - 6 and i.x1 > l.x + 6 group by all),
  crossing as (select *, row_number() over (partition by page_id, x order by no) as n from cross_raw),
  walk(page_id, x, n, kept) as (select page_id, x, 0::bigint, []::struct(x0 bigint, y0 bigint, x1 bigint, y1 bigint)[] from (select distinct page_id, x from crossing)
- union all select w.page_id, w.x, c.n, case when len(w.kept) >= 4 or len(list_filter(w.kept, lambda u: least(u.x1, c.x1) > greatest(u.x0, c.x0) and least(u.y1, c.y1) > greatest(u.y0, c.y0)
+ union all select w.page_id, w.x, c.n, case when len(list_filter(w.kept, lambda u: least(u.x1, c.x1) > greatest(u.x0, c.x0) and least(u.y1, c.y1) > greatest(u.y0, c.y0)
  and (least(u.x1, c.x1) - greatest(u.x0, c.x0)) * (least(u.y1, c.y1) - greatest(u.y0, c.y0)) / cast((u.x1 - u.x0) * (u.y1 - u.y0) + (c.x1 - c.x0) * (c.y1 - c.y0)
  - (least(u.x1, c.x1) - greatest(u.x0, c.x0)) * (least(u.y1, c.y1) - greatest(u.y0, c.y0)) as double) > 0.4)) > 0 then w.kept
  else list_append(w.kept, struct_pack(x0 := c.x0, y0 := c.y0, x1 := c.x1, y1 := c.y1)) end

@@ -101,8 +101,8 @@ def holes(cells: DataFrame, filled: DataFrame, rects: DataFrame, page_w: float,
 
 
 def line_veto(lines: DataFrame, items: DataFrame, margin: int = 6, limit: int = 4, tile: int = 64) -> DataFrame:
-    """Vertical lines (page_id, x) with the number of distinct CJK boxes across them (counted up to
-    `limit`) and whether they stay. Boxes overlapping by IoU > 0.4 count once, first seen first."""
+    """Vertical lines (page_id, x) with the number of distinct CJK boxes across them and whether
+    they stay, which is so below `limit`. Boxes overlapping by IoU > 0.4 count once, first seen first."""
     cjk = items.filter(F.regexp_like("text", F.lit(_CJK))).groupBy("page_id", "x0", "y0", "x1", "y1").agg(F.min("item_no").alias("no"))
     spans = cjk.select("*", F.explode(F.sequence(F.floor(F.col("x0") / tile), F.floor(F.col("x1") / tile))).alias("_tx"))
     asked = lines.withColumn("_tx", F.floor(F.col("x") / tile))
@@ -111,7 +111,7 @@ def line_veto(lines: DataFrame, items: DataFrame, margin: int = 6, limit: int =
     kept = F.aggregate(
         "boxes",
         F.slice(F.col("boxes"), 1, 0),
-        lambda acc, b: F.when((F.size(acc) >= limit) | F.exists(acc, lambda u: _iou(u, b) > 0.4), acc).otherwise(F.concat(acc, F.array(b))),
+        lambda acc, b: F.when(F.exists(acc, lambda u: _iou(u, b) > 0.4), acc).otherwise(F.concat(acc, F.array(b))),
     )
     counted = boxes.select("page_id", "x", F.size(kept).alias("crossings"))
     n = F.coalesce("crossings", F.lit(0))
