@@ -186,7 +186,7 @@ def backfill_preview(t: Tables) -> DataFrame:
 
 @query(
     "no_data_src",
-    """select period, region as source, code, '不应有数' as detail, 'source' as stage, value as v1, cast(0 as decimal(18,2)) as v2, value as d12, value as d13
+    """select period, region as source, code, '不应有数' as detail, 'source' as stage, value as v1, cast(0 as decimal(18,2)) as v2, value as d12, value as d13, name, file
  from src_files where region in ('EUROPE','MIDDLE EAST') and abs(value) > 0.01""",
     ("src_files",),
 )
@@ -196,7 +196,7 @@ def no_data_src(t: Tables) -> DataFrame:
 
 @query(
     "zero_watch",
-    f"""select s.period, s.region as source, s.code, '未调整或调整后仍为0' as detail, s.value as v1, cast(s.value - coalesce(m.d12, 0) as decimal(18,2)) as v2 from src_files s
+    f"""select s.period, s.region as source, s.code, '未调整或调整后仍为0' as detail, s.value as v1, cast(s.value - coalesce(m.d12, 0) as decimal(18,2)) as v2, s.name, s.file from src_files s
  left join (select period, code, sum(d12) as d12 from fills group by 1, 2) m on m.period = s.period and m.code = s.code
  where s.region = 'ASIA' and s.{_IN_WATCHED} and abs(s.value) < 0.01 and s.code in (select code from obs where region = 'ASIA')""",
     ("src_files", "obs", "fills"),

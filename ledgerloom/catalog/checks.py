@@ -47,6 +47,9 @@ RULES = [
     ("late_tax", "l_tax > 0.05", "abs(l_discount - l_tax) > 0.005"),
     ("max_side", "true", "greatest(l_discount, l_tax) > 0.09"),
     ("div", "l_discount = 0", "try_divide(l_tax, l_discount) > 1"),
+    ("div_zero", "true", "l_tax / l_discount > 1"),
+    ("bad_cast", "l_linenumber = 1", "cast(l_returnflag as int) > 0"),
+    ("half", "true", "2 * l_quantity > order_qty"),
     ("broken", "true", "no_such_column > 1"),
 ]
 
@@ -55,10 +58,14 @@ RULES = [
     "rule_checks",
     f"""select 'qty_price' as rule_id, {_ID} from lineitem where l_returnflag = 'A' and l_extendedprice < l_quantity * 1000
  union all select 'late_tax', {_ID} from lineitem where l_tax > 0.05::double and abs(l_discount - l_tax) > 0.005::double
- union all select 'max_side', {_ID} from lineitem where greatest(l_discount, l_tax) > 0.09::double""",
+ union all select 'max_side', {_ID} from lineitem where greatest(l_discount, l_tax) > 0.09::double
+ union all select 'div', {_ID} from lineitem where false
+ union all select 'div_zero', {_ID} from lineitem where l_discount <> 0 and l_tax / l_discount > 1
+ union all select 'half', {_ID} from (select *, sum(l_quantity) over (partition by l_orderkey) as q from lineitem) where 2 * l_quantity > q""",
 )
 def rule_checks(t: Tables) -> DataFrame:
-    return checks.rule_checks(t.lineitem, RULES).select("rule_id", *_IDS)
+    rows = checks.with_totals(t.lineitem, [("order_qty", "true", "sum(l_quantity)")], ["l_orderkey"])
+    return checks.rule_checks(rows, RULES).select("rule_id", *_IDS)
 
 
 define(

@@ -160,7 +160,7 @@ def html_tables(t: Tables) -> DataFrame:
     pages = t.conversations.groupBy(F.col("conv_id").alias("page_id")).agg(turns.alias("turns")).select(
         "page_id", F.concat(F.lit("<html><table>"), F.array_join(F.transform("turns", row), "\n"), F.lit("</table></html>")).alias("html")
     )
-    return read_html_tables(pages)
+    return read_html_tables(pages).withColumns({c: F.col(c).cast("int") for c in ("r", "c", "rspan", "cspan")})
 
 
 @query(

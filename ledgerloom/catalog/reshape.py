@@ -10,7 +10,6 @@ from ledgerloom.fixtures import Tables
 from ledgerloom.functions.period import data_date as data_date_of
 from ledgerloom.operators import reshape
 from ledgerloom.operators.reshape import ExtractRule
-from ledgerloom.scale import materialized
 from ledgerloom.sources.tables import drop_blank_rows as drop_blank
 
 RULES = [
@@ -90,11 +89,13 @@ def header_labels(t: Tables) -> DataFrame:
     return reshape.header_labels(grid, [1, 2], "_", F.concat(F.lit("列"), F.col("c")))
 
 
-@query("col_order", """select path, cast(min(k)[1] as int) as rule_no, min(k)[2] as workbook, min(k)[3] as sheet, cast(min(k)[4] as int) as c from
- (select path, [lpad(cast(rule_no as varchar), 3, '0'), workbook, sheet, lpad(cast(c as varchar), 5, '0')] as k from (select 0 as rule_no, * from paths1 union all select 1, * from paths2 where contains(sheet, '1'))) group by path""",
+@query("col_order", """select path, cast(min(k)[1] as int) as rule_no, min(k)[2] as workbook, cast(min(k)[3] as int) as sheet_no, min(k)[4] as sheet, cast(min(k)[5] as int) as c from
+ (select path, [lpad(cast(rule_no as varchar), 3, '0'), workbook, cast(900000000 - cast(substr(sheet, 2) as int) as varchar), sheet, lpad(cast(c as varchar), 5, '0')] as k from (select 0 as rule_no, * from paths1 union all select 1, * from paths2 where contains(sheet, '1'))) group by path""",
        ("paths1", "paths2"))
 def col_order(t: Tables) -> DataFrame:
-    return reshape.column_order(t.sheet_cells, t.sheet_merges, RULES)
+    # Sheet numbers run against the names, so that name order would give other places.
+    numbered = t.sheet_cells.withColumn("sheet_no", 900000000 - F.substring("sheet", 2, 20).cast("int"))
+    return reshape.column_order(numbered, t.sheet_merges, RULES)
 
 
 def _wide_sql(no: int, head_col: int, lo: int, hi: int, keep: str) -> str:
@@ -116,7 +117,6 @@ define("wide", ("paths1", "paths2", "sheet_merges"), "wide as (" + _wide_sql(0,
 
 
 def wide(t: Tables) -> DataFrame:
-    # Sheets are stored tables in real use: written once here, then each rule reads what it needs.
     cells, merges = t.sheet_cells, t.sheet_merges
     parts = [reshape.wide_rows(cells, merges, rule).withColumn("rule", F.lit(rule.name)) for rule in RULES]
     rows = parts[0].unionByName(parts[1])
@@ -199,7 +199,7 @@ def mid_section(t: Tables) -> DataFrame:
     return reshape.mid_section(rows)
 
 
-define("rects", (), "rects as (select 'S' || n_nationkey as sheet, v.name, v.r0, v.c0, v.r1, v.c1 from nation, (values ('数字区域', 100, 2, 20000, 3), ('struct_area', 0, 0, 90, 3), ('中缝', 95, 0, 99, 0), ('other', 0, 0, 9, 9), ('NUM2', 30000, 1, 60000, 2)) v(name, r0, c0, r1, c1))")
+define("rects", (), "rects as (select 'S' || s_suppkey as sheet, v.name, v.r0, v.c0, v.r1, v.c1 from supplier, (values ('数字区域', 100, 2, 20000, 3), ('struct_area', 0, 0, 90, 3), ('中缝', 95, 0, 99, 0), ('other', 0, 0, 9, 9), ('NUM2', 30000, 1, 60000, 2)) v(name, r0, c0, r1, c1))")
 
 
 @query(
@@ -213,7 +213,7 @@ def region_cells(t: Tables) -> DataFrame:
         F.struct(F.lit(n).alias("name"), *[F.lit(v).alias(k) for k, v in zip(("r0", "c0", "r1", "c1"), box)])
         for n, box in [("数字区域", (100, 2, 20000, 3)), ("struct_area", (0, 0, 90, 3)), ("中缝", (95, 0, 99, 0)), ("other", (0, 0, 9, 9)), ("NUM2", (30000, 1, 60000, 2))]
     ])
-    rects = t.nation.select(F.concat(F.lit("S"), "n_nationkey").alias("sheet"), F.inline(areas))
+    rects = t.supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("sheet"), F.inline(areas))
     cells = t.grid.select("sheet", "r", "c").distinct()
     return reshape.region_cells(cells, rects)
 

@@ -187,8 +187,8 @@ def is_numeric(t: Tables) -> DataFrame:
     "coerce_number",
     r"""with raw as (select l_orderkey, l_linenumber, case when l_linenumber = 4 then concat(cast(cast(l_quantity as int) as varchar), '.5%')
  when l_linenumber = 2 then concat(cast(cast(l_quantity as int) as varchar), ',000.5') when l_linenumber = 3 then concat(cast(cast(l_quantity as int) as varchar), ',00')
- else cast(cast(l_quantity as int) as varchar) end as t from lineitem)
- select l_orderkey, l_linenumber, case when l_linenumber = 4 then 'percent' when l_linenumber = 2 then 'decimal' when l_linenumber = 3 then 'text' else 'int' end as kind,
+ when l_linenumber = 7 then concat(cast(cast(l_quantity as int) as varchar), '0000000000000000001') else cast(cast(l_quantity as int) as varchar) end as t from lineitem)
+ select l_orderkey, l_linenumber, case when l_linenumber not in (2, 3, 4) then cast(t as decimal(38,0)) end as whole, case when l_linenumber = 4 then 'percent' when l_linenumber = 2 then 'decimal' when l_linenumber = 3 then 'text' else 'int' end as kind,
  case when l_linenumber = 4 then round(cast(replace(t, '%', '') as double) / 100, 6) when l_linenumber = 3 then null
  else cast(replace(t, ',', '') as double) end as num, case when l_linenumber = 3 then t end as text from raw""",
 )
@@ -198,6 +198,7 @@ def coerce_number(t: Tables) -> DataFrame:
         F.when(line == 4, F.concat(qty, F.lit(".5%")))
         .when(line == 2, F.concat(qty, F.lit(",000.5")))
         .when(line == 3, F.concat(qty, F.lit(",00")))
+        .when(line == 7, F.concat(qty, F.lit("0000000000000000001")))
         .otherwise(qty)
     )
     return t.lineitem.select(*_ID, number.coerce_number(raw).alias("n")).select(*_ID, "n.*")

@@ -20,14 +20,15 @@ def column_index(c: Column) -> Column:
 
 
 def column_letter(index: Column) -> Column:
-    """1 -> 'A' ... up to three letters, which covers every sheet width."""
+    """1 -> 'A' ... up to three letters ('ZZZ' = 18278), which covers every sheet width; an error beyond."""
     i = index.cast("long")
     last = F.char((i - 1) % 26 + 65)
     j = F.floor((i - 1) / 26)
     middle = F.when(j >= 1, F.char((j - 1) % 26 + 65)).otherwise("")
     k = F.floor((j - 1) / 26)
     first = F.when(k >= 1, F.char((k - 1) % 26 + 65)).otherwise("")
-    return F.concat(first, middle, last)
+    beyond = F.raise_error(F.concat(F.lit("no column letters for "), i.cast("string"))).cast("string")
+    return F.when((i < 1) | (i > 18278), beyond).otherwise(F.concat(first, middle, last))
 
 
 _REF = r"(?i)^([A-Z]{1,3})(\d+)(?::([A-Z]{1,3})(\d+))?$"

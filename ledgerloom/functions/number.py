@@ -54,6 +54,12 @@ def number_or_null(c: Column) -> Column:
     return let(half_width(numeric_text(c)), _parse)
 
 
+def plain_number(c: Column) -> Column:
+    """Number of a text that is one as a whole, ends and thousands commas aside, else null: '1 2' is none."""
+    return let(F.replace(strip(c), F.lit(","), F.lit("")), lambda t: F.when(
+        F.regexp_like(t, F.lit(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")), t.try_cast("double")))
+
+
 def code_text(c: Column) -> Column:
     """Code as text: trimmed, '11600.0' becomes '11600'."""
     return F.regexp_replace(strip(c), r"^([-+]?\d+)\.0+$", "$1")
@@ -97,7 +103,10 @@ def text_key(c: Column, dtype: str) -> Column:
 
 
 def coerce_number(c: Column) -> Column:
-    """struct(kind, num, text): int, decimal, percent (as fraction) or text."""
+    """struct(kind, num, text, whole): int, decimal, percent (as fraction) or text.
+
+    `whole` holds whole numbers of up to 38 digits exactly; `num` is the nearest double.
+    """
     text = strip(c)
     bare = F.replace(text, F.lit(","), F.lit(""))
     percent = F.regexp_like(text, F.lit(r"^-?\d+(\.\d+)?%$"))
@@ -109,6 +118,7 @@ def coerce_number(c: Column) -> Column:
         .when(whole | point, bare.try_cast("double"))
         .alias("num"),
         F.when(~(percent | whole | point), text).alias("text"),
+        F.when(whole, bare.try_cast("decimal(38,0)")).alias("whole"),
     )
 
 

@@ -283,11 +283,13 @@ def key_score(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: DataF
     return joined.select("page_id", score.alias("score"))
 
 
-def align_report(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Matched, unmatched and extra counts per page."""
+def align_report(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    """Matched, unmatched and extra counts per page. Rows that claimed a line by its place count as
+    matched; unmatched and extra tell what the codes and names left over."""
     count = lambda df, name: df.groupBy("page_id").agg(F.count(F.lit(1)).alias(name))
     out = pages.select("page_id")
-    for df, name in ((aligned, "matched"), (unmatched_rows(pages, tpl, aligned), "unmatched"), (extra_lines(lines, aligned), "extra")):
+    matched = aligned if claimed is None else aligned.select("page_id", "r").unionByName(claimed.select("page_id", "r"))
+    for df, name in ((matched, "matched"), (unmatched_rows(pages, tpl, aligned), "unmatched"), (extra_lines(lines, aligned), "extra")):
         out = out.join(count(df, name), "page_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
     return out
 

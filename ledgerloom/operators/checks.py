@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.compare import approx, finite
+from ledgerloom.scale import join_null_safe
 
 ISSUE_COLUMNS = ["period", "source", "code", "name", "detail", "v1", "v2", "v3", "d12", "d13", "biz", "file"]
 
@@ -150,10 +153,15 @@ def source_no_data_check(
     return src.filter(F.col("region").isin(list(regions)) & exceeds(F.col("value"), tolerance)).select(
         "period", F.col("region").alias("source"), "code", F.lit(fv.NO_DATA_DETAIL).alias("detail"),
         F.lit("source").alias("stage"), F.col("value").alias("v1"), F.lit(0).cast(money).alias("v2"),
-        F.col("value").alias("d12"), F.col("value").alias("d13"),
+        F.col("value").alias("d12"), F.col("value").alias("d13"), *_origin(src),
     )
 
 
+def _origin(src: DataFrame) -> list[str]:
+    """Columns that tell where an issue row comes from, as far as the source carries them."""
+    return [c for c in ("name", "file") if c in src.columns]
+
+
 def zero_watch(
     src: DataFrame, series: DataFrame, base: str, watched: Sequence[str], adjusted: DataFrame | None = None
 ) -> DataFrame:
@@ -169,7 +177,7 @@ def zero_watch(
     before = (F.col("value") - F.coalesce("change", F.lit(0))).cast(money)
     return hit.select(
         "period", F.col("region").alias("source"), "code", F.lit(fv.ZERO_WATCH_DETAIL).alias("detail"),
-        F.col("value").alias("v1"), before.alias("v2"),
+        F.col("value").alias("v1"), before.alias("v2"), *_origin(src),
     )
 
 
@@ -194,19 +202,48 @@ def subtotal_check(rows: DataFrame, section: Sequence[str], is_total: Column, va
 def rule_checks(cells: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """User rules (rule_id, filter_sql, expr_sql): rows where the expression is true.
 
-    All rules are evaluated in one pass over the rows; null (for example from a
-    try_ function) counts as not bad. Rules whose SQL does not resolve are skipped.
+    All rules are evaluated in one pass over the rows. A division by zero or a cast that fails
+    gives null, which counts as not bad. Rules whose SQL does not resolve are left out;
+    `unusable_rules` names them.
     """
-    usable = []
+    broken = unusable_rules(cells, rules)
+    usable = [F.when(_hit(where, expr), F.lit(rule_id)) for rule_id, where, expr in rules if rule_id not in broken]
+    hits = F.filter(F.array(*usable).cast("array<string>"), lambda x: x.isNotNull())
+    with _nulls_for_errors(cells.sparkSession):
+        return cells.withColumn("rule_id", F.explode(hits))
+
+
+def unusable_rules(cells: DataFrame, rules: Sequence[tuple[str, str, str]]) -> dict[str, str]:
+    """Rule id -> reason, of the rules that do not parse or name what the rows lack."""
+    reasons = {}
     for rule_id, where, expr in rules:
-        hit = F.expr(where) & F.expr(expr)
         try:
-            cells.select(hit).schema
-        except Exception:  # noqa: BLE001 - a broken rule is skipped, as documented
-            continue
-        usable.append(F.when(hit, F.lit(rule_id)))
-    hits = F.filter(F.array(*usable), lambda x: x.isNotNull())
-    return cells.withColumn("rule_id", F.explode(hits))
+            cells.select(_hit(where, expr)).schema
+        except AnalysisException as error:  # also parse errors
+            reasons[rule_id] = error.getCondition() or type(error).__name__
+    return reasons
+
+
+def _hit(where: str, expr: str) -> Column:
+    return F.expr(where).cast("boolean") & F.expr(expr).cast("boolean")
+
+
+@contextmanager
+def _nulls_for_errors(spark: SparkSession) -> Iterator[None]:
+    """Expressions resolved inside give null instead of an error; what was resolved before keeps its mode."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def with_totals(rows: DataFrame, totals: Sequence[tuple[str, str, str]], keys: Sequence[str]) -> DataFrame:
+    """Aggregates (name, filter_sql, agg_sql) per key as columns of every row of the key, for rules that
+    compare rows, sheets or books: `("city", "sheet = '合计'", "sum(v_num)")` with the book as key."""
+    parts = [F.expr(f"{agg} filter (where {where})").alias(name) for name, where, agg in totals]
+    return join_null_safe(rows, rows.groupBy(*keys).agg(*parts), keys)
 
 
 def issue_view(issues: DataFrame) -> DataFrame:
@@ -241,7 +278,8 @@ def union_issues(*parts: DataFrame) -> DataFrame:
 def page_summary(pages: DataFrame, bad_rows: DataFrame, alignment: DataFrame, keep: int = 8) -> DataFrame:
     """Per page: verdict, first bad rows with the overflow count, alignment counts.
 
-    Bad rows are cut to `keep` per page before they are gathered; the count sees all.
+    Bad rows are cut to `keep` per page before they are gathered; the count sees all. A page whose
+    `checked` column (optional) is false was not checked and is not called balanced.
     """
     counts = bad_rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_bad"))
     first = Window.partitionBy("page_id").orderBy("r")
@@ -259,8 +297,10 @@ def page_summary(pages: DataFrame, bad_rows: DataFrame, alignment: DataFrame, ke
         F.when(number("unmatched") > 0, F.concat(F.lit("，"), "unmatched", F.lit(" 未找到"))).otherwise(""),
         F.when(number("extra") > 0, F.concat(F.lit("，"), "extra", F.lit(" 多余"))).otherwise(""),
     )
+    checked = F.col("checked") if "checked" in pages.columns else F.lit(True)
     verdict = (
         F.when(F.coalesce("template", F.lit("")) == "", "未套模板")
+        .when(~checked, "未校验")
         .when(n > 0, F.concat(F.lit("✗ "), n, F.lit(" 行不平")))
         .otherwise("✓ 平衡")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.geometry import column_letter
-from ledgerloom.functions.number import code_text, number_or_null
+from ledgerloom.functions.number import code_text, plain_number
 from ledgerloom.functions.text import drop_repeats, has_any_keyword, let, match_all_keywords, strip
 from ledgerloom.scale import rects_by_tile, with_rects
 
@@ -201,14 +201,24 @@ def strip_list(text: str) -> list[str]:
     return [x.strip() for x in text.split(";") if x.strip()]
 
 
+def sheet_numbers(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, sheet_no) of every sheet; 0 where the cells carry no number."""
+    number = F.min("sheet_no") if "sheet_no" in cells.columns else F.lit(0)
+    return cells.groupBy(*SHEET).agg(F.coalesce(number, F.lit(0)).cast("int").alias("sheet_no"))
+
+
 def column_order(cells: DataFrame, merges: DataFrame, rules: Sequence[ExtractRule]) -> DataFrame:
-    """(path, rule_no, sheet_no, c): union of column paths, ordered by where each is seen first."""
+    """Union of column paths, each with the place (rule_no, workbook, sheet_no, sheet, c) where it is seen first.
+
+    Sheets come in the order of `sheet_no`; without that column, by name.
+    """
     seen = None
     for no, rule in enumerate(rules):
         used = _rule_cells(cells, rule)
         part = column_paths(used, merges, rule.header_rows, rule.col_start, rule.col_end).withColumn("rule_no", F.lit(no))
+        part = part.join(sheet_numbers(used), SHEET, "left")
         seen = part if seen is None else seen.unionByName(part)
-    first = F.min(F.struct("rule_no", "workbook", "sheet", "c")).alias("at")
+    first = F.min(F.struct("rule_no", "workbook", "sheet_no", "sheet", "c")).alias("at")
     return seen.groupBy("path").agg(first).select("path", "at.*")
 
 
@@ -240,7 +250,7 @@ def long_rows(cells: DataFrame, merges: DataFrame, rule: ExtractRule) -> DataFra
     flat = rows.select(*SHEET, "r", "row_head", F.inline("cells"))
     if rule.col_end:
         flat = flat.filter(F.col("c") <= rule.col_end)
-    number = number_or_null(F.col("v"))
+    number = plain_number(F.col("v"))
     if rule.only_numeric:
         flat = flat.filter(number.isNotNull())
     grid = header_forward_fill(used, merges, rule.header_rows)

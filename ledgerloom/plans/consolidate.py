@@ -49,8 +49,8 @@ def store(merged: DataFrame, path: str) -> None:
 
 def apply_backfill(
     latest: DataFrame, cfg: ReconcileConfig, ledger: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(corrected rows, audit issues, pre-adjustment values)."""
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(corrected rows, audit issues, pre-adjustment values, changes by the adjustment)."""
     src = latest.withColumn("file", F.col("source_file"))
     fees = backfill.ledger_values(ledger, cfg.backfill_map)
     eligible = backfill.eligible_files(src, cfg.watched, cfg.backfill_regions, ledger)
@@ -59,13 +59,15 @@ def apply_backfill(
     fixed = materialized(backfill.apply_overrides(src, filled, moved))
     names = src.select("file", "code", "name")
     audit = filled.select(*moved.columns).unionByName(moved).join(names, ["file", "code"], "left")
-    pre = fixed.filter("corrected").groupBy("period", "code").agg(F.max_by("old_value", "file").alias("pre"))
+    last = fixed.filter("corrected").groupBy("period", "code").agg(F.max_by(F.struct("old_value", "value"), "file").alias("at"))
+    pre = last.select("period", "code", F.col("at.old_value").alias("pre"))
+    change = last.select("period", "code", (F.col("at.value") - F.coalesce("at.old_value", F.lit(0.0))).alias("change"))
     identity = backfill.identity_check(fixed.drop("old_value", "corrected"), eligible, cfg.fee_codes, cfg.increment_code, cfg.tolerance)
     broken = identity.select(
         "period", F.lit(cfg.base_region).alias("source"), F.lit(cfg.increment_code).alias("code"), F.lit(fv.IDENTITY_DETAIL).alias("detail"), "v1", "v2", "d12", "file"
     )
     issues = checks.union_issues(audit.withColumn("v3", F.lit(0.0)).withColumn("d13", F.col("v1")), broken)
-    return fixed.drop("file"), issues, pre
+    return fixed.drop("file"), issues, pre, change
 
 
 def run(
@@ -81,10 +83,10 @@ def run(
     rank = F.struct(*order)
     values = ["name", "row_no", "value", *order]
     latest = materialized(series.last_wins(usable, ["source_file", "region", "period", "code"], values, rank))
-    audit, pre = None, None
+    audit, pre, change = None, None, None
     corrected = latest
     if ledger is not None:
-        corrected, audit, pre = apply_backfill(latest, cfg, ledger)
+        corrected, audit, pre, change = apply_backfill(latest, cfg, ledger)
     expected = series.last_wins(corrected, series.KEY, ["name", "row_no", "value", "source_file"], rank)
     before = stored_series(spark, series_path)
     periods = expected.select("period").distinct()
@@ -97,9 +99,10 @@ def run(
     )
     known_regions = before.select("region").distinct()
     known_codes = before.select("region", "code").distinct()
+    traced = corrected.withColumn("file", F.col("source_file"))
     watch = materialized(checks.zero_watch(
-        corrected.join(known_codes, ["region", "code"], "left_semi"), before, cfg.base_region,
-        [*[m[0] for m in cfg.backfill_map], *cfg.backfill_parents],
+        traced.join(known_codes, ["region", "code"], "left_semi"), before, cfg.base_region,
+        [*[m[0] for m in cfg.backfill_map], *cfg.backfill_parents], change,
     )) if ledger is not None else None
     written = merged.filter("written").join(known_regions.withColumn("_old", F.lit(True)), "region", "left").withColumn("region_is_new", F.col("_old").isNull())
     written = materialized(written.select(*series.KEY, "source_file", "changed", "region_is_new"))
@@ -113,8 +116,8 @@ def run(
         checks.totals_check(saved, cfg.base_region, cfg.members, cfg.tolerance, cfg.whitelist, periods, pre, biz, label),
     ]
     if ledger is not None:
-        parts = [audit, watch, checks.source_no_data_check(corrected, cfg.source_no_data_regions, cfg.tolerance), *parts]
-    checks.union_issues(*parts).write.mode("overwrite").parquet(issues_path)
+        parts = [audit, watch, checks.source_no_data_check(traced, cfg.source_no_data_regions, cfg.tolerance), *parts]
+    checks.union_issues(*parts).withColumn("biz", F.coalesce("biz", F.lit(biz))).write.mode("overwrite").parquet(issues_path)
     issues = spark.read.parquet(issues_path)
     log = checks.ingest_log(
         written.select("source_file", "region", "period", "changed").unionByName(

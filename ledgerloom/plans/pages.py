@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.number import num_lenient
 from ledgerloom.operators import align, checks, layout
 from ledgerloom.scale import materialized
 
 
 @dataclass
 class PageResult:
-    pages: DataFrame  # page_id, doc, page
+    pages: DataFrame  # page_id, doc, page of the pages with a template
     lines: DataFrame
     aligned: DataFrame
     filled: DataFrame  # page_id, r, c, text
@@ -23,26 +25,51 @@ class PageResult:
 
 def run(
     items: DataFrame, cells: DataFrame, ignore: DataFrame, tpl: DataFrame, tpl_cells: DataFrame, bad_rows: DataFrame | None = None,
-    page_w: float = 1000.0, page_h: float = 1400.0,
+    page_w: float = 1000.0, page_h: float = 1400.0, balance: Sequence[int] = (),
 ) -> PageResult:
-    """`tpl_cells` (doc, page, r, c, text, kind) are the frozen texts and numeric places of the templates."""
+    """`tpl_cells` (doc, page, r, c, text, kind) are the frozen texts and numeric places of the templates.
+
+    `balance` lists the columns of opening debit and credit, movements and closing debit and credit;
+    rows that do not add up are then the bad rows. Without it and without `bad_rows` the summary says
+    that nothing was checked. Every page with a text is in the summary, also those no template fits.
+    """
     kept = materialized(layout.drop_ignored(items, ignore, page_w, page_h))
     lined = layout.photo_line_items(kept)
     lines = materialized(layout.photo_lines(kept))
     pages = align.best_template(align.template_scores(kept, tpl)).select("page_id", "doc", "page")
     pages = materialized(pages)
     coded = materialized(align.align_fuzzy(pages, tpl, lines).select("page_id", "r", "line_no"))
-    aligned = coded.unionByName(align.claim_nearest(pages, tpl, lines, coded))
+    claimed = materialized(align.claim_nearest(pages, tpl, lines, coded).select("page_id", "r", "line_no"))
+    aligned = coded.unionByName(claimed)
+    wanted = pages.join(tpl_cells, ["doc", "page"])
+    # Only numeric columns take numbers, and only lines that stand for a template row vote on their places.
+    bands = layout.column_bands(cells).join(wanted.filter("kind = 'num'").select("page_id", "c").distinct(), ["page_id", "c"], "left_semi")
     codes = lines.select("page_id", "line_no", F.col("code").alias("line_code"))
-    numbers = layout.band_items(lined.join(codes, ["page_id", "line_no"]).drop("h", "cx", "cy"), layout.column_bands(cells), page_w)
+    used = lined.join(codes, ["page_id", "line_no"]).join(aligned.select("page_id", "line_no"), ["page_id", "line_no"], "left_semi")
+    numbers = layout.band_items(used.drop("h", "cx", "cy"), bands, page_w)
     placed = layout.nearest_column(numbers, layout.column_median(numbers))
     values = placed.groupBy("page_id", "line_no", F.col("new_c").alias("c")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cx", "item_no", "text"))), lambda x: x["text"]), "").alias("text")
     )
-    wanted = pages.join(tpl_cells, ["doc", "page"])
     filled = align.fill_vlookup(wanted.select("page_id", "r", "c", "text", "kind"), aligned, values)
-    report = align.align_report(pages, tpl, lines, coded)
+    report = align.align_report(pages, tpl, lines, coded, claimed)
+    checked = bad_rows is not None or bool(balance)
     if bad_rows is None:
-        bad_rows = filled.select("page_id", "r", F.lit("").alias("code"), F.lit("").alias("name")).limit(0)
-    summary = checks.page_summary(pages.select("page_id", F.concat_ws("·", "doc", "page").alias("template")), bad_rows, report)
+        bad_rows = _unbalanced(filled, pages, tpl, balance)
+    listed = items.select("page_id").distinct().join(pages, "page_id", "left").select(
+        "page_id", F.concat_ws("·", "doc", "page").alias("template"), F.lit(checked).alias("checked")
+    )
+    summary = checks.page_summary(listed, bad_rows, report)
     return PageResult(pages, lines, aligned, filled, report, summary)
+
+
+def _unbalanced(filled: DataFrame, pages: DataFrame, tpl: DataFrame, balance: Sequence[int]) -> DataFrame:
+    """(page_id, r, code, name) of filled rows whose movements do not lead from opening to closing."""
+    named = pages.join(tpl, ["doc", "page"]).select("page_id", "r", "code", "name")
+    if not balance:
+        return named.limit(0)
+    terms = [f"t{i}" for i in range(len(balance))]
+    amounts = filled.filter(F.col("c").isin(list(balance))).groupBy("page_id", "r").agg(
+        *[F.max(F.when(F.col("c") == c, num_lenient(F.col("text")))).alias(t) for c, t in zip(balance, terms)]
+    )
+    return checks.row_balance(amounts, terms).select("page_id", "r").join(named, ["page_id", "r"])

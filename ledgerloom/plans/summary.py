@@ -20,13 +20,13 @@ def rule_table(cells: DataFrame, merges: DataFrame, rule: ExtractRule, fallback_
 
     The column list is the rule's own paths, a header-sized result.
     """
-    rows = reshape.wide_rows(cells, merges, rule)
+    rows = reshape.wide_rows(cells, merges, rule).join(reshape.sheet_numbers(cells), reshape.SHEET, "left")
     order = reshape.column_order(cells, merges, [rule])
-    columns = [r.path for r in order.orderBy("rule_no", "workbook", "sheet", "c").collect()]
+    columns = [r.path for r in order.orderBy("rule_no", "workbook", "sheet_no", "sheet", "c").collect()]
     dated = rows.withColumn("_date", data_date(F.regexp_replace("workbook", r"\.[^.]*$", ""), fallback_date))
     named = dated.select(
         F.col("workbook").alias(fv.PATH_COLUMNS[0]), F.col("sheet").alias(fv.PATH_COLUMNS[1]), F.col("_date").alias(fv.PATH_COLUMNS[2]),
-        F.col("row_head").alias(fv.PATH_COLUMNS[3]), F.struct("workbook", "sheet", "r").alias("_seq"), "values",
+        F.col("row_head").alias(fv.PATH_COLUMNS[3]), F.struct("workbook", "sheet_no", "sheet", "r").alias("_seq"), "values",
     )
     return reshape.wide_table(named, columns)
 

@@ -37,13 +37,13 @@ def number_within(df: DataFrame, keys: Sequence[str], seq: str, out: str, chunk:
     local = F.row_number().over(Window.partitionBy(*names).orderBy(seq))
     ranked = df.withColumn("_block", F.floor(F.col(seq) / chunk)).withColumn("_local", local)
     return (
-        _join_null_safe(ranked, shifts, names)
+        join_null_safe(ranked, shifts, names)
         .withColumn(out, (F.col("_local") + F.col("_shift")).cast("long"))
         .drop("_block", "_local", "_shift")
     )
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     renamed = right.select(*[F.col(n).alias(f"_r_{n}") if n in names else F.col(n) for n in right.columns])
     on = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
     return left.join(renamed, on).drop(*[f"_r_{n}" for n in names])

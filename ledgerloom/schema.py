@@ -31,4 +31,3 @@ ITEMS = _st(
 CELL_BOXES = _st(
     ("page_id", _l), ("r", _i), ("c", _i), ("x", _d), ("y", _d), ("w", _d), ("h", _d),
 )
-SOURCE_TABLE = _st(("code", _s), ("name", _s), ("row_no", _s), ("value", _s), ("prev", _s))

@@ -30,10 +30,15 @@ def local_session(app: str = "ledgerloom", cpus: str = "8") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder all executors can reach, under the cluster's spark.checkpoint.dir.
 
-    Only where the session sets none (tests) a temporary folder is used.
+    A session on one machine that sets none (tests, benchmarks) gets a temporary folder; on a
+    cluster a missing setting is an error, since each executor would write to its own disk.
+    Nothing in the folder is removed here: results read from it lazily, and whoever sets it
+    clears it between runs.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"ledgerloom-{uuid.uuid4().hex}")

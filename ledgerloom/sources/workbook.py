@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -20,7 +21,7 @@ _OUT = (
 )
 _NAMES = [part.split()[0] for part in _OUT.split(", ")]
 # Built-in date formats of the file format.
-_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 30, 36, 45, 46, 47, 50, 57}
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), 45, 46, 47, *range(50, 59)}
 _BATCH = 20000
 
 
@@ -63,7 +64,10 @@ def _cells(name: str, content: bytes) -> Iterator[tuple]:
         shared = [] if shared_part is None else [_texts(si) for si in shared_part]
         dates = _date_styles(book)
         rels = {r.get("Id"): r.get("Target") for r in _part(book, "xl/_rels/workbook.xml.rels")}
-        sheets = [s for s in _part(book, "xl/workbook.xml").iter() if _tag(s) == "sheet"]
+        main = list(_part(book, "xl/workbook.xml").iter())
+        sheets = [s for s in main if _tag(s) == "sheet"]
+        late = any(_tag(x) == "workbookPr" and x.get("date1904") in ("1", "true") for x in main)
+        epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
         for no, sheet in enumerate(sheets):
             rid = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
             target = rels[rid].lstrip("/")
@@ -71,7 +75,7 @@ def _cells(name: str, content: bytes) -> Iterator[tuple]:
             with book.open(path) as stream:
                 for _event, e in ET.iterparse(stream):
                     if _tag(e) == "c":
-                        row = _cell(e, shared, dates)
+                        row = _cell(e, shared, dates, epoch)
                         if row is not None:
                             yield (name, sheet.get("name"), no, "cell", *row, None)
                     elif _tag(e) == "row":
@@ -82,7 +86,7 @@ def _cells(name: str, content: bytes) -> Iterator[tuple]:
                         yield (name, sheet.get("name"), no, "merge", r0, c0, r1, c1, None, None, None, None, None, None)
 
 
-def _cell(e: ET.Element, shared: list[str], dates: set[int]) -> tuple | None:
+def _cell(e: ET.Element, shared: list[str], dates: set[int], epoch: datetime) -> tuple | None:
     r, c = _address(e.get("r"))
     parts = {_tag(x): x for x in e}
     raw = parts["v"].text if "v" in parts else None
@@ -101,10 +105,25 @@ def _cell(e: ET.Element, shared: list[str], dates: set[int]) -> tuple | None:
         return (*place, "string", raw, None, None, formula)
     number = float(raw)
     if int(e.get("s", 0)) in dates:
-        return (*place, "date", raw, number, datetime(1899, 12, 30) + timedelta(days=number), formula)
+        return (*place, "date", raw, number, epoch + timedelta(days=number), formula)
     return (*place, "number", raw, number, None, formula)
 
 
+def _batches(name: str, content: bytes) -> Iterator[list[tuple]]:
+    """Rows of one file in batches, all or none: a file longer than one batch is read to its end once
+    before its first row leaves, so a fault further down never yields half a file."""
+    rows = _cells(name, content)
+    first = list(islice(rows, _BATCH))
+    if len(first) < _BATCH:
+        yield first
+        return
+    for _ in rows:
+        pass
+    again = _cells(name, content)
+    while batch := list(islice(again, _BATCH)):
+        yield batch
+
+
 def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
     """Cells and merges (column `kind`) of every workbook; a file that cannot be read gives one row with `_err`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
@@ -113,16 +132,11 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Data
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 name = path.rsplit("/", 1)[-1]
-                rows: list[tuple] = []
                 try:
-                    for row in _cells(name, content):
-                        rows.append(row)
-                        if len(rows) >= _BATCH:
-                            yield pd.DataFrame(rows, columns=_NAMES)
-                            rows = []
+                    for rows in _batches(name, content):
+                        yield pd.DataFrame(rows, columns=_NAMES)
                 except Exception as error:  # noqa: BLE001 - a bad file is reported, the others go on
-                    rows.append((name, *[None] * (len(_NAMES) - 2), f"{type(error).__name__}: {error}"))
-                yield pd.DataFrame(rows, columns=_NAMES)
+                    yield pd.DataFrame([(name, *[None] * (len(_NAMES) - 2), f"{type(error).__name__}: {error}")], columns=_NAMES)
 
     return files.select(F.url_decode("path").alias("path"), "content").mapInPandas(run, _OUT)
 

@@ -140,3 +140,18 @@ def test_geometry(spark):
     got = values(spark, [([0.0, 0.25, 0.5, 1.0], 0.0, 10.0)], "f array<double>, a double, b double", e=geometry.lay_edges(F.col("f"), F.col("a"), F.col("b")))
     assert got[0][0] == [0, 2, 5, 10]  # 2.5 goes to the even side
     assert values(spark, [([10, 20, 40],)], "e array<int>", f=geometry.edge_fracs(F.col("e")))[0][0] == [0.0, 0.33333, 1.0]
+
+
+def test_numbers_are_strict_and_exact(spark):
+    rows = [("1 2",), (" 1,200.5 ",), ("-3e2",), ("123456789012345678901",), ("abc",), ("",), (None,)]
+    got = values(spark, rows, "v string", p=number.plain_number(F.col("v")), w=number.coerce_number(F.col("v"))["whole"])
+    assert [g[0] for g in got] == [None, 1200.5, -300.0, 123456789012345678901.0, None, None, None]
+    assert str(got[3][1]) == "123456789012345678901"
+
+
+def test_letters_end_at_three(spark):
+    import pytest
+
+    assert values(spark, [(18278,)], "v int", a=geometry.column_letter(F.col("v"))) == [("ZZZ",)]
+    with pytest.raises(Exception, match="no column letters"):
+        values(spark, [(18279,)], "v int", a=geometry.column_letter(F.col("v")))

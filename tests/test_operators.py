@@ -234,3 +234,71 @@ def test_extract_rules(spark):
     a, b = got["a"], got["b"]
     assert (a.row_header_col, a.header_rows, a.row_start, a.row_end, a.col_start, a.col_end, a.write) == (2, [1, 2], 3, 0, 3, 8, True)
     assert (b.row_header_col, b.header_rows, b.row_end, b.col_start, b.col_end, b.write) == (1, [1], 9, 4, 0, False)
+
+
+def test_html_large_and_odd_spans(spark):
+    """Spans are not cut, cost no memory for their area, and rows without a cell do not count."""
+    html = (
+        "<table><tr></tr><tr><td rowspan=900000000 colspan=900000000>a</td><td>b</td></tr><tr></tr>"
+        "<tr><td colspan='x'>c</td><td rowspan='²'>d</td></tr></table>"
+    )
+    got = html_tables(spark.createDataFrame([(1, html)], "page_id bigint, html string"))
+    big = 900000000
+    assert [tuple(r)[2:] for r in got.orderBy("r", "c").collect()] == [
+        (0, 0, big, big, "a"), (0, big, 1, 1, "b"), (1, big, 1, 1, "c"), (1, big + 1, 1, 1, "d"),
+    ]
+
+
+def test_workbook_faults_leave_no_half_file(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import workbook
+
+    rows = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c></row>' for r in range(1, 60))
+    monkeypatch.setattr(workbook, "_BATCH", 7)
+    good = xlsx(rows, [])
+    assert sum(len(b) for b in workbook._batches("g", good)) == 60  # 59 cells and the merge
+    bad = xlsx(rows + '<row r="60"><c r="A60" t="s"><v>5</v></c></row>', [])
+    import pytest
+
+    batches = workbook._batches("b", bad)
+    with pytest.raises(IndexError):
+        next(batches)
+
+
+def test_date_formats_and_epoch(spark):
+    from datetime import datetime
+    from xml.etree import ElementTree as ET
+
+    from ledgerloom.sources.workbook import _cell, _DATE_FORMATS
+
+    assert {28, 29, 31, 35, 51, 56, 58} <= _DATE_FORMATS and not _DATE_FORMATS & {0, 9, 23, 26, 37, 44, 48, 49, 59}
+    cell = ET.fromstring('<c r="A1" s="1"><v>1</v></c>')
+    assert _cell(cell, [], {1}, datetime(1904, 1, 1))[7] == datetime(1904, 1, 2)
+
+
+def test_rules_with_errors_and_totals(spark):
+    from ledgerloom.operators import checks
+
+    cells = spark.createDataFrame([("b", "合计", 1, 10.0, 0.0, "x"), ("b", "明细", 1, 6.0, 2.0, "7"), ("b", "明细", 2, 3.0, 1.0, None)], "workbook string, sheet string, r int, a double, d double, t string")
+    rules = [("div", "true", "a / d > 2"), ("cast", "true", "cast(t as int) = 7"), ("cross", "sheet = '合计'", "a <> parts"), ("gone", "true", "nope = 1"), ("syntax", "true", "a >")]
+    rows = checks.with_totals(cells, [("parts", "sheet = '明细'", "sum(a)")], ["workbook"])
+    got = sorted((r.rule_id, r.sheet, r.r) for r in checks.rule_checks(rows, rules).collect())
+    assert got == [("cast", "明细", 1), ("cross", "合计", 1), ("div", "明细", 1), ("div", "明细", 2)]
+    assert set(checks.unusable_rules(rows, rules)) == {"gone", "syntax"}
+    assert checks.rule_checks(rows, []).isEmpty() and spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    import pytest
+
+    from ledgerloom.session import shared_folder
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/y"
+    assert shared_folder(Session()).startswith("hdfs://x/y/ledgerloom-")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.reshape import ExtractRule
 from ledgerloom.plans import consolidate, pages, summary
 from ledgerloom.sources.rules import ReconcileConfig, load_config
-from ledgerloom.sources.tables import read_indicator_csv
+from ledgerloom.sources.tables import indicator_rows, read_indicator_csv, scan_indicator
 from ledgerloom.streaming import jobs
 from test_operators import sheet
 
+ORDER = ["file_seq", "src_row"]
 HEADER = "指标代码,指标名称,行序号,余额,上期－余额\n"
 
 
@@ -19,8 +20,7 @@ def write(folder, name, lines):
 
 
 def read(spark, folder):
-    raw = read_indicator_csv(spark, str(folder)).withColumnsRenamed({"value": "余额"}).withColumn("src_row", F.monotonically_increasing_id())
-    return raw
+    return read_indicator_csv(spark, str(folder))
 
 
 def config():
@@ -38,8 +38,8 @@ def test_consolidate_twice(spark, tmp_path):
     write(first, "2026.08 龙门县.csv", ["11001,A,1,0,0", "11003,C,3,7,0"])
     write(first, "无法识别.csv", ["11001,A,1,1,0"])
     cfg, series_path, issues_path = config(), str(out / "series"), str(out / "issues")
-    rows = consolidate.source_rows(read(spark, first), cfg, ["src_row"])
-    result = consolidate.run(spark, rows, ["src_row"], series_path, issues_path, cfg)
+    rows = consolidate.source_rows(read(spark, first), cfg, ORDER)
+    result = consolidate.run(spark, rows, ORDER, series_path, issues_path, cfg)
     got = {(r.source, r.code, r.detail) for r in result.issues.collect()}
     assert got == {("总分校验", "11002", "总分不平 (白名单指标)"), ("龙门县", "11003", "不应有数")}
     stats = result.stats.first()
@@ -49,8 +49,8 @@ def test_consolidate_twice(spark, tmp_path):
     # A later run: one corrected month, one new month; history stays.
     write(second, "2026.08 市本部.csv", ["11001,A,1,100,0", "11002,B,2,50,0"])
     write(second, "2026.09 惠州市.csv", ["11001,A,1,5,0"])
-    rows = consolidate.source_rows(read(spark, second), cfg, ["src_row"])
-    result = consolidate.run(spark, rows, ["src_row"], series_path, issues_path, cfg)
+    rows = consolidate.source_rows(read(spark, second), cfg, ORDER)
+    result = consolidate.run(spark, rows, ORDER, series_path, issues_path, cfg)
     stored = {(r.region, r.code, r.period): r.value for r in consolidate.stored_series(spark, series_path).collect()}
     assert stored[("市本部", "11002", "2026.08")] == 50.0 and stored[("惠州市", "11002", "2026.08")] == 50.0
     assert stored[("惠州市", "11001", "2026.09")] == 5.0 and len(stored) == 7
@@ -68,8 +68,8 @@ def test_backfill_run(spark, tmp_path):
     ledger += [("2026.09", r, 7, str(v)) for r, v in enumerate([1, 2, 3, 4, 0, 99], 2)] + [("2026.09", 6, 8, "11")]
     cells = spark.createDataFrame(ledger, "period string, r int, c int, v string")
     cfg = config()
-    rows = consolidate.source_rows(read(spark, src), cfg, ["src_row"])
-    result = consolidate.run(spark, rows, ["src_row"], str(out / "s"), str(out / "i"), cfg, "会计校验", cells)
+    rows = consolidate.source_rows(read(spark, src), cfg, ORDER)
+    result = consolidate.run(spark, rows, ORDER, str(out / "s"), str(out / "i"), cfg, "会计校验", cells)
     values = {r.code: r.value for r in result.corrected.collect()}
     assert values == {"11367": 1.0, "11368": 2.0, "11369": 3.0, "11370": 4.0, "11631": 11.0, "11364": 20.0, "11001": 30.0, "11628": 41.0}
     issues = result.issues.groupBy("source", "detail").count().collect()
@@ -77,6 +77,33 @@ def test_backfill_run(spark, tmp_path):
     assert found[("会计补录", "已补录费用数据")] == 5 and found[("会计父项补录", "父项已同步补录")] == 3
     assert found[("惠州市", "增加值(11631)与四项费用(11367~11370)之和不符")] == 1
     assert found[("总分校验", "总分校验不平 - 费用调整")] == 8
+    assert result.issues.filter("biz is null").isEmpty()
+
+
+def test_indicator_files_by_their_header(spark, tmp_path):
+    """Value by header name, else the fourth column; the later row of the later file wins."""
+    (tmp_path / "2026.08 惠州市.csv").write_text("\ufeff指标代码,指标名称,行序号,上期, 余额 ,备注\n11001,x,1,5,77,a\n,y,2,6,78,\n11002,\"a,b\",2,6,9\n", encoding="utf-8")
+    (tmp_path / "2026.08 惠州市 b+c.csv").write_text("指标代码,指标名称,行序号,数值\n11001,x,1,5\n11001,x,1,6\n", encoding="utf-8")
+    (tmp_path / "2026.08 空.csv").write_text("", encoding="utf-8")
+    raw = read_indicator_csv(spark, str(tmp_path))
+    assert raw.columns == ["code", "name", "row_no", "余额", "prev", "source_file", "file_seq", "src_row"]
+    rows = consolidate.source_rows(raw, config(), ORDER)
+    got = sorted((r.source_file, r.code, r.name, r.value) for r in rows.collect())
+    assert got == [("2026.08 惠州市 b+c.csv", "11001", "x", 5.0), ("2026.08 惠州市 b+c.csv", "11001", "x", 6.0), ("2026.08 惠州市.csv", "11001", "x", 77.0), ("2026.08 惠州市.csv", "11002", "a,b", 9.0)]
+    # Both files name the same region and month: '2026.08 惠州市.csv' sorts behind the one with a suffix.
+    result = consolidate.run(spark, rows, ORDER, str(tmp_path / "s"), str(tmp_path / "i"), config())
+    stored = {r.code: r.value for r in consolidate.stored_series(spark, str(tmp_path / "s")).collect()}
+    last = max(r.file_seq for r in raw.select("file_seq").distinct().collect())
+    assert stored == {"11001": 6.0 if "b+c" in last else 77.0, "11002": 9.0}
+
+
+def test_indicator_rows_of_workbooks(spark):
+    grid = [("a.xlsx", ["代码", "名称", "行", "上期", "余额"], ["11001.0", "x", "1", "5", "77"]), ("b.xlsx", ["代码", "名称", "行", "数"], ["11002", "y", "2", "8"])]
+    cells = [(b, 0, r, c, v) for b, *rows in grid for r, row in enumerate(rows, 1) for c, v in enumerate(row, 1)] + [("a.xlsx", 1, 2, 1, "99")]
+    got = indicator_rows(spark.createDataFrame(cells, "workbook string, sheet_no int, r int, c int, v string"))
+    assert sorted(tuple(r) for r in scan_indicator(got, keep=["source_file", *ORDER]).collect()) == [
+        ("11001", "x", "1", 77.0, "a.xlsx", "a.xlsx", 2), ("11002", "y", "2", 8.0, "b.xlsx", "b.xlsx", 2),
+    ]
 
 
 def test_load_config(spark):
@@ -106,7 +133,11 @@ def test_pages_run(spark, tables):
     cells = tpl(tables).select("doc", "page", "r", "code", F.inline(kinds)).select("doc", "page", "r", "c", F.when(F.col("c") == 0, F.col("code")).otherwise("").alias("text"), "kind")
     result = pages.run(tables.items, tables.cell_boxes, tables.ignore_rects, tpl(tables), cells)
     n_pages = result.pages.count()
-    assert n_pages > 0 and result.summary.count() == n_pages
+    all_pages = tables.items.select("page_id").distinct().count()
+    assert n_pages > 0 and result.summary.count() == all_pages
+    assert {(r.verdict, r.template == "") for r in result.summary.select("verdict", "template").collect()} <= {("未套模板", True), ("未校验", False)}
+    matched = result.report.agg(F.sum("matched")).first()[0]
+    assert matched == result.aligned.count()
     assert result.aligned.count() == result.aligned.select("page_id", "line_no").distinct().count() == result.aligned.select("page_id", "r").distinct().count()
     assert result.filled.filter("c = 3 and text <> ''").count() > 0
     assert result.filled.filter("c = 0").join(tpl(tables), ["r"]).filter("text = code").count() > 0
