@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog.registry import define, query
 from ledgerloom.fixtures import Tables
 from ledgerloom.operators import append
+from ledgerloom.session import shared_folder
 
 KEYS = ["day", "head"]
 
@@ -76,15 +77,18 @@ def append_evolve(t: Tables) -> DataFrame:
 
 @query(
     "append_guard",
-    """select o_orderpriority as target, bool_and(true) as fits, false as fits_short from orders group by 1""",
+    """select 'full' as target, true as fits, count(*) filter (o_orderkey % 2 = 1) as added from orders union all select 'short', false, 0::bigint""",
 )
 def append_guard(t: Tables) -> DataFrame:
-    """The header test is on column names; shown per target."""
-    full = t.orders.columns
-    return t.orders.groupBy(F.col("o_orderpriority").alias("target")).agg(
-        F.bool_and(F.lit(append.header_fits(full, ["o_orderkey", "o_custkey"]))).alias("fits"),
-        F.bool_and(F.lit(append.header_fits(full[1:], ["o_orderkey", "o_custkey"]))).alias("fits_short"),
-    )
+    """Two stored targets, one without a key column: the header of the files decides whether rows are added."""
+    keys, root, out = ["o_orderkey", "o_custkey"], shared_folder(t.spark), []
+    for name, stored in (("full", t.orders.filter("o_orderkey % 2 = 0")), ("short", t.orders.drop("o_orderkey"))):
+        stored.write.parquet(f"{root}/{name}")
+        target = t.spark.read.parquet(f"{root}/{name}")
+        fits = append.header_fits(target.columns, keys)
+        added = append.new_rows(t.orders, target, keys, F.col("o_orderdate")) if fits else t.orders.limit(0)
+        out.append(added.agg(F.lit(name).alias("target"), F.lit(fits).alias("fits"), F.count(F.lit(1)).alias("added")))
+    return out[0].unionByName(out[1])
 
 
 @query(

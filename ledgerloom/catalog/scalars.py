@@ -212,9 +212,29 @@ def meaningful(t: Tables) -> DataFrame:
     )
 
 
-@query("normalize_text")
+_WS_SQL = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CONTEXT_SQL = "[一-鿿，。；：！？（）]"
+
+
+def _normalized_sql(value: str) -> str:
+    """Marks beside CJK text are flagged left and right, widened, and blanks around wide marks removed."""
+    sql = f"translate({value}, '{text.FULL_WIDTH}', '{text.HALF_WIDTH}')"
+    sql = f"regexp_replace({sql}, '({_CONTEXT_SQL}[ 　]*)([,:;!?()])', '\\1\ue000\\2', 'g')"
+    sql = f"regexp_replace({sql}, '\ue000?([,:;!?()])([ 　]*{_CONTEXT_SQL})', '\ue000\\1\\2', 'g')"
+    for half, full in zip(text.HALF_MARKS, text.FULL_MARKS):
+        sql = f"replace({sql}, '\ue000{half}', '{full}')"
+    sql = f"regexp_replace({sql}, '{_WS_SQL}+([，。；：！？）】》（【《])', '\\1', 'g')"
+    return f"regexp_replace({sql}, '([（【《]){_WS_SQL}+', '\\1', 'g')"
+
+
+@query(
+    "normalize_text",
+    f"""select doc_id, {_normalized_sql("coalesce(text, '')")} as text, {_normalized_sql("translate(coalesce(text, ''), 'aeon', '中（】Ａ')")} as mixed from documents""",
+)
 def normalize_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    """The texts as they are, and with four letters turned into CJK characters and marks."""
+    mixed = F.translate("text", "aeon", "中（】Ａ")
+    return t.documents.select("doc_id", text.normalize_text(F.col("text")).alias("text"), text.normalize_text(mixed).alias("mixed"))
 
 
 _STOP = "科目代码|科目名称|上期余额|本期发生额|本期余额|借方|贷方|合计|编制日期|编制单位|制表|审核|复核|共|第|页|单位"

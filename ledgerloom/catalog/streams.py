@@ -54,11 +54,18 @@ def stream_upsert(t: Tables) -> DataFrame:
 
 @query("stream_keep_first", "select event_id, user_id, event_type from events")
 def stream_keep_first(t: Tables) -> DataFrame:
-    """Every event arrives twice; one copy stays."""
+    """Three runs over growing input: the older events, the newer ones, then altered copies of all
+    events with new events far behind the watermark. First copies stay, late events are dropped."""
     root = shared_folder(t.spark)
     events = _events(t).select("event_id", "ts", "user_id", "event_type")
-    source = _staged(t, events.unionByName(events), root)
-    target = jobs.subfolder(root, "target")
-    stream = jobs.file_stream(t.spark, source, events.schema)
-    jobs.keep_first_stream(stream, target, jobs.subfolder(root, "progress"), ["event_id"], "ts", "1 day").awaitTermination()
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    middle = F.lit(span["lo"] + (span["hi"] - span["lo"]) / 2)
+    old, new = events.filter(F.col("ts") < middle), events.filter(F.col("ts") >= middle)
+    copies = events.withColumn("event_type", F.lit("copy"))
+    late = old.filter(F.col("ts") < middle - F.expr("interval 2 days")).withColumn("event_id", -1 - F.col("event_id"))
+    source, target = jobs.subfolder(root, "source"), jobs.subfolder(root, "target")
+    for part in (old, new, copies.unionByName(late)):
+        part.write.mode("append").parquet(source)
+        stream = jobs.file_stream(t.spark, source, events.schema)
+        jobs.keep_first_stream(stream, target, jobs.subfolder(root, "progress"), ["event_id"], "ts", "1 day").awaitTermination()
     return t.spark.read.parquet(target).select("event_id", "user_id", "event_type")

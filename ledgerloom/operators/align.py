@@ -17,7 +17,7 @@ from ledgerloom.functions.fuzzy import codes_match, key_match, keys_match, text_
 from ledgerloom.functions.number import numeric_text
 from ledgerloom.functions.text import digits, has_meaning, key_code, let, strip
 from ledgerloom.operators.layout import gaps, upper_median
-from ledgerloom.scale import first_row, number_within
+from ledgerloom.scale import first_row, materialized, number_within
 
 TPL = ["doc", "page"]
 
@@ -106,14 +106,15 @@ def _walk_rows(rows: Column, candidates: Column, blanks: Column) -> Column:
 def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame:
     """(page_id, r, line_no, stage): exact codes first, then row keys, then names, each 1:1 in template order.
 
-    Exact pairs come from a join; only candidates among what they leave are walked in order.
+    Exact pairs come from a join; only candidates among what they leave are walked in order. Exact
+    pairs, spare lines and candidates are written once, as several later joins read them.
     """
-    exact = align_exact(pages, tpl, lines)
-    spare = lines.join(exact, ["page_id", "line_no"], "left_anti").join(pages, "page_id")
+    exact = materialized(align_exact(pages, tpl, lines))
+    spare = materialized(lines.join(exact, ["page_id", "line_no"], "left_anti").join(pages, "page_id"))
     row, line = F.col("r").cast("bigint"), F.col("line_no").cast("bigint")
     is_blank = (F.col("code") == "") & (F.col("name") == "")
     blanks = spare.filter(is_blank).groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("_blank"))
-    pairs = _candidates(tpl, spare)
+    pairs = materialized(_candidates(tpl, spare))
     keyed = (
         pairs.filter("by_key").groupBy("page_id", row.alias("r")).agg(F.array_sort(F.collect_set(line)).alias("lis"))
         .groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "lis"))).alias("_keys"))

@@ -25,20 +25,21 @@ def merge_duplicates(rows: DataFrame, order: Column) -> DataFrame:
     """One row per (region, code, period) from sheets in which a code repeats.
 
     Per month the last non-empty value wins, the first non-empty name and row number
-    win, and `own` is the value on the code's first row.
+    win, and `own` is the value on the code's first row. The rows are shuffled once; names and
+    row numbers of a code are then picked from its months, a few hundred rows at most.
     """
-    filled = lambda c, v: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(v))
-    first_filled = lambda c: F.min_by(c, filled(c, "_o"))
+    first_filled = lambda c: F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("_o", c)))
     rows = rows.withColumn("_o", order)
     months = rows.groupBy(*KEY).agg(
         F.max_by("value", F.when(F.col("value").isNotNull(), F.col("_o"))).alias("value"),
         F.min_by(F.struct("_o", "value"), "_o").alias("_first"),
+        first_filled("name").alias("_name"), first_filled("row_no").alias("_no"),
     )
-    codes = rows.groupBy("region", "code").agg(
-        F.min("_o").alias("_top"), first_filled("name").alias("name"), first_filled("row_no").alias("row_no")
+    code = Window.partitionBy("region", "code")
+    own = F.when(F.col("_first._o") == F.min("_first._o").over(code), F.col("_first.value"))
+    return months.select(
+        *KEY, F.min("_name").over(code)["name"].alias("name"), F.min("_no").over(code)["row_no"].alias("row_no"), "value", own.alias("own")
     )
-    own = F.when(F.col("_first._o") == F.col("_top"), F.col("_first.value"))
-    return months.join(codes, ["region", "code"]).select(*KEY, "name", "row_no", "value", own.alias("own"))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
