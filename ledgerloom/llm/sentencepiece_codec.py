@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -155,6 +156,7 @@ class Codec:
         self.cuts = None if crossing or mixed else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.known: dict[str, bytes] = {}  # ids of a cut, as 32-bit numbers
+        self.before: dict[str, bytes] = {}  # the memory that filled up last; cuts met again move over
         self.lossy: set[str] = set()
         self.differing: set[str] = set()
 
@@ -191,11 +193,17 @@ class Codec:
 
     def learn(self, cuts: list[str]) -> None:
         """Encodes cuts not met yet, decodes them, and compares the ids with the sentencepiece library."""
-        new = [c for c in dict.fromkeys(cuts) if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED // 2:
-            self.known.clear()
-            new = list(dict.fromkeys(cuts))
-        core = [re.sub(f"^{MARK}+", MARK, c) for c in new] if self.cuts and self.model.kind == MERGES else new
+        met = dict.fromkeys(cuts)
+        new = [c for c in met if c not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.before, self.known = self.known, {}
+            new = list(met)
+        if self.before:
+            self.known.update((c, self.before[c]) for c in new if c in self.before)
+            new = [c for c in new if c not in self.before]
+        core = new
+        if self.cuts and self.model.kind == MERGES:
+            core = [MARK + c.lstrip(MARK) if c.startswith(MARK * 2) else c for c in new]
         found = [e.ids for e in self.plain.encode_batch(core, add_special_tokens=False)]
         found = [self._spaced(c, ids) if c != k or c == MARK else ids for c, k, ids in zip(new, core, found)]
         texts = [c.removeprefix(MARK) if self.model.dummy_prefix else c for c in new]
@@ -204,22 +212,29 @@ class Codec:
         judged = self.judge.encode(texts, num_threads=1)
         for cut, ids, text, again, other in zip(new, found, texts, back, judged):
             # the library writes nothing for an empty text, where a lone marker stands inside a longer one
-            self.known[cut] = np.array(ids, np.int32).tobytes()
+            self.known[cut] = array("i", ids).tobytes()
             if again != text:
                 self.lossy.add(cut)
             if ids != other and text:
                 self.differing.add(cut)
 
+    def normalized(self, text: str) -> str:
+        """The text as the rebuilt normaliser gives it; where that has no character map and keeps runs of
+        spaces, it is the marker in front and in place of each space."""
+        if self.model.charsmap or self.model.squeeze_spaces:
+            return self.whole.normalizer.normalize_str(text)
+        return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
+
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, round trip is whole, equal to the sentencepiece library) of each text."""
         out = []
         for group in _grouped(texts):
-            normal = [self.whole.normalizer.normalize_str(t) if t else "" for t in group]
+            normal = [self.normalized(t) if t else "" for t in group]
             cuts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in normal]
             self.learn(list(chain.from_iterable(cuts)))
             for row in cuts:
                 ids = np.frombuffer(b"".join(map(self.known.__getitem__, row)), np.int32)
-                out.append((ids, self.lossy.isdisjoint(row), self.differing.isdisjoint(row)))
+                out.append((ids, not self.lossy or self.lossy.isdisjoint(row), not self.differing or self.differing.isdisjoint(row)))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
