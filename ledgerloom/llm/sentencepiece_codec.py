@@ -14,10 +14,11 @@ read by the driver and sent along (about half a megabyte).
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import chain
@@ -35,6 +36,8 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+# Threads of one worker, and cuts per call of the library.
+THREADS, BATCH = "2", 1 << 13
 
 
 @dataclass
@@ -191,32 +194,41 @@ class Codec:
         alone = bool(ids) and self.pieces[ids[0]] == MARK
         return self.spaces(run if alone else run - 1) + ids[alone:]
 
-    def learn(self, cuts: list[str]) -> None:
-        """Encodes cuts not met yet, decodes them, and compares the ids with the sentencepiece library."""
+    def learn(self, cuts: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each distinct cut. Cuts not met yet are encoded, decoded, and compared with the sentencepiece library."""
         met = dict.fromkeys(cuts)
-        new = [c for c in met if c not in self.known]
+        found = dict(zip(met, map(self.known.get, met)))
+        new = [c for c, ids in found.items() if ids is None]
         if len(self.known) + len(new) > REMEMBERED:
             self.before, self.known = self.known, {}
-            new = list(met)
         if self.before:
-            self.known.update((c, self.before[c]) for c in new if c in self.before)
-            new = [c for c in new if c not in self.before]
+            again = {c: self.before[c] for c in new if c in self.before}
+            found.update(again)
+            self.known.update(again)
+            new = [c for c in new if c not in again]
+        for at in range(0, len(new), BATCH):
+            fresh = self._encoded(new[at : at + BATCH])
+            found.update(fresh)
+            self.known.update(fresh)
+        return found
+
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
         core = new
         if self.cuts and self.model.kind == MERGES:
             core = [MARK + c.lstrip(MARK) if c.startswith(MARK * 2) else c for c in new]
-        found = [e.ids for e in self.plain.encode_batch(core, add_special_tokens=False)]
-        found = [self._spaced(c, ids) if c != k or c == MARK else ids for c, k, ids in zip(new, core, found)]
+        found = [e.ids for e in self.plain.encode_batch_fast(core, add_special_tokens=False)]
+        if core is not new:
+            found = [ids if c == k or c == MARK else self._spaced(c, ids) for c, k, ids in zip(new, core, found)]
         texts = [c.removeprefix(MARK) if self.model.dummy_prefix else c for c in new]
         texts = [t.replace(MARK, " ") for t in texts]
         back = self.whole.decode_batch(found, skip_special_tokens=False)
         judged = self.judge.encode(texts, num_threads=1)
-        for cut, ids, text, again, other in zip(new, found, texts, back, judged):
+        if back != texts:
+            self.lossy.update(cut for cut, text, again in zip(new, texts, back) if again != text)
+        if judged != found:
             # the library writes nothing for an empty text, where a lone marker stands inside a longer one
-            self.known[cut] = array("i", ids).tobytes()
-            if again != text:
-                self.lossy.add(cut)
-            if ids != other and text:
-                self.differing.add(cut)
+            self.differing.update(cut for cut, text, ids, other in zip(new, texts, found, judged) if ids != other and text)
+        return {cut: array("i", ids).tobytes() for cut, ids in zip(new, found)}
 
     def normalized(self, text: str) -> str:
         """The text as the rebuilt normaliser gives it; where that has no character map and keeps runs of
@@ -231,9 +243,9 @@ class Codec:
         for group in _grouped(texts):
             normal = [self.normalized(t) if t else "" for t in group]
             cuts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in normal]
-            self.learn(list(chain.from_iterable(cuts)))
+            known = self.learn(chain.from_iterable(cuts))
             for row in cuts:
-                ids = np.frombuffer(b"".join(map(self.known.__getitem__, row)), np.int32)
+                ids = np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32)
                 out.append((ids, not self.lossy or self.lossy.isdisjoint(row), not self.differing or self.differing.isdisjoint(row)))
         return out
 
@@ -243,6 +255,8 @@ class Codec:
 
 @cache
 def codec(raw: bytes) -> Codec:
+    # The library's pool would take a thread for every core of the machine in every worker; it reads this when it starts.
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     return Codec(raw)
 
 
