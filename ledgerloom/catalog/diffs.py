@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog.layout import grid_text
@@ -13,6 +18,7 @@ from ledgerloom.sources.html import html_tables as read_html_tables
 from ledgerloom.sources.listing import latest_file as latest_of
 from ledgerloom.sources.listing import safe_map as map_safely
 from ledgerloom.sources.listing import split_listing
+from ledgerloom.sources.workbook import cells_of, parse_workbooks
 
 _NUMBER = r"regexp_full_match(v, '[0-9]+(\.[0-9]+)?')"
 define(
@@ -124,17 +130,77 @@ def fingerprint(t: Tables) -> DataFrame:
     return diff.fingerprints_agree(before(t), after(t))
 
 
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _zipped(shared: str, names: list[str], bodies: list[str]) -> bytes:
+    """An XLSX file of finished sheet bodies; style 1 is a date."""
+    sheets = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
+    links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="{_REL}"><sheets>{sheets}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="x">{links}</Relationships>')
+        book.writestr("xl/sharedStrings.xml", f"<sst {_MAIN}>{shared}</sst>")
+        book.writestr("xl/styles.xml", f'<styleSheet {_MAIN}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        for i, body in enumerate(bodies, 1):
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {_MAIN}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _as_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"], "content": [_zipped(*x) for x in zip(batch["shared"], batch["names"], batch["bodies"])]})
+
+
+def order_books(t: Tables) -> DataFrame:
+    """(path, content): the orders as XLSX files of 1024 order keys, one sheet per status."""
+    k = F.col("o_orderkey")
+    rows = t.orders.select(
+        F.concat(F.lit("/in/B"), F.floor(k / 1024), F.lit(".xlsx")).alias("path"), (k % 1024 + 1).cast("int").alias("r"),
+        F.col("o_orderstatus").alias("sheet"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("cust"),
+        F.col("o_totalprice").cast(MONEY).cast("string").alias("price"), F.date_diff("o_orderdate", F.lit("1899-12-30")).alias("day"),
+    )
+
+    def cell(x: Column, letter: str, inner: Column, attributes: str = "") -> Column:
+        return F.concat(F.lit(f'<c r="{letter}'), x["r"], F.lit(f'"{attributes}>'), inner, F.lit("</c>"))
+
+    def value(c: Column | str) -> Column:
+        return F.concat(F.lit("<v>"), c if isinstance(c, Column) else F.lit(c), F.lit("</v>"))
+
+    def row(x: Column, i: Column) -> Column:
+        formula = F.concat(F.lit("<f>A"), x["r"], F.lit("*1</f>"), value(x["cust"]))
+        text = F.concat(F.lit("<is><t>"), x["sheet"], F.lit(" &amp; </t><t>x</t></is>"))
+        return F.concat(
+            F.lit("<row>"), cell(x, "A", value(x["cust"])), cell(x, "B", value(i), ' t="s"'), cell(x, "C", value(x["price"])),
+            cell(x, "D", value(x["day"]), ' s="1"'), cell(x, "E", value(F.when(x["sheet"] == "O", "1").otherwise("0")), ' t="b"'),
+            cell(x, "F", formula), cell(x, "AA", text, ' t="inlineStr"'), F.lit("</row>"),
+        )
+
+    books = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("r", "sheet", "priority", "cust", "price", "day"))).alias("rows"))
+    lines = F.transform("rows", lambda x, i: F.struct(x["sheet"].alias("sheet"), row(x, i).alias("xml")))
+    made = books.withColumn("lines", lines).withColumn("names", F.array_sort(F.array_distinct(F.transform("rows", lambda x: x["sheet"]))))
+    of_sheet = lambda n: F.array_join(F.transform(F.filter("lines", lambda x: x["sheet"] == n), lambda x: x["xml"]), "")
+    shared = F.array_join(F.transform("rows", lambda x: F.concat(F.lit("<si><t>"), x["priority"], F.lit("</t></si>"))), "")
+    parts = made.select("path", shared.alias("shared"), "names", F.transform("names", of_sheet).alias("bodies"))
+    return parts.mapInPandas(_as_files, "path string, content binary")
+
+
 @query(
     "scan_cells",
-    """select workbook, sheet, r, cast(c as int) as c, case when c = 2 then 'string' else 'number' end as vtype, v, case when c <> 2 then cast(v as double) end as v_num from grid""",
-    ("grid",),
+    """with o as (select *, 'B' || (o_orderkey // 1024) || '.xlsx' as workbook, o_orderstatus as sheet, cast(o_orderkey % 1024 + 1 as int) as r, date_diff('day', date '1899-12-30', cast(o_orderdate as date)) as day from orders),
+ n as (select workbook, sheet, cast(row_number() over (partition by workbook order by sheet) - 1 as int) as sheet_no from (select distinct workbook, sheet from o))
+ select workbook, sheet, sheet_no, r, u.c, u.vtype, u.v, cast(u.num as double) as v_num, case when u.vtype = 'date' then strftime(o_orderdate, '%Y-%m-%d') end as v_date, u.formula
+ from o join n using (workbook, sheet), lateral (values (1, 'number', cast(o_custkey as varchar), cast(o_custkey as double), null), (2, 'string', o_orderpriority, null, null),
+  (3, 'number', cast(cast(o_totalprice as decimal(18,2)) as varchar), cast(cast(o_totalprice as decimal(18,2)) as double), null), (4, 'date', cast(day as varchar), cast(day as double), null),
+  (5, 'bool', case when sheet = 'O' then 'true' else 'false' end, null, null), (6, 'number', cast(o_custkey as varchar), cast(o_custkey as double), 'A' || r || '*1'),
+  (27, 'string', sheet || ' & x', null, null)) u(c, vtype, v, num, formula)""",
 )
 def scan_cells(t: Tables) -> DataFrame:
-    number = F.regexp_like("v", F.lit(r"^[0-9]+(\.[0-9]+)?$"))
-    return t.grid.select(
-        "workbook", "sheet", "r", "c", F.when(number, "number").otherwise("string").alias("vtype"), "v",
-        F.when(number, F.col("v").try_cast("double")).alias("v_num"),
-    )
+    """The orders written as XLSX files and read back by the workbook reader."""
+    cells = cells_of(parse_workbooks(order_books(t)))
+    return cells.withColumn("v_date", F.date_format("v_ts", "yyyy-MM-dd")).drop("v_ts")
 
 
 define(

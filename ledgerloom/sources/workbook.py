@@ -124,9 +124,8 @@ def _batches(name: str, content: bytes) -> Iterator[list[tuple]]:
         yield batch
 
 
-def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
-    """Cells and merges (column `kind`) of every workbook; a file that cannot be read gives one row with `_err`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """Cells and merges (column `kind`) of every workbook (path, content); a file that cannot be read gives one row with `_err`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,7 +137,13 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Data
                 except Exception as error:  # noqa: BLE001 - a bad file is reported, the others go on
                     yield pd.DataFrame([(name, *[None] * (len(_NAMES) - 2), f"{type(error).__name__}: {error}")], columns=_NAMES)
 
-    return files.select(F.url_decode("path").alias("path"), "content").mapInPandas(run, _OUT)
+    return files.select("path", "content").mapInPandas(run, _OUT)
+
+
+def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
+    """`parse_workbooks` of the files under `path`."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return parse_workbooks(files.select(F.url_decode("path").alias("path"), "content"))
 
 
 def cells_of(book: DataFrame) -> DataFrame:
