@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
@@ -334,3 +334,28 @@ def load_rules(t: Tables) -> DataFrame:
         F.when(k % 7 == 0, "n/a").otherwise(F.col("s_acctbal").cast("string")).alias("tol"),
     )
     return region_rules(sheet, ["s_suppkey", "tol"]).withColumn("tolerance", tolerance_of(F.col("tol"))).drop("tol")
+
+
+@query(
+    "extract_rules",
+    """select p_partkey, case when p_partkey % 6 = 0 then '规则' || p_partkey else trim(p_name) end as name, trim(p_brand) as wb_keyword, p_type as sheet_keyword,
+ cast(case p_partkey % 4 when 0 then 1 when 1 then p_size when 2 then 28 else 1 end as int) as row_header_col, case when p_size % 3 = 0 then '1' when p_size % 3 = 1 then p_size || '' else '1,' || p_size end as header_rows,
+ cast(case when p_size % 2 = 0 then p_size else 0 end as int) as row_start, 0 as row_end, 3 as col_start, cast(case when p_size % 2 = 0 then 0 else 8 end as int) as col_end,
+ case when p_partkey % 2 = 0 then '合计' else '' end as skip_keywords, 'T' || p_size as target, '' as dedup, p_partkey % 3 <> 1 as write from part where p_partkey % 5 not in (1, 3)""",
+)
+def extract_rules(t: Tables) -> DataFrame:
+    """The parts as lines of a rule sheet."""
+    from ledgerloom.sources.rules import extract_rules as typed
+
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    pick = lambda values, by: F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), by.cast("int"))
+    sheet = t.part.select(
+        "p_partkey", pick(["是", "否", "1", "false", "Y"], k % 5).alias("enabled"), F.when(k % 6 == 0, " ").otherwise(F.col("p_name")).alias("name"),
+        F.concat(F.lit(" "), "p_brand").alias("wb_keyword"), F.col("p_type").alias("sheet_keyword"),
+        pick(["A", size, "ab", "?"], k % 4).alias("row_header_col"),
+        pick(["x,", size, F.concat(F.lit("1, "), size, F.lit(",b"))], F.col("p_size") % 3).alias("header_rows"),
+        F.when(F.col("p_size") % 2 == 0, size).otherwise("n").alias("row_start"), F.lit("").alias("row_end"), F.lit("C").alias("col_start"),
+        F.when(F.col("p_size") % 2 == 0, "").otherwise("H").alias("col_end"), F.when(k % 2 == 0, "合计").otherwise("").alias("skip_keywords"),
+        F.concat(F.lit("T"), size).alias("target"), F.lit("").alias("dedup"), pick(["", " No ", "y"], k % 3).alias("write"),
+    )
+    return typed(sheet, ["p_partkey"], "p_partkey").withColumn("header_rows", F.array_join("header_rows", ","))

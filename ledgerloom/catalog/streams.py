@@ -31,7 +31,7 @@ def stream_append(t: Tables) -> DataFrame:
     source = _staged(t, events, root)
     target = jobs.subfolder(root, "target")
     stream = jobs.file_stream(t.spark, source, events.schema, files_per_batch=2)
-    jobs.append_stream(stream, target, jobs.subfolder(root, "progress"), ["user_id", "event_type", "day"], "event_id").awaitTermination()
+    jobs.append_stream(stream, target, jobs.subfolder(root, "progress"), ["user_id", "event_type", "day"], "event_id", "day").awaitTermination()
     return t.spark.read.parquet(target).select("user_id", "event_type", "day")
 
 

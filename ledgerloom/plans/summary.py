@@ -12,6 +12,7 @@ from ledgerloom.functions.period import data_date
 from ledgerloom.operators import append, reshape
 from ledgerloom.operators.reshape import ExtractRule
 from ledgerloom.scale import materialized
+from ledgerloom.sources.rules import extract_rules
 from ledgerloom.streaming.jobs import exists
 
 
@@ -31,6 +32,16 @@ def rule_table(cells: DataFrame, merges: DataFrame, rule: ExtractRule, fallback_
     return reshape.wide_table(named, columns)
 
 
+def rules_of(sheet: DataFrame, seq: str) -> list[ExtractRule]:
+    """The rules of a rule sheet in the order of its lines (`seq`), or the default rule where none is enabled.
+
+    A rule sheet is written by hand; each of its lines becomes a job of its own.
+    """
+    found = extract_rules(sheet, [seq], seq).orderBy(seq).drop(seq).collect()
+    rules = [ExtractRule(**r.asDict(), row_header_cols=[r.row_header_col], only_numeric=False) for r in found]
+    return rules or [ExtractRule(header_rows=[1, 2], row_header_col=1, row_header_cols=[1, 2], only_numeric=False)]
+
+
 def append_rule(spark: SparkSession, table: DataFrame, rule: ExtractRule, path: str) -> dict:
     """Appends one rule's rows; returns input, batch and added counts, or why nothing was written."""
     header = [c for c in table.columns if c != "_seq"]

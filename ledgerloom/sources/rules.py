@@ -33,14 +33,15 @@ def region_rules(sheet: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def extract_rules(sheet: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Typed extract rules. A blank `enabled` means disabled; a blank `write` means enabled."""
+def extract_rules(sheet: DataFrame, keep: Sequence[str] = (), seq: str | None = None) -> DataFrame:
+    """Typed extract rules. A blank `enabled` means disabled; a blank `write` means enabled. With `seq`,
+    the line's number in the sheet, a rule without a name is called after it."""
     text = lambda c: strip(F.col(c))
     number = lambda c: F.coalesce(text(c).try_cast("int"), F.lit(0))
     rows = F.transform(F.filter(F.transform(F.split(text("header_rows"), ","), strip), lambda x: F.regexp_like(x, F.lit(r"^\d+$"))), lambda x: x.cast("int"))
     index = column_index(F.col("row_header_col"))
     return sheet.filter(~text("enabled").isin("", "否", "0", "false")).select(
-        *keep, text("name").alias("name"), text("wb_keyword").alias("wb_keyword"), text("sheet_keyword").alias("sheet_keyword"),
+        *keep, (F.when(text("name") == "", F.concat(F.lit("规则"), F.col(seq))).otherwise(text("name")) if seq else text("name")).alias("name"), text("wb_keyword").alias("wb_keyword"), text("sheet_keyword").alias("sheet_keyword"),
         F.when(index == 0, 1).otherwise(index).alias("row_header_col"),
         F.when(F.size(rows) == 0, F.array(F.lit(1))).otherwise(rows).alias("header_rows"),
         number("row_start").alias("row_start"), number("row_end").alias("row_end"),

@@ -38,21 +38,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def append_stream(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: str) -> StreamingQuery:
-    """Adds the rows whose key is new; every batch owns the partition `batch_id` of the target."""
+def append_stream(
+    stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: str, within: str | None = None
+) -> StreamingQuery:
+    """Adds the rows whose key is new; every batch owns the partition `batch_id` of the target.
+
+    `within` names a key column with few values per batch, such as the day: the target is partitioned by
+    it first, and a batch reads the keys of its own values only. Without it, a batch reads all keys.
+    """
+    folders = [*([within] if within else []), "batch_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if exists(spark, target):
-            known = spark.read.parquet(target).filter(F.col("batch_id") != batch_id).select(*keys)
+            known = spark.read.schema(_with_batch(batch)).parquet(target).filter(F.col("batch_id") != batch_id).select(*keys)
+            if within:
+                known = known.join(batch.select(within).distinct(), within, "left_semi").select(*keys)
         else:
             known = batch.select(*keys).limit(0)
-        added = new_rows(batch, known, keys, F.col(order)).withColumn("batch_id", F.lit(batch_id))
-        added.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)
+        added = new_rows(batch, known, keys, F.col(order)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        added.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(target)
 
     return _available_now(stream, write, checkpoint)
 
 
+def _with_batch(batch: DataFrame) -> StructType:
+    """The target's columns with the batch's types; partition values are text in the paths."""
+    return StructType(batch.schema.fields).add("batch_id", "long")
+
+
 def upsert_partitions(batch: DataFrame, target: str, keys: Sequence[str], order: Sequence[str], partition: str) -> None:
     """Latest row per key, rewriting only the partitions the batch touches."""
     spark = batch.sparkSession

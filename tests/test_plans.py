@@ -168,3 +168,26 @@ def test_append_stream_is_replay_safe(spark, tables, tmp_path):
         jobs.append_stream(stream(), str(tmp_path / "out"), str(tmp_path / checkpoint), keys, "event_id").awaitTermination()
         got = spark.read.parquet(str(tmp_path / "out"))
         assert got.count() == events.select(*keys).distinct().count() == got.select(*keys).distinct().count()
+
+
+def test_rules_of_a_sheet(spark):
+    names = ["enabled", "name", "wb_keyword", "sheet_keyword", "row_header_col", "header_rows", "row_start", "row_end", "col_start", "col_end", "skip_keywords", "target", "dedup", "write"]
+    schema = "seq int, " + ", ".join(f"{n} string" for n in names)
+    lines = [(2, "1", "", "", "", "B", "1", "", "", "", "", "", "t2", "", ""), (1, "是", "first", "", "", "", "2,3", "5", "", "D", "F", "x", "t1", "", "no"), (3, "否", "off", *[""] * 12)]
+    first, second = summary.rules_of(spark.createDataFrame(lines, schema), "seq")
+    assert (first.name, first.header_rows, first.row_start, first.col_start, first.col_end, first.write) == ("first", [2, 3], 5, 4, 6, False)
+    assert (second.name, second.row_header_col, second.row_header_cols, second.target, second.write) == ("规则2", 2, [2], "t2", True)
+    (default,) = summary.rules_of(spark.createDataFrame(lines[2:], schema), "seq")
+    assert (default.header_rows, default.row_start, default.col_start, default.col_end) == ([1, 2], 3, 3, 8)
+
+
+def test_append_within_a_day_reads_that_day_only(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    schema = "id long, day date, k string"
+    for n, lines in enumerate(["(1, date'2024-01-01', 'a'), (2, date'2024-01-02', 'b')", "(3, date'2024-01-01', 'a'), (4, date'2024-01-01', 'c')"]):
+        spark.sql(f"select cast(id as long) id, day, k from values {lines} as t(id, day, k)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.range(0).selectExpr("id", "cast(null as date) day", "'' k").schema)
+        jobs.append_stream(stream, f"{tmp_path}/out", f"{tmp_path}/progress", ["day", "k"], "id", "day").awaitTermination()
+    got = spark.read.schema(f"{schema}, batch_id long").parquet(f"{tmp_path}/out")
+    assert sorted((r.id, r.batch_id) for r in got.collect()) == [(1, 0), (2, 0), (4, 1)]
