@@ -42,9 +42,8 @@ def stored_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store(merged: DataFrame, path: str) -> None:
-    """Rewrites the touched period partitions only; the frame is written aside first because it reads them."""
-    staged = materialized(merged.select(*SERIES, "period"))
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+    """Rewrites the touched period partitions only. `merged` must be a written table, not a plan that reads them."""
+    merged.select(*SERIES, "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
 
 
 def apply_backfill(
