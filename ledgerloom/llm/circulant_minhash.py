@@ -1,9 +1,9 @@
 """Near-duplicate classes by circulant MinHash.
 
 One permutation scatters the shingles over the bins; a second one, shifted round by k, orders the bins
-for coordinate k. So all coordinates of a shingle are one stretch of a single table. Rows of five
-coordinates make 30 bands; documents that share a band are candidates, and every link is confirmed
-on the full shingle sets.
+for coordinate k. So all coordinates of a shingle are one stretch of a single table. Rows of a few
+coordinates make the bands; documents that share a band are candidates, and every link is confirmed
+on the full shingle sets. A Limit says from which Jaccard percentage on texts are linked, and its bands.
 
 Candidates stay linear in the number of documents. Texts with equal sets are one class. A small bucket
 gives its pairs (at most SMALL per member). A large one links its members to one central leader only;
@@ -21,6 +21,8 @@ component (null if there is none); an empty table gives an empty result; only do
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -32,17 +34,42 @@ from ledgerloom.llm.common import WordHashes, as_bytes, connected, map_slices, m
 from ledgerloom.scale import materialized
 
 SHINGLE = 5
-LINK_PCT = 85
-BANDS, ROWS = 30, 5
 COORDINATES = 256
 BINS = 1 << 22
-# Pairs whose estimate from 256 coordinates lies this far below the limit are not verified: at the
-# limit the estimate has a deviation of 0.022, so this is over five deviations.
-LEAST_AGREEMENT = 0.73
 SMALL = 16
 
 _ODD = np.random.default_rng(20_2).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_ODD = np.random.default_rng(20_3).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_ODD = np.random.default_rng(20_3).integers(0, 2**63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@dataclass(frozen=True)
+class Limit:
+    """Texts are linked from `pct` on. Sets of sizes n, m with symmetric difference d are linked if
+    apart * d <= whole * (n + m), in lowest terms."""
+
+    pct: int
+    bands: int
+    rows: int
+
+    @property
+    def apart(self) -> int:
+        return (100 + self.pct) // math.gcd(100 + self.pct, 100 - self.pct)
+
+    @property
+    def whole(self) -> int:
+        return (100 - self.pct) // math.gcd(100 + self.pct, 100 - self.pct)
+
+    @property
+    def least_agreement(self) -> float:
+        """Pairs whose estimate from all coordinates lies below are not verified: it is over five
+        deviations of the estimate below the limit."""
+        part = self.pct / 100
+        return math.floor(100 * (part - 5.35 * math.sqrt(part * (1 - part) / COORDINATES))) / 100
+
+
+# A pair right at either limit shares no band with a probability of 2e-8.
+AT_85 = Limit(85, 30, 5)
+AT_80 = Limit(80, 34, 4)
 
 
 @cache
@@ -74,16 +101,16 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
     return low
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    return mixed((rows * _BAND_ODD).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_keys(sig: np.ndarray, limit: Limit = AT_85) -> np.ndarray:
+    rows = sig[: limit.bands * limit.rows].astype(np.uint64).reshape(limit.bands, limit.rows)
+    return mixed((rows * _BAND_ODD[: limit.rows]).sum(axis=1) + np.arange(limit.bands, dtype=np.uint64)).view(np.int64)
 
 
 def class_of(shingle_set: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest() if len(shingle_set) else None
 
 
-def _described(hashes: WordHashes):
+def _described(hashes: WordHashes, limit: Limit):
     def one(batch: pa.RecordBatch) -> dict:
         n, cls, bands, low = [], [], [], []
         for text in as_bytes(batch):
@@ -91,7 +118,7 @@ def _described(hashes: WordHashes):
             n.append(len(s))
             cls.append(class_of(s))
             sig = signature(s) if len(s) else None
-            bands.append(band_keys(sig).tolist() if len(s) else None)
+            bands.append(band_keys(sig, limit).tolist() if len(s) else None)
             low.append((sig & 0xFF).astype(np.uint8).tobytes() if len(s) else None)
         return {
             "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": pa.array(n, pa.int64()),
@@ -113,23 +140,26 @@ def _sets(hashes: WordHashes):
     return one
 
 
-def _agreeing(batch: pa.RecordBatch) -> dict:
-    left, right = (np.frombuffer(b"".join(as_bytes(batch, c)), np.uint8).reshape(-1, COORDINATES) for c in ("low_a", "low_b"))
-    keep = pa.array((left == right).mean(axis=1) >= LEAST_AGREEMENT)
-    return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+def _agreeing(least: float):
+    def one(batch: pa.RecordBatch) -> dict:
+        left, right = (np.frombuffer(b"".join(as_bytes(batch, c)), np.uint8).reshape(-1, COORDINATES) for c in ("low_a", "low_b"))
+        keep = pa.array((left == right).mean(axis=1) >= least)
+        return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+    return one
 
 
-def _is_link(inter: Column, size_a: Column, size_b: Column) -> Column:
-    return 100 * inter >= LINK_PCT * (size_a + size_b - inter)
+def _is_link(inter: Column, size_a: Column, size_b: Column, limit: Limit) -> Column:
+    return 100 * inter >= limit.pct * (size_a + size_b - inter)
 
 
-def _small_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def _small_pairs(shared: DataFrame, classes: DataFrame, limit: Limit) -> DataFrame:
     """Distinct pairs (a < b) of small buckets whose signatures agree enough."""
     groups = shared.filter(F.col("m") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("g"))
     firsts = groups.select("g", F.posexplode("g").alias("i", "a"))
     pairs = firsts.select("a", F.explode(F.slice("g", F.col("i") + 2, SMALL)).alias("b")).distinct()
     a, b = (classes.select(F.col("cls").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab")
-    return map_slices(pairs.join(a, "a").join(b, "b").select("a", "b", "low_a", "low_b"), _agreeing, "a binary, b binary", "low_a")
+    return map_slices(pairs.join(a, "a").join(b, "b").select("a", "b", "low_a", "low_b"), _agreeing(limit.least_agreement), "a binary, b binary", "low_a")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -142,14 +172,14 @@ def _stars(shared: DataFrame) -> DataFrame:
     return members.select("key", "cls").join(leaders, "key").filter("cls <> leader").select("leader", "cls").distinct()
 
 
-def _links_beside(star: DataFrame) -> DataFrame:
+def _links_beside(star: DataFrame, limit: Limit) -> DataFrame:
     """Links between members of a star of which at least one is not linked to the leader.
 
-    All in whole numbers: sets of sizes n, m with symmetric difference d are linked if 185 d <= 15 (n + m).
-    A member r that is not linked to the leader has 185 p >= 15 (|r| + |leader|) + 5. A partner a of r
-    overlaps it in o = (p + q - d) / 2 elements, so
-    - r needs o >= p - d, and d is at most 15 (|r| + |r| / 0.85) / 185;
-    - a needs 370 o >= 5 + 185 q + 15 (|leader| - |a|).
+    All in whole numbers: with the limit's A = apart and W = whole, sets of sizes n, m with symmetric
+    difference d are linked if A d <= W (n + m). A member r that is not linked to the leader has
+    A p >= W (|r| + |leader|) + 1. A partner a of r overlaps it in o = (p + q - d) / 2 elements, so
+    - r needs o >= p - d, and d is at most W (|r| + 100 |r| / pct) / A;
+    - a needs 2 A o >= 1 + A q + W (|leader| - |a|).
     Only elements that some other member also has count towards o. Pairs must meet in the first
     (elements - o + 1) of either side, taken from the rarest; they are verified on the whole differences.
     """
@@ -160,9 +190,10 @@ def _links_beside(star: DataFrame) -> DataFrame:
     common = elements.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     held = elements.join(common, ["leader", "e"])
     counts = held.groupBy("leader", "cls").agg(F.count(F.lit(1)).alias("nn"))
-    most_apart = F.floor(15 * (F.col("n") + F.floor(F.col("n") * 100 / LINK_PCT)) / 185)
+    apart, whole = limit.apart, limit.whole
+    most_apart = F.floor(whole * (F.col("n") + F.floor(F.col("n") * 100 / limit.pct)) / apart)
     as_probe = F.greatest(F.lit(1), F.col("p") - most_apart)
-    as_partner = F.greatest(F.lit(1), F.ceil((5 + 185 * F.col("p") + 15 * (F.col("n_leader") - F.col("n"))) / 370))
+    as_partner = F.greatest(F.lit(1), F.ceil((1 + apart * F.col("p") + whole * (F.col("n_leader") - F.col("n"))) / (2 * apart)))
     able = materialized(
         star.select("leader", "cls", "n", "n_leader", "linked", "p").join(counts, ["leader", "cls"])
         .withColumn("probe_take", F.when(~F.col("linked"), F.col("nn") - as_probe + 1))
@@ -180,12 +211,12 @@ def _links_beside(star: DataFrame) -> DataFrame:
         return star.select("leader", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("delta").alias(f"d_{x}"))
 
     verified = met.join(side("a"), ["leader", "a"]).join(side("b"), ["leader", "b"])
-    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    return verified.filter(185 * apart <= 15 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    between = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    return verified.filter(apart * between <= whole * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def near_links(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes; with the links inside classes they have all components."""
+def near_links(docs: DataFrame, described: DataFrame, limit: Limit = AT_85) -> DataFrame:
+    """Confirmed links (a, b) between classes, `described` by the same limit; with the links inside classes they have all components."""
     known = described.filter("cls is not null")
     classes = materialized(
         known.groupBy("cls").agg(
@@ -196,7 +227,7 @@ def near_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     keys = classes.select("cls", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = materialized(keys.join(sizes, "key"))
-    pairs, stars = materialized(_small_pairs(shared, classes)), materialized(_stars(shared))
+    pairs, stars = materialized(_small_pairs(shared, classes, limit)), materialized(_stars(shared))
     needed = (
         pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(stars.select("leader")).union(stars.select("cls")).distinct()
     )
@@ -208,29 +239,29 @@ def near_links(docs: DataFrame, described: DataFrame) -> DataFrame:
         return sets.select(F.col("cls").alias(name), F.col("items").alias(f"s_{name}"))
 
     inter = F.size(F.array_intersect("s_a", "s_b"))
-    linked = pairs.join(side("a"), "a").join(side("b"), "b").filter(_is_link(inter, F.size("s_a"), F.size("s_b"))).select("a", "b")
+    linked = pairs.join(side("a"), "a").join(side("b"), "b").filter(_is_link(inter, F.size("s_a"), F.size("s_b"), limit)).select("a", "b")
     met = stars.join(side("leader"), "leader").join(side("cls"), "cls").select(
         "leader", "cls", F.size("s_leader").alias("n_leader"), F.size("s_cls").alias("n"),
         F.array_except("s_cls", "s_leader").alias("added"), F.array_except("s_leader", "s_cls").alias("removed"),
     )
     removed = F.transform("removed", lambda x: F.bitwise_not(x))
     star = materialized(
-        met.withColumn("linked", _is_link(F.col("n") - F.size("added"), F.col("n"), F.col("n_leader")))
+        met.withColumn("linked", _is_link(F.col("n") - F.size("added"), F.col("n"), F.col("n_leader"), limit))
         .select("leader", "cls", "n_leader", "n", "linked", F.concat("added", removed).alias("delta"))
         .withColumn("p", F.size("delta"))
         .dropDuplicates(["leader", "cls"])
     )
-    return linked.union(star.filter("linked").select("leader", "cls")).union(_links_beside(star))
+    return linked.union(star.filter("linked").select("leader", "cls")).union(_links_beside(star, limit))
 
 
-def _components(docs: DataFrame) -> DataFrame:
+def _components(docs: DataFrame, limit: Limit) -> DataFrame:
     described = materialized(
         map_slices(
-            docs, _described(WordHashes()),
+            docs, _described(WordHashes(), limit),
             "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, low binary",
         )
     )
-    labels = connected(near_links(docs, described), "a", "b")
+    labels = connected(near_links(docs, described, limit), "a", "b")
     per_class = described.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(
         labels.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("label", F.coalesce("label", "cls"))
@@ -250,15 +281,15 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("text_hash"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: Limit = AT_85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    return _components(_picked(docs)).drop("text_hash")
+    return _components(_picked(docs), limit).drop("text_hash")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, limit: Limit = AT_85) -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest id. Of rows that repeat
     id and text one stays."""
-    found = materialized(_components(_picked(docs)))
+    found = materialized(_components(_picked(docs), limit))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
 
     def listed(rows: DataFrame) -> Column:

@@ -240,3 +240,63 @@ def test_pipeline(spark, tmp_path):
             where.setdefault(x, []).append(d)
     common = Counter((a, b) for ds in where.values() for a in ds for b in ds if a < b)
     assert not [1 for (a, b), n in common.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def test_pipeline_drops_near_duplicates_from_80(spark, tmp_path):
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    fit = language_mix.keep_identified(host_rules.keep_good(plain)).orderBy("doc_id")
+    good = [r for r in fit.collect() if 60 < len(set(r.text.split())) and len(r.text) < 4000]
+    texts: dict = {}
+    for r in good[:24]:
+        w = r.text.split()
+        texts[10 * r.doc_id] = r.text
+        for n in range(1, 6):  # copies with more and more words replaced
+            changed = list(w)
+            for i in range(n):
+                changed[len(w) * (2 * i + 1) // (2 * n)] = w[(len(w) * (2 * i + 1) // (2 * n) + 7) % len(w)] + "n"
+            texts[10 * r.doc_id + n] = " ".join(changed)
+    lang = {r.doc_id: r.lang for r in plain.collect()}
+    rows = [(d, t, lang[d // 10], f"s{d % 3}", len(t)) for d, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zz1 zz2 zz3 zz4 zz5 zz6 zz7 zz8 zz9 zz10")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sets, up = {d: shingle_set(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    between = 0
+    for a in texts:
+        for b in texts:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and 100 * both >= 80 * either:
+                between += 100 * both < 85 * either
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    assert between > 5
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {d for d in texts if root(d) == d}
+
+
+def test_near_duplicates_at_80(docs, rows):
+    sets, up = [shingle_set(r[1]) for r in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    least: dict = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(i)] = min(least.get(root(i), r[0]), r[0])
+    want = Counter((r[0], least.get(root(i))) for i, r in enumerate(rows))
+    got = circulant_minhash.near_duplicates(docs, circulant_minhash.AT_80).select("doc_id", "component_id").collect()
+    assert Counter(tuple(x) for x in got) == want
