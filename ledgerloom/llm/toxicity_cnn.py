@@ -2,9 +2,11 @@
 
 A word is the sum of hashed embeddings of itself and its beginnings. Filters of one to three words slide
 over the whole text, the largest response of each filter is pooled, and a logistic layer scores them. The
-network is trained in numpy on a bounded sample of labelled rows (SAMPLE per label). Thresholds are
-calibrated on a part of the sample for each language, where the language is guessed from the words alone,
-and the score is shifted so that 0.5 is the threshold.
+network is trained in numpy on a bounded sample of labelled rows (SAMPLE per label). Every document is
+scored once; thresholds then follow from counts of all labelled rows outside the held-out fold by score, for
+each language, where the language is guessed from the words alone. Rows that the network was fitted on
+score too well: they count for the class rate, but the scores of their class are taken from the other rows.
+The score is shifted so that 0.5 is the threshold.
 
 Defined cases: empty and null texts are one empty word and get the network's score for it; a null id
 counts as the empty text for the folds; rows without a label are not learned from, of repeated labels of
@@ -20,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_bytes, fold, map_slices
+from ledgerloom.scale import materialized
 
 SAMPLE = 1500
 BUCKETS, DIM = 1 << 17, 12
@@ -32,6 +35,8 @@ BEGINNINGS = (3, 4, 5, 6)
 LEAST_DOCS = 4
 EPOCHS, RATE = 5, 0.1
 LEAST_POSITIVES = 15
+# Logits are counted in bins of 1 / BINS up to FARTHEST on either side of 0.
+BINS, FARTHEST = 32, 100
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -43,7 +48,7 @@ class Network:
     out: np.ndarray
     out_bias: float
     lang_words: np.ndarray  # (BUCKETS, languages), log-likelihoods
-    shifts: np.ndarray  # logit of the threshold of each language
+    fitted: list[int]  # ids of the rows it was trained on, at most 2 * SAMPLE distinct ones
 
 
 def features(word: bytes) -> list[int]:
@@ -127,7 +132,7 @@ def _train(texts: list[bytes | None], labels: np.ndarray) -> Network:
                         row_squares[slots] += float(pg @ pg)
                         np.subtract.at(embedding, slots, RATE * pg / np.sqrt(row_squares[slots])[:, None])
             embedding[BUCKETS] = 0
-    return Network(embedding[:BUCKETS], filters, bias, out, out_bias, np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+    return Network(embedding[:BUCKETS], filters, bias, out, out_bias, np.zeros((BUCKETS, 1), np.float32), [])
 
 
 def _scores(net: Network, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,29 +157,55 @@ def _scores(net: Network, texts: list[bytes | None]) -> tuple[np.ndarray, np.nda
     return logits.astype(float), np.add.reduceat(evidence[words[:total]], starts, axis=0).argmax(axis=1)
 
 
-def _calibrate(net: Network, texts: list, labels: np.ndarray) -> None:
-    """The threshold of best F1 for each guessed language; few positives take the common one."""
-    logits, lang = _scores(net, texts)
+def score_bin(logit: Column) -> Column:
+    return F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), logit)) * BINS).cast("int")
 
-    def best(x: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-x, kind="stable")
-        hit, taken = np.cumsum(y[order]), np.arange(1, len(y) + 1)
-        f1 = 2 * hit / (taken + y.sum())
-        k = int(f1.argmax())
-        return float((x[order[k]] + x[order[min(k + 1, len(y) - 1)]]) / 2)
 
-    common = best(logits, labels)
-    net.shifts = np.full(net.lang_words.shape[1], common)
-    for i in range(len(net.shifts)):
-        mine = lang == i
-        if labels[mine].sum() >= LEAST_POSITIVES and (labels[mine] == 0).sum() >= LEAST_POSITIVES:
-            net.shifts[i] = best(logits[mine], labels[mine])
+def counted(scored: DataFrame, labels: DataFrame, fitted: list[int]) -> list:
+    """Labelled rows outside the held-out fold by language, score bin, label and whether the network was fitted
+    on them. What reaches the driver is bounded by the bins, not by the rows."""
+    spark = scored.sparkSession
+    known = spark.createDataFrame([(d,) for d in fitted], "doc_id long").withColumn("_fitted", F.lit(True))
+    judged = _usable(labels).join(F.broadcast(known), "doc_id", "left")  # at most 2 * SAMPLE rows
+    return scored.join(judged, "doc_id").groupBy(
+        "language", score_bin(F.col("logit")).alias("bin"), "toxic", F.coalesce("_fitted", F.lit(False)).alias("fitted")
+    ).agg(F.count(F.lit(1)).alias("n")).collect()
+
+
+def thresholds(counts: list, languages: int) -> np.ndarray:
+    """The logit of best F1 for each language at the class rate of all its rows; languages in which few
+    rows of a label were not fitted on take the common one.
+
+    The rows of a label weigh as much as there are of it, fitted on or not, and are spread over the bins
+    like those that were not fitted on (like all of them, if there is no other).
+    """
+    at = np.zeros((languages, 2, 2, 2 * FARTHEST * BINS + 1))
+    for r in counts:
+        at[r.language, r.toxic, int(r.fitted), r.bin + FARTHEST * BINS] += r.n
+
+    def best(x: np.ndarray) -> float:
+        new, total = x[:, 0].sum(axis=1, keepdims=True), x.sum(axis=(1, 2))[:, None]
+        rows = np.where(new > 0, x[:, 0] * (total / np.maximum(new, 1)), x[:, 1])
+        held = np.flatnonzero(rows.sum(axis=0))[::-1]
+        hit, taken = np.cumsum(rows[1, held]), np.cumsum(rows[:, held].sum(axis=0))
+        k = int((2 * hit / (taken + hit[-1])).argmax())
+        next_top = held[k + 1] + 1 if k + 1 < len(held) else held[k]
+        return (held[k] + next_top) / 2 / BINS - FARTHEST
+
+    if not at.any():
+        return np.zeros(languages)
+    common = best(at.sum(axis=0))
+    return np.array([best(x) if x[:, 0].sum(axis=1).min() >= LEAST_POSITIVES else common for x in at])
+
+
+def _usable(labels: DataFrame) -> DataFrame:
+    return labels.filter((fold(5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """Trains on at most SAMPLE rows of either label outside the held-out fold, taken in the order of a hash."""
-    usable = labels.filter((fold(5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = None
+    """Trains on at most SAMPLE rows of either label outside the held-out fold, taken in the order of a hash;
+    every fifth of them is left out, so that small tables keep rows of both labels to set thresholds by."""
+    usable, picked = _usable(labels), None
     for y in (0, 1):
         part = usable.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(SAMPLE)
         picked = part if picked is None else picked.union(part)
@@ -193,20 +224,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
             words = np.array([zlib.crc32(_EDGES.sub("", w.decode("utf-8", "replace").lower()).encode()) % BUCKETS for w in t.split()], np.int64)
             np.add.at(counts, (words, names.index(x)), 1)
     net.lang_words = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    _calibrate(net, [t for t, c in zip(texts, check) if c], y[check])
+    net.fitted = sorted({d for d, c in zip(rows.column("doc_id").to_pylist(), check) if not c})
     return net
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     net = learn(docs, labels)
-
-    def one(batch: pa.RecordBatch) -> dict:
-        if net is None:
-            return {"doc_id": batch.column("doc_id"), "score": np.zeros(batch.num_rows)}
-        logits, lang = _scores(net, as_bytes(batch))
-        return {"doc_id": batch.column("doc_id"), "score": _sigmoid(logits - net.shifts[lang])}
-
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = map_slices(picked, one, "doc_id long, score double")
+    if net is None:
+        scored = picked.select("doc_id", F.lit(0.0).alias("score"))
+    else:
+
+        def one(batch: pa.RecordBatch) -> dict:
+            logits, lang = _scores(net, as_bytes(batch))
+            return {"doc_id": batch.column("doc_id"), "logit": logits, "language": lang.astype(np.int32)}
+
+        found = materialized(map_slices(picked, one, "doc_id long, logit double, language int"))
+        shifts = thresholds(counted(found, labels, net.fitted), net.lang_words.shape[1])
+        shift = F.element_at(F.array(*[F.lit(float(x)) for x in shifts]), F.col("language") + 1)
+        away = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit") - shift))
+        scored = found.select("doc_id", (1 / (1 + F.exp(-away))).alias("score"))
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

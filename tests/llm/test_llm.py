@@ -300,3 +300,36 @@ def test_near_duplicates_at_80(docs, rows):
     want = Counter((r[0], least.get(root(i))) for i, r in enumerate(rows))
     got = circulant_minhash.near_duplicates(docs, circulant_minhash.AT_80).select("doc_id", "component_id").collect()
     assert Counter(tuple(x) for x in got) == want
+
+
+def test_toxicity_threshold_at_the_class_rate(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "SAMPLE", 100)
+    rng, rows, labels = np.random.default_rng(3), [], []
+    for i in range(4200):
+        toxic = int(i % 21 == 0)
+        text = [f"w{x}" for x in rng.integers(0, 30, 12)]
+        if toxic or i % 10 == 1:
+            text[3] = "bad"
+        if toxic and i % 2:
+            text[7] = "worse"
+        rows.append((i, " ".join(text), "en"))
+        labels.append((i, 1, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marked = {r[0]: ("bad" in r[1].split(), "worse" in r[1].split()) for r in rows}
+    got = toxicity_cnn.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    hit = Counter((marked[r.doc_id], r.predicted) for r in got)
+    # Two clean rows have "bad" for each toxic one: only "worse" tells at the natural rate.
+    assert hit[((True, True), 1)] > 90 and hit[((True, False), 1)] < 10 and hit[((False, False), 1)] == 0
+
+
+def test_toxicity_thresholds_from_counts():
+    from pyspark.sql import Row
+
+    def row(language, logit, toxic, fitted, n):
+        return Row(language=language, bin=int(logit * toxicity_cnn.BINS), toxic=toxic, fitted=fitted, n=n)
+
+    counts = [row(0, 2, 1, False, 20), row(0, 9, 1, True, 80), row(0, 2, 0, False, 30), row(0, -2, 0, False, 900), row(1, 5, 1, False, 3)]
+    first, second = toxicity_cnn.thresholds(counts, 2)
+    assert -2 < first < 2  # 100 toxic rows that score like the 20, against 30 clean ones
+    assert first == second
+    assert 2 < toxicity_cnn.thresholds([*counts, row(0, 2, 0, False, 900), row(0, 4, 1, False, 20)], 1 + 1)[0] < 4
