@@ -29,6 +29,22 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(id_text(doc_id).cast("binary")) % modulus
 
 
+def text_hash() -> Column:
+    """64 bits of the row's own text, to find the row again by id and text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` that `gone` does not list, with all their columns. `gone` has text_hash and the
+    columns of `docs` that tell rows apart besides it; nulls equal nulls."""
+    own = [c for c in gone.columns if c != "text_hash"]
+    listed = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in gone.columns]).distinct()
+    same = F.xxhash64(docs["text"].cast("string")) == listed["_gone_text_hash"]
+    for c in own:
+        same = same & docs[c].eqNullSafe(listed[f"_gone_{c}"])
+    return docs.join(listed, same, "left_anti")
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that `column` has about SLICE_BYTES in each; one row is never cut."""
     for batch in batches:

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, map_slices
+from ledgerloom.llm.common import as_bytes, map_slices, text_hash, without
 from ledgerloom.scale import materialized
 
 SPACES = b"\t\n\x0b\x0c\r "
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-MEASURES = "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+MEASURES = "doc_id long, source string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 @dataclass(frozen=True)
@@ -91,14 +91,14 @@ def _measure(batch: pa.RecordBatch) -> dict:
     rows = [measured_text(t) for t in as_bytes(batch)]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     columns = dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
-    return {"doc_id": batch.column("doc_id"), "source": batch.column("source")} | {
+    return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "text_hash": batch.column("text_hash")} | {
         n: pa.array(columns[n], pa.int64()) for n in names
     }
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the five counts of each row's whole text."""
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    """doc_id, source, text_hash and the five counts of each row's whole text."""
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     return map_slices(picked, _measure, MEASURES)
 
 
@@ -125,8 +125,8 @@ def host_rates(measured: DataFrame, rules: HostRules) -> DataFrame:
     return hosts.select("source", "n", *shrunk)
 
 
-def host_quality(docs: DataFrame, rules: HostRules | None = None) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, host_failed and kept."""
+def _verdicts(docs: DataFrame, rules: HostRules | None) -> DataFrame:
+    """Per row: what was measured, base_failed, host_failed and kept."""
     rules = rules or HostRules()
     measured = materialized(measures(docs))
     rates = host_rates(measured, rules)
@@ -138,15 +138,18 @@ def host_quality(docs: DataFrame, rules: HostRules | None = None) -> DataFrame:
         measured.join(rejected, "source", "left")
         .withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
         .withColumn("base_failed", base)
-        .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed",
-            (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"),
-        )
+        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+    )
+
+
+def host_quality(docs: DataFrame, rules: HostRules | None = None) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, host_failed and kept."""
+    return _verdicts(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept"
     )
 
 
 def keep_good(docs: DataFrame, rules: HostRules | None = None) -> DataFrame:
-    """The rows that base rules and host verdicts accept, with all their columns. Rows that share an
-    id and of which one is rejected all go; rows without an id go when any of them is rejected."""
-    dropped = host_quality(docs, rules).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    """The rows that base rules and host verdicts accept, with all their columns. Each row is judged by its
+    own text and host, also where rows share an id or have none."""
+    return without(docs, _verdicts(docs, rules).filter(~F.col("kept")).select("doc_id", "source", "text_hash"))

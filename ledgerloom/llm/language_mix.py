@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import fold, map_slices, sliced
+from ledgerloom.llm.common import fold, map_slices, sliced, text_hash, without
 
 BUCKETS = 1 << 16
 ROUNDS = 10
@@ -117,7 +117,7 @@ def proportions(texts: list[str], model: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
-    """Per row: doc_id, lang_pred, score (share of that language), languages (the selected set)."""
+    """Per row: doc_id, text_hash, lang_pred, score (share of that language), languages (the selected set)."""
 
     def one(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
@@ -129,27 +129,26 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
                 lang[i], score[i] = names[int(row.argmax())], min(1.0, float(row.max()))
                 chosen[i] = [names[j] for j in np.flatnonzero(row > 0)]
         return {
-            "doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": score,
+            "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "lang_pred": pa.array(lang, pa.string()), "score": score,
             "languages": pa.array(chosen, pa.list_(pa.string())),
         }
 
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_slices(picked, one, "doc_id long, lang_pred string, score double, languages array<string>")
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
+    return map_slices(picked, one, "doc_id long, text_hash long, lang_pred string, score double, languages array<string>")
 
 
 def language_mixture(docs: DataFrame) -> DataFrame:
     """Learns from the rows outside the held-out fold and predicts for every row."""
     names, model = learn(docs.filter((fold(3) != 1) & F.col("lang").isNotNull()))
-    return predict(docs, names, model).withColumn("held_out", fold(3) == 1)
+    return predict(docs, names, model).drop("text_hash").withColumn("held_out", fold(3) == 1)
 
 
 def keep_identified(docs: DataFrame, least_share: float = 0.4) -> DataFrame:
     """The rows of which one language has at least `least_share`, with all their columns. Where no
-    language can be learned, there is no verdict and all rows stay. Rows that share an id (or have
-    none) go together."""
+    language can be learned, there is no verdict and all rows stay. Each row is judged by its own text,
+    also where rows share an id or have none."""
     names, model = learn(docs.filter((fold(3) != 1) & F.col("lang").isNotNull()))
     if not names:
         return docs
     gone = predict(docs, names, model).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_share))
-    gone = gone.select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_dropped"]), "left_anti")
+    return without(docs, gone.select("doc_id", "text_hash"))

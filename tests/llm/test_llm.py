@@ -333,3 +333,16 @@ def test_toxicity_thresholds_from_counts():
     assert -2 < first < 2  # 100 toxic rows that score like the 20, against 30 clean ones
     assert first == second
     assert 2 < toxicity_cnn.thresholds([*counts, row(0, 2, 0, False, 900), row(0, 4, 1, False, 20)], 1 + 1)[0] < 4
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    long = [r for r in table.filter("lang is not null and n_chars between 600 and 3000").orderBy("doc_id").limit(40).collect()]
+    rows = [(None, r.text, r.lang, r.source) for r in long] + [(None, "too short", "en", long[0].source), (7, long[0].text, "en", None), (7, "short", "en", None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r[1]: host_rules.measured_text((r[1] or "").encode()) for r in rows}
+    want = Counter((r[0], r[1]) for r in rows if judged[r[1]][0] >= 20 and 100 * judged[r[1]][4] <= 30 * judged[r[1]][0])
+    assert sum(want.values()) > 30
+    assert Counter((r.doc_id, r.text) for r in host_rules.keep_good(docs).collect()) == want
+    mixed = spark.createDataFrame([(None, "123 456", None), (7, "12", None), (7, long[0].text, long[0].lang), (None, long[1].text, long[1].lang)] + [(100 + i, r.text, r.lang) for i, r in enumerate(long)], "doc_id long, text string, lang string")
+    assert Counter((r.doc_id, r.text) for r in language_mix.keep_identified(mixed).collect()) == Counter((r.doc_id, r.text) for r in mixed.collect() if r.text not in ("12", "123 456"))
