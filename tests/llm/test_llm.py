@@ -346,3 +346,19 @@ def test_rows_of_one_id_are_judged_each(spark):
     assert Counter((r.doc_id, r.text) for r in host_rules.keep_good(docs).collect()) == want
     mixed = spark.createDataFrame([(None, "123 456", None), (7, "12", None), (7, long[0].text, long[0].lang), (None, long[1].text, long[1].lang)] + [(100 + i, r.text, r.lang) for i, r in enumerate(long)], "doc_id long, text string, lang string")
     assert Counter((r.doc_id, r.text) for r in language_mix.keep_identified(mixed).collect()) == Counter((r.doc_id, r.text) for r in mixed.collect() if r.text not in ("12", "123 456"))
+
+
+def test_all_languages_of_a_text(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null")
+    names, model = language_mix.learn(table)
+    found: dict = {x: [] for x in names}
+    for r in table.orderBy("doc_id").collect():
+        found[r.lang] += r.text.split()
+
+    def text(**n):
+        return " ".join(w for x, k in n.items() for w in np.random.default_rng(1).choice(found[x], k))
+
+    share = language_mix.proportions([text(en=740, fr=420, de=420, es=420), text(en=19600, fr=400), text(fr=900)], model)
+    assert (share[0] > 0.15).all() and share[0].max() < 0.4
+    assert 0.01 < share[1][names.index("fr")] < 0.03 and share[1][names.index("en")] < 1
+    assert share[2][names.index("fr")] == 1
