@@ -183,9 +183,8 @@ def _links_beside(star: DataFrame, limit: Limit) -> DataFrame:
     Only elements that some other member also has count towards o. Pairs must meet in the first
     (elements - o + 1) of either side, taken from the rarest; they are verified on the whole differences.
     """
-    of = Window.partitionBy("leader")
-    star = star.withColumn("_open", F.count_if(~F.col("linked")).over(of)).withColumn("_all", F.count(F.lit(1)).over(of))
-    star = star.filter("_open > 0 and _all > 1").drop("_open", "_all")
+    sizes = star.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("members"))
+    star = star.join(materialized(sizes.filter("open > 0 and members > 1").select("leader")), "leader", "left_semi")
     elements = star.select("leader", "cls", F.explode("delta").alias("e"))
     common = elements.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     held = elements.join(common, ["leader", "e"])

@@ -362,3 +362,11 @@ def test_all_languages_of_a_text(spark):
     assert (share[0] > 0.15).all() and share[0].max() < 0.4
     assert 0.01 < share[1][names.index("fr")] < 0.03 and share[1][names.index("en")] < 1
     assert share[2][names.index("fr")] == 1
+
+
+def test_large_star_is_not_one_task(spark):
+    members = [(b"L", bytes([i]), 40, 40, i % 2 == 0, [100 * (i // 2) + j for j in range(6 + 2 * (i % 2))], 6 + 2 * (i % 2)) for i in range(20)]
+    star = spark.createDataFrame(members, "leader binary, cls binary, n_leader int, n int, linked boolean, delta array<long>, p int")
+    found = circulant_minhash._links_beside(star, circulant_minhash.AT_85)
+    assert {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in found.collect()} == {(bytes([i]), bytes([i + 1])) for i in range(0, 20, 2)}
+    assert "windowspecdefinition(leader" not in found._jdf.queryExecution().optimizedPlan().toString()
