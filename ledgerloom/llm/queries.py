@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    circulant_minhash, host_rules, language_mix, longest_match, packing, prefix_decontam, sentencepiece_codec, toxicity_cnn, url_asof,
-    warc_derivatives,
+    circulant_minhash, host_rules, language_mix, longest_match, packing, prefix_decontam, sentencepiece_codec, shallot_kmeans, toxicity_cnn,
+    url_asof, vertical_topk, warc_derivatives,
 )
-from ledgerloom.llm.statements import DECONTAM_SQL, HOST_SQL, NEAR_SQL, URL_SQL, WARC_SQL
+from ledgerloom.llm.statements import CLUSTER_SQL, DECONTAM_SQL, HOST_SQL, NEAR_SQL, TOP_SQL, URL_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "round_trip", "parity")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot_kmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity_cnn": op1,
     "op2_language_mixture": op2,
@@ -78,6 +86,8 @@ QUERIES: dict[str, Query] = {
     "op8_url_asof": op8,
     "op9_prefix_decontamination": op9,
     "op10_sentencepiece": op10,
+    "op12_vertical_topk": op12,
+    "op13_shallot_kmeans": op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,4 +96,6 @@ ORACLES: dict[str, str] = {
     "op7_circulant_minhash": NEAR_SQL,
     "op8_url_asof": URL_SQL,
     "op9_prefix_decontamination": DECONTAM_SQL,
+    "op12_vertical_topk": TOP_SQL,
+    "op13_shallot_kmeans": CLUSTER_SQL,
 }

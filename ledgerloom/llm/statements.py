@@ -90,3 +90,35 @@ select page_id, refers_to, target_uri, refers_to_date, source_block_digest, sour
  || 'WARC-Date: ' || refers_to_date || nl || 'WARC-Block-Digest: ' || block_digest || nl || 'Content-Type: ' || content_type || nl
  || 'Content-Length: ' || content_length || nl) as headers_sha256 from d
 """
+
+TOP_SQL = r"""
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as p from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.rid, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.p, c.p) as bigint) as score from v q join v c on q.rid <> c.rid where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 20
+"""
+
+
+def _cluster_sql(count: int, rounds: int) -> str:
+    """Plain rounds, one after the other: all distances, then the floor of each component's mean."""
+    parts = [
+        """v as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as p
+ from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""c0 as materialized (select row_number() over (order by h) - 1 as c, p from (select sha256('3:' || vec_id) as h, p from v order by h limit {count}))""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} as materialized (select rid, min({{'d': d, 'c': c}}) as m from (select rid, c, cast(list_sum(list_transform(list_zip(v.p, k.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from v, c{i} k) group by rid)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} as materialized (select k.c, coalesce(n.p, k.p) as p from c{i} k left join (select c, list((t - ((t % n) + n) % n) // n order by i) as p
+ from (select m.c as c, i, cast(sum(v.p[i]) as bigint) as t, count(*) as n from a{i} join v using (rid), generate_series(1, 64) g(i) group by all) group by c) n on n.c = k.c)"""
+            )
+    final = f"""select v.vec_id, cast(m.c as int) as cluster, m.d as distance, cast(sum(m.d) over (partition by m.c) as bigint) as cluster_inertia,
+ cast(sum(m.d) over () as bigint) as inertia, sha256(array_to_string(k.p, ',')) as centroid_sha256 from a{rounds} a join v using (rid) join c{rounds} k on k.c = a.m.c"""
+    return "with " + ",\n".join(parts) + "\n" + final
+
+
+CLUSTER_SQL = _cluster_sql(8, 10)
