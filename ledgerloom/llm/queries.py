@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     circulant_minhash, host_rules, language_mix, longest_match, packing, prefix_decontam, sentencepiece_codec, shallot_kmeans, toxicity_cnn,
-    url_asof, vertical_topk, warc_derivatives,
+    treap_search, url_asof, vertical_topk, warc_derivatives,
 )
-from ledgerloom.llm.statements import CLUSTER_SQL, DECONTAM_SQL, HOST_SQL, NEAR_SQL, TOP_SQL, URL_SQL, WARC_SQL
+from ledgerloom.llm.statements import CLUSTER_SQL, DECONTAM_SQL, HOST_SQL, LEXICAL_SQL, NEAR_SQL, TOP_SQL, URL_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "round_trip", "parity")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(treap_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertical_topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_asof": op8,
     "op9_prefix_decontamination": op9,
     "op10_sentencepiece": op10,
+    "op11_treap_search": op11,
     "op12_vertical_topk": op12,
     "op13_shallot_kmeans": op13,
 }
@@ -96,6 +101,7 @@ ORACLES: dict[str, str] = {
     "op7_circulant_minhash": NEAR_SQL,
     "op8_url_asof": URL_SQL,
     "op9_prefix_decontamination": DECONTAM_SQL,
+    "op11_treap_search": LEXICAL_SQL,
     "op12_vertical_topk": TOP_SQL,
     "op13_shallot_kmeans": CLUSTER_SQL,
 }

@@ -91,6 +91,21 @@ select page_id, refers_to, target_uri, refers_to_date, source_block_digest, sour
  || 'Content-Length: ' || content_length || nl) as headers_sha256 from d
 """
 
+LEXICAL_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+g as (select count(*) as big_n, cast(sum(len(w)) as bigint) as big_l from d where len(w) > 0),
+p as (select rid, doc_id, n, t, count(*) as tf from (select rid, doc_id, len(w) as n, unnest(w) as t from d) group by all),
+f as (select t, count(*) as df from p group by t),
+i as (select distinct item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+s as (select item_id, text, rid, doc_id, cast(sum(cast(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) as bigint)
+ * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) as bigint) as score
+ from i join f using (t) join p using (t), g group by all),
+r as (select *, row_number() over (partition by item_id, text order by score desc, doc_id) as rank from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 50
+"""
+
 TOP_SQL = r"""
 with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as p from embeddings
  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
