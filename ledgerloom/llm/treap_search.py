@@ -38,9 +38,11 @@ from ledgerloom.llm.vectors import rows_of
 
 K = 50
 BLOCK_DOCS = 4096
-BLOCK_WORDS = 1 << 20
-# Ranges of an item halved in the first step, and how this number grows with each further step.
+BLOCK_WORDS = 1 << 19
+# Ranges of an item halved in the first step, and how this number grows with each further step; at most so many
+# paths go down at once, which bounds a worker's memory.
 FIRST_RANGES, GROWTH = 32, 1.5
+MOST_PATHS = 1 << 17
 BROADCAST_BYTES = 16 << 20
 PIECE_BYTES = 4 << 20
 BLOCKS_PER_CELL = 16
@@ -52,7 +54,7 @@ TERM_BYTES = bytes(
 )
 TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-POPCOUNT = np.array([bin(i).count("1") for i in range(16)], np.int64)
+POPCOUNT = np.array([bin(i).count("1") for i in range(16)], np.int32)
 
 BLOCK_SCHEMA = (
     "height int, doc_ids binary, known binary, terms string, dfs array<int>, masks binary, maxima binary, point_rows binary, point_docs binary"
@@ -207,13 +209,13 @@ class Tree:
     def __init__(self, row: dict):
         self.height = row["height"]
         self.mask = np.frombuffer(row["masks"], np.uint8)
-        self.maximum = np.frombuffer(row["maxima"], np.uint32).astype(np.int64)
+        self.maximum = np.frombuffer(row["maxima"], np.uint32)
         self.point_row = np.frombuffer(row["point_rows"], np.int32)
-        self.point_doc = np.frombuffer(row["point_docs"], np.int32).astype(np.int64)
+        self.point_doc = np.frombuffer(row["point_docs"], np.int32)
         below = POPCOUNT[self.mask]
-        self.first_child = 1 + np.cumsum(below) - below
+        self.first_child = 1 + np.cumsum(below, dtype=np.int32) - below
         single = self.mask == 0
-        self.point = np.cumsum(single) - single
+        self.point = np.cumsum(single, dtype=np.int32) - single
 
 
 @dataclass
@@ -241,14 +243,15 @@ class Ranges:
 
 def _halved(tree: Tree, ranges: Ranges, half: int) -> Ranges:
     """The lower (0) or upper (1) half of each range, with the paths that go on in it."""
-    owner = np.repeat(np.arange(len(ranges.item)), ranges.size)
-    shift = (tree.height - 1 - ranges.level)[owner]
-    mask = tree.mask[ranges.cell].astype(np.int64)
-    ended = mask == 0
-    quadrant = 2 * ((ranges.row >> shift) & 1) + half
-    child = np.where(ended, ranges.cell, tree.first_child[ranges.cell] + POPCOUNT[mask & ((1 << quadrant) - 1)])
-    goes = np.where(ended, False, (mask >> quadrant) & 1 == 1)
-    goes[ended] = (tree.point_doc[tree.point[ranges.cell[ended]]] >> shift[ended]) & 1 == half
+    owner = np.repeat(np.arange(len(ranges.item), dtype=np.int32), ranges.size)
+    shift = (tree.height - 1 - ranges.level).astype(np.int32)[owner]
+    mask = tree.mask[ranges.cell]
+    quadrant = (2 * ((ranges.row >> shift) & 1) + half).astype(np.uint8)
+    goes = (mask >> quadrant) & 1 == 1
+    child = tree.first_child[ranges.cell] + POPCOUNT[mask & ((np.uint8(1) << quadrant) - np.uint8(1))]
+    ended = np.flatnonzero(mask == 0)
+    child[ended] = ranges.cell[ended]
+    goes[ended] = (tree.point_doc[tree.point[child[ended]]] >> shift[ended]) & 1 == half
     at = np.flatnonzero(goes)
     child = child[at]
     ends = tree.mask[child] == 0
@@ -258,7 +261,7 @@ def _halved(tree: Tree, ranges: Ranges, half: int) -> Ranges:
     own = owner[at]
     starts = np.flatnonzero(np.diff(own, prepend=-1))
     up, weight = own[starts], ranges.weight[at]
-    bound = np.add.reduceat(weight * tree.maximum[child], starts) if len(starts) else np.zeros(0, np.int64)
+    bound = np.add.reduceat(weight.astype(np.int64) * tree.maximum[child], starts) if len(starts) else np.zeros(0, np.int64)
     return Ranges(
         ranges.item[up], ranges.level[up] + 1, 2 * ranges.doc[up] + half, bound, np.diff(starts, append=len(at)), child, ranges.row[at], weight
     )
@@ -286,9 +289,9 @@ class Best:
 def _exact(tree: Tree, ranges: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, document, score) of ranges whose paths have all come to a point."""
     owner = np.repeat(np.arange(len(ranges.item)), ranges.size)
-    key = (owner << 32) | tree.point_doc[tree.point[ranges.cell]]
+    key = (owner << 32) | tree.point_doc[tree.point[ranges.cell]].astype(np.int64)
     order = np.argsort(key, kind="stable")
-    key, value = key[order], (ranges.weight * tree.maximum[ranges.cell])[order]
+    key, value = key[order], (ranges.weight.astype(np.int64) * tree.maximum[ranges.cell])[order]
     starts = np.flatnonzero(np.diff(key, prepend=-1))
     score = np.add.reduceat(value, starts) if len(starts) else np.zeros(0, np.int64)
     return ranges.item[key[starts] >> 32], key[starts] & 0xFFFFFFFF, score
@@ -301,8 +304,11 @@ def descend(tree: Tree, ids: np.ndarray, known: np.ndarray, ranges: Ranges, best
         order = np.lexsort((-ranges.bound, ranges.item))
         starts = np.flatnonzero(np.diff(ranges.item[order], prepend=-1))
         rank = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+        first = np.argsort(rank, kind="stable")
+        first = first[rank[first] < int(width)]
+        paths = np.cumsum(ranges.size[order[first]])
         now = np.zeros(len(order), bool)
-        now[order[rank < int(width)]] = True
+        now[order[first[(paths <= MOST_PATHS) | (paths == paths[0])]]] = True
         width *= GROWTH
         taken = ranges.picked(now)
         halves = _halved(tree, taken, 0).joined(_halved(tree, taken, 1))
@@ -341,7 +347,7 @@ class Questions:
         full = np.full(n, np.iinfo(np.int64).max)
         ranges = Ranges(
             item[starts], np.zeros(n, np.int64), np.zeros(n, np.int64), full, np.diff(starts, append=len(here)),
-            np.zeros(len(here), np.int64), rows[here], self.weight[here],
+            np.zeros(len(here), np.int32), rows[here].astype(np.int32), self.weight[here].astype(np.int32),
         )
         descend(tree, np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["known"], bool), ranges, best)
 
