@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog.registry import define, query
 from ledgerloom.fixtures import MONEY, Tables
-from ledgerloom.operators import checks
+from ledgerloom.operators import checks, ranges
+from ledgerloom.scale import number_within
 
 _ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -68,6 +69,59 @@ def rule_checks(t: Tables) -> DataFrame:
     return checks.rule_checks(rows, RULES).select("rule_id", *_IDS)
 
 
+# Sheets of the book `orders`: one line per order and column (A key, B total), one per lineitem in `Lines`.
+define(
+    "rule_cells",
+    (),
+    """rule_orders as (select *, 'B' || o_custkey % 7 as workbook, row_number() over (partition by o_custkey % 7 order by o_orderkey) as r from orders),
+rule_cells as (select workbook, 'Orders' as sheet, r, 2 as c, cast(o_totalprice as double) as v from rule_orders
+ union all select workbook, 'Orders', r, 3, cast(o_orderkey % 10 as double) from rule_orders
+ union all select workbook, 'Lines', r, l_linenumber, cast(l_extendedprice as double) from lineitem join rule_orders on l_orderkey = o_orderkey)""",
+)
+
+
+def rule_cells(t: Tables) -> DataFrame:
+    """Two sheets for each of seven books: orders with their total and a mark, and the lines of the same orders side by side."""
+    o = t.orders.select("o_orderkey", F.concat(F.lit("B"), F.col("o_custkey") % 7).alias("workbook"), F.col("o_totalprice").cast("double").alias("total"))
+    numbered = o.join(
+        number_within(o.select("workbook", "o_orderkey"), ["workbook"], "o_orderkey", "r", 4096), ["workbook", "o_orderkey"]
+    )
+    own = numbered.select("workbook", F.lit("Orders").alias("sheet"), "r", F.inline(F.array(
+        F.struct(F.lit(2).alias("c"), F.col("total").alias("v_num")), F.struct(F.lit(3).alias("c"), (F.col("o_orderkey") % 10).cast("double").alias("v_num"))
+    )))
+    lines = t.lineitem.join(numbered, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "workbook", F.lit("Lines").alias("sheet"), "r", F.col("l_linenumber").cast("int").alias("c"), F.col("l_extendedprice").cast("double").alias("v_num")
+    )
+    return own.unionByName(lines).withColumn("v", F.col("v_num").cast("string"))
+
+
+RANGE_RULES = [
+    ranges.RangeRule("sum", "Orders!B1:B1048576", "abs(value - lines) > 0.5 * lines", {"lines": ("sum", "Lines!A1:G1")}),
+    ranges.RangeRule("most", "Orders!B1:B1048576", "most > 0.9 * value", {"most": ("max", "Lines!$A1:$G1")}),
+    ranges.RangeRule("mark", "Orders!C1:C400", "value = top and n > 5 * value", {"top": ("max", "$C$1:$C$400"), "n": ("count", "Lines!$A$1:$G$100")}),
+    ranges.RangeRule("window", "Orders!C3:C50,Orders!C100:C120", "low > 2", {"low": ("min", "C3:C5")}),
+    ranges.RangeRule("broken", "Orders!B1:B9", "no_such_name > 1"),
+]
+
+
+@query(
+    "range_rules",
+    """with s as (select workbook, r, sum(cast(v as decimal(28,6))) as t, max(v) as m from rule_cells where sheet = 'Lines' and c <= 7 group by all),
+n as (select workbook, count(*) as n from rule_cells where sheet = 'Lines' and c <= 7 and r <= 100 group by all),
+h as (select workbook, max(v) as top from rule_cells where sheet = 'Orders' and c = 3 and r <= 400 group by all),
+w as (select a.workbook, a.r, min(b.v) as low from rule_cells a join rule_cells b on a.workbook = b.workbook and b.sheet = 'Orders' and b.c = 3 and b.r between a.r and a.r + 2 where a.sheet = 'Orders' and a.c = 3 group by all),
+o as (select * from rule_cells where sheet = 'Orders')
+select o.workbook, o.sheet, o.r, o.c, 'sum' as rule_id, o.v as value from o left join s using (workbook, r) where c = 2 and abs(o.v - coalesce(t, 0)) > 0.5 * coalesce(t, 0)
+union all select o.workbook, o.sheet, o.r, o.c, 'most', o.v from o join s using (workbook, r) where c = 2 and m > 0.9 * o.v
+union all select o.workbook, o.sheet, o.r, o.c, 'mark', o.v from o join h using (workbook) join n using (workbook) where c = 3 and r <= 400 and o.v = top and n > 5 * o.v
+union all select o.workbook, o.sheet, o.r, o.c, 'window', o.v from o join w using (workbook, r) where c = 3 and (r between 3 and 50 or r between 100 and 120) and low > 2""",
+    ("rule_cells",),
+)
+def range_rules(t: Tables) -> DataFrame:
+    """Rules over ranges of the same and of another sheet; the rule that does not resolve is left out."""
+    return ranges.range_checks(rule_cells(t), RANGE_RULES)
+
+
 define(
     "bad_rows",
     (),

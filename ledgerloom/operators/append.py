@@ -35,13 +35,13 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns({f"_k{i}": text_key(F.col(f"`{k}`"), types[k]) for i, k in enumerate(keys)})
 
 
-def _key_names(keys: Sequence[str]) -> list[str]:
+def key_names(keys: Sequence[str]) -> list[str]:
     return [f"_k{i}" for i in range(len(keys))]
 
 
 def dedup_first(batch: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """First row per key by an explicit order; keys compare as text."""
-    return first_row(keyed(batch, keys), _key_names(keys), *order).drop(*_key_names(keys))
+    return first_row(keyed(batch, keys), key_names(keys), *order).drop(*key_names(keys))
 
 
 def filled_rows(target: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def new_rows(batch: DataFrame, target: DataFrame, keys: Sequence[str], *order: C
 
     Existing keys are made distinct first, so a hot key crosses the shuffle once per task.
     """
-    names = _key_names(keys)
+    names = key_names(keys)
     fresh = first_row(keyed(batch, keys), names, *order)
     existing = keyed(filled_rows(target), keys).select(*names).distinct()
     return fresh.join(existing, names, "left_anti").drop(*names)
@@ -78,7 +78,7 @@ def append(batch: DataFrame, target: DataFrame, keys: Sequence[str], *order: Col
 
 def append_stats(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """input, batch and added row counts; one pass over each side's keys."""
-    names = _key_names(keys)
+    names = key_names(keys)
     counted = keyed(batch, keys).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     existing = keyed(filled_rows(target), keys).select(*names).distinct().withColumn("_old", F.lit(True))
     return counted.join(existing, names, "left").agg(

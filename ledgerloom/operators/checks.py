@@ -202,15 +202,38 @@ def subtotal_check(rows: DataFrame, section: Sequence[str], is_total: Column, va
 def rule_checks(cells: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """User rules (rule_id, filter_sql, expr_sql): rows where the expression is true.
 
-    All rules are evaluated in one pass over the rows. A division by zero or a cast that fails
-    gives null, which counts as not bad. Rules whose SQL does not resolve are left out;
+    All rules are evaluated in one pass over the rows. Rules see whole-number columns as decimals, so
+    that sums and products do not wrap. A division by zero or a cast that fails gives null, which counts
+    as not bad; `rule_nulls` counts these rows. Rules whose SQL does not resolve are left out;
     `unusable_rules` names them.
     """
+    wide = _widened(cells)
     broken = unusable_rules(cells, rules)
     usable = [F.when(_hit(where, expr), F.lit(rule_id)) for rule_id, where, expr in rules if rule_id not in broken]
     hits = F.filter(F.array(*usable).cast("array<string>"), lambda x: x.isNotNull())
     with _nulls_for_errors(cells.sparkSession):
-        return cells.withColumn("rule_id", F.explode(hits))
+        return wide.select(_ROW, F.explode(hits).alias("rule_id")).select(f"{_ROW}.*", "rule_id")
+
+
+def rule_nulls(cells: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(rule_id, n_rows): rows that a rule's filter takes but for which its expression gives null (an
+    error, an overflow of 38 digits, or a null in the data). One aggregate over all rules."""
+    broken = unusable_rules(cells, rules)
+    usable = [(i, where, expr) for i, where, expr in rules if i not in broken]
+    with _nulls_for_errors(cells.sparkSession):
+        counts = [F.count_if(F.expr(where).cast("boolean") & F.expr(expr).cast("boolean").isNull()) for _, where, expr in usable]
+        lines = F.array(*[F.struct(F.lit(i).alias("rule_id"), n.alias("n_rows")) for (i, _, _), n in zip(usable, counts)])
+        return _widened(cells).agg(lines.alias("_lines")).select(F.inline("_lines")).filter("n_rows > 0")
+
+
+_ROW = "_row"
+
+
+def _widened(cells: DataFrame) -> DataFrame:
+    """The rows as they are in one struct, and beside it their columns with whole numbers as decimals."""
+    whole = [n for n, t in cells.dtypes if t in ("tinyint", "smallint", "int", "bigint")]
+    kept = cells.select("*", F.struct(*[F.col(f"`{c}`") for c in cells.columns]).alias(_ROW))
+    return kept.withColumns({n: F.col(f"`{n}`").cast("decimal(20,0)") for n in whole})
 
 
 def unusable_rules(cells: DataFrame, rules: Sequence[tuple[str, str, str]]) -> dict[str, str]:
@@ -218,7 +241,7 @@ def unusable_rules(cells: DataFrame, rules: Sequence[tuple[str, str, str]]) -> d
     reasons = {}
     for rule_id, where, expr in rules:
         try:
-            cells.select(_hit(where, expr)).schema
+            _widened(cells).select(_hit(where, expr)).schema
         except AnalysisException as error:  # also parse errors
             reasons[rule_id] = error.getCondition() or type(error).__name__
     return reasons

@@ -43,10 +43,10 @@ def number_within(df: DataFrame, keys: Sequence[str], seq: str, out: str, chunk:
     )
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(n).alias(f"_r_{n}") if n in names else F.col(n) for n in right.columns])
     on = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
-    return left.join(renamed, on).drop(*[f"_r_{n}" for n in names])
+    return left.join(renamed, on, how).drop(*[f"_r_{n}" for n in names])
 
 
 def tiles(lo: Column, hi: Column, size: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ledgerloom.operators.append import new_rows
+from ledgerloom.operators.append import key_names, keyed, new_rows
 from ledgerloom.operators.series import last_wins
 from ledgerloom.scale import materialized
 
@@ -39,32 +39,36 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_stream(
-    stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: str, within: str | None = None
+    stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: str, within: str | None = None, known: DataFrame | None = None
 ) -> StreamingQuery:
     """Adds the rows whose key is new; every batch owns the partition `batch_id` of the target.
 
-    `within` names a key column with few values per batch, such as the day: the target is partitioned by
-    it first, and a batch reads the keys of its own values only. Without it, a batch reads all keys.
+    The memory of keys is Spark's own state: one aggregate per key holds when it came first and last (the
+    batch's clock, which a replay repeats) and its first row by arrival, then `order`. A batch reads the
+    state of its own keys and nothing of the target; a key is new if all its rows came with this batch.
+    Keys compare as text, nulls like empty text. A new checkpoint starts the numbering of batches, and so the
+    target's partitions, anew. With many keys, set the session's state store to RocksDB.
+
+    `within` names a key column by which the target is partitioned too, such as the day. `known` holds
+    keys (a static table) that the target got from elsewhere.
     """
-    folders = [*([within] if within else []), "batch_id"]
+    columns = stream.columns
+    arrived = keyed(stream.withColumn("_now", F.current_timestamp()).withColumn("_row", F.struct(*columns)), keys)
+    per_key = arrived.groupBy(*key_names(keys)).agg(
+        F.min("_now").alias("_first"), F.max("_now").alias("_last"), F.min_by("_row", F.struct("_now", order)).alias("_row")
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if exists(spark, target):
-            known = spark.read.schema(_with_batch(batch)).parquet(target).filter(F.col("batch_id") != batch_id).select(*keys)
-            if within:
-                known = known.join(batch.select(within).distinct(), within, "left_semi").select(*keys)
-        else:
-            known = batch.select(*keys).limit(0)
-        added = new_rows(batch, known, keys, F.col(order)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        added.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(target)
-
-    return _available_now(stream, write, checkpoint)
+        added = batch.filter("_first = _last").select("_row.*")
+        if known is not None:
+            added = new_rows(added, known, keys, F.col(order))
+        numbered = added.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        folders = [*([within] if within else []), "batch_id"]
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(target)
 
-
-def _with_batch(batch: DataFrame) -> StructType:
-    """The target's columns with the batch's types; partition values are text in the paths."""
-    return StructType(batch.schema.fields).add("batch_id", "long")
+    return (
+        per_key.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
 def upsert_partitions(batch: DataFrame, target: str, keys: Sequence[str], order: Sequence[str], partition: str) -> None:
@@ -100,6 +104,23 @@ def keep_first_stream(stream: DataFrame, target: str, checkpoint: str, keys: Seq
     )
 
 
+def keep_earliest_stream(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], event_time: str, delay: str) -> StreamingQuery:
+    """The row of each key that is first by event time, whatever order files come in within `delay`.
+
+    Rows of a key less than `delay` apart are one session; its earliest row (ties by the other columns) is
+    written when the watermark has passed the session, and the state is dropped.
+    """
+    columns = stream.columns
+    rest = [c for c in columns if c != event_time]
+    held = stream.withWatermark(event_time, delay).groupBy(F.session_window(event_time, delay), *[F.col(c).alias(f"_key_{c}") for c in keys]).agg(
+        F.min(F.struct(event_time, *rest)).alias("_row")
+    )
+    return (
+        held.select(*[F.col(f"_row.{c}").alias(c) for c in columns]).writeStream.format("parquet").option("path", target)
+        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    )
+
+
 def _available_now(stream: DataFrame, write, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -302,3 +302,33 @@ def test_shared_folder_needs_a_setting_on_a_cluster():
         shared_folder(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs://x/y"
     assert shared_folder(Session()).startswith("hdfs://x/y/ledgerloom-")
+
+
+def test_rules_do_not_wrap(spark):
+    from ledgerloom.operators import checks
+
+    rows = spark.createDataFrame([(1, 2_000_000_000, 2_000_000_000, "x"), (2, 1, 1, "4"), (3, 9 * 10**18, 1, None)], "id long, a long, b int, t string")
+    rules = [("sum", "true", "a + b > 3000000000L"), ("product", "id < 3", "a * b > 3000000000L"), ("large", "true", "a + a + a > 20e18"), ("cast", "true", "cast(t as int) > 3"), ("gone", "true", "q > 1")]
+    found = {(r.rule_id, r.id) for r in checks.rule_checks(rows, rules).collect()}
+    assert found == {("sum", 1), ("sum", 3), ("product", 1), ("large", 3), ("cast", 2)}
+    assert checks.rule_checks(rows, rules).columns == [*rows.columns, "rule_id"] and dict(checks.rule_checks(rows, rules).dtypes)["a"] == "bigint"
+    assert {(r.rule_id, r.n_rows) for r in checks.rule_nulls(rows, rules).collect()} == {("cast", 2)}
+    assert list(checks.unusable_rules(rows, rules)) == ["gone"]
+
+
+def test_rules_over_ranges(spark):
+    from ledgerloom.operators.ranges import RangeRule, range_checks, unusable_range_rules
+
+    grid = [("b", "Sum", 3, 7, 10.0), ("b", "Sum", 4, 7, 9.0), ("b", "Sum", 5, 7, None)]
+    grid += [("b", "Data", r, c, float(r)) for r in (3, 4, 5) for c in (1, 2, 3)] + [(None, "Sum", 3, 7, 1.0)]
+    cells = spark.createDataFrame([(w, s, r, c, None if v is None else str(v), v) for w, s, r, c, v in grid], "workbook string, sheet string, r long, c int, v string, v_num double")
+    rules = [
+        RangeRule("row", "Sum!$G$3:$G$5", "coalesce(value, 0) <> total", {"total": ("sum", "Data!A3:C3")}),
+        RangeRule("all", "Sum!G3:G5", "value < big * 2", {"big": ("max", "Data!$A$3:$C$5"), "n": ("count", "Data!A1:C2")}),
+        RangeRule("empty", "Sum!G5", "n = 0 and low is null", {"n": ("count", "G3"), "low": ("min", "Data!Z1:Z9")}),
+        RangeRule("wrong", "Sum!G5", "nothing > 1"),
+    ]
+    found = {(r.rule_id, r.workbook, r.r) for r in range_checks(cells, rules).collect()}
+    # Row 3 has 9 and 4 has 12, 5 has 15; the cell of the book without a name has no data of its own.
+    assert found == {("row", "b", 3), ("row", "b", 4), ("row", "b", 5), ("row", None, 3), ("all", "b", 4)}
+    assert list(unusable_range_rules(cells, rules)) == ["wrong"]

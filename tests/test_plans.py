@@ -191,3 +191,45 @@ def test_append_within_a_day_reads_that_day_only(spark, tmp_path):
         jobs.append_stream(stream, f"{tmp_path}/out", f"{tmp_path}/progress", ["day", "k"], "id", "day").awaitTermination()
     got = spark.read.schema(f"{schema}, batch_id long").parquet(f"{tmp_path}/out")
     assert sorted((r.id, r.batch_id) for r in got.collect()) == [(1, 0), (2, 0), (4, 1)]
+
+
+def test_append_keeps_rows_without_a_day_once(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    schema = spark.range(0).selectExpr("id", "cast(null as date) day", "'' k").schema
+    for n, lines in enumerate(["(1, null, 'a'), (2, date'2024-01-02', null)", "(3, null, 'a'), (4, date'2024-01-02', null), (5, null, 'b')"]):
+        spark.sql(f"select cast(id as long) id, cast(day as date) day, cast(k as string) k from values {lines} as t(id, day, k)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", schema)
+        jobs.append_stream(stream, f"{tmp_path}/out", f"{tmp_path}/progress", ["day", "k"], "id", "day").awaitTermination()
+    got = spark.read.schema("id long, day date, k string, batch_id long").parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.id, r.batch_id) for r in got) == [(1, 0), (2, 0), (5, 1)]
+
+
+def test_append_reads_nothing_of_the_target(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    schema = spark.range(0).selectExpr("id", "'' k").schema
+    for turn, ids in enumerate([range(0, 50), range(25, 75)]):
+        spark.createDataFrame([(i + 1000 * turn, f"k{i}") for i in ids], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        known = spark.createDataFrame([("k70",)], "k string")
+        jobs.append_stream(jobs.file_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out{turn}", f"{tmp_path}/progress", ["k"], "id", known=known).awaitTermination()
+    # The second batch went to another, empty target and still left the first one's keys out.
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out1").collect()) == [i + 1000 for i in range(50, 75) if i != 70]
+
+
+def test_earliest_row_by_event_time(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    schema = "id long, k string, ts timestamp"
+    runs = [
+        [(1, "a", "2024-01-01 10:00:00"), (2, "b", "2024-01-01 10:30:00")],
+        [(3, "a", "2024-01-01 09:40:00"), (4, "b", "2024-01-01 10:45:00"), (5, None, "2024-01-01 10:50:00")],
+        [(6, "b", "2024-01-01 01:00:00"), (7, "a", "2024-01-02 10:00:00")],  # far behind the watermark; a new session of a
+        [(8, "z", "2024-02-01 00:00:00")],
+    ]
+    for rows in runs:
+        lines = spark.createDataFrame(rows, "id long, k string, t string").selectExpr("id", "k", "cast(t as timestamp) ts")
+        lines.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", lines.schema)
+        jobs.keep_earliest_stream(stream, f"{tmp_path}/out", f"{tmp_path}/progress", ["k"], "ts", "1 hour").awaitTermination()
+    assert sorted(r.id for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()) == [2, 3, 5, 7]
