@@ -77,12 +77,67 @@ FUZZY = f"""with recursive cand as (select p.page_id, t.r, list(l.line_no order
  select page_id, r, line_no, 'code' as stage from exact union all select page_id, r, got, 'key' from walk where got is not null"""
 
 
-# The lines of the fixture have no name, so the name stage of the job stays empty here.
 @query("align_fuzzy", FUZZY, ("exact",))
 def align_fuzzy(t: Tables) -> DataFrame:
     return align.align_fuzzy(pairing(t), tpl(t), lines(t))
 
 
+define(
+    "library",
+    (),
+    """named as (select *, p_name || '-' || translate(cast(p_partkey as varchar), '0123456789', 'abcdefghij') as name, cast(11000000 + p_partkey * 7 as varchar) as own, p_partkey // 40 % 6 as how from part),
+library as (select 'LIB' as doc, 'T' || p_partkey % 4 as page, cast(p_partkey // 4 as int) as r, case when p_partkey % 11 = 10 then '' else own end as code, name from named),
+library_lines as (select p_partkey % 40 as page_id, cast(p_partkey // 40 as int) as line_no, case how when 0 then own when 1 then left(own, 6) || 'x' || right(own, 1) when 2 then right(own, 4) else '' end as code,
+ case how when 3 then name when 4 then left(name, 4) || '##' || substr(name, 7) when 5 then '' else left(name, 2) end as name, case how when 5 then '#' || own || ';' else null end as text from named)""",
+)
+_POSITIONS = "list_sum(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: case when {a}[i] = {b}[i] then 1 else 0 end)) / greatest(length({a}), length({b}))"
+_INSIDE = "(length({a}) >= 3 and contains({b}, {a}) and length({b}) - length({a}) <= length({b}) * 0.6::double)"
+_KEYS = "({k} <> '' and (tk = {k} or " + _INSIDE.format(a="td", b="{d}") + " or " + _INSIDE.format(a="{d}", b="td") + " or (abs(length(tk) - length({k})) <= 1 and " + _POSITIONS.format(a="tk", b="{k}") + " >= 0.75::double)))"
+_CODE_OF = r"regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g')"
+_DIGITS_OF = r"regexp_replace({x}, '[^0-9]', '', 'g')"
+# Pairs of every open row with every spare line of its page, row by row in order; then the names.
+LIBRARY = f"""with recursive l_exact as (select l.page_id, t.r, l.line_no from library_lines l join library t on t.page = 'T' || l.page_id % 4 and t.code = l.code where l.code <> ''),
+t as (select *, replace(name, ' ', '') as sq, {_CODE_OF.format(x="code")} as tk, {_DIGITS_OF.format(x="code")} as td from library where code <> ''),
+l as (select *, replace(name, ' ', '') as sq, {_CODE_OF.format(x="code")} as k, {_CODE_OF.format(x="code || name")} as kb, {_DIGITS_OF.format(x="code")} as d, {_DIGITS_OF.format(x="code || name")} as db, code || name as whole
+ from library_lines x where not exists (select 1 from l_exact e where e.page_id = x.page_id and e.line_no = x.line_no)),
+open as (select p.page_id, t.* from (select distinct page_id from library_lines) p join t on t.page = 'T' || p.page_id % 4 where not exists (select 1 from l_exact e where e.page_id = p.page_id and e.r = t.r)),
+same as (select o.page_id, o.r, l.line_no, o.name <> '' and l.name <> '' and (o.sq = l.sq or (length(o.sq) >= 4 and length(l.sq) >= 4 and {_POSITIONS.format(a="o.sq", b="l.sq")} >= 0.8::double)) as by_name,
+ (l.whole <> '' and (({_KEYS.format(k="kb", d="db")}) or contains(whole, o.name) or contains(o.name, whole) or ({_KEYS.format(k="k", d="d")})))
+ or (l.code = '' and l.text is not null and contains(l.text, o.code)) or (l.whole = '') as by_key from open o join l on l.page_id = o.page_id),
+cand as (select page_id, r, list(line_no order by line_no) as ls, row_number() over (partition by page_id order by r) as n from same where by_key or by_name group by page_id, r),
+walk(page_id, n, r, used, got) as (select page_id, 0::bigint, null::int, []::int[], null::int from (select distinct page_id from cand)
+ union all select w.page_id, c.n, c.r, case when f.f is null then w.used else list_append(w.used, f.f) end, f.f from walk w join cand c on c.page_id = w.page_id and c.n = w.n + 1,
+ lateral (select list_filter(c.ls, lambda k: not list_contains(w.used, k))[1] as f) f),
+last as (select page_id, arg_max(used, n) as used from walk group by page_id),
+names as (select o.page_id, o.r, l.line_no, row_number() over (partition by o.page_id order by o.r, l.line_no) as n from (select p.page_id, t.*, replace(t.name, ' ', '') as sq from (select distinct page_id from library_lines) p join library t on t.page = 'T' || p.page_id % 4 where t.code = '') o
+ join l on l.page_id = o.page_id where l.name <> '' and (o.sq = l.sq or (length(o.sq) >= 4 and length(l.sq) >= 4 and {_POSITIONS.format(a="o.sq", b="l.sq")} >= 0.8::double))),
+second(page_id, n, rows_used, lines_used, r, got) as (select p.page_id, 0::bigint, []::int[], coalesce(last.used, []::int[]), null::int, null::int from (select distinct page_id from names) p left join last using (page_id)
+ union all select s.page_id, c.n, case when f.ok then list_append(s.rows_used, c.r) else s.rows_used end, case when f.ok then list_append(s.lines_used, c.line_no) else s.lines_used end, case when f.ok then c.r end, case when f.ok then c.line_no end
+ from second s join names c on c.page_id = s.page_id and c.n = s.n + 1, lateral (select not list_contains(s.rows_used, c.r) and not list_contains(s.lines_used, c.line_no) as ok) f)
+select page_id, r, line_no, 'code' as stage from l_exact union all select page_id, r, got, 'key' from walk where got is not null union all select page_id, r, got, 'name' from second where got is not null"""
+
+
+def library_pages(t: Tables) -> DataFrame:
+    return t.library_lines.select("page_id", F.lit("LIB").alias("doc"), F.concat(F.lit("T"), F.col("page_id") % 4).alias("page")).distinct()
+
+
+@query("align_library", LIBRARY, ("library",))
+def align_library(t: Tables) -> DataFrame:
+    """All three stages on a library that grows with the parts: codes, row keys and, for rows without a code, names."""
+    return align.align_fuzzy(library_pages(t), t.library, t.library_lines)
+
+
+@query(
+    "library_hits",
+    f"""select distinct l.page_id, t.code from library_lines l join (select distinct code from library where code <> '') t on l.code <> '' and
+ (l.code = t.code or (abs(length(l.code) - length(t.code)) <= 1 and {_POSITIONS.format(a="l.code", b="t.code")} >= 0.7::double))""",
+    ("library",),
+)
+def library_hits(t: Tables) -> DataFrame:
+    """Template codes seen on the pages, where all codes begin alike."""
+    return align.template_hits(t.library_lines.select("page_id", F.col("code").alias("text")), t.library)
+
+
 @query(
     "align_anti",
     """select p.page_id, t.r as no, t.code, 'template' as side from pairing p join tpl t using (doc, page) where t.code <> '' and not exists (select 1 from exact e where e.page_id = p.page_id and e.r = t.r)

@@ -142,6 +142,32 @@ class Tables:
             )
         )
 
+    @cached_property
+    def library(self) -> DataFrame:
+        """A template library that grows with part: one row for each part on four long pages. Codes share the
+        first digits of one chart of accounts; every name is its own."""
+        key = F.col("p_partkey")
+        return self.read("part").select(
+            F.lit("LIB").alias("doc"), F.concat(F.lit("T"), key % 4).alias("page"), F.floor(key / 4).cast("int").alias("r"),
+            F.when(key % 11 == 10, "").otherwise((11000000 + key * 7).cast("string")).alias("code"), own_name(key, F.col("p_name")).alias("name"),
+        )
+
+    @cached_property
+    def library_lines(self) -> DataFrame:
+        """Every part read once as a line of a photo page: its code whole, with a wrong digit, cut off or lost, its
+        name whole, with wrong letters or lost."""
+        key = F.col("p_partkey")
+        line, code, name = F.floor(key / 40).cast("int"), (11000000 + key * 7).cast("string"), own_name(key, F.col("p_name"))
+        how = F.floor(key / 40) % 6
+        wrong = F.concat(F.left(code, F.lit(6)), F.lit("x"), F.right(code, F.lit(1)))
+        read_code = F.when(how == 0, code).when(how == 1, wrong).when(how == 2, F.right(code, F.lit(4))).otherwise("")
+        letters = F.concat(F.left(name, F.lit(4)), F.lit("##"), F.substr(name, F.lit(7)))
+        read_name = F.when(how == 3, name).when(how == 4, letters).when(how == 5, "").otherwise(F.left(name, F.lit(2)))
+        text = F.when(how == 5, F.concat(F.lit("#"), code, F.lit(";"))).otherwise(F.concat(read_code, read_name))
+        return self.read("part").select(
+            (key % 40).alias("page_id"), line.alias("line_no"), (line * 20).cast("double").alias("y"), read_code.alias("code"), read_name.alias("name"), text.alias("text"),
+        )
+
     @cached_property
     def grid(self) -> DataFrame:
         """lineitem as sheets: one sheet per supplier, columns 1..4 of each row."""
@@ -199,3 +225,8 @@ class Tables:
 
 def book_of(custkey):
     return F.concat(F.lit("月报_2024-0"), custkey % 9 + 1, F.lit("-15.xlsx"))
+
+
+def own_name(partkey, name):
+    """The part's name with its number in letters."""
+    return F.concat(name, F.lit("-"), F.translate(partkey.cast("string"), "0123456789", "abcdefghij"))

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.fuzzy import codes_match, key_match, keys_match, text_match
 from ledgerloom.functions.number import numeric_text
-from ledgerloom.functions.text import digits, has_meaning, key_code, let, strip
-from ledgerloom.operators.layout import gaps, upper_median
+from ledgerloom.functions.text import digits, has_meaning, key_code, squeeze, strip
+from ledgerloom.operators.fuzzy_index import contained_pairs, digit_pairs, near_pairs
 from ledgerloom.scale import first_row, materialized, number_within
 
 TPL = ["doc", "page"]
@@ -33,114 +35,140 @@ def align_exact(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame
     return read.join(pages, "page_id").join(rows, [*TPL, "code", "k"]).select("page_id", "r", "line_no")
 
 
-_PAIRS = "array<struct<r:bigint,li:bigint>>"
-
-
-def _claim(pairs: Column, state: Column) -> Column:
-    """Greedy 1:1 choice: pairs come ordered by row, then line."""
-
-    def step(acc: Column, p: Column) -> Column:
-        taken = F.exists(acc, lambda q: (q["r"] == p["r"]) | (q["li"] == p["li"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(p)))
-
-    return F.aggregate(pairs, state, step)
-
-
 def _candidates(tpl: DataFrame, spare: DataFrame) -> DataFrame:
     """(page_id, r, line_no, by_key, by_name) for spare lines that resemble a template row; lines with
     neither code nor name only where their text holds the code.
 
-    The fuzzy tests run once per distinct (code, name) of a template page, not per line.
+    The fuzzy tests run once per distinct (code, name) of a template page, on the candidates of the key index.
     """
     rows = tpl.select(*TPL, "r", F.col("code").alias("t_code"), F.col("name").alias("t_name"))
-    code, name, t_code, t_name = (F.col(c) for c in ("code", "name", "t_code", "t_name"))
-    both_text = F.concat("code", "name")
-    seen = spare.filter("code <> '' or name <> ''").select(*TPL, "code", "name").distinct().select(
-        "*", both_text.alias("_both"), key_code(code).alias("_k"), digits(key_code(code)).alias("_d"),
-        key_code(both_text).alias("_kb"), digits(key_code(both_text)).alias("_db"),
-    )
-    wanted = rows.select(*TPL, "t_code", "t_name").distinct().select(
-        "*", key_code(t_code).alias("_tk"), digits(key_code(t_code)).alias("_td")
+    seen = spare.filter("code <> '' or name <> ''").select(*TPL, "code", "name").distinct()
+    wanted = rows.select(*TPL, "t_code", "t_name").distinct()
+    like = matching_keys(seen, wanted)
+    texts = spare.filter("code = ''").select(*TPL, "text").distinct()
+    coded_rows = rows.filter(coded(F.col("t_code")))
+    by_text = contained_pairs(coded_rows.select(*TPL, "t_code").distinct(), texts, TPL, "t_code", "text")
+    glued = spare.filter("code = ''").join(by_text, [*TPL, "text"]).join(coded_rows, [*TPL, "t_code"])
+    found = spare.join(like, [*TPL, "code", "name"]).join(rows, [*TPL, "t_code", "t_name"])
+    return found.select("page_id", "r", "line_no", "by_key", "by_name").unionByName(
+        glued.select("page_id", "r", "line_no", F.lit(True).alias("by_key"), F.lit(False).alias("by_name"))
     )
-    both = seen.join(wanted, TPL)
-    whole = F.col("_both")
-    # The parts of row_key_match, on keys computed once per side.
-    by_code = keys_match(*[F.col(c) for c in ("_tk", "_td", "_kb", "_db")]) & (F.contains(whole, t_code) | (F.length("_tk") >= 3))
-    by_name = (F.length(t_name) >= 3) & (F.contains(whole, t_name) | F.contains(t_name, whole))
+
+
+def candidate_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, page, code, name, t_code, t_name): pairs that may name the same row, from key lookups.
+
+    One lookup for each way in which `row_key_match` can be true: nearly equal codes, digits inside one
+    another, names inside one another, equal and nearly equal names.
+    """
+    pair = [*TPL, "code", "name", "t_code", "t_name"]
+    both = F.concat("code", "name")
+    read = seen.withColumns({
+        "_k": key_code(F.col("code")), "_kb": key_code(both), "_d": digits(key_code(F.col("code"))), "_db": digits(key_code(both)),
+        "_whole": both, "_n": squeeze(F.col("name")),
+    })
+    want = wanted.withColumns({
+        "_tk": key_code(F.col("t_code")), "_td": digits(key_code(F.col("t_code"))), "_tn": squeeze(F.col("t_name")),
+    })
+    plain = lambda c: F.replace(c, F.lit(","), F.lit(""))
+    named = read.filter("_n <> ''").withColumn("_e", F.explode(F.array_distinct(F.array(F.col("_n"), plain(F.col("_n"))))))
+    called = want.filter("_tn <> ''").withColumn("_e", F.explode(F.array_distinct(F.array(F.col("_tn"), plain(F.col("_tn"))))))
+    # The code, and code and name together, each once for every text they make.
+    keys = read.withColumn("_x", F.explode(F.array_distinct(F.array("_k", "_kb"))))
+    numbers = read.withColumn("_x", F.explode(F.array_distinct(F.array("_d", "_db"))))
+    long_named = want.filter(F.length("t_name") >= 3)
+    found = [
+        near_pairs(keys, want, TPL, "_x", "_tk", 25, None),
+        digit_pairs(numbers, want, TPL, "_x", "_td"),
+        digit_pairs(want, numbers, TPL, "_td", "_x"),
+        contained_pairs(long_named, read, TPL, "t_name", "_whole"),
+        contained_pairs(read, long_named, TPL, "_whole", "t_name"),
+        named.join(called, [*TPL, "_e"]),
+        near_pairs(named.filter(F.length("_n") >= 4), called.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, 16),
+    ]
+    out = found[0].select(*pair)
+    for part in found[1:]:
+        out = out.unionByName(part.select(*pair))
+    return out.distinct()
+
+
+def matching_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The candidates that pass: by_key (`row_key_match`), by_name (names that agree)."""
+    code, name, t_code, t_name = (F.col(c) for c in ("code", "name", "t_code", "t_name"))
+    both = F.concat("code", "name")
+    keyed = candidate_keys(seen, wanted).withColumns({
+        "_k": key_code(code), "_kb": key_code(both), "_tk": key_code(t_code), "_whole": both,
+    }).withColumns({"_d": digits(F.col("_k")), "_db": digits(F.col("_kb")), "_td": digits(F.col("_tk"))})
+    by_code = keys_match(*[F.col(c) for c in ("_tk", "_td", "_kb", "_db")]) & (F.contains("_whole", t_code) | (F.length("_tk") >= 3))
+    by_name = (F.length(t_name) >= 3) & (F.contains("_whole", t_name) | F.contains(t_name, F.col("_whole")))
     named = (t_name != "") & (name != "")
     same_name = F.when(named, text_match(t_name, name)).otherwise(F.lit(False))
-    like = both.select(
+    return keyed.select(
         *TPL, "code", "name", "t_code", "t_name",
         ((F.col("_tk") != "") & (by_code | by_name | keys_match(*[F.col(c) for c in ("_tk", "_td", "_k", "_d")]) | same_name)).alias("by_key"),
         same_name.alias("by_name"),
     ).filter("by_key or by_name")
-    by_text = spare.filter("code = ''").join(rows.filter(coded(t_code)), TPL).filter(F.contains("text", t_code))
-    glued = by_text.select("page_id", "r", "line_no", F.lit(True).alias("by_key"), F.lit(False).alias("by_name"))
-    found = spare.join(like, [*TPL, "code", "name"]).join(rows, [*TPL, "t_code", "t_name"])
-    return found.select("page_id", "r", "line_no", "by_key", "by_name").unionByName(glued)
 
 
-def _walk_rows(rows: Column, candidates: Column, blanks: Column) -> Column:
-    """Pairs of the row-key stage: each open row takes its first free line.
+def _walked(page: pd.DataFrame) -> pd.DataFrame:
+    """One page's pairs in template order: each open row takes its first free line; then, by name, each pair
+    whose row and line are both free. Every entry is looked at once.
 
-    A line without code and name fits every row whose name has 3 characters; such lines are
-    kept as one list per page instead of as pairs.
+    Parts: 0 an open row (li = 1 if any line without code and name fits it), 1 such a line, 2 row and line by
+    key, 3 row and line by name.
     """
-    start = F.struct(F.array().cast(_PAIRS).alias("pairs"), blanks.alias("rest"))
-
-    def step(acc: Column, row: Column) -> Column:
-        listed = F.coalesce(F.try_element_at(candidates, row["r"]), F.array().cast("array<bigint>"))
-        own = F.get(F.filter(listed, lambda x: ~F.exists(acc["pairs"], lambda p: p["li"] == x)), F.lit(0))
-        line = F.least(own, F.when(row["any"], F.get(acc["rest"], F.lit(0))))
-
-        def take(li: Column) -> Column:
-            pair = F.struct(row["r"].alias("r"), li.alias("li"))
-            grown = F.struct(F.concat(acc["pairs"], F.array(pair)).alias("pairs"), F.array_remove(acc["rest"], li).alias("rest"))
-            return F.when(li.isNull(), acc).otherwise(grown)
-
-        return let(line, take)
-
-    return F.aggregate(rows, start, step)["pairs"]
+    part, row, line = (page[c].to_numpy() for c in ("part", "r", "li"))
+    candidates: dict[int, list[int]] = {}
+    for r, li in zip(row[part == 2].tolist(), line[part == 2].tolist()):
+        candidates.setdefault(r, []).append(li)
+    blanks, used, found = sorted(line[part == 1].tolist()), set(), {}
+    next_blank = 0
+    for r, anything in sorted(zip(row[part == 0].tolist(), line[part == 0].tolist())):
+        while next_blank < len(blanks) and blanks[next_blank] in used:
+            next_blank += 1
+        free = [li for li in candidates.get(r, ()) if li not in used]
+        if anything and next_blank < len(blanks):
+            free.append(blanks[next_blank])
+        if free:
+            found[r] = min(free)
+            used.add(found[r])
+    rows = [(r, li, "key") for r, li in found.items()]
+    for r, li in sorted(zip(row[part == 3].tolist(), line[part == 3].tolist())):
+        if r not in found and li not in used:
+            found[r] = li
+            used.add(li)
+            rows.append((r, li, "name"))
+    out = pd.DataFrame(rows, columns=["r", "line_no", "stage"])
+    out.insert(0, "page_id", page["page_id"].iloc[0])
+    return out
 
 
 def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame:
     """(page_id, r, line_no, stage): exact codes first, then row keys, then names, each 1:1 in template order.
 
-    Exact pairs come from a join; only candidates among what they leave are walked in order. Exact
-    pairs, spare lines and candidates are written once, as several later joins read them.
+    Exact pairs come from a join; candidates among what they leave come from key lookups, and only these are
+    walked in order, page by page (a page is a sheet). Exact pairs and spare lines are written once, as
+    several later joins read them.
     """
     exact = materialized(align_exact(pages, tpl, lines))
     spare = materialized(lines.join(exact, ["page_id", "line_no"], "left_anti").join(pages, "page_id"))
-    row, line = F.col("r").cast("bigint"), F.col("line_no").cast("bigint")
-    is_blank = (F.col("code") == "") & (F.col("name") == "")
-    blanks = spare.filter(is_blank).groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("_blank"))
+    row, line = F.col("r").cast("long").alias("r"), F.col("line_no").cast("long").alias("li")
     pairs = materialized(_candidates(tpl, spare))
-    keyed = (
-        pairs.filter("by_key").groupBy("page_id", row.alias("r")).agg(F.array_sort(F.collect_set(line)).alias("lis"))
-        .groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "lis"))).alias("_keys"))
-    )
-    named = pairs.filter("by_name").join(exact.select("page_id", "r"), ["page_id", "r"], "left_anti").groupBy("page_id").agg(
-        F.array_sort(F.collect_set(F.struct(row.alias("r"), line.alias("li")))).alias("_names")
-    )
-    taken = exact.groupBy("page_id").agg(F.collect_set(row).alias("_taken"))
-    library = tpl.filter(coded(F.col("code"))).groupBy(*TPL).agg(
-        F.array_sort(F.collect_list(F.struct(row.alias("r"), (F.length("name") >= 3).alias("any")))).alias("_rows")
-    )
-    work = pages.join(library, TPL, "left")
-    for part in (blanks, keyed, named, taken):
-        work = work.join(part, "page_id", "left")
-    none = F.array().cast("array<bigint>")
-    open_rows = F.filter(
-        F.coalesce("_rows", F.array().cast("array<struct<r:bigint,any:boolean>>")),
-        lambda t: ~F.array_contains(F.coalesce("_taken", none), t["r"]),
-    )
-    candidates = F.coalesce("_keys", F.create_map().cast("map<bigint,array<bigint>>"))
-    work = work.withColumn("_keyed", _walk_rows(open_rows, candidates, F.coalesce("_blank", none)))
-    work = work.withColumn("_all", _claim(F.coalesce("_names", F.array().cast(_PAIRS)), F.col("_keyed")))
-    found = work.select("page_id", F.posexplode("_all").alias("i", "p"), F.size("_keyed").alias("n")).select(
-        "page_id", F.col("p.r").cast("int").alias("r"), F.col("p.li").cast("int").alias("line_no"),
-        F.when(F.col("i") < F.col("n"), "key").otherwise("name").alias("stage"),
-    )
+    open_rows = pages.join(tpl.filter(coded(F.col("code"))), TPL).join(exact.select("page_id", "r"), ["page_id", "r"], "left_anti")
+    nothing = F.lit(None).cast("long")
+    parts = (
+        open_rows.select("page_id", F.lit(0).alias("part"), row, (F.length("name") >= 3).cast("long").alias("li"))
+        .unionByName(spare.filter("code = '' and name = ''").select("page_id", F.lit(1).alias("part"), nothing.alias("r"), line))
+        .unionByName(pairs.filter("by_key").select("page_id", F.lit(2).alias("part"), row, line).distinct())
+        .unionByName(
+            pairs.filter("by_name").join(exact.select("page_id", "r"), ["page_id", "r"], "left_anti")
+            .select("page_id", F.lit(3).alias("part"), row, line).distinct()
+        )
+    ).select("page_id", "part", F.coalesce("r", F.lit(-1)).alias("r"), "li")
+    key = exact.schema["page_id"].dataType.simpleString()
+    # Pages with neither candidates nor lines that fit anything have nothing to walk.
+    busy = parts.filter("part > 0").select("page_id").distinct()
+    found = parts.join(busy, "page_id", "left_semi").groupBy("page_id").applyInPandas(_walked, f"page_id {key}, r int, line_no int, stage string")
     return exact.withColumn("stage", F.lit("code")).unionByName(found)
 
 
@@ -166,77 +194,109 @@ def unknown_lines(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
     placed = spare.join(pages, "page_id")
     codes = tpl.filter(coded(F.col("code"))).select(*TPL, F.col("code").alias("_t")).distinct()
     seen = placed.select(*TPL, "code").distinct()
-    known = seen.join(codes, TPL).filter(key_match(F.col("_t"), F.col("code"))).select(*TPL, "code").distinct()
+    read = seen.withColumns({"_k": key_code(F.col("code")), "_d": digits(key_code(F.col("code")))})
+    want = codes.withColumns({"_tk": key_code(F.col("_t")), "_td": digits(key_code(F.col("_t")))})
+    near = [near_pairs(read, want, TPL, "_k", "_tk", 25, None), digit_pairs(read, want, TPL, "_d", "_td"), digit_pairs(want, read, TPL, "_td", "_d")]
+    maybe = near[0].select(*TPL, "code", "_t").unionByName(near[1].select(*TPL, "code", "_t")).unionByName(near[2].select(*TPL, "code", "_t"))
+    known = maybe.filter(key_match(F.col("_t"), F.col("code"))).select(*TPL, "code").distinct()
     return placed.join(known, [*TPL, "code"], "left_anti").select("page_id", "line_no", "code")
 
 
+# Rows and lines walked together while nothing between them competes.
+RUN_ROWS = 4096
+
+
+def _nearest_free(group: pd.DataFrame) -> pd.DataFrame:
+    """Rows in order of r, each with the nearest line that is still free: a search in the sorted places, and
+    links over taken places that shorten as they are followed, so n log n in all.
+
+    Ties of distance go to the smaller line number. Lines of one place stand together, in the order of line_no.
+    """
+    is_row = group["is_row"].to_numpy()
+    lines = group[~is_row].sort_values(["y", "no"], kind="stable")
+    y, no = lines["y"].to_numpy(), lines["no"].to_numpy()
+    n = len(y)
+    up, down = np.arange(n + 1), np.arange(n + 1)  # next free place from i on; last free place before i, plus one
+
+    def free(links: np.ndarray, i: int) -> int:
+        root = i
+        while links[root] != root:
+            root = links[root]
+        while links[i] != root:
+            links[i], i = root, links[i]
+        return int(root)
+
+    def first_of_place(i: int) -> int:
+        """The free line of smallest number at the place of line i."""
+        return free(up, int(np.searchsorted(y, y[i], "left")))
+
+    rows, found = group[is_row].sort_values("no", kind="stable"), []
+    for r, want, reach in zip(rows["no"].tolist(), rows["y"].tolist(), rows["reach"].tolist()):
+        at = int(np.searchsorted(y, want, "left"))
+        above, below = free(up, at), free(down, at) - 1
+        best = []
+        if above < n and abs(y[above] - want) <= reach:
+            best.append((abs(y[above] - want), no[above], above))
+        if below >= 0 and abs(y[below] - want) <= reach:
+            i = first_of_place(below)
+            best.append((abs(y[i] - want), no[i], i))
+        if best:
+            _, line, i = min(best)
+            found.append((r, line))
+            up[i], down[i + 1] = i + 1, i
+    out = pd.DataFrame(found, columns=["r", "line_no"])
+    out.insert(0, "page_id", group["page_id"].iloc[0])
+    return out
+
+
 def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: DataFrame) -> DataFrame:
     """(page_id, r, line_no): rows without a code take the nearest unused line around the y their
-    matched neighbours imply, within 1.3 x the median line distance."""
-    place = F.struct("line_no", "y")
-    read = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(place)).alias("_lines"))
-    spare = lines.join(aligned.select("page_id", "line_no"), ["page_id", "line_no"], "left_anti")
-    free = spare.groupBy("page_id").agg(F.array_sort(F.collect_list(place)).alias("_free"))
-    anchors = aligned.join(lines.select("page_id", "line_no", "y"), ["page_id", "line_no"]).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("r").cast("bigint").alias("r"), "y"))).alias("_at")
-    )
-    blank = tpl.filter(~coded(F.col("code"))).groupBy(*TPL).agg(F.sort_array(F.collect_set(F.col("r").cast("bigint"))).alias("_blank"))
-    work = pages.join(free, "page_id").join(read, "page_id").join(anchors, "page_id").join(blank, TPL)
-    reach = F.coalesce(upper_median(gaps(F.transform("_lines", lambda x: x["y"]))), F.lit(20.0)) * 1.3
-    open_rows = F.array_except("_blank", F.transform("_at", lambda a: a["r"]))
-
-    def expected(r: Column) -> Column:
-        low = F.element_at(F.filter("_at", lambda a: a["r"] <= r), -1)
-        high = F.element_at(F.filter("_at", lambda a: a["r"] >= r), 1)
-        first, last = F.element_at("_at", 1), F.element_at("_at", -1)
-        inner = low["y"] + (high["y"] - low["y"]) * (r - low["r"]) / F.nullif(high["r"] - low["r"], F.lit(0))
-        return F.when(r <= first["r"], first["y"]).when(r >= last["r"], last["y"]).otherwise(F.coalesce(inner, low["y"]))
-
-    def claim(acc: Column, r: Column, y: Column, limit: Column) -> Column:
-        near = F.filter("_free", lambda x: (F.abs(x["y"] - y) <= limit) & ~F.exists(acc, lambda p: p["li"] == x["line_no"]))
-        ranked = F.transform(near, lambda x: F.struct(F.abs(x["y"] - y).alias("d"), x["line_no"].cast("bigint").alias("li")))
-        pair = lambda best: F.when(best.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(r.alias("r"), best["li"].alias("li")))))
-        return let(F.array_min(ranked), pair)
-
-    def walk(limit: Column) -> Column:
-        step = lambda acc, r: let(expected(r), lambda y: claim(acc, r, y, limit))
-        return F.aggregate(open_rows, F.array().cast(_PAIRS), step)
-
-    # `let` keeps the page's limit from being computed again for every line.
-    walked = work.withColumn("_claims", let(reach, walk))
-    return walked.select("page_id", F.inline("_claims")).select("page_id", F.col("r").cast("int").alias("r"), F.col("li").cast("int").alias("line_no"))
-
-
-def _segments(key: Column) -> Column:
-    """Blocking keys of a code: one of them is shared by any two codes that match.
-
-    With at most floor(0.3 L) differing positions among L, one of floor(0.3 L) + 1 position
-    ranges agrees completely. L is the longer length, so the own length or one more.
-    """
-    n = F.length(key)
-
-    def ranges(size: Column) -> Column:
-        parts = F.floor(size * 0.3).cast("int") + 1
-        cut = lambda i: F.floor(size * i / parts).cast("int")
-        all_parts = F.transform(
-            F.sequence(F.lit(0), parts - 1),
-            lambda i: F.struct(size.alias("len"), i.alias("seg"), F.substr(key, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"), (cut(i + 1) <= n).alias("whole")),
-        )
-        return F.filter(all_parts, lambda s: s["whole"])
+    matched neighbours imply, within 1.3 x the median line distance.
 
-    return F.concat(ranges(n), ranges(n + 1))
+    Neighbours come from windows over a page's rows. Rows and lines are cut into runs with no free line in
+    reach of two of them; a run is walked alone, so a long page is many small groups unless all its rows
+    compete.
+    """
+    y = F.col("y").cast("double")
+    step = F.lag(y).over(Window.partitionBy("page_id").orderBy("line_no", y))
+    between = lines.select("page_id", (y - step).alias("gap")).filter("gap is not null").groupBy("page_id").agg(F.array_sort(F.collect_list("gap")).alias("g"))
+    reach = between.select("page_id", (F.coalesce(F.element_at("g", F.floor(F.size("g") / 2).cast("int") + 1), F.lit(20.0)) * 1.3).alias("reach"))
+    anchors = aligned.join(lines.select("page_id", "line_no", y.alias("y")), ["page_id", "line_no"]).groupBy("page_id", F.col("r").cast("long").alias("r")).agg(F.min("y").alias("lo_y"), F.max("y").alias("hi_y"))
+    held = anchors.select("page_id").distinct()
+    blank = pages.join(tpl.filter(~coded(F.col("code"))).select(*TPL, F.col("r").cast("long").alias("r")).distinct(), TPL).join(held, "page_id", "left_semi")
+    blank = blank.select("page_id", "r").join(anchors.select("page_id", "r"), ["page_id", "r"], "left_anti")
+    both = blank.select("page_id", "r", F.lit(None).cast("double").alias("lo_y"), F.lit(None).cast("double").alias("hi_y")).unionByName(anchors)
+    # Of several lines on one row the last counts as the neighbour above, the first as the one below.
+    here = F.when(F.col("lo_y").isNotNull(), F.struct("r", "lo_y", "hi_y"))
+    # Both neighbours by frames that only grow; the one below by the opposite order.
+    until = lambda *by: Window.partitionBy("page_id").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    low, high = F.last(here, ignorenulls=True).over(until("r")), F.last(here, ignorenulls=True).over(until(F.desc("r")))
+    seen = both.select("page_id", "r", F.col("lo_y").isNull().alias("is_blank"), low.alias("low"), high.alias("high")).filter("is_blank")
+    inner = F.col("low.hi_y") + (F.col("high.lo_y") - F.col("low.hi_y")) * (F.col("r") - F.col("low.r")) / (F.col("high.r") - F.col("low.r"))
+    expected = F.when(F.col("low").isNull(), F.col("high.lo_y")).when(F.col("high").isNull(), F.col("low.hi_y")).otherwise(inner)
+    rows = seen.join(reach, "page_id").select("page_id", F.lit(True).alias("is_row"), F.col("r").alias("no"), expected.alias("y"), "reach")
+    spare = lines.join(aligned.select("page_id", "line_no"), ["page_id", "line_no"], "left_anti").join(held, "page_id", "left_semi")
+    free = spare.join(reach, "page_id").select("page_id", F.lit(False).alias("is_row"), F.col("line_no").cast("long").alias("no"), y.alias("y"), "reach")
+    # A gap of more than the reach between neighbours in y (rows or lines) parts the page into runs.
+    order = Window.partitionBy("page_id").orderBy("y", "is_row", "no")
+    cut = F.coalesce(y - F.lag("y").over(order) > F.col("reach"), F.lit(True))
+    parted = rows.unionByName(free).withColumn("_start", F.when(cut, F.row_number().over(order)))
+    # Short runs that stand side by side are walked together.
+    start = F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = parted.withColumn("run", F.floor(start / RUN_ROWS).cast("int")).drop("_start")
+    key = pages.schema["page_id"].dataType.simpleString()
+    return runs.groupBy("page_id", "run").applyInPandas(_nearest_free, f"page_id {key}, r int, line_no int")
 
 
 def template_hits(items: DataFrame, tpl: DataFrame) -> DataFrame:
     """(page_id, code): template codes that some text of the page resembles.
 
-    The fuzzy test runs once per distinct (text, code), blocked by shared segments.
+    The fuzzy test runs once per distinct (text, code) that agrees on all but the places it may differ in.
     """
     texts = items.select("page_id", key_code(F.col("text")).alias("key")).filter("key <> ''").distinct()
     codes = tpl.filter(F.regexp_like("code", F.lit(r"\d"))).select(F.col("code"), key_code(F.col("code")).alias("ckey")).distinct()
-    left = texts.select("key").distinct().select("key", F.inline(_segments(F.col("key"))))
-    right = codes.select("code", "ckey", F.inline(_segments(F.col("ckey"))))
-    like = left.join(right, ["len", "seg", "piece"]).filter(codes_match(F.col("key"), F.col("ckey"))).select("key", "code").distinct()
+    near = near_pairs(texts.select("key").distinct(), codes, [], "key", "ckey", 30, None)
+    like = near.filter(codes_match(F.col("key"), F.col("ckey"))).select("key", "code").distinct()
     return texts.join(like, "key").select("page_id", "code").distinct()
 
 

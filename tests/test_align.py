@@ -103,3 +103,85 @@ def test_segments_cover_every_match(spark):
     pairs = spark.createDataFrame([(x, c) for x in texts for c in codes], "x string, c string")
     want = {r.c for r in pairs.filter(codes_match(F.col("x"), F.col("c"))).select("c").distinct().collect()}
     assert {r.code for r in align.template_hits(items, tpl).collect()} == want
+
+
+def test_keys_of_one_chart_of_accounts_are_not_hot(spark):
+    """All codes begin alike: no key holds many pairs, and candidates stay near the matches."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.fuzzy import codes_match
+    from ledgerloom.operators.fuzzy_index import near_keys, near_pairs
+
+    codes = spark.range(6000).select(F.concat(F.lit("1100"), F.lpad((F.col("id") * 7919 % 100000).cast("string"), 5, "0")).alias("code"))
+    keys = near_keys(codes, "code", 30, F.length("code") + 1).groupBy("len", "way", "piece").count()
+    total, largest = keys.agg(F.sum("count"), F.max("count")).first()
+    assert largest < 0.01 * total
+    pairs = near_pairs(codes, codes.withColumnRenamed("code", "other"), [], "code", "other", 30, None).distinct()
+    assert pairs.count() < 0.2 * 6000 * 6000
+    some = codes.limit(40)
+    want = some.crossJoin(codes.withColumnRenamed("code", "other")).filter(codes_match(F.col("code"), F.col("other"))).count()
+    assert pairs.join(some, "code").filter(codes_match(F.col("code"), F.col("other"))).count() == want > 40
+
+
+def test_kept_positions_leave_every_choice_of_differing_places():
+    from itertools import combinations
+
+    from ledgerloom.operators.fuzzy_index import kept_positions
+
+    for length in range(1, 15):
+        for differing in range(0, length * 30 // 100 + 1):
+            ways = kept_positions(length, differing, 36)
+            for wrong in combinations(range(1, length + 1), differing):
+                assert any(all(not (at <= w < at + n) for at, n in way for w in wrong) for way in ways), (length, differing, wrong)
+
+
+def test_contained_and_digit_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.fuzzy_index import contained_pairs, digit_pairs
+
+    rnd = random.Random(3)
+    shorts = ["".join(rnd.choice("0123") for _ in range(rnd.randint(1, 20))) for _ in range(120)] + ["9", "7" * 30, "12" * 15]
+    longs = ["".join(rnd.choice("0123") for _ in range(rnd.randint(1, 40))) for _ in range(200)] + ["9", "17" + "7" * 31, "12" * 16, ""]
+    a = spark.createDataFrame([(1, x) for x in dict.fromkeys(shorts)], "p int, a string")
+    b = spark.createDataFrame([(1, x) for x in dict.fromkeys(longs)], "p int, b string")
+    want = {(x, y) for x in shorts for y in longs if x in y}
+    assert {(r.a, r.b) for r in contained_pairs(a, b, ["p"], "a", "b").collect()} == want
+    inside = {(x, y) for x, y in want if len(x) >= 3 and len(y) - len(x) <= len(y) * 0.6}
+    assert {(r.a, r.b) for r in digit_pairs(a, b, ["p"], "a", "b").select("a", "b").collect()} == inside
+    assert contained_pairs(a.limit(0), b, ["p"], "a", "b").isEmpty() and contained_pairs(a, b.withColumn("p", F.lit(2)), ["p"], "a", "b").isEmpty()
+
+
+def nearest_by_hand(rows, lines, reach):
+    free, found = list(lines), {}
+    for r, y in sorted(rows):
+        near = [(abs(ly - y), no) for no, ly in free if abs(ly - y) <= reach]
+        if near:
+            found[r] = min(near)[1]
+            free = [x for x in free if x[0] != found[r]]
+    return found
+
+
+def test_claims_of_a_long_page(spark):
+    """100,000 lines on one page, and a crowded page against a plain search."""
+    from pyspark.sql import functions as F
+
+    n = 50_000
+    lines = spark.range(2 * n).select(F.lit(1).cast("long").alias("page_id"), F.col("id").cast("int").alias("line_no"), (F.col("id") * 10.0).alias("y"))
+    rows = spark.range(2 * n).select(F.lit("D").alias("doc"), F.lit("P").alias("page"), F.col("id").cast("int").alias("r"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("").alias("code"), F.lit("").alias("name"))
+    pages = spark.createDataFrame([(1, "D", "P"), (2, "D", "Q")], "page_id long, doc string, page string")
+    aligned = spark.range(n).select(F.lit(1).cast("long").alias("page_id"), (F.col("id") * 2).cast("int").alias("r"), (F.col("id") * 2).cast("int").alias("line_no"))
+    rnd = random.Random(8)
+    places = [(i, float(rnd.randrange(0, 400))) for i in range(150)]
+    crowd = spark.createDataFrame([(2, i, y) for i, y in sorted(places, key=lambda x: x[1])], lines.schema)
+    few = spark.createDataFrame([("D", "Q", r, str(r) if r in (0, 70) else "", "") for r in range(71)], rows.schema)
+    held = {0: 3, 70: 90}
+    both = spark.createDataFrame([(2, r, li) for r, li in held.items()], aligned.schema).unionByName(aligned)
+    got = align.claim_nearest(pages, rows.unionByName(few), lines.unionByName(crowd), both)
+    assert got.filter("page_id = 1 and r = line_no").count() == n == got.filter("page_id = 1").count()
+    at = dict(places)
+    steps = [at[i + 1] - at[i] for i in range(149)]
+    reach = 1.3 * sorted(steps)[len(steps) // 2]
+    wanted = [(r, at[3] + (at[90] - at[3]) * r / 70) for r in range(1, 70)]
+    plain = nearest_by_hand(wanted, [(i, y) for i, y in places if i not in held.values()], abs(reach) if reach > 0 else reach)
+    assert {r.r: r.line_no for r in got.filter("page_id = 2").collect()} == plain
