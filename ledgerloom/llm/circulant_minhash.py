@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, as_bytes, connected, map_slices, mixed
+from ledgerloom.llm.common import WordHashes, as_bytes, connected, map_slices, mixed, without
 from ledgerloom.scale import materialized
 
 SHINGLE = 5
@@ -253,7 +253,8 @@ def near_links(docs: DataFrame, described: DataFrame, limit: Limit = AT_85) -> D
     return linked.union(star.filter("linked").select("leader", "cls")).union(_links_beside(star, limit))
 
 
-def _components(docs: DataFrame, limit: Limit) -> DataFrame:
+def _labelled(docs: DataFrame, limit: Limit) -> tuple[DataFrame, DataFrame]:
+    """(cls, label, least) of every class of equal sets, where label is the same within a component; and the described rows."""
     described = materialized(
         map_slices(
             docs, _described(WordHashes(), limit),
@@ -264,7 +265,11 @@ def _components(docs: DataFrame, limit: Limit) -> DataFrame:
     per_class = described.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(
         labels.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("label", F.coalesce("label", "cls"))
-    per_class = materialized(per_class)
+    return materialized(per_class.select("cls", "label", "least")), described
+
+
+def _components(docs: DataFrame, limit: Limit) -> DataFrame:
+    per_class, described = _labelled(docs, limit)
     least = per_class.groupBy("label").agg(F.min("least").alias("component_id"))
     named = per_class.join(least, "label").select("cls", "component_id")
     return (
@@ -286,18 +291,21 @@ def near_duplicates(docs: DataFrame, limit: Limit = AT_85) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, limit: Limit = AT_85) -> DataFrame:
-    """One row of each component, with all its columns: the one of the smallest id. Of rows that repeat
-    id and text one stays."""
-    found = materialized(_components(_picked(docs), limit))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-
-    def listed(rows: DataFrame) -> Column:
-        return docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_hash"])
-
-    left = docs.join(gone, listed(gone), "left_anti")
-    again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    again = materialized(again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    """One row of each component, with all its columns: of the smallest id (a null id last), then of the
+    smallest text hash. So near copies without an id, or that share an id, leave one row like others do.
+    Rows without words are no near copies of anything; they stay, one of each id and text."""
+    labels, described = _labelled(_picked(docs), limit)
+    mine = F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "text_hash")
+    worded = described.filter("cls is not null").join(labels, "cls").withColumn("_mine", mine)
+    best = worded.groupBy("label").agg(F.min("_mine").alias("_best"))
+    gone = worded.join(best, "label").filter(F.col("_mine") != F.col("_best")).select("doc_id", "text_hash")
+    left = without(docs, materialized(gone))
+    again = described.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id", "text_hash")
+    again = materialized(again)
     if again.isEmpty():
         return left
-    once = left.join(again, listed(again), "left_anti")
-    return once.unionByName(left.join(again, listed(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    repeats = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = docs["doc_id"].eqNullSafe(repeats["_id"]) & (F.xxhash64(docs["text"].cast("string")) == repeats["_hash"])
+    once = without(docs, materialized(gone.unionByName(again)))
+    twice = left.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(twice)

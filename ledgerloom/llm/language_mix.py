@@ -6,15 +6,15 @@ set of languages is the one of best penalised likelihood among nested sets of it
 from one up to all learned languages. A larger set is fitted unless a bound on the likelihood of every
 mixture shows that it cannot win, so leaving it out changes no result.
 
-Defined cases: a null text or one without a letter is `und` with score 0; so is every text when no
+Defined cases: a null text or one without a letter (Unicode category L) is `und` with score 0; so is every text when no
 language could be learned; a null id counts as the empty text for the folds; rows with a null lang
-are not learned from; repeated rows are scored each; ties go to the language first by name; columns
-other than doc_id, text and lang are not read.
+are not learned from; repeated rows are scored each; ties go to the language first by name; a text of any
+length is fitted whole, by the counts of its distinct trigrams; columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +30,14 @@ ROUNDS = 10
 OVERLAP = 3
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; other signs that count as alphanumeric (², ½, Ⅷ) are none."""
+    return any(c.isalpha() and unicodedata.category(c)[0] == "L" for c in text)
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hashed byte trigrams whose middle byte belongs to a letter, of the lower-cased text."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_PLAIN) + b" ", np.uint8)
@@ -134,7 +138,7 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
-        ready = [i for i, t in enumerate(texts) if names and t and _LETTER.search(t)]
+        ready = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
         lang, score, chosen = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
         if ready:
             share = proportions([texts[i] for i in ready], model)

@@ -1,12 +1,14 @@
 """Packed id matrices: best-fit-decreasing packing of documents into rows of one length.
 
-Documents are turned into ids (UTF-8 bytes and an end mark, unless another encoder is given). Longer ones
-are cut into rows and a rest, nothing is lost. Within a block of documents the pieces are placed from the
-largest down, each into the fullest row that still holds it, found by a segment tree over free capacities.
-Blocks are slices of a partition, so packing needs no shuffle and its memory is bounded.
-
-Defined cases: null and empty texts are the end mark alone; ties keep the order of the rows; repeated rows
-are packed each; a null id is a null in doc_ids; an empty table gives no row; only doc_id and text are read.
+Documents are turned into token ids and an end id. Longer ones are cut into rows and a rest, nothing is lost.
+Within a block of documents the pieces are placed from the largest down, each into the fullest row that
+still holds it, found by a segment tree over free capacities. Blocks are slices of a partition, so packing
+needs no shuffle and its memory is bounded. Ids are 16 or 32 bits wide, as the vocabulary asks; an id that
+does not fit its vocabulary is an error.
+
+Defined cases: null and empty texts are the end id alone; ties keep the order of the rows; repeated rows
+are packed each; a null id is a null in doc_ids; a text of any length is cut into rows; an empty table gives
+no row; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -18,18 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, sliced
+from ledgerloom.llm import binary_files
+from ledgerloom.llm.common import sliced
 
 ROW = 2048
-END, PAD = 256, 257
-Encoder = Callable[[bytes], np.ndarray]
+# Texts of a slice -> ids of each.
+Encoder = Callable[[list[str | None]], list[np.ndarray]]
 SCHEMA = (
     "doc_ids array<long>, offsets array<long>, cu_seqlens array<int>, n_tokens int, ids binary, positions binary"
 )
 
 
-def byte_ids(text: bytes) -> np.ndarray:
-    return np.append(np.frombuffer(text, np.uint8).astype(np.uint16), np.uint16(END))
+def width_of(most: int) -> type:
+    """The narrowest unsigned type that holds numbers up to `most`."""
+    if most < 1 << 16:
+        return np.uint16
+    if most < 1 << 32:
+        return np.uint32
+    raise ValueError(f"ids up to {most} do not fit 32 bits")
 
 
 class FreeCapacities:
@@ -81,16 +89,19 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def _pack(doc_ids: list, texts: list[bytes | None], length: int, encode: Encoder) -> pa.RecordBatch:
+def _pack(doc_ids: list, encoded: list[np.ndarray], length: int, end: int, pad: int, vocabulary: int) -> pa.RecordBatch:
+    kind, place = width_of(max(vocabulary - 1, end, pad)), width_of(length - 1)
     pieces = []
-    for doc, text in zip(doc_ids, texts):
-        ids = encode(text or b"")
+    for doc, ids in zip(doc_ids, encoded):
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < vocabulary:
+            raise ValueError(f"document {doc} has an id outside the vocabulary of {vocabulary}")
+        ids = np.append(ids, end).astype(kind)
         pieces += [(doc, at, ids[at : at + length]) for at in range(0, len(ids), length)]
     out: dict[str, list] = {name.split()[0]: [] for name in SCHEMA.split(", ")}
     for row in best_fit([len(p[2]) for p in pieces], length):
         taken = [pieces[i] for i in row]
         ends = np.cumsum([0] + [len(p[2]) for p in taken])
-        ids, positions = np.full(length, PAD, np.uint16), np.zeros(length, np.uint16)
+        ids, positions = np.full(length, pad, kind), np.zeros(length, place)
         for (_, _, part), at in zip(taken, ends):
             ids[at : at + len(part)] = part
             positions[at : at + len(part)] = np.arange(len(part))
@@ -101,12 +112,30 @@ def _pack(doc_ids: list, texts: list[bytes | None], length: int, encode: Encoder
     return pa.RecordBatch.from_pydict({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
 
 
-def packed(docs: DataFrame, length: int = ROW, encode: Encoder = byte_ids) -> DataFrame:
+def packed(docs: DataFrame, encode: Encoder, vocabulary: int, end: int, pad: int, length: int = ROW) -> DataFrame:
     """One row per matrix row: the documents and their offsets, cumulative segment lengths, ids and positions
-    (16-bit little-endian, `length` each; positions start again at every segment)."""
+    (little-endian, `length` each, of the widths that vocabulary and length ask; positions start again at
+    every segment). `end` closes each document, `pad` fills up rows; both may be ids of the vocabulary or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            yield _pack(batch.column("doc_id").to_pylist(), as_bytes(batch), length, encode)
+            yield _pack(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), length, end, pad, vocabulary)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+
+
+def write_matrix(rows: DataFrame, path: str, vocabulary: int, end: int, pad: int, length: int = ROW) -> None:
+    """The ids of all rows as files of plain numbers, row after row, with a listing that tells their shape;
+    beside it, in the folder `segments`, which documents the rows hold."""
+    kept = rows.select("ids", "cu_seqlens", "doc_ids", "offsets")
+    about = {"length": length, "type": np.dtype(width_of(max(vocabulary - 1, end, pad))).name, "end": end, "pad": pad}
+    binary_files.write_files(kept.select("ids"), path, ".bin", about)
+    kept.drop("ids").write.parquet(f"{path}/segments")
+
+
+def read_matrix(path: str) -> Iterator[np.ndarray]:
+    """The matrices of the files, one after the other."""
+    found = binary_files.listing(path)
+    about = found["about"]
+    for one in found["files"]:
+        yield np.frombuffer(binary_files.read_file(path, one["name"]), about["type"]).reshape(one["rows"], about["length"])

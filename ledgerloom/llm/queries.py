@@ -42,7 +42,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.packed(table(spark, sf_dir, "documents"))
+    encode, vocabulary, end = sentencepiece_codec.encoder()
+    # The padding is the first number after the vocabulary.
+    rows = packing.packed(table(spark, sf_dir, "documents"), encode, vocabulary, end, pad=vocabulary)
     return rows.select(
         "doc_ids", "offsets", "cu_seqlens", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
     )

@@ -6,8 +6,12 @@ order of their scores) and the byte fallback are rebuilt. Texts are cut where no
 a marker that follows another character), every distinct cut of a slice is encoded once by
 encode_batch, decoded again and compared with the sentencepiece library.
 
-Defined cases: null and empty texts have no tokens, and are whole and equal by definition; repeated rows
-are encoded each; an empty table gives an empty result; only doc_id and text are read. The model file is
+round_trip says whether decode(ids) gives the text back; a text that itself holds the marker, or that the
+model's normaliser changes, does not come back. Where a model has a character map or joins spaces, each
+whole text is also encoded by the library, so that parity covers the normaliser.
+
+Defined cases: null and empty texts have no tokens, and are whole and equal by definition; texts of any
+length are encoded whole; repeated rows are encoded each; an empty table gives an empty result; only doc_id and text are read. The model file is
 read by the driver and sent along (about half a megabyte).
 """
 
@@ -18,7 +22,7 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import chain
@@ -28,14 +32,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
 from ledgerloom.llm.common import REMEMBERED, map_slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+NORMAL, UNKNOWN, DEFINED, BYTE = 1, 2, 4, 6
 # Threads of one worker, and cuts per call of the library.
 THREADS, BATCH = "2", 1 << 13
 
@@ -148,10 +152,15 @@ def _grouped(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str
 class Codec:
     """Encoder and decoder of one worker, with a memory of cuts."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, judged: bool = True):
+        self.judged = judged  # whether cuts are decoded and compared with the library
         self.model = parse_model(raw)
         self.whole = build_tokenizer(self.model)
         self.plain = Tokenizer(self.whole.model)
+        defined = [AddedToken(p, normalized=False) for p, _, kind in self.model.pieces if kind == DEFINED]
+        if defined:
+            self.plain.add_tokens(defined)
+            self.whole.add_tokens(defined)
         self.pieces = [p for p, _, _ in self.model.pieces]
         self.scores = {p: (s, i) for i, (p, s, kind) in enumerate(self.model.pieces) if kind == NORMAL}
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
@@ -219,6 +228,8 @@ class Codec:
         found = [e.ids for e in self.plain.encode_batch_fast(core, add_special_tokens=False)]
         if core is not new:
             found = [ids if c == k or c == MARK else self._spaced(c, ids) for c, k, ids in zip(new, core, found)]
+        if not self.judged:
+            return {cut: array("i", ids).tobytes() for cut, ids in zip(new, found)}
         texts = [c.removeprefix(MARK) if self.model.dummy_prefix else c for c in new]
         texts = [t.replace(MARK, " ") for t in texts]
         back = self.whole.decode_batch(found, skip_special_tokens=False)
@@ -244,20 +255,28 @@ class Codec:
             normal = [self.normalized(t) if t else "" for t in group]
             cuts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in normal]
             known = self.learn(chain.from_iterable(cuts))
-            for row in cuts:
+            for text, plain, row in zip(group, normal, cuts):
                 ids = np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32)
-                out.append((ids, not self.lossy or self.lossy.isdisjoint(row), not self.differing or self.differing.isdisjoint(row)))
+                whole = (not self.lossy or self.lossy.isdisjoint(row)) and self._comes_back(text, plain)
+                equal = not self.differing or self.differing.isdisjoint(row)
+                if self.judged and text and (self.model.charsmap or self.model.squeeze_spaces):
+                    equal = self.judge.encode(text) == ids.tolist()
+                out.append((ids, whole, equal))
         return out
 
+    def _comes_back(self, text: str | None, normal: str) -> bool:
+        """Whether the normalised text still tells the text: no marker of its own, nothing changed or joined."""
+        return not text or MARK not in text and (normal.removeprefix(MARK) if self.model.dummy_prefix else normal).replace(MARK, " ") == text
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch([list(x) for x in ids], skip_special_tokens=False)
 
 
 @cache
-def codec(raw: bytes) -> Codec:
+def codec(raw: bytes, judged: bool = True) -> Codec:
     # The library's pool would take a thread for every core of the machine in every worker; it reads this when it starts.
     os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
-    return Codec(raw)
+    return Codec(raw, judged)
 
 
 def model_bytes(path: str = MODEL_FILE) -> bytes:
@@ -284,6 +303,14 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
     return map_slices(picked, one, "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean")
 
 
+def encoder(path: str = MODEL_FILE) -> tuple[Callable[[list[str | None]], list[np.ndarray]], int, int]:
+    """(texts -> ids of each, size of the vocabulary, the end id), without the comparisons of `encode`."""
+    raw = model_bytes(path)
+    pieces = [p for p, _, _ in parse_model(raw).pieces]
+    end = pieces.index("</s>") if "</s>" in pieces else len(pieces)
+    return (lambda texts: [x[0] for x in codec(raw, False).encode(texts)]), len(pieces), end
+
+
 def decode(encoded: DataFrame, path: str = MODEL_FILE) -> DataFrame:
     """Per row: doc_id, text; null ids give a null text."""
     raw = model_bytes(path)

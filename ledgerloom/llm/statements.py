@@ -1,5 +1,7 @@
 """DuckDB statements of the queries that SQL can express."""
 
+from html.entities import name2codepoint
+
 HOST_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text,
  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -8,14 +10,15 @@ g as (select rid, i, array_to_string(w[i:i + 7], ' ') as k from (select rid, w,
 r as (select rid, i from (select rid, i, count(*) over (partition by rid, k) as c from g) where c > 1),
 p as (select rid, count(distinct i + j) as n from r, range(8) s(j) group by rid),
 m as (select d.rid, doc_id, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
- length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+ length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
  coalesce(p.n, 0) as n_repeat_words from d join l using (rid) left join p using (rid)),
 f as (select *, n_words < 20 as f1, 100 * n_repeat_words > 30 * n_words as f2, 100 * n_symbols > 10 * word_chars as f3,
- 100 * n_dup_lines > 10 * n_words as f4, word_chars > 15 * n_words as f5 from m),
+ 100 * n_dup_lines > 10 * n_lines as f4, word_chars > 15 * n_words as f5 from m),
 h as (select source, u.rule, count(*) as n, count(*) filter (u.bad) as k from f,
- lateral (values (1, f1), (2, f2), (3, f3), (4, f4), (5, f5)) u(rule, bad) where source is not null group by all),
-b as (select rule, avg(k / n) as mean, var_pop(k / n) as v from h group by rule),
-s as (select rule, mean, least(greatest(case when v > 1e-12 then mean * (1 - mean) / v - 1 else 1e6 end, 1), 1e6) as z from b),
+ lateral (values (1, f1), (2, f2), (3, f3), (4, f4), (5, f5), (6, f1 or f2 or f3 or f4 or f5)) u(rule, bad) where source is not null group by all),
+b as (select rule, count(*) as hosts, sum(n) as n1, sum(n * n) as n2, sum(k) / sum(n) as mean, sum(k * k / n) - sum(k) * sum(k) / sum(n) as spread from h group by rule),
+o as (select rule, mean, (spread / nullif(mean * (1 - mean), 0) - (hosts - 1)) / nullif(n1 - n2 / n1 - (hosts - 1), 0) as rho from b),
+s as (select rule, mean, least(greatest(case when rho > 0 then 1 / rho - 1 else 1e6 end, 1), 1e6) as z from o),
 x as (select source, max((k + mean * z) / (n + z)) > 0.5 as host_failed from h join s using (rule) group by source)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, (f1 or f2) as base_failed,
@@ -53,9 +56,9 @@ from d left join t using (doc_id) left join m using (doc_id)
 """
 
 URL_SQL = r"""
-with c as (select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') as host,
+with c as (select page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1)), '\.+$', ''), '') as host,
  cast(date '2024-01-01' + cast(page_id % 366 as int) as date) as day from pages),
-w as (select page_id, host, day, i as rank, array_to_string(l[i:], '.') as domain from (select *, string_split(host, '.') as l from c where host is not null),
+w as (select page_id, host, day, i as rank, array_to_string(l[i:], '.') as domain from (select *, case when regexp_matches(host, '^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$') then [host] else string_split(host, '.') end as l from c where host is not null),
  lateral (select unnest(generate_series(1, greatest(len(l) - 1, 1))) as i)),
 n as (select domain, cast('0x' || substr(md5(domain), 1, 6) as bigint) as k from (select distinct domain from w)),
 e as (select domain, cast(date '2024-01-01' + cast(k % 200 + p.d as int) as date) as list_day, p.action from n join
@@ -65,6 +68,18 @@ b as (select page_id, arg_min(domain, rank) as list_domain, arg_min(list_day, ra
 select c.page_id, c.host, c.day, coalesce(b.action = 'block', false) as blocked, b.list_domain, b.list_day from c left join b using (page_id)
 """
 
+_REFERENCES = "map {" + ", ".join(f"'{n}': chr({c})" for n, c in sorted({**name2codepoint, 'apos': 39}.items())) + "}"
+
+
+def _decoded(text: str) -> str:
+    """Character references of a text: numbers, and the names of HTML 4."""
+    ref = r"regexp_extract(x, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});', 1)"
+    number = "case when ref[1:2] in ('#x', '#X') then cast('0x' || ref[3:] as bigint) else try_cast(ref[2:] as bigint) end"
+    char = f"case when ref = '' then null when ref[1] = '#' then (case when {number} between 1 and 55295 or {number} between 57344 and 1114111 then chr(cast({number} as int)) else chr(65533) end) else names[ref] end"
+    each = f"(select string_agg(case when i = 1 then x when {char} is null then '&' || x else {char} || x[length(ref) + 2:] end, '' order by i) from (select i, x, {ref} as ref, {_REFERENCES} as names from (select unnest(string_split({text}, '&')) as x, unnest(generate_series(1, len(string_split({text}, '&')))) as i)))"
+    return f"case when contains({text}, '&') then {each} else {text} end"
+
+
 WARC_SQL = r"""
 with r as (select page_id, coalesce(html, '') as payload, coalesce(url, '') as target_uri, '2024-01-01T00:00:00Z' as refers_to_date,
  md5('response|' || coalesce(cast(page_id as varchar), '') || '|' || coalesce(url, '')) as h from pages),
@@ -72,16 +87,15 @@ s as (select *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '
  'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) as hs from r),
 t as (select *, 'sha256:' || sha256('HTTP/1.1 200 OK' || chr(13) || chr(10) || hs || chr(13) || chr(10) || chr(13) || chr(10) || payload) as source_block_digest,
  'sha256:' || sha256(payload) as source_payload_digest from s),
-x as (select *, regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+x as (select *, regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)', ' ', 'g'),
  '(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|title|article|footer|nav)\s*>', chr(10), 'g'), '<[^>]*>', '', 'g') as p from t),
-y as (select *, replace(replace(replace(replace(replace(replace(replace(replace(p, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
- '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as q from x),
+y as (select *, """ + _decoded("p") + r""" as q, trim(regexp_replace(""" + _decoded("t0") + r""", '[\s\p{Z}]+', ' ', 'g')) as title from (select *, regexp_extract(payload, '(?is)<title>([^<]*)</title>', 1) as t0 from x)),
 b as (select page_id, refers_to, target_uri, refers_to_date, source_block_digest, source_payload_digest, 'metadata' as record_type,
- 'application/warc-fields' as content_type, 'source-status: 200' || chr(13) || chr(10) || 'title: ' || trim(regexp_extract(payload, '(?is)<title>([^<]*)</title>', 1))
+ 'application/warc-fields' as content_type, 'source-status: 200' || chr(13) || chr(10) || 'title: ' || title
  || chr(13) || chr(10) || 'source-block-digest: ' || source_block_digest || chr(13) || chr(10) || 'source-payload-digest: ' || source_payload_digest
  || chr(13) || chr(10) || 'source-header: ' || replace(hs, chr(13) || chr(10), chr(13) || chr(10) || 'source-header: ') || chr(13) || chr(10) as block from y
  union all select page_id, refers_to, target_uri, refers_to_date, source_block_digest, source_payload_digest, 'conversion', 'text/plain',
- regexp_replace(regexp_replace(regexp_replace(q, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') from y),
+ regexp_replace(regexp_replace(regexp_replace(q, '[ \t\r\x{A0}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') from y),
 c as (select *, md5(record_type || '|' || refers_to) as g, 'sha256:' || sha256(block) as block_digest, cast(strlen(block) as bigint) as content_length from b),
 d as (select *, '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-' || g[13:16] || '-' || g[17:20] || '-' || g[21:32] || '>' as record_id, chr(13) || chr(10) as nl from c)
 select page_id, refers_to, target_uri, refers_to_date, source_block_digest, source_payload_digest, record_type, content_type, record_id, content_length, block_digest,

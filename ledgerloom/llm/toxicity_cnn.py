@@ -10,7 +10,8 @@ The score is shifted so that 0.5 is the threshold.
 
 Defined cases: empty and null texts are one empty word and get the network's score for it; a null id
 counts as the empty text for the folds; rows without a label are not learned from, of repeated labels of
-one document the higher counts; without both labels to learn from, every score is 0; repeated rows are
+one document the higher counts; of equal logits none goes first, they share a bin and a side of the threshold;
+texts of any length are scored whole; without both labels to learn from, every score is 0; repeated rows are
 scored each; only doc_id, text and, for the language words of training rows, lang are read.
 """
 
@@ -29,11 +30,14 @@ from ledgerloom.llm.common import as_bytes, fold, map_slices
 from ledgerloom.scale import materialized
 
 SAMPLE = 1500
+# Longest text, in bytes, that the network is fitted on; longer ones are scored like all others.
+LONGEST = 1 << 16
 BUCKETS, DIM = 1 << 17, 12
 WIDTHS, FILTERS = (1, 2, 3), 6
 BEGINNINGS = (3, 4, 5, 6)
 LEAST_DOCS = 4
 EPOCHS, RATE = 5, 0.1
+# A language with fewer rows of a label that were not fitted on takes the common threshold.
 LEAST_POSITIVES = 15
 # Logits are counted in bins of 1 / BINS up to FARTHEST on either side of 0.
 BINS, FARTHEST = 32, 100
@@ -203,7 +207,8 @@ def _usable(labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """Trains on at most SAMPLE rows of either label outside the held-out fold, taken in the order of a hash;
+    """Trains on at most SAMPLE ids of either label outside the held-out fold, taken in the order of a hash, with one
+    text for each id (of the smallest hash) and none of more than LONGEST bytes, so what is gathered is bounded;
     every fifth of them is left out, so that small tables keep rows of both labels to set thresholds by."""
     usable, picked = _usable(labels), None
     for y in (0, 1):
@@ -211,7 +216,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
         picked = part if picked is None else picked.union(part)
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).join(
         F.broadcast(picked), "doc_id"  # at most 2 * SAMPLE rows
-    ).orderBy("doc_id").limit(4 * SAMPLE).toArrow()
+    ).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
+    one_each = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("x"))
+    rows = one_each.select("doc_id", "toxic", "x.text", "x.lang").orderBy("doc_id").toArrow()
     texts, y, lang = as_bytes(rows.combine_chunks().to_batches()[0]) if rows.num_rows else [], np.array(rows.column("toxic").to_pylist(), np.int64), rows.column("lang").to_pylist()
     if len(set(y.tolist())) < 2:
         return None

@@ -5,7 +5,8 @@ capture is joined on its host and the host's parent domains, and its fetch day p
 each domain; the most specific domain with an active entry decides.
 
 Defined cases: a null or hostless address and a null day match nothing; entries with a null domain or day are
-ignored; of entries of one domain and day, `block` wins; repeated captures are judged each; empty tables give
+ignored; of entries of one domain and day, `block` wins; ports, users and a closing dot are no part of a host; addresses match themselves only; repeated
+captures are judged each; an address or list of any length is matched whole; empty tables give
 no matches or no rows; only the named columns are read.
 """
 
@@ -17,13 +18,18 @@ from pyspark.sql import functions as F
 FIRST_DAY = "2024-01-01"
 
 
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
+ADDRESS = r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
+
+
 def host_of(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
+    """The lower-cased host without a closing dot; an IPv6 address keeps its brackets."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.+$", ""), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parents of at least two labels, most specific first."""
-    labels = F.split(host, r"\.")
+    """The host and its parents of at least two labels, most specific first; an address has no parents."""
+    labels = F.when(F.regexp_like(host, F.lit(ADDRESS)), F.array(host)).otherwise(F.split(host, r"\."))
     starts = F.when(F.size(labels) >= 2, F.sequence(F.lit(1), F.size(labels) - 1)).otherwise(F.array(F.lit(1)))
     return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 

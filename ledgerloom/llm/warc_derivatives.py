@@ -5,18 +5,26 @@ status, HTTP headers, title and the digests of its block and payload; the conver
 text of the page. Everything is DataFrame expressions; digests are labelled sha256.
 
 Defined cases: a null block is empty, a block without a blank line is all headers with an empty payload; a null
-address or date is an empty field; repeated responses give repeated derivatives with equal identifiers; an
+address or date is an empty field; a script, style or comment that does not end goes on to the end of the page;
+pages of any length are converted whole; repeated responses give repeated derivatives with equal identifiers; an
 empty table gives none; only record_id, target_uri, warc_date and block (and `keep`) are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gzip
+from collections.abc import Iterator, Sequence
+from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+from ledgerloom.llm.binary_files import write_files
+
+# Names of HTML 4's character references.
+_NAMES = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def record_urn(*parts: Column) -> Column:
@@ -38,14 +46,38 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     )
 
 
+def _character(point: Column) -> Column:
+    """The character of a code point, by its UTF-8 bytes; U+FFFD where there is none."""
+    part = lambda shift: F.shiftright(point, shift).bitwiseAND(63).bitwiseOR(128)
+    lead = lambda shift, mark: F.shiftright(point, shift).bitwiseOR(mark)
+    raw = (
+        F.when(point < 0x80, F.hex(point)).when(point < 0x800, F.concat(F.hex(lead(6, 0xC0)), F.hex(part(0))))
+        .when(point < 0x10000, F.concat(F.hex(lead(12, 0xE0)), F.hex(part(6)), F.hex(part(0))))
+        .otherwise(F.concat(F.hex(lead(18, 0xF0)), F.hex(part(12)), F.hex(part(6)), F.hex(part(0))))
+    )
+    real = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+    return F.when(real, F.decode(F.unhex(raw), "UTF-8")).otherwise("\ufffd")
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its character references, by number and by the names of HTML 4, as characters; others stay."""
+    names = F.create_map(*[F.lit(x) for pair in sorted(_NAMES.items()) for x in pair])
+
+    def one(x: Column, i: Column) -> Column:
+        ref = F.regexp_extract(x, _REFERENCE, 1)
+        code = F.when(F.lower(F.left(ref, F.lit(2))) == "#x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2)))
+        char = F.when(ref == "", None).when(F.left(ref, F.lit(1)) == "#", _character(code.try_cast("bigint"))).otherwise(F.try_element_at(names, ref))
+        return F.when(i == 0, x).when(char.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(char, F.substr(x, F.length(ref) + 2)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: no scripts, styles or comments; block ends become line breaks; spaces are joined."""
-    text = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(html, r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", " ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|title|article|footer|nav)\s*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t\r]+", " ")
+    text = F.regexp_replace(unescaped(text), r"[ \t\r\u00a0]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -65,7 +97,8 @@ def derivatives(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.concat(F.lit("sha256:"), F.sha2(block, 256)).alias("source_block_digest"),
     )
     parsed = parsed.withColumn("source_payload_digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
-    title = F.trim(F.regexp_extract("payload", r"(?is)<title>([^<]*)</title>", 1))
+    # On one line, so that a title cannot end its field or start another.
+    title = F.trim(F.regexp_replace(unescaped(F.regexp_extract("payload", r"(?is)<title>([^<]*)</title>", 1)), r"[\s\p{Z}]+", " "))
     fields = F.concat(
         F.lit("source-status: "), F.regexp_extract("head", r"^HTTP/[0-9.]+ ([0-9]+)", 1), F.lit("\r\ntitle: "), title,
         F.lit("\r\nsource-block-digest: "), F.col("source_block_digest"), F.lit("\r\nsource-payload-digest: "), F.col("source_payload_digest"),
@@ -91,5 +124,12 @@ def derivatives(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def write_warc(derived: DataFrame, path: str) -> None:
-    """Gzip WARC files, one per partition; a record ends with two line ends, which the line separator writes."""
-    derived.select(F.concat("headers", F.lit("\r\n"), "block")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Gzip WARC files, one per partition, each record a gzip member of its own that ends with two line ends."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                record = f"{batch.column(0)[i].as_py()}\r\n{batch.column(1)[i].as_py()}\r\n\r\n".encode()
+                yield pa.RecordBatch.from_pydict({"data": pa.array([gzip.compress(record, mtime=0)], pa.binary())})
+
+    write_files(derived.select("headers", "block").mapInArrow(packed, "data binary"), path, ".warc.gz")
