@@ -84,7 +84,7 @@ def candidate_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
         contained_pairs(long_named, read, TPL, "t_name", "_whole"),
         contained_pairs(read, long_named, TPL, "_whole", "t_name"),
         named.join(called, [*TPL, "_e"]),
-        near_pairs(named.filter(F.length("_n") >= 4), called.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, 16),
+        near_pairs(read.filter(F.length("_n") >= 4), want.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, 16),
     ]
     out = found[0].select(*pair)
     for part in found[1:]:
