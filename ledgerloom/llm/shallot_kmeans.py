@@ -159,10 +159,10 @@ def _sums(bounds: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def _first_centers(kept: DataFrame, count: int, factor: int) -> np.ndarray:
+def _first_centers(kept: DataFrame, count: int, factor: int, width: int) -> np.ndarray:
     hashed = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
     rows = kept.filter("vec_id is not null").orderBy(hashed, "v").limit(count).select("v").collect()
-    return np.floor(np.array([r.v for r in rows], np.float64).reshape(len(rows), -1) * factor).astype(np.int64)
+    return np.floor(np.array([r.v for r in rows], np.float64).reshape(len(rows), width) * factor).astype(np.int64)
 
 
 def _unpacked(vectors: DataFrame, bounds: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -184,7 +184,7 @@ def clusters(
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256)."""
     spark: SparkSession = df.sparkSession
     kept = usable_vectors(df, factor).filter(F.size("v") == width)
-    centers = _first_centers(kept, count, factor)
+    centers = _first_centers(kept, count, factor, width)
     if not len(centers):
         empty = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
         return spark.createDataFrame([], empty)
