@@ -25,7 +25,6 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -254,9 +253,13 @@ class Codec:
         for group in _grouped(texts):
             normal = [self.normalized(t) if t else "" for t in group]
             cuts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in normal]
-            known = self.learn(chain.from_iterable(cuts))
-            for text, plain, row in zip(group, normal, cuts):
-                ids = np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32)
+            met = [list(map(self.known.get, row)) for row in cuts]
+            missing = [cut for row, found in zip(cuts, met) if None in found for cut, ids in zip(row, found) if ids is None]
+            fresh = self.learn(missing) if missing else {}
+            for text, plain, row, found in zip(group, normal, cuts, met):
+                if None in found:
+                    found = [fresh[cut] if ids is None else ids for cut, ids in zip(row, found)]
+                ids = np.frombuffer(b"".join(found), np.int32)
                 whole = (not self.lossy or self.lossy.isdisjoint(row)) and self._comes_back(text, plain)
                 equal = not self.differing or self.differing.isdisjoint(row)
                 if self.judged and text and (self.model.charsmap or self.model.squeeze_spaces):
