@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog.registry import define, query
 from ledgerloom.fixtures import Tables
 from ledgerloom.functions.period import data_date as data_date_of
-from ledgerloom.operators import reshape
+from ledgerloom.operators import reshape, rulepass
 from ledgerloom.operators.reshape import ExtractRule
 from ledgerloom.sources.tables import drop_blank_rows as drop_blank
 
@@ -118,8 +118,8 @@ define("wide", ("paths1", "paths2", "sheet_merges"), "wide as (" + _wide_sql(0,
 
 def wide(t: Tables) -> DataFrame:
     cells, merges = t.sheet_cells, t.sheet_merges
-    parts = [reshape.wide_rows(cells, merges, rule).withColumn("rule", F.lit(rule.name)) for rule in RULES]
-    rows = parts[0].unionByName(parts[1])
+    rows, _ = rulepass.wide_pass(cells, merges, RULES)
+    rows = rows.withColumn("rule", F.get(F.array(*[F.lit(rule.name) for rule in RULES]), F.col("rule_no"))).drop("rule_no", "sheet_no")
     stem = F.regexp_replace("workbook", r"\.[^.]*$", "")
     dated = rows.withColumn("data_date", data_date_of(stem, F.lit(None).cast("date")))
     return reshape.wide_table(dated, WIDE_COLUMNS)

@@ -9,27 +9,30 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.period import data_date
-from ledgerloom.operators import append, reshape
+from ledgerloom.operators import append, reshape, rulepass
 from ledgerloom.operators.reshape import ExtractRule
 from ledgerloom.scale import materialized
 from ledgerloom.sources.rules import extract_rules
 from ledgerloom.streaming.jobs import exists
 
 
-def rule_table(cells: DataFrame, merges: DataFrame, rule: ExtractRule, fallback_date: Column) -> DataFrame:
-    """Wide table of one rule with the fixed path columns in front and a sequence column `_seq`.
+def rule_tables(cells: DataFrame, merges: DataFrame, rules: Sequence[ExtractRule], fallback_date: Column) -> list[DataFrame]:
+    """Wide table of each rule with the fixed path columns in front and a sequence column `_seq`.
 
-    The column list is the rule's own paths, a header-sized result.
+    One pass makes the rows of all rules and writes them by rule; what reaches the driver are the distinct
+    header paths, the columns of the tables themselves.
     """
-    rows = reshape.wide_rows(cells, merges, rule).join(reshape.sheet_numbers(cells), reshape.SHEET, "left")
-    order = reshape.column_order(cells, merges, [rule])
-    columns = [r.path for r in order.orderBy("rule_no", "workbook", "sheet_no", "sheet", "c").collect()]
+    rows, paths = rulepass.wide_pass(cells, merges, rules)
+    rows = materialized(rows)
+    columns: dict[int, list[str]] = {}
+    for p in paths.orderBy("rule_no", "workbook", "sheet_no", "sheet", "c").select("rule_no", "path").collect():
+        columns.setdefault(p.rule_no, []).append(p.path)
     dated = rows.withColumn("_date", data_date(F.regexp_replace("workbook", r"\.[^.]*$", ""), fallback_date))
     named = dated.select(
-        F.col("workbook").alias(fv.PATH_COLUMNS[0]), F.col("sheet").alias(fv.PATH_COLUMNS[1]), F.col("_date").alias(fv.PATH_COLUMNS[2]),
+        "rule_no", F.col("workbook").alias(fv.PATH_COLUMNS[0]), F.col("sheet").alias(fv.PATH_COLUMNS[1]), F.col("_date").alias(fv.PATH_COLUMNS[2]),
         F.col("row_head").alias(fv.PATH_COLUMNS[3]), F.struct("workbook", "sheet_no", "sheet", "r").alias("_seq"), "values",
     )
-    return reshape.wide_table(named, columns)
+    return [reshape.wide_table(named.filter(F.col("rule_no") == no).drop("rule_no"), columns.get(no, [])) for no in range(len(rules))]
 
 
 def rules_of(sheet: DataFrame, seq: str) -> list[ExtractRule]:
@@ -64,9 +67,8 @@ def append_rule(spark: SparkSession, table: DataFrame, rule: ExtractRule, path:
 def run(
     spark: SparkSession, cells: DataFrame, merges: DataFrame, rules: Sequence[ExtractRule], target_root: str, fallback_date: Column
 ) -> list[dict]:
-    out = []
-    for rule in rules:
-        if rule.write and rule.target:
-            table = rule_table(cells, merges, rule, fallback_date)
-            out.append(append_rule(spark, table, rule, f"{target_root.rstrip('/')}/{rule.target}"))
-    return out
+    wanted = [rule for rule in rules if rule.write and rule.target]
+    if not wanted:
+        return []
+    tables = rule_tables(cells, merges, wanted, fallback_date)
+    return [append_rule(spark, table, rule, f"{target_root.rstrip('/')}/{rule.target}") for rule, table in zip(wanted, tables)]

@@ -332,3 +332,33 @@ def test_rules_over_ranges(spark):
     # Row 3 has 9 and 4 has 12, 5 has 15; the cell of the book without a name has no data of its own.
     assert found == {("row", "b", 3), ("row", "b", 4), ("row", "b", 5), ("row", None, 3), ("all", "b", 4)}
     assert list(unusable_range_rules(cells, rules)) == ["wrong"]
+
+
+def test_rules_share_one_pass(spark):
+    """Rows, heads and paths of several rules on one sheet; no rule adds a shuffle."""
+    import re
+
+    from ledgerloom.operators.reshape import ExtractRule
+    from ledgerloom.operators.rulepass import sheet_rows, wide_pass
+
+    grid = {(1, 1): "id", (1, 2): "plan", (1, 4): "plan", (2, 2): "q1", (2, 3): "q2", (2, 4): "q1", (3, 1): "7.0", (3, 2): "a", (3, 3): "b", (4, 2): "", (4, 4): "d", (5, 1): "skip me", (5, 2): "x", (9, 3): "e"}
+    cells = spark.createDataFrame([("book", "s", r, c, v) for (r, c), v in grid.items()] + [("book", "other", 3, 2, "z"), ("else", "s", 3, 2, "y")], "workbook string, sheet string, r long, c int, v string")
+    merges = spark.createDataFrame([("book", "s", 1, 2, 1, 3), ("book", "s", 3, 1, 4, 1)], "workbook string, sheet string, r0 long, c0 int, r1 long, c1 int")
+    rules = [
+        ExtractRule("all", "book", "s", [1, 2], 1, [1], 3, 0, 2, 0, "skip", False), ExtractRule("one", "", "s", [2], 2, [2], 3, 4, 3, 3, "", False),
+        ExtractRule("none", "nowhere", "", [1], 1, [1], 3, 0, 2, 0, "", False),
+    ]
+    rows, columns = wide_pass(cells, merges, rules)
+    got = {(r.rule_no, r.workbook, r.sheet, r.row_head, r.r): dict(r["values"]) for r in rows.collect()}
+    # "other" holds no keyword of a rule but the s of its name? It holds none: only sheets with an s.
+    assert got == {
+        (0, "book", "s", "7", 3): {"plan_q1_1": "a", "plan_q2": "b"}, (0, "book", "s", "7", 4): {"plan_q1_2": "d"}, (1, "book", "s", "a", 3): {"q2": "b"},
+    }
+    assert {(r.rule_no, r.path, r.c) for r in columns.filter("rule_no = 0").collect()} == {(0, "plan_q1_1", 2), (0, "plan_q2", 3), (0, "plan_q1_2", 4)}
+
+    def shuffles(n):
+        plan = sheet_rows(cells, rules[:1] * n)._jdf.queryExecution().executedPlan().toString()
+        made, _ = wide_pass(cells, merges, rules[:1] * n)
+        return len(re.findall(r"Exchange hash", plan + made._jdf.queryExecution().executedPlan().toString()))
+
+    assert shuffles(1) == shuffles(12) <= 9
