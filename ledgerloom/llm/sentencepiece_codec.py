@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from ledgerloom.llm.common import REMEMBERED, map_slices
+from ledgerloom.llm.common import map_slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, DEFINED, BYTE = 1, 2, 4, 6
+# Cuts of either memory of a worker; some 200 bytes each.
+REMEMBERED = 1 << 18
 # Threads of one worker, and cuts per call of the library.
 THREADS, BATCH = "2", 1 << 13
 
