@@ -70,3 +70,7 @@ TOTAL_WORD = "合计"
 SQUEEZE_WORD = "（国库）"
 EXPORT_STEM_PREFIX = "识别结果_"
 EXCEL_NAME_LIMIT = 31
+
+# Notes on the choice of a template page.
+LOW_SCORE = "结构区命中率仅 "
+FORCED_PAGE = "（按指定页填充，请重点核对）"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.number import num_lenient
-from ledgerloom.operators import align, checks, layout
+from ledgerloom.operators import align, checks, choose, layout
 from ledgerloom.scale import materialized
 
 
@@ -21,22 +21,37 @@ class PageResult:
     filled: DataFrame  # page_id, r, c, text
     report: DataFrame
     summary: DataFrame
+    choice: DataFrame | None = None  # page_id, doc, page, score, note of every page with a candidate
+
+
+# Share of a template page's codes that a page must hold to be laid over it.
+CANDIDATE = 0.1
 
 
 def run(
     items: DataFrame, cells: DataFrame, ignore: DataFrame, tpl: DataFrame, tpl_cells: DataFrame, bad_rows: DataFrame | None = None,
-    page_w: float = 1000.0, page_h: float = 1400.0, balance: Sequence[int] = (),
+    page_w: float = 1000.0, page_h: float = 1400.0, balance: Sequence[int] = (), geometry: DataFrame | None = None,
+    forced: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = (),
 ) -> PageResult:
     """`tpl_cells` (doc, page, r, c, text, kind) are the frozen texts and numeric places of the templates.
 
-    `balance` lists the columns of opening debit and credit, movements and closing debit and credit;
+    With `geometry` (cells of the template pages as fractions) the template is chosen by structure and row keys among
+    the pages whose codes are seen, and `forced` may name a page's template; else by the share of codes alone.
+
+    `rules` are user checks over the filled rows, which have code, name and the amounts c<number>; `balance` lists the columns of opening debit and credit, movements and closing debit and credit;
     rows that do not add up are then the bad rows. Without it and without `bad_rows` the summary says
     that nothing was checked. Every page with a text is in the summary, also those no template fits.
     """
     kept = materialized(layout.drop_ignored(items, ignore, page_w, page_h))
     lined = layout.photo_line_items(kept)
     lines = materialized(layout.photo_lines(kept))
-    pages = align.best_template(align.template_scores(kept, tpl)).select("page_id", "doc", "page")
+    shares, choice = align.template_scores(kept, tpl), None
+    if geometry is None:
+        pages = align.best_template(shares).select("page_id", "doc", "page")
+    else:
+        candidates = shares.filter(F.col("score") >= CANDIDATE)
+        choice = materialized(choose.choose_page(kept, lines, choose.frames_of(cells), candidates, geometry, tpl, forced))
+        pages = choice.filter("doc is not null").select("page_id", "doc", "page")
     pages = materialized(pages)
     coded = materialized(align.align_fuzzy(pages, tpl, lines).select("page_id", "r", "line_no"))
     claimed = materialized(align.claim_nearest(pages, tpl, lines, coded).select("page_id", "r", "line_no"))
@@ -53,14 +68,16 @@ def run(
     )
     filled = align.fill_vlookup(wanted.select("page_id", "r", "c", "text", "kind"), aligned, values)
     report = align.align_report(pages, tpl, lines, coded, claimed)
-    checked = bad_rows is not None or bool(balance)
+    checked = bad_rows is not None or bool(balance) or bool(rules)
     if bad_rows is None:
         bad_rows = _unbalanced(filled, pages, tpl, balance)
+        if rules:
+            bad_rows = bad_rows.unionByName(_against_rules(filled, pages, tpl, tpl_cells, rules)).distinct()
     listed = items.select("page_id").distinct().join(pages, "page_id", "left").select(
         "page_id", F.concat_ws("·", "doc", "page").alias("template"), F.lit(checked).alias("checked")
     )
     summary = checks.page_summary(listed, bad_rows, report)
-    return PageResult(pages, lines, aligned, filled, report, summary)
+    return PageResult(pages, lines, aligned, filled, report, summary, choice)
 
 
 def _unbalanced(filled: DataFrame, pages: DataFrame, tpl: DataFrame, balance: Sequence[int]) -> DataFrame:
@@ -73,3 +90,11 @@ def _unbalanced(filled: DataFrame, pages: DataFrame, tpl: DataFrame, balance: Se
         *[F.max(F.when(F.col("c") == c, num_lenient(F.col("text")))).alias(t) for c, t in zip(balance, terms)]
     )
     return checks.row_balance(amounts, terms).select("page_id", "r").join(named, ["page_id", "r"])
+
+
+def _against_rules(filled: DataFrame, pages: DataFrame, tpl: DataFrame, tpl_cells: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(page_id, r, code, name) of filled rows for which a user rule is true."""
+    numeric = sorted(r.c for r in tpl_cells.filter("kind = 'num'").select("c").distinct().collect())  # columns of a sheet
+    amounts = filled.groupBy("page_id", "r").agg(*[F.max(F.when(F.col("c") == c, num_lenient(F.col("text")))).alias(f"c{c}") for c in numeric])
+    named = pages.join(tpl, ["doc", "page"]).select("page_id", "r", "code", "name")
+    return checks.rule_checks(amounts.join(named, ["page_id", "r"]), rules).select("page_id", "r", "code", "name").distinct()

@@ -18,20 +18,24 @@ def rows(df):
 
 
 def test_merge_duplicates(spark):
-    grid = [
-        ("11001", "A", "1", {"2026.01": 100.0, "2026.02": 200.0, "2026.03": 300.0}), ("11002", "B", "2", {"2026.01": 0.0, "2026.02": 0.0, "2026.03": 0.0}),
-        ("1123P", "C", "227", {"2026.01": 0.0, "2026.02": 0.0, "2026.03": 0.0}), ("11001", "A", "1", {"2026.10": 999.0}), ("11002", "B", "2", {"2026.10": 0.0}),
-        ("1123P", "C", "227", {"2026.10": 0.0}), ("11632", "D", "1159", {"2026.10": 0.0}),
+    """Three copies of a code: later values win, also a zero over an amount; a missing value wins over nothing;
+    the first name and row number that are not empty stay; `own` is what the first copy said."""
+    lines = [
+        (5, "K7", "", "", {"Q1": 5.5, "Q2": 8.0}), (6, "Z9", "zeta", "12", {"Q1": 3.0}), (9, "K7", "kappa", "", {"Q2": 0.0, "Q3": 1.25}),
+        (11, "K7", "other", "77", {"Q1": None, "Q4": 2.0}), (12, "Z9", "", "", {"Q1": -4.0, "Q3": 0.0}),
     ]
-    flat = [("R", code, p, v, name, no, r) for r, (code, name, no, cells) in enumerate(grid, 2) for p, v in cells.items()]
+    flat = [("North", code, p, v, name, no, r) for r, code, name, no, cells in lines for p, v in cells.items()]
+    flat.append(("South", "K7", "Q1", 1.0, "elsewhere", "1", 2))
     df = spark.createDataFrame(flat, "region string, code string, period string, value double, name string, row_no string, r int")
     got = series.merge_duplicates(df, F.col("r"))
-    wide = series.pivot(got, ["2026.01", "2026.02", "2026.03", "2026.10"])
-    assert rows(wide) == [
-        ("R", "11001", 100.0, 200.0, 300.0, 999.0), ("R", "11002", 0.0, 0.0, 0.0, 0.0), ("R", "1123P", 0.0, 0.0, 0.0, 0.0), ("R", "11632", None, None, None, 0.0),
+    assert rows(series.pivot(got, ["Q1", "Q2", "Q3", "Q4"])) == [
+        ("North", "K7", 5.5, 0.0, 1.25, 2.0), ("North", "Z9", -4.0, None, 0.0, None), ("South", "K7", 1.0, None, None, None),
     ]
-    own = {(r.code, r.period): r.own for r in got.collect()}
-    assert own[("11001", "2026.01")] == 100.0 and own[("11001", "2026.10")] is None and own[("11632", "2026.10")] == 0.0
+    found = {(r.region, r.code, r.period): r for r in got.collect()}
+    assert {k[1:]: r.own for k, r in found.items() if k[0] == "North"} == {
+        ("K7", "Q1"): 5.5, ("K7", "Q2"): 8.0, ("K7", "Q3"): None, ("K7", "Q4"): None, ("Z9", "Q1"): 3.0, ("Z9", "Q3"): None,
+    }
+    assert {(r.name, r.row_no) for k, r in found.items() if k[:2] == ("North", "K7")} == {("kappa", "77")}
 
 
 def test_totals_check_edges(spark):
