@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_bytes, materialized, sliced
 from ledgerloom.llm.vectors import rows_of
+from ledgerloom.session import shared_folder
 
 K = 50
 BLOCK_DOCS = 4096
@@ -44,6 +45,8 @@ BLOCK_WORDS = 1 << 19
 FIRST_RANGES, GROWTH = 32, 1.5
 MOST_PATHS = 1 << 17
 BROADCAST_BYTES = 16 << 20
+# Blocks of a row group of the written index.
+ROW_GROUP = 1
 PIECE_BYTES = 4 << 20
 BLOCKS_PER_CELL = 16
 SPREAD = 256
@@ -200,7 +203,10 @@ def build(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_words: int = BLOC
             yield block.row(n_docs, n_terms)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return Index(materialized(rows.mapInArrow(run, BLOCK_SCHEMA)), n_docs, n_terms)
+    path = shared_folder(docs.sparkSession)
+    # A reader then holds one block at a time, not a whole file of them.
+    rows.mapInArrow(run, BLOCK_SCHEMA).write.option("parquet.block.row.count.limit", ROW_GROUP).parquet(path)
+    return Index(docs.sparkSession.read.parquet(path), n_docs, n_terms)
 
 
 class Tree:
