@@ -561,3 +561,17 @@ def test_unigram_model(squeeze):
     assert all(r[2] for r in rows)
     back = [codec.decode([r[0].tolist()])[0] for r in rows]
     assert [r[1] for r in rows] == [b == t for b, t in zip(back, texts)]
+
+
+def test_pipeline_on_awkward_rows(spark, docs, items, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, table in (("some", docs), ("none", empty)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    known = {d: t for d, t in texts if d is not None}
+    assert out and all(len(space_words(known[r.doc_id])) >= 20 for r in out if r.doc_id is not None)
+    assert len({r.doc_id for r in out}) == len(out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
