@@ -2,6 +2,11 @@
 
 Quality rules and language identification drop what they reject, near-duplicate detection keeps one
 document of each group, decontamination drops documents with a benchmark window, and the rest is encoded.
+
+Defined cases: null and empty texts and texts of fewer than 20 words fail the quality rules; a null id, host or
+language is a value like others, and each row is judged by its own text; of repeated rows one stays (near
+duplicates); texts of any length are worked on whole; columns beyond those of documents go along up to the last
+stage, whatever their names; an empty table gives no row, and where no language is learned none is rejected.
 """
 
 from __future__ import annotations
