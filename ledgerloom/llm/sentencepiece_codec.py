@@ -155,6 +155,7 @@ class Codec:
 
     def __init__(self, raw: bytes, judged: bool = True):
         self.judged = judged  # whether cuts are decoded and compared with the library
+        self.remembered = REMEMBERED if judged else 2 * REMEMBERED
         self.model = parse_model(raw)
         self.whole = build_tokenizer(self.model)
         self.plain = Tokenizer(self.whole.model)
@@ -209,7 +210,7 @@ class Codec:
         met = dict.fromkeys(cuts)
         found = dict(zip(met, map(self.known.get, met)))
         new = [c for c, ids in found.items() if ids is None]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.before, self.known = self.known, {}
         if self.before:
             again = {c: self.before[c] for c in new if c in self.before}
