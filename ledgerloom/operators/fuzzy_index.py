@@ -14,10 +14,14 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.scale import shuffled
+
 # Values up to this length are cut by patterns; longer ones into pieces of which one must agree.
 PATTERN_LENGTH = 32
 # Longest window of digits that is a key; a longer number is looked up by its first digits.
 WINDOW = 16
+# Longest values that are compared by edit distance before a pair leaves the lookup.
+EDITED = 64
 _BETWEEN = "\u0001"
 
 
@@ -59,7 +63,8 @@ def near_keys(values: DataFrame, value: str, differ_pct: int, longer: Column, mo
     agree with this one while at most `differ_pct` percent of the longer one's places differ."""
     size = F.length(value)
     lens = values.filter(size > 0).withColumn("len", F.explode(F.sequence(size, longer)))
-    short = lens.join(_patterns(values.sparkSession, differ_pct, most), "len").filter(F.col("upto") <= size)
+    # By hint, as lines made here have no known size and the values would be sent to the driver in their place.
+    short = lens.join(F.broadcast(_patterns(values.sparkSession, differ_pct, most)), "len").filter(F.col("upto") <= size)
     pick = F.transform("parts", lambda p: F.substr(F.col(value), p["at"], p["size"]))
     short = short.withColumn("piece", F.array_join(pick, _BETWEEN)).drop("parts", "upto")
     parts = F.floor(F.col("len") * differ_pct / 100).cast("int") + 1
@@ -85,7 +90,11 @@ def near_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str], a: str,
     own_a, all_b = near_keys(left, a, differ_pct, F.length(a), most), near_keys(right, b, differ_pct, longer(b), most)
     less_a = near_keys(left, a, differ_pct, longer(a), most).filter(F.length(a) < F.col("len"))
     own_b = near_keys(right, b, differ_pct, F.length(b), most)
-    return own_a.join(all_b, keys).unionByName(less_a.join(own_b, keys)).drop("len", "way", "piece")
+    # Places that differ are as many edits at least; this is much cheaper than the test, and leaves few pairs to shuffle.
+    longest = F.greatest(F.length(a), F.length(b))
+    near = (longest > EDITED) | (F.levenshtein(F.col(a), F.col(b)) <= F.floor(longest * differ_pct / 100))
+    met = own_a.join(shuffled(all_b), keys).unionByName(less_a.join(shuffled(own_b), keys))
+    return met.filter(near).drop("len", "way", "piece")
 
 
 def digit_pairs(shorts: DataFrame, longs: DataFrame, scope: Sequence[str], short: str, long: str) -> DataFrame:
@@ -95,7 +104,7 @@ def digit_pairs(shorts: DataFrame, longs: DataFrame, scope: Sequence[str], short
     windows = F.flatten(F.transform(sizes, lambda w: F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substr(F.col(long), i, w))))
     parts = longs.filter(n >= 3).withColumn("piece", F.explode(F.array_distinct(windows)))
     asked = shorts.filter(F.length(short) >= 3).withColumn("piece", F.left(short, F.lit(WINDOW)))
-    held = asked.join(parts, [*scope, "piece"]).drop("piece")
+    held = asked.join(shuffled(parts), [*scope, "piece"]).drop("piece")
     return held.filter(F.contains(long, F.col(short)) & ((n - F.length(short)) <= n * F.lit(0.6)))
 
 
@@ -115,7 +124,7 @@ def contained_pairs(shorts: DataFrame, longs: DataFrame, scope: Sequence[str], s
     keys = [*scope, short]
     grams = asked.select(*keys).distinct().withColumn("gram", F.explode(_grams(short, F.array(size))))
     counts = held.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = grams.join(counts, [*scope, "gram"], "left").groupBy(*keys).agg(
+    rarest = grams.join(shuffled(counts), [*scope, "gram"], "left").groupBy(*keys).agg(
         F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_least")
     ).filter("_least > 0").drop("_least")
-    return asked.join(rarest, keys).join(held, [*scope, "gram"]).filter(F.contains(F.col(long), F.col(short))).drop("gram")
+    return asked.join(shuffled(rarest), keys).join(shuffled(held), [*scope, "gram"]).filter(F.contains(F.col(long), F.col(short))).drop("gram")

@@ -185,3 +185,18 @@ def test_claims_of_a_long_page(spark):
     wanted = [(r, at[3] + (at[90] - at[3]) * r / 70) for r in range(1, 70)]
     plain = nearest_by_hand(wanted, [(i, y) for i, y in places if i not in held.values()], abs(reach) if reach > 0 else reach)
     assert {r.r: r.line_no for r in got.filter("page_id = 2").collect()} == plain
+
+
+def test_exploded_keys_are_not_sent_through_the_driver(spark):
+    """The planner takes the keys made by an explode for as few as the rows before; joins of them must shuffle."""
+    from ledgerloom.operators.fuzzy_index import contained_pairs, digit_pairs, near_pairs
+
+    left = spark.range(9).selectExpr("'A' as page", "cast(11000101 + id as string) as a")
+    right = spark.range(9).selectExpr("'A' as page", "cast(11000107 + id as string) as b")
+    joins = {
+        2: near_pairs(left, right, ["page"], "a", "b", 25, None),
+        1: digit_pairs(left, right, ["page"], "a", "b"),
+        3: contained_pairs(left, right, ["page"], "a", "b"),
+    }
+    for many, pairs in joins.items():
+        assert pairs._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == many
