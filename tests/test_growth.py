@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ledgerloom.catalog import QUERIES
+from ledgerloom.operators import reshape
+
 
 def rows(df):
     return sorted([tuple(r) for r in df.collect()], key=str)
@@ -17,3 +20,10 @@ def test_grid_rows_are_told_apart_before_their_columns(tables):
     text = plan(grid_places(tables))
     assert text.index("Generate") < text.index("Aggregate")  # the top of a plan comes first
     assert rows(grid_places(tables)) == rows(tables.grid.select("sheet", "r", "c").distinct())
+
+
+def test_region_except_tells_no_cells_apart(spark, tables):
+    assert plan(QUERIES["region_except"](tables)).count("Aggregate") == 2
+    cells = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 1, 2), ("a", None, 3), ("b", 1, 2)], "sheet string, r long, c int")
+    numeric = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("a", None, 3), ("b", 1, 1)], "sheet string, r long, c int")
+    assert rows(reshape.region_except(cells, numeric, ["sheet", "r", "c"])) == [("a", 1, 1), ("a", None, 3), ("b", 1, 2)]
