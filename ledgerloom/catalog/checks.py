@@ -83,9 +83,7 @@ rule_cells as (select workbook, 'Orders' as sheet, r, 2 as c, cast(o_totalprice
 def rule_cells(t: Tables) -> DataFrame:
     """Two sheets for each of seven books: orders with their total and a mark, and the lines of the same orders side by side."""
     o = t.orders.select("o_orderkey", F.concat(F.lit("B"), F.col("o_custkey") % 7).alias("workbook"), F.col("o_totalprice").cast("double").alias("total"))
-    numbered = o.join(
-        number_within(o.select("workbook", "o_orderkey"), ["workbook"], "o_orderkey", "r", 4096), ["workbook", "o_orderkey"]
-    )
+    numbered = number_within(o, ["workbook"], "o_orderkey", "r", 4096)
     own = numbered.select("workbook", F.lit("Orders").alias("sheet"), "r", F.inline(F.array(
         F.struct(F.lit(2).alias("c"), F.col("total").alias("v_num")), F.struct(F.lit(3).alias("c"), (F.col("o_orderkey") % 10).cast("double").alias("v_num"))
     )))
@@ -95,9 +93,10 @@ def rule_cells(t: Tables) -> DataFrame:
     return own.unionByName(lines).withColumn("v", F.col("v_num").cast("string"))
 
 
+# The books grow with the orders, beyond the rows of a spreadsheet; the first two rules are for all of them.
 RANGE_RULES = [
-    ranges.RangeRule("sum", "Orders!B1:B1048576", "abs(value - lines) > 0.5 * lines", {"lines": ("sum", "Lines!A1:G1")}),
-    ranges.RangeRule("most", "Orders!B1:B1048576", "most > 0.9 * value", {"most": ("max", "Lines!$A1:$G1")}),
+    ranges.RangeRule("sum", "Orders!B1:B2147483647", "abs(value - lines) > 0.5 * lines", {"lines": ("sum", "Lines!A1:G1")}),
+    ranges.RangeRule("most", "Orders!B1:B2147483647", "most > 0.9 * value", {"most": ("max", "Lines!$A1:$G1")}),
     ranges.RangeRule("mark", "Orders!C1:C400", "value = top and n > 5 * value", {"top": ("max", "$C$1:$C$400"), "n": ("count", "Lines!$A$1:$G$100")}),
     ranges.RangeRule("window", "Orders!C3:C50,Orders!C100:C120", "low > 2", {"low": ("min", "C3:C5")}),
     ranges.RangeRule("broken", "Orders!B1:B9", "no_such_name > 1"),

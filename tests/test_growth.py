@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerloom.catalog import QUERIES
 from ledgerloom.operators import reshape
 
@@ -27,3 +29,19 @@ def test_region_except_tells_no_cells_apart(spark, tables):
     cells = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 1, 2), ("a", None, 3), ("b", 1, 2)], "sheet string, r long, c int")
     numeric = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("a", None, 3), ("b", 1, 1)], "sheet string, r long, c int")
     assert rows(reshape.region_except(cells, numeric, ["sheet", "r", "c"])) == [("a", 1, 1), ("a", None, 3), ("b", 1, 2)]
+
+
+def test_range_rules_join_orders_once(spark, tables):
+    from ledgerloom.catalog.checks import RANGE_RULES, rule_cells
+    from ledgerloom.operators import ranges
+
+    # The numbers come with the orders, without a second join of the orders to themselves.
+    assert plan(rule_cells(tables).filter("sheet = 'Orders'")).count("Join") == 1
+    far = 1_048_577
+    cells = spark.createDataFrame(
+        [("B", "Orders", far, 2, 5.0), ("B", "Lines", far, 1, 1.0), ("B", "Lines", far, 7, 2.0), ("B", "Lines", far, 8, 90.0), ("B", "Orders", far, 3, 2.0)],
+        "workbook string, sheet string, r long, c int, v_num double",
+    ).withColumn("v", F.col("v_num").cast("string"))
+    assert rows(ranges.range_checks(cells, RANGE_RULES)) == [("B", "Orders", far, 2, "sum", 5.0)]
+    values = {(r.rule_no, r.r, r.c): r.operands for r in ranges.operand_values(cells, RANGE_RULES).collect()}
+    assert values == {(0, far, 2): {"lines": 3.0}, (1, far, 2): {"most": 2.0}}
