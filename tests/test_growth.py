@@ -45,3 +45,19 @@ def test_range_rules_join_orders_once(spark, tables):
     assert rows(ranges.range_checks(cells, RANGE_RULES)) == [("B", "Orders", far, 2, "sum", 5.0)]
     values = {(r.rule_no, r.r, r.c): r.operands for r in ranges.operand_values(cells, RANGE_RULES).collect()}
     assert values == {(0, far, 2): {"lines": 3.0}, (1, far, 2): {"most": 2.0}}
+
+
+def test_merge_fill_deals_out_empty_cells_only(spark, tables):
+    got = QUERIES["merge_fill"](tables)
+    assert got.columns == ["workbook", "sheet", "r", "c", "v", "filled"]
+    # Cells with a value come by a branch of their own, without any join.
+    assert plan(got).index("Union") < plan(got).index("Join")
+    cells = spark.createDataFrame(
+        [("w", "s", 1, 1, "a"), ("w", "s", 1, 2, None), ("w", "s", 2, 1, ""), ("w", "s", 2, 2, "b"), ("w", "s", 3, 3, ""), ("w", "s", 4, 3, None), ("w", "s", 5, 1, None), (None, "s", 1, 2, None)],
+        "workbook string, sheet string, r long, c int, v string",
+    )
+    merges = spark.createDataFrame([("w", "s", 1, 1, 2, 2), ("w", "s", 3, 3, 4, 3)], "workbook string, sheet string, r0 long, c0 int, r1 long, c1 int")
+    assert rows(reshape.merge_fill(cells, merges)) == sorted([
+        ("w", "s", 1, 1, "a", False), ("w", "s", 1, 2, "a", True), ("w", "s", 2, 1, "a", True), ("w", "s", 2, 2, "b", False), ("w", "s", 3, 3, "", False),
+        ("w", "s", 4, 3, None, False), ("w", "s", 5, 1, None, False), (None, "s", 1, 2, None, False),
+    ], key=str)
