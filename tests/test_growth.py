@@ -61,3 +61,19 @@ def test_merge_fill_deals_out_empty_cells_only(spark, tables):
         ("w", "s", 1, 1, "a", False), ("w", "s", 1, 2, "a", True), ("w", "s", 2, 1, "a", True), ("w", "s", 2, 2, "b", False), ("w", "s", 3, 3, "", False),
         ("w", "s", 4, 3, None, False), ("w", "s", 5, 1, None, False), (None, "s", 1, 2, None, False),
     ], key=str)
+
+
+def test_rows_with_a_head_look_for_no_merge(spark, tables):
+    from ledgerloom.catalog.reshape import RULES
+    from ledgerloom.operators import rulepass
+
+    wide, _ = rulepass.wide_pass(tables.sheet_cells, tables.sheet_merges, RULES)
+    assert plan(wide).count("Union") == 1
+    # Keywords are compiled, not parsed in each row.
+    assert "split(" not in plan(rulepass.sheet_rows(tables.sheet_cells, RULES))
+    cells = [("w", "s", 1, 1, "k"), ("w", "s", 1, 2, "a"), ("w", "s", 1, 3, "a"), ("w", "s", 1, 4, "a_2"), ("w", "s", 3, 1, "h"), ("w", "s", 3, 2, "x"), ("w", "s", 3, 4, "z"), ("w", "s", 4, 3, "y"), ("w", "s", 5, 2, "lost")]
+    frame = spark.createDataFrame(cells, "workbook string, sheet string, r long, c int, v string")
+    merges = spark.createDataFrame([("w", "s", 3, 1, 4, 1)], "workbook string, sheet string, r0 long, c0 int, r1 long, c1 int")
+    rule = rulepass.ExtractRule(header_rows=[1], row_header_col=1, row_start=2, col_start=2, col_end=0)
+    got = {r.r: (r.row_head, r["values"]) for r in rulepass.wide_pass(frame, merges, [rule])[0].collect()}
+    assert got == {3: ("h", {"a_1": "x", "a_2": "z"}), 4: ("h", {"a_2": "y"})}
