@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,20 +110,35 @@ def matching_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
     ).filter("by_key or by_name")
 
 
-def _walked(page: pd.DataFrame) -> pd.DataFrame:
+def _page_table(group: pa.Table, columns: dict[str, pa.Array]) -> pa.Table:
+    """The columns with the group's page in front."""
+    n = len(next(iter(columns.values())))
+    page = pa.repeat(group["page_id"][0], n)
+    return pa.table({"page_id": page, **columns})
+
+
+def _walked(page: pa.Table) -> pa.Table:
     """One page's pairs in template order: each open row takes its first free line; then, by name, each pair
     whose row and line are both free. Every entry is looked at once.
 
     Parts: 0 an open row (li = 1 if any line without code and name fits it), 1 such a line, 2 row and line by
     key, 3 row and line by name.
     """
-    part, row, line = (page[c].to_numpy() for c in ("part", "r", "li"))
+    open_rows, blanks, by_name = [], [], []
     candidates: dict[int, list[int]] = {}
-    for r, li in zip(row[part == 2].tolist(), line[part == 2].tolist()):
-        candidates.setdefault(r, []).append(li)
-    blanks, used, found = sorted(line[part == 1].tolist()), set(), {}
+    for part, r, li in zip(*(page[c].to_pylist() for c in ("part", "r", "li"))):
+        if part == 0:
+            open_rows.append((r, li))
+        elif part == 1:
+            blanks.append(li)
+        elif part == 2:
+            candidates.setdefault(r, []).append(li)
+        else:
+            by_name.append((r, li))
+    blanks.sort()
+    used, found = set(), {}
     next_blank = 0
-    for r, anything in sorted(zip(row[part == 0].tolist(), line[part == 0].tolist())):
+    for r, anything in sorted(open_rows):
         while next_blank < len(blanks) and blanks[next_blank] in used:
             next_blank += 1
         free = [li for li in candidates.get(r, ()) if li not in used]
@@ -133,14 +148,13 @@ def _walked(page: pd.DataFrame) -> pd.DataFrame:
             found[r] = min(free)
             used.add(found[r])
     rows = [(r, li, "key") for r, li in found.items()]
-    for r, li in sorted(zip(row[part == 3].tolist(), line[part == 3].tolist())):
+    for r, li in sorted(by_name):
         if r not in found and li not in used:
             found[r] = li
             used.add(li)
             rows.append((r, li, "name"))
-    out = pd.DataFrame(rows, columns=["r", "line_no", "stage"])
-    out.insert(0, "page_id", page["page_id"].iloc[0])
-    return out
+    r, line, stage = zip(*rows) if rows else ((), (), ())
+    return _page_table(page, {"r": pa.array(r, pa.int32()), "line_no": pa.array(line, pa.int32()), "stage": pa.array(stage, pa.string())})
 
 
 def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame:
@@ -168,7 +182,7 @@ def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame
     key = exact.schema["page_id"].dataType.simpleString()
     # Pages with neither candidates nor lines that fit anything have nothing to walk.
     busy = parts.filter("part > 0").select("page_id").distinct()
-    found = parts.join(busy, "page_id", "left_semi").groupBy("page_id").applyInPandas(_walked, f"page_id {key}, r int, line_no int, stage string")
+    found = parts.join(busy, "page_id", "left_semi").groupBy("page_id").applyInArrow(_walked, f"page_id {key}, r int, line_no int, stage string")
     return exact.withColumn("stage", F.lit("code")).unionByName(found)
 
 
@@ -206,15 +220,16 @@ def unknown_lines(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
 RUN_ROWS = 4096
 
 
-def _nearest_free(group: pd.DataFrame) -> pd.DataFrame:
+def _nearest_free(group: pa.Table) -> pa.Table:
     """Rows in order of r, each with the nearest line that is still free: a search in the sorted places, and
     links over taken places that shorten as they are followed, so n log n in all.
 
     Ties of distance go to the smaller line number. Lines of one place stand together, in the order of line_no.
     """
-    is_row = group["is_row"].to_numpy()
-    lines = group[~is_row].sort_values(["y", "no"], kind="stable")
-    y, no = lines["y"].to_numpy(), lines["no"].to_numpy()
+    is_row, nos, ys, reaches = (group[c].to_numpy() for c in ("is_row", "no", "y", "reach"))
+    y, no = ys[~is_row], nos[~is_row]
+    order = np.lexsort((no, y))
+    y, no = y[order], no[order]
     n = len(y)
     up, down = np.arange(n + 1), np.arange(n + 1)  # next free place from i on; last free place before i, plus one
 
@@ -230,8 +245,9 @@ def _nearest_free(group: pd.DataFrame) -> pd.DataFrame:
         """The free line of smallest number at the place of line i."""
         return free(up, int(np.searchsorted(y, y[i], "left")))
 
-    rows, found = group[is_row].sort_values("no", kind="stable"), []
-    for r, want, reach in zip(rows["no"].tolist(), rows["y"].tolist(), rows["reach"].tolist()):
+    rows, found = np.flatnonzero(is_row), []
+    rows = rows[np.argsort(nos[rows], kind="stable")] if n else rows[:0]
+    for r, want, reach in zip(nos[rows].tolist(), ys[rows].tolist(), reaches[rows].tolist()):
         at = int(np.searchsorted(y, want, "left"))
         above, below = free(up, at), free(down, at) - 1
         best = []
@@ -244,9 +260,7 @@ def _nearest_free(group: pd.DataFrame) -> pd.DataFrame:
             _, line, i = min(best)
             found.append((r, line))
             up[i], down[i + 1] = i + 1, i
-    out = pd.DataFrame(found, columns=["r", "line_no"])
-    out.insert(0, "page_id", group["page_id"].iloc[0])
-    return out
+    return _page_table(group, {"r": pa.array([r for r, _ in found], pa.int32()), "line_no": pa.array([int(line) for _, line in found], pa.int32())})
 
 
 def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -259,7 +273,7 @@ def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
     """
     y = F.col("y").cast("double")
     step = F.lag(y).over(Window.partitionBy("page_id").orderBy("line_no", y))
-    between = lines.select("page_id", (y - step).alias("gap")).filter("gap is not null").groupBy("page_id").agg(F.array_sort(F.collect_list("gap")).alias("g"))
+    between = lines.select("page_id", (y - step).alias("gap")).filter("gap is not null").groupBy("page_id").agg(F.sort_array(F.collect_list("gap")).alias("g"))
     reach = between.select("page_id", (F.coalesce(F.element_at("g", F.floor(F.size("g") / 2).cast("int") + 1), F.lit(20.0)) * 1.3).alias("reach"))
     anchors = aligned.join(lines.select("page_id", "line_no", y.alias("y")), ["page_id", "line_no"]).groupBy("page_id", F.col("r").cast("long").alias("r")).agg(F.min("y").alias("lo_y"), F.max("y").alias("hi_y"))
     held = anchors.select("page_id").distinct()
@@ -285,7 +299,7 @@ def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
     start = F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, 0))
     runs = parted.withColumn("run", F.floor(start / RUN_ROWS).cast("int")).drop("_start")
     key = pages.schema["page_id"].dataType.simpleString()
-    return runs.groupBy("page_id", "run").applyInPandas(_nearest_free, f"page_id {key}, r int, line_no int")
+    return runs.groupBy("page_id", "run").applyInArrow(_nearest_free, f"page_id {key}, r int, line_no int")
 
 
 def template_hits(items: DataFrame, tpl: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ def page_summary(pages: DataFrame, bad_rows: DataFrame, alignment: DataFrame, ke
     label = F.concat(F.lit("第"), F.col("r") + 1, F.lit("行["), F.concat_ws(" ", F.nullif("code", F.lit("")), F.nullif("name", F.lit(""))), F.lit("]"))
     heads = (
         bad_rows.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= keep)
-        .groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("_k", label.alias("t")))).alias("_t"))
+        .groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("_k", label.alias("t")))).alias("_t"))
     )
     n = F.coalesce("n_bad", F.lit(0))
     joined = F.coalesce(F.array_join(F.transform("_t", lambda x: x["t"]), "；"), F.lit(""))

@@ -32,7 +32,7 @@ def frames_of(cells: DataFrame) -> DataFrame:
     """(page_id, x0, y0, x1, y1, edges) of detected cells (page_id, r, c, x, y, w, h): the frame and the rows' edges."""
     rows = cells.groupBy("page_id", "r").agg(F.min("y").alias("y"), F.max(F.col("y") + F.col("h")).alias("end"), F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("right"))
     page = rows.groupBy("page_id").agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("right").alias("x1"), F.max("end").alias("y1"), F.array_sort(F.collect_set("y")).alias("_tops")
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("right").alias("x1"), F.max("end").alias("y1"), F.sort_array(F.collect_set("y")).alias("_tops")
     )
     numbers = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
     return page.select("page_id", *numbers, F.concat("_tops", F.array("y1")).cast("array<double>").alias("edges"))
@@ -71,7 +71,7 @@ def _laid(places: DataFrame, geometry: DataFrame) -> DataFrame:
 
 def _read(cells: DataFrame, items: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(anchors, centres): the template's texts beside what was read in their cells, and where that stands."""
-    pieces = F.array_sort(F.collect_list(F.struct("cy", "cx", "item_no", "text")))
+    pieces = F.sort_array(F.collect_list(F.struct("cy", "cx", "item_no", "text")))
     held = layout.assign_cells(items, cells).groupBy(*layout.CELL).agg(pieces.alias("_p"))
     first = F.get("_p", F.lit(0))  # the topmost piece stands for the cell
     joined = F.array_join(F.transform("_p", lambda x: F.coalesce(x["text"], F.lit(""))), "")

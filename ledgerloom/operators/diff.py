@@ -35,7 +35,7 @@ def first_problems(problems: DataFrame, k: int = 8) -> DataFrame:
 def sheet_names_equal(before: DataFrame, after: DataFrame) -> DataFrame:
     """Whether each workbook keeps its sheet names in order (workbook, sheet, sheet_no)."""
     names = lambda df, n: df.groupBy("workbook").agg(
-        F.transform(F.array_sort(F.collect_set(F.struct("sheet_no", "sheet"))), lambda x: x["sheet"]).alias(n)
+        F.transform(F.sort_array(F.collect_set(F.struct("sheet_no", "sheet"))), lambda x: x["sheet"]).alias(n)
     )
     joined = names(before, "_b").join(names(after, "_a"), "workbook", "full")
     return joined.select("workbook", F.col("_b").eqNullSafe(F.col("_a")).alias("same"))

@@ -20,7 +20,7 @@ LIMIT = fv.EXCEL_NAME_LIMIT
 
 def row_arrays(grid: DataFrame) -> DataFrame:
     """(page_id, r, texts): the cells of one row, left to right."""
-    cells = F.array_sort(F.collect_list(F.struct("c", text_or_empty(F.col("text")).alias("t"))))
+    cells = F.sort_array(F.collect_list(F.struct("c", text_or_empty(F.col("text")).alias("t"))))
     return grid.groupBy("page_id", "r").agg(F.transform(cells, lambda x: x["t"]).alias("texts"))
 
 

@@ -107,7 +107,7 @@ def line_veto(lines: DataFrame, items: DataFrame, margin: int = 6, limit: int =
     spans = cjk.select("*", F.explode(F.sequence(F.floor(F.col("x0") / tile), F.floor(F.col("x1") / tile))).alias("_tx"))
     asked = lines.withColumn("_tx", F.floor(F.col("x") / tile))
     across = asked.join(spans, ["page_id", "_tx"]).filter((F.col("x0") < F.col("x") - margin) & (F.col("x1") > F.col("x") + margin))
-    boxes = across.groupBy("page_id", "x").agg(F.array_sort(F.collect_list(F.struct("no", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    boxes = across.groupBy("page_id", "x").agg(F.sort_array(F.collect_list(F.struct("no", "x0", "y0", "x1", "y1"))).alias("boxes"))
     kept = F.aggregate(
         "boxes",
         F.slice(F.col("boxes"), 1, 0),
@@ -141,7 +141,7 @@ def band_items(items: DataFrame, bands: DataFrame, page_w: float, slack: int = 4
     spread = bands.select(
         "page_id", "c", "band0", "band1",
         F.explode(F.sequence(F.floor((F.col("band0") - slack) / tile), F.floor((F.col("band1") + slack) / tile))).alias("_tx"),
-    ).groupBy("page_id", "_tx").agg(F.array_sort(F.collect_set(F.struct("c", "band0", "band1"))).alias("_bands"))
+    ).groupBy("page_id", "_tx").agg(F.sort_array(F.collect_set(F.struct("c", "band0", "band1"))).alias("_bands"))
     joined = located.withColumn("_tx", F.floor(F.col("cx") / tile)).join(spread, ["page_id", "_tx"])
     hit = F.filter("_bands", lambda b: (b["band0"] - slack <= F.col("cx")) & (F.col("cx") < b["band1"] + slack))
     return joined.withColumn("c", F.get(hit, F.lit(0))["c"]).filter(F.col("c").isNotNull()).drop("_tx", "_bands")
@@ -164,7 +164,7 @@ def nearest_column(items: DataFrame, refs: DataFrame) -> DataFrame:
     The limit is max(40, 0.45 x pitch) with the pitch taken from the column numbers, 200 for a
     single column.
     """
-    per_page = refs.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ref", "c"))).alias("_refs"))
+    per_page = refs.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ref", "c"))).alias("_refs"))
     numbers = F.array_sort(F.transform("_refs", lambda x: x["c"].cast("double")))
     pitch = F.coalesce(F.array_min(gaps(numbers)), F.lit(200.0))
     limited = per_page.withColumn("_lim", F.greatest(F.lit(40.0), pitch * 0.45))
@@ -224,7 +224,7 @@ def _islands(counted: DataFrame, gap: Column) -> DataFrame:
 def line_positions(values: DataFrame, gap: float = 10.0) -> DataFrame:
     """Line positions after a second, page-adaptive pass: max(gap, 0.35 x typical distance)."""
     first = cluster_1d(values, gap)
-    page = first.groupBy("page_id").agg(F.array_sort(F.collect_list("centre")).alias("cs"))
+    page = first.groupBy("page_id").agg(F.sort_array(F.collect_list("centre")).alias("cs"))
     g = F.array_sort(gaps(F.col("cs")))
     typical = upper_median(F.when(F.size(g) >= 3, F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(0)))).otherwise(g))
     adaptive = F.when(F.size("cs") >= 3, F.greatest(F.lit(gap), typical * 0.35)).otherwise(F.lit(-1.0))
@@ -236,7 +236,7 @@ def line_positions(values: DataFrame, gap: float = 10.0) -> DataFrame:
 def suppress_near(positions: DataFrame, min_gap: float) -> DataFrame:
     """(page_id, pos, cover): of neighbours closer than `min_gap` the better covered stays."""
     best = positions.groupBy("page_id", "pos").agg(F.max("cover").alias("cover"))
-    page = best.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cover"))).alias("ps"))
+    page = best.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "cover"))).alias("ps"))
 
     def step(acc: Column, p: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -252,7 +252,7 @@ def suppress_near(positions: DataFrame, min_gap: float) -> DataFrame:
 
 def uniform_gaps(positions: DataFrame) -> DataFrame:
     """Whether a page's lines are evenly spaced: largest gap below 2.8 x the lower half's median."""
-    page = positions.groupBy("page_id").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    page = positions.groupBy("page_id").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
     g = F.array_sort(gaps(F.col("ps").cast("array<double>")))
     low = upper_median(F.slice(g, 1, F.greatest(F.floor(F.size(g) / 2).cast("int"), F.lit(1))))
     even = (F.size("ps") >= 3) & ~((low > 0) & (F.array_max(g) >= low * 2.8))
@@ -261,7 +261,7 @@ def uniform_gaps(positions: DataFrame) -> DataFrame:
 
 def snap_lines(values: DataFrame, lines: DataFrame) -> DataFrame:
     """Index of the nearest line within max(6, half the median gap); null beyond it."""
-    page = lines.groupBy("page_id").agg(F.array_sort(F.collect_set("pos")).alias("_ps"))
+    page = lines.groupBy("page_id").agg(F.sort_array(F.collect_set("pos")).alias("_ps"))
     g = gaps(F.col("_ps").cast("array<double>"))
     tol = F.greatest(F.lit(6.0), F.floor(F.coalesce(upper_median(g), F.lit(20.0)) / 2))
     ranked = F.array_sort(F.transform("_ps", lambda p, i: F.struct(F.abs(p - F.col("v")).alias("d"), i.alias("i"))))
@@ -281,7 +281,7 @@ def text_lines(items: DataFrame) -> DataFrame:
     """
     used = placed(items).withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
     shapes = used.groupBy("page_id", "cy", "h").agg(F.min("item_no").alias("seq"))
-    page = shapes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("cy", "seq", "h"))).alias("_s"))
+    page = shapes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("cy", "seq", "h"))).alias("_s"))
 
     def step(acc: Column, s: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -298,7 +298,7 @@ def text_lines(items: DataFrame) -> DataFrame:
     levels = anchored.select("page_id", F.inline(F.transform("_s", located)))
     early = F.coalesce(F.col("item_no") < F.col("cut"), F.lit(False))
     lined = used.join(levels, ["page_id", "cy", "h"]).withColumn("line_no", F.col("no") - early.cast("int"))
-    words = F.array_sort(F.collect_list(F.struct("cx", "cy", "item_no", "text")))
+    words = F.sort_array(F.collect_list(F.struct("cx", "cy", "item_no", "text")))
     return lined.groupBy("page_id", "line_no").agg(
         F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text"), F.min("score").alias("score"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
@@ -337,7 +337,7 @@ def _page_shapes(used: DataFrame) -> DataFrame:
     first box among the boxes of that y."""
     shapes = used.groupBy("page_id", "cy", "h").agg(F.min("item_no").alias("first"), F.count(F.lit(1)).alias("n"))
     levels = shapes.groupBy("page_id", "cy").agg(
-        F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("first", "h"))).alias("kinds")
+        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("first", "h"))).alias("kinds")
     )
     # Only levels with several heights need the boxes' own order.
     mixed = levels.filter(F.size("kinds") > 1).select("page_id", "cy", "kinds")
@@ -350,7 +350,7 @@ def _page_shapes(used: DataFrame) -> DataFrame:
     positioned = levels.join(counts, ["page_id", "cy"], "left").select(
         "page_id", "cy", "total", F.transform("kinds", lambda k, i: F.struct(k["first"].alias("first"), k["h"].alias("h"), before(i).alias("pos"))).alias("kinds")
     )
-    page = positioned.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("cy", "total", "kinds"))).alias("levels"))
+    page = positioned.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("cy", "total", "kinds"))).alias("levels"))
     heights = shapes.groupBy("page_id", "h").agg(F.sum("n").alias("n"))
     run = Window.partitionBy("page_id").orderBy("h")
     cumulated = heights.withColumns({"upto": F.sum("n").over(run), "all": F.sum("n").over(Window.partitionBy("page_id"))})
@@ -429,7 +429,7 @@ def photo_lines(items: DataFrame) -> DataFrame:
     at = F.struct("cy", "item_no")
     code = F.min_by(t, F.when(n_digits >= F.greatest(F.lit(3), F.length(t) - 1), at))
     name = F.min_by(t, F.when(F.regexp_like(t, F.lit(_CJK)), F.struct(-F.length(t), "cy", "item_no")))
-    words = F.array_sort(F.collect_list(F.struct("cx", "cy", "item_no", "text")))
+    words = F.sort_array(F.collect_list(F.struct("cx", "cy", "item_no", "text")))
     return lined.groupBy("page_id", "line_no").agg(
         F.first("y").alias("y"), F.first("tol").alias("tol"), F.coalesce(code, F.lit("")).alias("code"), F.coalesce(name, F.lit("")).alias("name"),
         F.array_join(F.transform(words, lambda w: w["text"]), "").alias("text"),
@@ -558,7 +558,7 @@ def pick_turn(quality: DataFrame) -> DataFrame:
     """Orientation per page. A clear sampled winner is taken at once; otherwise the best probe must
     beat the upright one by a third. Four rows per page at most."""
     probes = quality.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("nq"), "turn", "n_items", "mean_score", "tall_ratio"))).alias("all")
+        F.sort_array(F.collect_list(F.struct((-F.col("q")).alias("nq"), "turn", "n_items", "mean_score", "tall_ratio"))).alias("all")
     )
     zero = F.get(F.filter("all", lambda p: p["turn"] == 0), F.lit(0))
     q0 = F.coalesce(-zero["nq"], F.lit(0.0))

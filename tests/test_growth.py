@@ -77,3 +77,23 @@ def test_rows_with_a_head_look_for_no_merge(spark, tables):
     rule = rulepass.ExtractRule(header_rows=[1], row_header_col=1, row_start=2, col_start=2, col_end=0)
     got = {r.r: (r.row_head, r["values"]) for r in rulepass.wide_pass(frame, merges, [rule])[0].collect()}
     assert got == {3: ("h", {"a_1": "x", "a_2": "z"}), 4: ("h", {"a_2": "y"})}
+
+
+def test_walks_and_readers_stay_in_arrow(spark, tables):
+    for name in ("interp_fill", "align_fuzzy"):
+        assert "FlatMapGroupsInArrow" in plan(QUERIES[name](tables)), name
+    assert "MapInArrow" in plan(QUERIES["scan_cells"](tables))
+
+
+def test_nearest_line_of_few_columns():
+    import pyarrow as pa
+
+    from ledgerloom.operators.align import _nearest_free
+
+    # Rows 5 and 6 both want y = 10; of two lines at the same distance the smaller number is taken, and a row out of reach takes none.
+    group = pa.table({
+        "page_id": [3] * 6, "is_row": [True, False, True, False, False, True], "no": [6, 9, 5, 2, 4, 7],
+        "y": [10.0, 12.0, 10.0, 8.0, 40.0, 90.0], "reach": [5.0] * 6,
+    })
+    assert _nearest_free(group).to_pylist() == [{"page_id": 3, "r": 5, "line_no": 2}, {"page_id": 3, "r": 6, "line_no": 9}]
+    assert _nearest_free(group.slice(0, 1)).num_rows == 0
