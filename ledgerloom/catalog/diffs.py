@@ -139,7 +139,7 @@ def _zipped(shared: str, names: list[str], bodies: list[str]) -> bytes:
     sheets = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
     links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
         book.writestr("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="{_REL}"><sheets>{sheets}</sheets></workbook>')
         book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="x">{links}</Relationships>')
         book.writestr("xl/sharedStrings.xml", f"<sst {_MAIN}>{shared}</sst>")
@@ -218,7 +218,7 @@ define(
 )
 def html_tables(t: Tables) -> DataFrame:
     """Each conversation as a table: a first cell over all rows, then role and turn."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n"))))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").alias("n"))))
     row = lambda x, i: F.concat(
         F.when(i == 0, F.concat(F.lit("<tr><td rowspan="), F.size("turns"), F.lit(">conv</td>"))).otherwise("<tr>"),
         F.when(i % 2 == 0, "<td colspan='2'>").otherwise("<td>"), x["role"], F.lit("</td><td> "), x["turn"], F.lit(" &amp; "), x["n"], F.lit("</td></tr>"),
