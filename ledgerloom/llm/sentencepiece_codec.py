@@ -150,6 +150,10 @@ def _grouped(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str
         yield group
 
 
+# The cuts of a text that begins with a marker: all of them do.
+_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
+
+
 class Codec:
     """Encoder and decoder of one worker, with a memory of cuts."""
 
@@ -224,12 +228,15 @@ class Codec:
         return found
 
     def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        core = new
-        if self.cuts and self.model.kind == MERGES:
-            core = [MARK + c.lstrip(MARK) if c.startswith(MARK * 2) else c for c in new]
+        core, run = new, MARK * 2
+        spaced = [i for i, c in enumerate(new) if c.startswith(run)] if self.cuts and self.model.kind == MERGES else []
+        if spaced:
+            core = list(new)
+            for i in spaced:
+                core[i] = MARK + new[i].lstrip(MARK)
         found = [e.ids for e in self.plain.encode_batch_fast(core, add_special_tokens=False)]
-        if core is not new:
-            found = [ids if c == k or c == MARK else self._spaced(c, ids) for c, k, ids in zip(new, core, found)]
+        for i in spaced:
+            found[i] = self._spaced(new[i], found[i])
         if not self.judged:
             return {cut: array("i", ids).tobytes() for cut, ids in zip(new, found)}
         texts = [c.removeprefix(MARK) if self.model.dummy_prefix else c for c in new]
@@ -250,6 +257,31 @@ class Codec:
             return self.whole.normalizer.normalize_str(text)
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text alone, without telling whether it comes back."""
+        out = []
+        for group in _grouped(texts):
+            cuts = [self._cut(self.normalized(t)) if t else [] for t in group]
+            met = [list(map(self.known.get, row)) for row in cuts]
+            joined: list[bytes | None] = []
+            for found in met:
+                try:
+                    joined.append(b"".join(found))
+                except TypeError:  # a cut that is not in the memory
+                    joined.append(None)
+            open_rows = [i for i, one in enumerate(joined) if one is None]
+            if open_rows:
+                fresh = self.learn(cut for i in open_rows for cut, known in zip(cuts[i], met[i]) if known is None)
+                for i in open_rows:
+                    joined[i] = b"".join([fresh[cut] if known is None else known for cut, known in zip(cuts[i], met[i])])
+            out += [np.frombuffer(one, np.int32) for one in joined]
+        return out
+
+    def _cut(self, normal: str) -> list[str]:
+        if not self.cuts:
+            return [normal] * bool(normal)
+        return (_MARKED if normal.startswith(MARK) else self.cuts).findall(normal)
+
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, round trip is whole, equal to the sentencepiece library) of each text."""
         out = []
@@ -314,7 +346,7 @@ def encoder(path: str = MODEL_FILE) -> tuple[Callable[[list[str | None]], list[n
     raw = model_bytes(path)
     pieces = [p for p, _, _ in parse_model(raw).pieces]
     end = pieces.index("</s>") if "</s>" in pieces else len(pieces)
-    return (lambda texts: [x[0] for x in codec(raw, False).encode(texts)]), len(pieces), end
+    return (lambda texts: codec(raw, False).ids(texts)), len(pieces), end
 
 
 def decode(encoded: DataFrame, path: str = MODEL_FILE) -> DataFrame:
