@@ -24,11 +24,13 @@ def _near(a: Column, b: Column, share: float) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= 1) & (agreement(a, b) >= share)
 
 
+def coded_match(ka: Column, kb: Column) -> Column:
+    """`codes_match` on keys that are columns already."""
+    return (ka == kb) | ((ka != "") & (kb != "") & _near(ka, kb, 0.7))
+
+
 def codes_match(a: Column, b: Column) -> Column:
-    return let(
-        _pair(key_code(a), key_code(b)),
-        lambda k: (k["a"] == k["b"]) | ((k["a"] != "") & (k["b"] != "") & _near(k["a"], k["b"], 0.7)),
-    )
+    return let(_pair(key_code(a), key_code(b)), lambda k: coded_match(k["a"], k["b"]))
 
 
 def _digits_inside(short: Column, long: Column) -> Column:

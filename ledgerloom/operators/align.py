@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions.fuzzy import codes_match, key_match, keys_match, text_match
+from ledgerloom.functions.fuzzy import coded_match, codes_match, key_match, keys_match, text_match
 from ledgerloom.functions.number import numeric_text
 from ledgerloom.functions.text import digits, has_meaning, key_code, squeeze, strip
-from ledgerloom.operators.fuzzy_index import contained_pairs, digit_pairs, near_pairs
+from ledgerloom.operators.fuzzy_index import contained_pairs, digit_pairs, near_pairs, parts_for
 from ledgerloom.scale import first_row, materialized, number_within
 
 TPL = ["doc", "page"]
@@ -305,13 +305,17 @@ def claim_nearest(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
 def template_hits(items: DataFrame, tpl: DataFrame) -> DataFrame:
     """(page_id, code): template codes that some text of the page resembles.
 
-    The fuzzy test runs once per distinct (text, code) that agrees on all but the places it may differ in.
+    The fuzzy test runs once per (text, code) for each way in which they agree on all but the places they may differ in.
+    Texts and codes are written and counted first, as the number of tasks goes by them.
     """
-    texts = items.select("page_id", key_code(F.col("text")).alias("key")).filter("key <> ''").distinct()
-    codes = tpl.filter(F.regexp_like("code", F.lit(r"\d"))).select(F.col("code"), key_code(F.col("code")).alias("ckey")).distinct()
-    near = near_pairs(texts.select("key").distinct(), codes, [], "key", "ckey", 30, None)
-    like = near.filter(codes_match(F.col("key"), F.col("ckey"))).select("key", "code").distinct()
-    return texts.join(like, "key").select("page_id", "code").distinct()
+    texts = materialized(items.select("page_id", key_code(F.col("text")).alias("key")).filter("key <> ''").distinct())
+    codes = materialized(tpl.filter(F.regexp_like("code", F.lit(r"\d"))).select(F.col("code"), key_code(F.col("code")).alias("ckey")).distinct())
+    keys = texts.select("key").distinct()
+    parts = parts_for(items.sparkSession, keys.count() + codes.count())
+    dealt = lambda df, *by: df.repartition(parts, *by) if parts else df
+    near = near_pairs(keys, codes, [], "key", "ckey", 30, None, parts=parts)
+    like = dealt(near.filter(coded_match(F.col("key"), F.col("ckey"))).select("key", "code"), "key").distinct()
+    return dealt(texts.join(like, "key").select("page_id", "code"), "page_id", "code").distinct()
 
 
 def template_scores(items: DataFrame, tpl: DataFrame) -> DataFrame:

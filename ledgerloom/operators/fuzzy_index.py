@@ -22,9 +22,17 @@ PATTERN_LENGTH = 32
 WINDOW = 16
 # Longest values that are compared by edit distance before a pair leaves the lookup.
 EDITED = 64
+# Values of which one task holds the keys; each has up to 36 for its own length and some for the next ones.
+VALUES = 1 << 13
 _BETWEEN = "\u0001"
 
 
+def parts_for(spark: SparkSession, values: int) -> int | None:
+    """Tasks over which the keys of so many values are dealt; None where the session's own number is enough."""
+    parts = -(-values // VALUES)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def kept_positions(length: int, differing: int, most: int) -> list[list[tuple[int, int]]]:
     """Ways to keep parts of a value so that two values of `length` characters that differ in at most
     `differing` places agree in one of them: (start, size) of the parts, 1-based. The value is cut into as
@@ -77,24 +85,35 @@ def near_keys(values: DataFrame, value: str, differ_pct: int, longer: Column, mo
     return short.select(*long.columns).unionByName(long)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str], a: str, b: str, differ_pct: int, length_pct: int | None, most: int = 36) -> DataFrame:
+def near_pairs(
+    left: DataFrame, right: DataFrame, scope: Sequence[str], a: str, b: str, differ_pct: int, length_pct: int | None, most: int = 36, parts: int | None = None
+) -> DataFrame:
     """Pairs of rows whose values `a` (left) and `b` (right) may agree in all but `differ_pct` percent of their
-    places. Lengths differ by at most one, or by `length_pct` percent of the longer."""
+    places. Lengths differ by at most one, or by `length_pct` percent of the longer. Values and keys are dealt over
+    `parts` tasks where it is given (see `parts_for`), so that no task's keys grow with the input."""
 
     def longer(value: str) -> Column:
         n = F.length(value)
         return n + 1 if length_pct is None else F.floor(n * 100 / (100 - length_pct)).cast("int")
 
-    keys = [*scope, "len", "way", "piece"]
+    if parts:
+        left, right = left.repartition(parts, a), right.repartition(parts, b)
+    keys = [*scope, "_key"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        # A number sorts faster than three columns and takes less room; keys that share one are told apart by the test.
+        one = df.withColumn("_key", F.xxhash64("len", "way", "piece")).drop("len", "way", "piece")
+        return one.repartition(parts, *keys) if parts else one
+
     # One of the two has the length that the key stands for; two shorter ones never meet under it.
-    own_a, all_b = near_keys(left, a, differ_pct, F.length(a), most), near_keys(right, b, differ_pct, longer(b), most)
-    less_a = near_keys(left, a, differ_pct, longer(a), most).filter(F.length(a) < F.col("len"))
-    own_b = near_keys(right, b, differ_pct, F.length(b), most)
+    own_a, all_b = keyed(near_keys(left, a, differ_pct, F.length(a), most)), keyed(near_keys(right, b, differ_pct, longer(b), most))
+    less_a = keyed(near_keys(left, a, differ_pct, longer(a), most).filter(F.length(a) < F.col("len")))
+    own_b = keyed(near_keys(right, b, differ_pct, F.length(b), most))
     # Places that differ are as many edits at least; this is much cheaper than the test, and leaves few pairs to shuffle.
     longest = F.greatest(F.length(a), F.length(b))
     near = (longest > EDITED) | (F.levenshtein(F.col(a), F.col(b)) <= F.floor(longest * differ_pct / 100))
     met = own_a.join(shuffled(all_b), keys).unionByName(less_a.join(shuffled(own_b), keys))
-    return met.filter(near).drop("len", "way", "piece")
+    return met.filter(near).drop("_key")
 
 
 def digit_pairs(shorts: DataFrame, longs: DataFrame, scope: Sequence[str], short: str, long: str) -> DataFrame:

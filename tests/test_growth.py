@@ -97,3 +97,19 @@ def test_nearest_line_of_few_columns():
     })
     assert _nearest_free(group).to_pylist() == [{"page_id": 3, "r": 5, "line_no": 2}, {"page_id": 3, "r": 6, "line_no": 9}]
     assert _nearest_free(group.slice(0, 1)).num_rows == 0
+
+
+def test_keys_of_near_codes_are_dealt_over_more_tasks_as_values_grow(spark, monkeypatch):
+    from ledgerloom.operators import align, fuzzy_index
+
+    items = spark.range(300).selectExpr("id % 7 as page_id", "cast(11000000 + id * 7 as string) as text")
+    tpl = spark.range(250).selectExpr("'D' as doc", "'P' as page", "cast(id as int) as r", "cast(11000000 + id * 9 as string) as code", "'' as name")
+    few = rows(align.template_hits(items, tpl))
+    monkeypatch.setattr(fuzzy_index, "VALUES", 10)
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = align.template_hits(items, tpl)
+    assert fuzzy_index.parts_for(spark, 10 * own) is None and fuzzy_index.parts_for(spark, 550) == 55 > own
+    # In both joins the values (once for short, once for long ones) and the keys of both sides, then the pairs and the hits.
+    assert plan(many).count("RepartitionByExpression") == 14
+    assert many.rdd.getNumPartitions() == 55
+    assert rows(many) == few and len(few) > 1000
