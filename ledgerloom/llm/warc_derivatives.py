@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import let
 from ledgerloom.llm.binary_files import write_files
 
-# Names of HTML 4's character references.
-_NAMES = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Names of HTML 4's character references; a map is searched from its front, so the commonest stand there.
+_COMMON = ("amp", "nbsp", "quot", "lt", "gt", "apos")
+_NAMES = {name: chr(code) for name, code in {**dict.fromkeys(_COMMON, 39), **dict(sorted(name2codepoint.items()))}.items()}
+_NUMBER = r"^#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})\z"
 
 
 def record_urn(*parts: Column) -> Column:
@@ -61,24 +63,32 @@ def _character(point: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """The text with its character references, by number and by the names of HTML 4, as characters; others stay."""
-    names = F.create_map(*[F.lit(x) for pair in sorted(_NAMES.items()) for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
 
-    def one(x: Column, i: Column) -> Column:
-        ref = F.regexp_extract(x, _REFERENCE, 1)
+    def numbered(ref: Column) -> Column:
         code = F.when(F.lower(F.left(ref, F.lit(2))) == "#x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2)))
-        char = F.when(ref == "", None).when(F.left(ref, F.lit(1)) == "#", _character(code.try_cast("bigint"))).otherwise(F.try_element_at(names, ref))
-        return F.when(i == 0, x).when(char.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(char, F.substr(x, F.length(ref) + 2)))
+        return F.when(F.regexp_like(ref, F.lit(_NUMBER)), let(code.try_cast("bigint"), _character))
+
+    def replaced(x: Column, ref: Column, char: Column) -> Column:
+        return F.when(char.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(char, F.substr(x, F.length(ref) + 2)))
+
+    def one(x: Column, i: Column) -> Column:
+        # What stands before the first semicolon, or all if there is none.
+        named = lambda ref: F.when(F.startswith(ref, F.lit("#")), numbered(ref)).otherwise(F.try_element_at(names, ref))
+        found = lambda ref: F.when(F.octet_length(ref) < F.octet_length(x), named(ref))
+        return F.when(i == 0, x).otherwise(let(F.substring_index(x, ";", 1), lambda ref: let(found(ref), lambda char: replaced(x, ref, char))))
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), one), "")).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: no scripts, styles or comments; block ends become line breaks; spaces are joined."""
-    text = F.regexp_replace(html, r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", " ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|title|article|footer|nav)\s*>", "\n")
+    # Patterns begin with one character, which is quickly looked for, and leave single spaces alone.
+    text = F.regexp_replace(html, r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|!--.*?(?:-->|\z))", " ")
+    text = F.regexp_replace(text, r"(?i)<(?:br\s*/?|/(?:p|div|li|h[1-6]|tr|title|article|footer|nav)\s*)>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = F.regexp_replace(unescaped(text), r"[ \t\r\u00a0]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(unescaped(text), r"[ \t\r\u00a0](?:(?<! )[ \t\r\u00a0]*|[ \t\r\u00a0]+)", " ")
+    return F.btrim(F.regexp_replace(text, r"[ \n](?:(?<=\n)|\n)[ \n]*", "\n"), F.lit(" \n"))
 
 
 def derivatives(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

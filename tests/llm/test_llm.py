@@ -519,6 +519,17 @@ def test_warc_text_and_fields(spark, tmp_path):
     assert warc_derivatives.derivatives(warc_derivatives.responses(long)).filter("record_type = 'conversion'").first().block.count("&") == 200_000
 
 
+def test_warc_text_is_made_once_and_ends_as_the_page(spark):
+    """A line separator at the end is no line end, spaces before it stay; the page is not searched again for each use of its text."""
+    texts = {"<p>x \u2028": "x \u2028", "a \t b\r\u00a0<br/> \n c </P >": "a b\nc", "&amp": "&amp", "&#65;&#x42;&#12345678;&#65\n;&;&apos;": "AB&#12345678;&#65\n;&;'"}
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("url", warc_derivatives.F.lit("u"))
+    made = warc_derivatives.derivatives(warc_derivatives.responses(pages), ["page_id"])
+    got = {r.page_id: r.block for r in made.filter("record_type = 'conversion'").collect()}
+    assert got == dict(enumerate(texts.values()))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<title>([^<]*)") == 1 and plan.count("/style") == 1
+
+
 def test_hosts_and_addresses(spark):
     urls = ["http://[::1]:80/x", "http://A.com./", "https://u:p@10.1.2.3:8080/", "http://2.3/", "ftp://x.b.com", "http://", "no scheme", "http://" + "a." * 5000 + "com"]
     pages = spark.createDataFrame([(i, u, "2024-03-01") for i, u in enumerate(urls)], "page_id long, url string, day string").withColumn("x", url_asof.F.lit(1))
