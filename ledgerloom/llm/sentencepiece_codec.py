@@ -22,9 +22,11 @@ import os
 import re
 import struct
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, DEFINED, BYTE = 1, 2, 4, 6
 # Cuts of either memory of a worker; some 200 bytes each.
 REMEMBERED = 1 << 18
-# Threads of one worker, and cuts per call of the library.
-THREADS, BATCH = "2", 1 << 13
+# Threads of one worker, cuts per call of the library, and words that are joined to one text.
+THREADS, BATCH, JOINED = "2", 1 << 13, 64
 
 
 @dataclass
@@ -172,8 +174,14 @@ class Codec:
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
         mixed = any(re.match(f"{MARK}{MARK}+[^{MARK}]", p) for p in self.pieces)
         self.cuts = None if crossing or mixed else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        kinds = Counter(kind for _, _, kind in self.model.pieces)
+        # Merges stay inside a cut, and every character has ids whose bytes add up to its own, so words encoded together can be
+        # told apart again; and a text is its words, each with a marker in front.
+        parted = bool(self.cuts) and self.model.kind == MERGES and self.model.byte_fallback and kinds[BYTE] == 256 and not defined
+        self.worded = parted and not judged and self.model.dummy_prefix and not self.model.charsmap and not self.model.squeeze_spaces
+        self.sizes = np.array([1 if kind == BYTE else len(p.encode()) if kind == NORMAL else 0 for p, _, kind in self.model.pieces])
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.known: dict[str, bytes] = {}  # ids of a cut, as 32-bit numbers
+        self.known: dict[str, bytes] = {}  # ids of a cut or a bare word, as 32-bit numbers
         self.before: dict[str, bytes] = {}  # the memory that filled up last; cuts met again move over
         self.lossy: set[str] = set()
         self.differing: set[str] = set()
@@ -227,7 +235,30 @@ class Codec:
             self.known.update(fresh)
         return found
 
+    def _joined(self, words: list[str]) -> dict[str, bytes] | None:
+        """The ids of words with a marker in front, JOINED of them encoded as one text; None if the ids do not part
+        where the words do."""
+        texts = [MARK + MARK.join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        ids = np.array([i for e in self.plain.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum(np.array([len(w) if w.isascii() else len(w.encode()) for w in words]) + len(MARK.encode()))
+        last = np.searchsorted(ends, wanted)
+        if last[-1] != len(ids) - 1 or not np.array_equal(ends[last], wanted):
+            return None
+        raw, edges = ids.tobytes(), [0, *((last + 1) * ids.itemsize).tolist()]
+        return {word: raw[lo:hi] for word, lo, hi in zip(words, edges, edges[1:])}
+
     def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        words = [c for c in new if not c.startswith(MARK)] if self.worded else []
+        if not words:
+            return self._each(new)
+        found = self._joined(words)
+        if found is None:
+            found = dict(zip(words, self._each([MARK + w for w in words]).values()))
+        rest = [c for c in new if c.startswith(MARK)] if len(words) < len(new) else []
+        return found | self._each(rest) if rest else found
+
+    def _each(self, new: list[str]) -> dict[str, bytes]:
         core, run = new, MARK * 2
         spaced = [i for i, c in enumerate(new) if c.startswith(run)] if self.cuts and self.model.kind == MERGES else []
         if spaced:
@@ -261,22 +292,20 @@ class Codec:
         """The ids of each text alone, without telling whether it comes back."""
         out = []
         for group in _grouped(texts):
-            cuts = [self._cut(self.normalized(t)) if t else [] for t in group]
-            met = [list(map(self.known.get, row)) for row in cuts]
-            joined: list[bytes | None] = []
-            for found in met:
-                try:
-                    joined.append(b"".join(found))
-                except TypeError:  # a cut that is not in the memory
-                    joined.append(None)
-            open_rows = [i for i, one in enumerate(joined) if one is None]
-            if open_rows:
-                fresh = self.learn(cut for i in open_rows for cut, known in zip(cuts[i], met[i]) if known is None)
-                for i in open_rows:
-                    joined[i] = b"".join([fresh[cut] if known is None else known for cut, known in zip(cuts[i], met[i])])
-            out += [np.frombuffer(one, np.int32) for one in joined]
+            cuts = [self._words(t) or self._cut(self.normalized(t)) if t else [] for t in group]
+            held = self.known
+            fresh = self.learn(set(chain.from_iterable(cuts)).difference(held))
+            if self.known is not held:  # the memory was full, and the cuts are dealt over old and new
+                held = held | fresh
+            out += [np.frombuffer(b"".join(map(held.__getitem__, row)), np.int32) for row in cuts]
         return out
 
+    def _words(self, text: str) -> list[str]:
+        """The words of a text with single spaces between them, which stand for its cuts; none for other texts."""
+        if not self.worded or "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+            return []
+        return text.split(" ")
+
     def _cut(self, normal: str) -> list[str]:
         if not self.cuts:
             return [normal] * bool(normal)
