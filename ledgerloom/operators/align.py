@@ -42,9 +42,9 @@ def _candidates(tpl: DataFrame, spare: DataFrame) -> DataFrame:
     The fuzzy tests run once per distinct (code, name) of a template page, on the candidates of the key index.
     """
     rows = tpl.select(*TPL, "r", F.col("code").alias("t_code"), F.col("name").alias("t_name"))
-    seen = spare.filter("code <> '' or name <> ''").select(*TPL, "code", "name").distinct()
-    wanted = rows.select(*TPL, "t_code", "t_name").distinct()
-    like = matching_keys(seen, wanted)
+    seen = materialized(spare.filter("code <> '' or name <> ''").select(*TPL, "code", "name").distinct())
+    wanted = materialized(rows.select(*TPL, "t_code", "t_name").distinct())
+    like = matching_keys(seen, wanted, parts_for(spare.sparkSession, seen.count() + wanted.count()))
     texts = spare.filter("code = ''").select(*TPL, "text").distinct()
     coded_rows = rows.filter(coded(F.col("t_code")))
     by_text = contained_pairs(coded_rows.select(*TPL, "t_code").distinct(), texts, TPL, "t_code", "text")
@@ -55,11 +55,11 @@ def _candidates(tpl: DataFrame, spare: DataFrame) -> DataFrame:
     )
 
 
-def candidate_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
+def candidate_keys(seen: DataFrame, wanted: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc, page, code, name, t_code, t_name): pairs that may name the same row, from key lookups.
 
     One lookup for each way in which `row_key_match` can be true: nearly equal codes, digits inside one
-    another, names inside one another, equal and nearly equal names.
+    another, names inside one another, equal and nearly equal names. `parts`: tasks of the lookups of near values.
     """
     pair = [*TPL, "code", "name", "t_code", "t_name"]
     both = F.concat("code", "name")
@@ -78,13 +78,13 @@ def candidate_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
     numbers = read.withColumn("_x", F.explode(F.array_distinct(F.array("_d", "_db"))))
     long_named = want.filter(F.length("t_name") >= 3)
     found = [
-        near_pairs(keys, want, TPL, "_x", "_tk", 25, None),
+        near_pairs(keys, want, TPL, "_x", "_tk", 25, None, parts=parts),
         digit_pairs(numbers, want, TPL, "_x", "_td"),
         digit_pairs(want, numbers, TPL, "_td", "_x"),
         contained_pairs(long_named, read, TPL, "t_name", "_whole"),
         contained_pairs(read, long_named, TPL, "_whole", "t_name"),
         named.join(called, [*TPL, "_e"]),
-        near_pairs(read.filter(F.length("_n") >= 4), want.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, 16),
+        near_pairs(read.filter(F.length("_n") >= 4), want.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, 16, parts),
     ]
     out = found[0].select(*pair)
     for part in found[1:]:
@@ -92,11 +92,11 @@ def candidate_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def matching_keys(seen: DataFrame, wanted: DataFrame) -> DataFrame:
+def matching_keys(seen: DataFrame, wanted: DataFrame, parts: int | None = None) -> DataFrame:
     """The candidates that pass: by_key (`row_key_match`), by_name (names that agree)."""
     code, name, t_code, t_name = (F.col(c) for c in ("code", "name", "t_code", "t_name"))
     both = F.concat("code", "name")
-    keyed = candidate_keys(seen, wanted).withColumns({
+    keyed = candidate_keys(seen, wanted, parts).withColumns({
         "_k": key_code(code), "_kb": key_code(both), "_tk": key_code(t_code), "_whole": both,
     }).withColumns({"_d": digits(F.col("_k")), "_db": digits(F.col("_kb")), "_td": digits(F.col("_tk"))})
     by_code = keys_match(*[F.col(c) for c in ("_tk", "_td", "_kb", "_db")]) & (F.contains("_whole", t_code) | (F.length("_tk") >= 3))
@@ -206,11 +206,12 @@ def unknown_lines(pages: DataFrame, tpl: DataFrame, lines: DataFrame, aligned: D
     spare = lines.filter(coded(F.col("code")) & ~F.regexp_like(both, F.lit(words)) & ~F.contains(both, F.lit(fv.TOTAL_WORD)))
     spare = spare.join(aligned.select("page_id", "line_no"), ["page_id", "line_no"], "left_anti")
     placed = spare.join(pages, "page_id")
-    codes = tpl.filter(coded(F.col("code"))).select(*TPL, F.col("code").alias("_t")).distinct()
-    seen = placed.select(*TPL, "code").distinct()
+    codes = materialized(tpl.filter(coded(F.col("code"))).select(*TPL, F.col("code").alias("_t")).distinct())
+    seen = materialized(placed.select(*TPL, "code").distinct())
+    parts = parts_for(lines.sparkSession, seen.count() + codes.count())
     read = seen.withColumns({"_k": key_code(F.col("code")), "_d": digits(key_code(F.col("code")))})
     want = codes.withColumns({"_tk": key_code(F.col("_t")), "_td": digits(key_code(F.col("_t")))})
-    near = [near_pairs(read, want, TPL, "_k", "_tk", 25, None), digit_pairs(read, want, TPL, "_d", "_td"), digit_pairs(want, read, TPL, "_td", "_d")]
+    near = [near_pairs(read, want, TPL, "_k", "_tk", 25, None, parts=parts), digit_pairs(read, want, TPL, "_d", "_td"), digit_pairs(want, read, TPL, "_td", "_d")]
     maybe = near[0].select(*TPL, "code", "_t").unionByName(near[1].select(*TPL, "code", "_t")).unionByName(near[2].select(*TPL, "code", "_t"))
     known = maybe.filter(key_match(F.col("_t"), F.col("code"))).select(*TPL, "code").distinct()
     return placed.join(known, [*TPL, "code"], "left_anti").select("page_id", "line_no", "code")

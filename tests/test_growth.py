@@ -113,3 +113,21 @@ def test_keys_of_near_codes_are_dealt_over_more_tasks_as_values_grow(spark, monk
     assert plan(many).count("RepartitionByExpression") == 14
     assert many.rdd.getNumPartitions() == 55
     assert rows(many) == few and len(few) > 1000
+
+
+def test_row_alignment_deals_its_near_keys_alike(spark, monkeypatch):
+    from ledgerloom.operators import align, fuzzy_index
+
+    tpl = spark.range(60).selectExpr("'D' as doc", "'P' as page", "cast(id as int) as r", "cast(1100 + id * 3 as string) as code", "concat('name of ', id * 37 % 61) as name")
+    lines = spark.range(60).selectExpr(
+        "id % 3 as page_id", "cast(id as int) as line_no", "cast(id * 20 as double) as y",
+        "if(id % 4 = 0, '', cast(1101 + id * 3 as string)) as code", "concat('name if ', id * 37 % 61) as name", "cast(null as string) as text",
+    )
+    pages = spark.range(3).selectExpr("id as page_id", "'D' as doc", "'P' as page")
+    few = rows(align.align_fuzzy(pages, tpl, lines))
+    unknown = rows(align.unknown_lines(pages, tpl, lines, align.align_exact(pages, tpl, lines)))
+    monkeypatch.setattr(fuzzy_index, "VALUES", 4)
+    seen, wanted = lines.selectExpr("'D' as doc", "'P' as page", "code", "name"), tpl.selectExpr("doc", "page", "code as t_code", "name as t_name")
+    assert plan(align.candidate_keys(seen, wanted, 29)).count(", 29") >= 8
+    assert rows(align.align_fuzzy(pages, tpl, lines)) == few and len(few) > 20
+    assert rows(align.unknown_lines(pages, tpl, lines, align.align_exact(pages, tpl, lines))) == unknown
