@@ -11,17 +11,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions.fuzzy import coded_match, codes_match, key_match, keys_match, text_match
-from ledgerloom.functions.number import numeric_text
+from ledgerloom.functions.fuzzy import coded_match, codes_match, key_match, near_keys_match, squeezed_match, text_match
+from ledgerloom.functions.number import looks_numeric, numeric_text
 from ledgerloom.functions.text import digits, has_meaning, key_code, squeeze, strip
-from ledgerloom.operators.fuzzy_index import contained_pairs, digit_pairs, near_pairs, parts_for
+from ledgerloom.operators.fuzzy_index import bits_by_place, contained_pairs, digit_pairs, near_pairs, parts_for
 from ledgerloom.scale import first_row, materialized, number_within
 
 TPL = ["doc", "page"]
+# Stands for a missing line number in the walk: before all others.
+_NO_LINE = -(1 << 63)
+# Lines of a row that are looked at together.
+_AT_ONCE = 256
 
 
 def coded(c: Column) -> Column:
@@ -39,75 +44,81 @@ def _candidates(tpl: DataFrame, spare: DataFrame) -> DataFrame:
     """(page_id, r, line_no, by_key, by_name) for spare lines that resemble a template row; lines with
     neither code nor name only where their text holds the code.
 
-    The fuzzy tests run once per distinct (code, name) of a template page, on the candidates of the key index.
+    The fuzzy tests run once per distinct (code, name) of a template page, on the candidates of the key index. Texts
+    are written with a number each, so that pairs are told apart and sent on as two numbers.
     """
     rows = tpl.select(*TPL, "r", F.col("code").alias("t_code"), F.col("name").alias("t_name"))
-    seen = materialized(spare.filter("code <> '' or name <> ''").select(*TPL, "code", "name").distinct())
-    wanted = materialized(rows.select(*TPL, "t_code", "t_name").distinct())
-    like = matching_keys(seen, wanted, parts_for(spare.sparkSession, seen.count() + wanted.count()))
+    number = F.monotonically_increasing_id()
+    seen = materialized(spare.filter("code <> '' or name <> ''").select(*TPL, "code", "name").distinct().withColumn("_s", number))
+    wanted = materialized(rows.select(*TPL, "t_code", "t_name").distinct().withColumn("_t", number))
+    names = squeeze(F.col("t_name"))
+    bits = bits_by_place(wanted.select(names.alias("_n")), "_n")
+    like = matching_keys(seen, wanted, parts_for(spare.sparkSession, seen.count() + wanted.count()), bits)
     texts = spare.filter("code = ''").select(*TPL, "text").distinct()
     coded_rows = rows.filter(coded(F.col("t_code")))
     by_text = contained_pairs(coded_rows.select(*TPL, "t_code").distinct(), texts, TPL, "t_code", "text")
     glued = spare.filter("code = ''").join(by_text, [*TPL, "text"]).join(coded_rows, [*TPL, "t_code"])
-    found = spare.join(like, [*TPL, "code", "name"]).join(rows, [*TPL, "t_code", "t_name"])
+    lines_of = spare.join(seen, [*TPL, "code", "name"]).select("page_id", "line_no", "_s")
+    rows_of = rows.join(wanted, [*TPL, "t_code", "t_name"]).select("r", "_t")
+    found = like.join(lines_of, "_s").join(rows_of, "_t")
     return found.select("page_id", "r", "line_no", "by_key", "by_name").unionByName(
         glued.select("page_id", "r", "line_no", F.lit(True).alias("by_key"), F.lit(False).alias("by_name"))
     )
 
 
-def candidate_keys(seen: DataFrame, wanted: DataFrame, parts: int | None = None) -> DataFrame:
-    """(doc, page, code, name, t_code, t_name): pairs that may name the same row, from key lookups.
+def candidate_keys(seen: DataFrame, wanted: DataFrame, parts: int | None = None, bits: dict[int, list[float]] | None = None) -> DataFrame:
+    """(what tells a row of `seen` and of `wanted`, by_key, by_name): pairs that name the same row, from key lookups.
 
-    One lookup for each way in which `row_key_match` can be true: nearly equal codes, digits inside one
-    another, names inside one another, equal and nearly equal names. `parts`: tasks of the lookups of near values.
+    `seen` (doc, page, code, name) and `wanted` (doc, page, t_code, t_name) are told by their numbers `_s` and `_t`, or
+    by their texts where they have none. One lookup for each way in which `row_key_match` can be true: nearly equal codes,
+    digits inside one another, names inside one another, equal and nearly equal names; each is tested as it is found, on
+    the few columns its test needs. A pair may be found more than once. `parts`: tasks of the lookups of near values;
+    `bits`: how the names are told apart (`bits_by_place`).
     """
-    pair = [*TPL, "code", "name", "t_code", "t_name"]
-    both = F.concat("code", "name")
-    read = seen.withColumns({
-        "_k": key_code(F.col("code")), "_kb": key_code(both), "_d": digits(key_code(F.col("code"))), "_db": digits(key_code(both)),
-        "_whole": both, "_n": squeeze(F.col("name")),
-    })
-    want = wanted.withColumns({
-        "_tk": key_code(F.col("t_code")), "_td": digits(key_code(F.col("t_code"))), "_tn": squeeze(F.col("t_name")),
-    })
-    plain = lambda c: F.replace(c, F.lit(","), F.lit(""))
-    named = read.filter("_n <> ''").withColumn("_e", F.explode(F.array_distinct(F.array(F.col("_n"), plain(F.col("_n"))))))
-    called = want.filter("_tn <> ''").withColumn("_e", F.explode(F.array_distinct(F.array(F.col("_tn"), plain(F.col("_tn"))))))
+    of_seen = ["_s"] if "_s" in seen.columns else ["code", "name"]
+    of_want = ["_t"] if "_t" in wanted.columns else ["t_code", "t_name"]
+    code, t_code = key_code(F.col("code")), key_code(F.col("t_code"))
+    both, whole = key_code(F.concat("code", "name")), F.concat("code", "name")
+    # Codes and names with their code count by key only for rows with a code.
+    want = wanted.filter(t_code != "")
     # The code, and code and name together, each once for every text they make.
-    keys = read.withColumn("_x", F.explode(F.array_distinct(F.array("_k", "_kb"))))
-    numbers = read.withColumn("_x", F.explode(F.array_distinct(F.array("_d", "_db"))))
-    long_named = want.filter(F.length("t_name") >= 3)
-    found = [
-        near_pairs(keys, want, TPL, "_x", "_tk", 25, None, parts=parts),
-        digit_pairs(numbers, want, TPL, "_x", "_td"),
-        digit_pairs(want, numbers, TPL, "_td", "_x"),
+    texts = F.array_distinct(F.array(F.struct(code.alias("_x"), F.lit(True).alias("_own")), F.struct(both.alias("_x"), (both == code).alias("_own"))))
+    keys = seen.select(*TPL, *of_seen, whole.alias("_whole"), F.inline(texts))
+    # With its name in it, a code of fewer than three characters counts only if it is there as it is written.
+    keys = keys.select(*TPL, *of_seen, "_x", "_own", F.when(F.length("_x") <= 3, F.col("_whole")).alias("_short"))
+    codes = want.select(*TPL, *of_want, t_code.alias("_tk"), F.when(F.length(t_code) < 3, F.col("t_code")).alias("_tshort"))
+    counts = F.col("_own") | (F.length("_tk") >= 3) | F.coalesce(F.contains("_short", F.col("_tshort")), F.lit(False))
+    numbers = seen.select(*TPL, *of_seen, F.explode(F.array_distinct(F.array(digits(code), digits(both)))).alias("_x"))
+    of_codes = want.select(*TPL, *of_want, digits(t_code).alias("_td"))
+    read, long_named = seen.select(*TPL, *of_seen, whole.alias("_whole")), want.filter(F.length("t_name") >= 3).select(*TPL, *of_want, "t_name")
+    named = seen.select(*TPL, *of_seen, squeeze(F.col("name")).alias("_n"), looks_numeric(squeeze(F.col("name"))).alias("_number")).filter("_n <> ''")
+    called = wanted.select(*TPL, *of_want, squeeze(F.col("t_name")).alias("_tn"), looks_numeric(squeeze(F.col("t_name"))).alias("_tnumber"), (t_code != "").alias("_coded")).filter("_tn <> ''")
+    plain = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.replace(c, F.lit(","), F.lit(""))))).alias("_e")
+    same = squeezed_match(*[F.col(c) for c in ("_tn", "_n", "_tnumber", "_number")])
+    by_key = [
+        near_pairs(keys, codes, TPL, "_x", "_tk", 25, None, parts=parts).filter(near_keys_match(F.col("_tk"), F.col("_x")) & counts),
+        digit_pairs(numbers, of_codes, TPL, "_x", "_td"),
+        digit_pairs(of_codes, numbers, TPL, "_td", "_x"),
         contained_pairs(long_named, read, TPL, "t_name", "_whole"),
         contained_pairs(read, long_named, TPL, "_whole", "t_name"),
-        named.join(called, [*TPL, "_e"]),
-        near_pairs(read.filter(F.length("_n") >= 4), want.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, 16, parts),
     ]
-    out = found[0].select(*pair)
+    by_name = [
+        named.select("*", plain("_n")).join(called.select("*", plain("_tn")), ["_e", *TPL]).filter(same),
+        near_pairs(named.filter(F.length("_n") >= 4), called.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, parts=parts, bits=bits).filter(same),
+    ]
+    flags = lambda key, name: (key.alias("by_key"), name.alias("by_name"))
+    found = [df.select(*of_seen, *of_want, *flags(F.lit(True), F.lit(False))) for df in by_key]
+    found += [df.select(*of_seen, *of_want, *flags(F.col("_coded"), F.lit(True))) for df in by_name]
+    out = found[0]
     for part in found[1:]:
-        out = out.unionByName(part.select(*pair))
-    return out.distinct()
-
-
-def matching_keys(seen: DataFrame, wanted: DataFrame, parts: int | None = None) -> DataFrame:
-    """The candidates that pass: by_key (`row_key_match`), by_name (names that agree)."""
-    code, name, t_code, t_name = (F.col(c) for c in ("code", "name", "t_code", "t_name"))
-    both = F.concat("code", "name")
-    keyed = candidate_keys(seen, wanted, parts).withColumns({
-        "_k": key_code(code), "_kb": key_code(both), "_tk": key_code(t_code), "_whole": both,
-    }).withColumns({"_d": digits(F.col("_k")), "_db": digits(F.col("_kb")), "_td": digits(F.col("_tk"))})
-    by_code = keys_match(*[F.col(c) for c in ("_tk", "_td", "_kb", "_db")]) & (F.contains("_whole", t_code) | (F.length("_tk") >= 3))
-    by_name = (F.length(t_name) >= 3) & (F.contains("_whole", t_name) | F.contains(t_name, F.col("_whole")))
-    named = (t_name != "") & (name != "")
-    same_name = F.when(named, text_match(t_name, name)).otherwise(F.lit(False))
-    return keyed.select(
-        *TPL, "code", "name", "t_code", "t_name",
-        ((F.col("_tk") != "") & (by_code | by_name | keys_match(*[F.col(c) for c in ("_tk", "_td", "_k", "_d")]) | same_name)).alias("by_key"),
-        same_name.alias("by_name"),
-    ).filter("by_key or by_name")
+        out = out.unionByName(part)
+    return out
+
+
+def matching_keys(seen: DataFrame, wanted: DataFrame, parts: int | None = None, bits: dict[int, list[float]] | None = None) -> DataFrame:
+    """(_s, _t, by_key, by_name): the numbered texts that pass, each pair once: by_key (`row_key_match`), by_name (names that agree)."""
+    found = candidate_keys(seen, wanted, parts, bits)
+    return found.groupBy("_s", "_t").agg(F.max("by_key").alias("by_key"), F.max("by_name").alias("by_name"))
 
 
 def _page_table(group: pa.Table, columns: dict[str, pa.Array]) -> pa.Table:
@@ -119,42 +130,54 @@ def _page_table(group: pa.Table, columns: dict[str, pa.Array]) -> pa.Table:
 
 def _walked(page: pa.Table) -> pa.Table:
     """One page's pairs in template order: each open row takes its first free line; then, by name, each pair
-    whose row and line are both free. Every entry is looked at once.
+    whose row and line are both free. A row's lines lie side by side in sorted arrays.
 
     Parts: 0 an open row (li = 1 if any line without code and name fits it), 1 such a line, 2 row and line by
     key, 3 row and line by name.
     """
-    open_rows, blanks, by_name = [], [], []
-    candidates: dict[int, list[int]] = {}
-    for part, r, li in zip(*(page[c].to_pylist() for c in ("part", "r", "li"))):
-        if part == 0:
-            open_rows.append((r, li))
-        elif part == 1:
-            blanks.append(li)
-        elif part == 2:
-            candidates.setdefault(r, []).append(li)
-        else:
-            by_name.append((r, li))
-    blanks.sort()
-    used, found = set(), {}
+    part, rs = page["part"].to_numpy(), page["r"].to_numpy()
+    lis = pc.fill_null(page["li"], _NO_LINE).to_numpy()
+    lines, places = np.unique(lis, return_inverse=True)
+    used = np.zeros(len(lines), bool)
+
+    def by_row(of: int, wanted: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+        """The lines' places of one part in order of row and line, and where those of each wanted row begin and end."""
+        at = np.flatnonzero(part == of)
+        at = at[np.lexsort((places[at], rs[at]))]
+        return places[at], np.searchsorted(rs[at], wanted, "left").tolist(), np.searchsorted(rs[at], wanted, "right").tolist()
+
+    def first_free(held: np.ndarray, begin: int, end: int) -> int | None:
+        for lo in range(begin, end, _AT_ONCE):
+            some = held[lo : min(lo + _AT_ONCE, end)]
+            free = some[~used[some]]
+            if len(free):
+                return int(free[0])
+        return None
+
+    found: dict[int, tuple[int, str]] = {}
+    opened = np.flatnonzero(part == 0)
+    opened = opened[np.lexsort((lis[opened], rs[opened]))]
+    blanks = np.sort(places[part == 1]).tolist()
     next_blank = 0
-    for r, anything in sorted(open_rows):
-        while next_blank < len(blanks) and blanks[next_blank] in used:
+    for r, anything, begin, end in zip(rs[opened].tolist(), (lis[opened] == 1).tolist(), *(x := by_row(2, rs[opened]))[1:]):
+        while next_blank < len(blanks) and used[blanks[next_blank]]:
             next_blank += 1
-        free = [li for li in candidates.get(r, ()) if li not in used]
-        if anything and next_blank < len(blanks):
-            free.append(blanks[next_blank])
-        if free:
-            found[r] = min(free)
-            used.add(found[r])
-    rows = [(r, li, "key") for r, li in found.items()]
-    for r, li in sorted(by_name):
-        if r not in found and li not in used:
-            found[r] = li
-            used.add(li)
-            rows.append((r, li, "name"))
-    r, line, stage = zip(*rows) if rows else ((), (), ())
-    return _page_table(page, {"r": pa.array(r, pa.int32()), "line_no": pa.array(line, pa.int32()), "stage": pa.array(stage, pa.string())})
+        best = first_free(x[0], begin, end)
+        if anything and next_blank < len(blanks) and (best is None or blanks[next_blank] < best):
+            best = blanks[next_blank]
+        if best is not None:
+            found[r] = (best, "key")
+            used[best] = True
+    named = np.unique(rs[part == 3])
+    held, begins, ends = by_row(3, named)
+    for r, begin, end in zip(named.tolist(), begins, ends):
+        best = None if r in found else first_free(held, begin, end)
+        if best is not None:
+            found[r] = (best, "name")
+            used[best] = True
+    taken = pa.array(lines[[i for i, _ in found.values()]] if found else [], pa.int64())
+    taken = pc.if_else(pc.equal(taken, _NO_LINE), pa.scalar(None, pa.int64()), taken)
+    return _page_table(page, {"r": pa.array(list(found), pa.int32()), "line_no": taken.cast(pa.int32()), "stage": pa.array([s for _, s in found.values()], pa.string())})
 
 
 def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame:
@@ -173,11 +196,8 @@ def align_fuzzy(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame
     parts = (
         open_rows.select("page_id", F.lit(0).alias("part"), row, (F.length("name") >= 3).cast("long").alias("li"))
         .unionByName(spare.filter("code = '' and name = ''").select("page_id", F.lit(1).alias("part"), nothing.alias("r"), line))
-        .unionByName(pairs.filter("by_key").select("page_id", F.lit(2).alias("part"), row, line).distinct())
-        .unionByName(
-            pairs.filter("by_name").join(exact.select("page_id", "r"), ["page_id", "r"], "left_anti")
-            .select("page_id", F.lit(3).alias("part"), row, line).distinct()
-        )
+        .unionByName(pairs.filter("by_key").select("page_id", F.lit(2).alias("part"), row, line))
+        .unionByName(pairs.filter("by_name").join(exact.select("page_id", "r"), ["page_id", "r"], "left_anti").select("page_id", F.lit(3).alias("part"), row, line))
     ).select("page_id", "part", F.coalesce("r", F.lit(-1)).alias("r"), "li")
     key = exact.schema["page_id"].dataType.simpleString()
     # Pages with neither candidates nor lines that fit anything have nothing to walk.

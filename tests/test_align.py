@@ -200,3 +200,84 @@ def test_exploded_keys_are_not_sent_through_the_driver(spark):
     }
     for many, pairs in joins.items():
         assert pairs._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == many
+
+
+def test_candidates_are_the_pairs_that_match(spark):
+    """Each lookup tests its own way to match; together they give what the whole test gives on all pairs."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.fuzzy import row_key_match, text_match
+    from ledgerloom.functions.text import key_code
+    from ledgerloom.operators.fuzzy_index import bits_by_place
+
+    rnd = random.Random(21)
+    code = lambda: rnd.choice(["", "1", "1-2", "12", "7.", "1 2", "123", "11000104", "1100x107", str(11000000 + rnd.randrange(40) * 7), str(rnd.randrange(90, 140))])
+    name = lambda: rnd.choice(["", "2", "-2", "ab", "1,234", "1234", "1,2,34", "１２", "a b,c", "ab,c", "red bolt-" + "abcde"[: rnd.randrange(2, 6)], "red bolt-bcdef", "合计red ##lt-bcdeg", "预算支出合计", "预算支山合计", "9" * 40, "9" * 39 + "8"])
+    seen = sorted({("D", p, code(), name()) for _ in range(150) for p in "AB"} - {("D", p, "", "") for p in "AB"})
+    wanted = sorted({("D", p, code(), name()) for _ in range(150) for p in "AB"})
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(seen)], "_s long, doc string, page string, code string, name string")
+    w = spark.createDataFrame([(i, *x) for i, x in enumerate(wanted)], "_t long, doc string, page string, t_code string, t_name string")
+    cols = [F.col(c) for c in ("t_code", "t_name", "code", "name")]
+    by_name = F.when((cols[1] != "") & (cols[3] != ""), text_match(cols[1], cols[3])).otherwise(False)
+    by_key = (key_code(cols[0]) != "") & (row_key_match(*cols) | by_name)
+    want = {tuple(r) for r in s.join(w, ["doc", "page"]).select("_s", "_t", by_key, by_name).collect() if r[2] or r[3]}
+    assert {tuple(r) for r in align.matching_keys(s, w, None, bits_by_place(w, "t_name")).collect()} == want
+    assert len({r[2:] for r in want}) == 3 and len(want) > 1000
+    told = {(*seen[i][1:], *wanted[j][2:]) for i, j, *_ in want}
+    got = align.candidate_keys(s.drop("_s"), w.drop("_t")).filter("by_key or by_name").distinct()
+    assert {tuple(r[:4]) for r in got.collect()} == {x[1:] for x in told}
+
+
+def test_names_that_begin_alike_meet_by_where_they_differ(spark):
+    """Key meetings stay near the matches, however much of the names is common to all."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.fuzzy import agreement as agreement_of
+    from ledgerloom.operators.fuzzy_index import bits_by_place, kept_positions, near_keys, near_pairs
+
+    names = spark.range(4000).select(F.concat(F.lit("largewidget-"), F.lpad((F.col("id") * 7919 % 1000000).cast("string"), 6, "0")).alias("name"))
+    bits = bits_by_place(names, "name")
+    assert max(bits[18][1:12]) < 0.01 and min(bits[18][12:]) > 2 and bits[19] == [*bits[18], 0.0]
+    held = near_keys(names, "name", 20, F.length("name"), 36, bits).groupBy("len", "way", "piece").count()
+    meetings = held.select(F.sum(F.col("count") * F.col("count"))).first()[0]
+    pairs = near_pairs(names, names.withColumnRenamed("name", "other"), [], "name", "other", 20, 20, bits=bits)
+    assert meetings < 10 * pairs.distinct().count()
+    some, others = names.limit(60), names.withColumnRenamed("name", "other")
+    alike = lambda df: {tuple(r) for r in df.filter(agreement_of(F.col("name"), F.col("other")) >= 0.8).collect()}
+    assert alike(near_pairs(some, others, [], "name", "other", 20, 20, bits=bits)) == alike(some.crossJoin(others))
+    for told in ([0.0] * 15, [3.0] * 15, [9.0] + [0.0] * 14, [0.0] * 14 + [9.0]):
+        ways = kept_positions(15, 3, 36, told)
+        for wrong in combinations(range(1, 16), 3):
+            assert any(all(not (at <= w < at + n) for at, n in way for w in wrong) for way in ways), (told, wrong)
+
+
+def test_long_texts_are_looked_up_by_six_characters(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.fuzzy_index import contained_pairs
+
+    names = spark.range(300).select(F.lit(1).alias("p"), F.concat(F.lit("name-"), (F.col("id") + 100).cast("string")).alias("a"))
+    plan = contained_pairs(names, names.select("p", F.col("a").alias("b")), ["p"], "a", "b")
+    assert "[1,2,3]" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.filter("a = b").count() == plan.count() == 300
+
+
+def test_walk_takes_first_free_lines():
+    import pyarrow as pa
+
+    from ledgerloom.operators.align import _walked
+
+    def walk(*entries):
+        page = pa.table({"page_id": pa.array([5] * len(entries), pa.int64()), **{c: pa.array([e[i] for e in entries], t) for i, (c, t) in enumerate((("part", pa.int32()), ("r", pa.int64()), ("li", pa.int64())))}})
+        return {(x["r"], x["line_no"], x["stage"]) for x in _walked(page).to_pylist()}
+
+    # Row 1 takes line 3, row 2 its next one, row 4 the blank; a repeated pair changes nothing; names come last.
+    entries = [(0, 2, 0), (0, 1, 1), (0, 4, 1), (2, 1, 3), (2, 1, 3), (2, 2, 9), (2, 2, 3), (2, 2, 8), (1, -1, 6), (3, 7, 8), (3, 7, 9), (3, 8, 9), (3, 1, 9), (3, 3, 6)]
+    assert walk(*entries) == {(1, 3, "key"), (2, 8, "key"), (4, 6, "key"), (7, 9, "name")}
+    assert walk((0, 1, 1), (0, 2, None), (1, -1, 4)) == {(1, 4, "key")}
+    assert walk((0, 1, 0), (2, 1, None)) == {(1, None, "key")}
+    assert walk((0, 1, 0), (3, 2, 4)) == {(2, 4, "name")} and walk((0, 1, 0)) == set()
+    many = walk(*[(0, r, 0) for r in range(700)], *[(2, r, li) for r in range(700) for li in range(700)])
+    assert many == {(r, r, "key") for r in range(700)}

@@ -155,3 +155,14 @@ def test_letters_end_at_three(spark):
     assert values(spark, [(18278,)], "v int", a=geometry.column_letter(F.col("v"))) == [("ZZZ",)]
     with pytest.raises(Exception, match="no column letters"):
         values(spark, [(18279,)], "v int", a=geometry.column_letter(F.col("v")))
+
+
+def test_agreement_of_ascii_and_other_texts(spark):
+    import random
+
+    rnd = random.Random(4)
+    text = lambda: "".join(rnd.choice(rnd.choice(["ab", "0~", "a中é", "\x01 \x7f", "\U0001f600a"])) for _ in range(rnd.choice([1, 6, 7, 8, 14, 15, 20, 28, 35, 36])))
+    rows = [(text(), text()) for _ in range(400)] + [("", "ab"), ("ab", ""), (None, "a")]
+    got = [g[0] for g in values(spark, rows, "a string, b string", s=fuzzy.agreement(F.col("a"), F.col("b")))]
+    want = [None if a is None else sum(x == y for x, y in zip(a, b)) / max(len(a), len(b)) for a, b in rows]
+    assert got == want
