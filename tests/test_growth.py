@@ -131,3 +131,16 @@ def test_row_alignment_deals_its_near_keys_alike(spark, monkeypatch):
     assert plan(align.candidate_keys(seen, wanted, 29)).count(", 29") >= 8
     assert rows(align.align_fuzzy(pages, tpl, lines)) == few and len(few) > 20
     assert rows(align.unknown_lines(pages, tpl, lines, align.align_exact(pages, tpl, lines))) == unknown
+
+
+def test_region_tiles_are_not_sent_through_the_driver(spark, tables):
+    """Areas have many tiles each, which the planner does not know of; what is broadcast is one row of two numbers."""
+    text = QUERIES["region_cells"](tables)._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in text
+    rects = spark.createDataFrame([("a", "NUM1", 3, 1, 2000, 2), ("a", "NUM1", 3, 1, 2000, 2), ("a", "MID", 5, 0, 6, 0), ("b", "STRUCT", 2, 1, 4, 1), ("b", "other", 0, 0, 9000, 9), (None, "NUM", 1, 1, 9, 9), ("a", "NUM9", None, 1, 9, 9)], "sheet string, name string, r0 int, c0 int, r1 int, c1 int")
+    cells = spark.createDataFrame([(s, r, c) for s in ("a", "b", None) for r in (None, 0, 1, 2, 3, 5, 6, 1500, 2000, 2001, 9000, 9001) for c in (1, 2, 3)], "sheet string, r long, c int")
+    want = [("a", r, c, "numeric") for r in (3, 5, 6, 1500, 2000) for c in (1, 2)] + [("a", r, c, "mid") for r in (5, 6) for c in (1, 2, 3)] + [("b", r, 1, "struct") for r in (2, 3)]
+    near = reshape.reached_rows(cells, rects)
+    assert rows(reshape.region_cells(cells, rects)) == rows(reshape.region_cells(near, rects)) == sorted(want, key=str)
+    assert {x.r for x in near.collect()} == {0, 1, 2, 3, 5, 6, 1500, 2000, 2001, 9000}
+    assert reshape.reached_rows(cells, rects.limit(0)).count() == 0 == reshape.region_cells(cells, rects.limit(0)).count()
