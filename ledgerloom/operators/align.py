@@ -20,7 +20,7 @@ from ledgerloom.functions.fuzzy import coded_match, codes_match, key_match, near
 from ledgerloom.functions.number import looks_numeric, numeric_text
 from ledgerloom.functions.text import digits, has_meaning, key_code, squeeze, strip
 from ledgerloom.operators.fuzzy_index import bits_by_place, contained_pairs, digit_pairs, near_pairs, parts_for
-from ledgerloom.scale import first_row, materialized, number_within
+from ledgerloom.scale import first_row, materialized, number_within, shuffled
 
 TPL = ["doc", "page"]
 # Stands for a missing line number in the walk: before all others.
@@ -35,8 +35,8 @@ def coded(c: Column) -> Column:
 
 def align_exact(pages: DataFrame, tpl: DataFrame, lines: DataFrame) -> DataFrame:
     """(page_id, r, line_no): the k-th template row of a code takes the k-th line of that code."""
-    rows = number_within(tpl.filter(coded(F.col("code"))).select(*TPL, "r", "code"), [*TPL, "code"], "r", "k")
-    read = number_within(lines.filter(F.col("code") != "").select("page_id", "line_no", "code"), ["page_id", "code"], "line_no", "k")
+    rows = number_within(tpl.filter(coded(F.col("code"))).select(*TPL, "r", "code"), [*TPL, "code"], "r", "k", many=True)
+    read = number_within(lines.filter(F.col("code") != "").select("page_id", "line_no", "code"), ["page_id", "code"], "line_no", "k", many=True)
     return read.join(pages, "page_id").join(rows, [*TPL, "code", "k"]).select("page_id", "r", "line_no")
 
 
@@ -57,10 +57,11 @@ def _candidates(tpl: DataFrame, spare: DataFrame) -> DataFrame:
     texts = spare.filter("code = ''").select(*TPL, "text").distinct()
     coded_rows = rows.filter(coded(F.col("t_code")))
     by_text = contained_pairs(coded_rows.select(*TPL, "t_code").distinct(), texts, TPL, "t_code", "text")
-    glued = spare.filter("code = ''").join(by_text, [*TPL, "text"]).join(coded_rows, [*TPL, "t_code"])
-    lines_of = spare.join(seen, [*TPL, "code", "name"]).select("page_id", "line_no", "_s")
-    rows_of = rows.join(wanted, [*TPL, "t_code", "t_name"]).select("r", "_t")
-    found = like.join(lines_of, "_s").join(rows_of, "_t")
+    # All of these are as many as rows or lines; their files and columns are small enough to be taken for few.
+    glued = spare.filter("code = ''").join(shuffled(by_text), [*TPL, "text"]).join(shuffled(coded_rows), ["t_code", *TPL])
+    lines_of = spare.join(shuffled(seen), ["code", "name", *TPL]).select("page_id", "line_no", "_s")
+    rows_of = rows.join(shuffled(wanted), ["t_code", "t_name", *TPL]).select("r", "_t")
+    found = like.join(shuffled(lines_of), "_s").join(shuffled(rows_of), "_t")
     return found.select("page_id", "r", "line_no", "by_key", "by_name").unionByName(
         glued.select("page_id", "r", "line_no", F.lit(True).alias("by_key"), F.lit(False).alias("by_name"))
     )
@@ -103,7 +104,7 @@ def candidate_keys(seen: DataFrame, wanted: DataFrame, parts: int | None = None,
         contained_pairs(read, long_named, TPL, "_whole", "t_name"),
     ]
     by_name = [
-        named.select("*", plain("_n")).join(called.select("*", plain("_tn")), ["_e", *TPL]).filter(same),
+        named.select("*", plain("_n")).join(shuffled(called.select("*", plain("_tn"))), ["_e", *TPL]).filter(same),
         near_pairs(named.filter(F.length("_n") >= 4), called.filter(F.length("_tn") >= 4), TPL, "_n", "_tn", 20, 20, parts=parts, bits=bits).filter(same),
     ]
     flags = lambda key, name: (key.alias("by_key"), name.alias("by_name"))

@@ -281,3 +281,14 @@ def test_walk_takes_first_free_lines():
     assert walk((0, 1, 0), (3, 2, 4)) == {(2, 4, "name")} and walk((0, 1, 0)) == set()
     many = walk(*[(0, r, 0) for r in range(700)], *[(2, r, li) for r in range(700) for li in range(700)])
     assert many == {(r, r, "key") for r in range(700)}
+
+
+def test_texts_of_rows_and_lines_are_not_sent_through_the_driver(spark):
+    """Only cutting patterns and lengths are broadcast: for the four kinds of keys of both near lookups, patterns once, lengths for short and long texts."""
+    tpl = spark.range(40).selectExpr("'D' as doc", "'P' as page", "cast(id as int) as r", "cast(1100 + id * 3 as string) as code", "concat('name of ', id) as name")
+    lines = tpl.selectExpr("cast(1 as long) as page_id", "r as line_no", "0D as y", "code", "name", "'' as text", "doc", "page")
+    pages = spark.createDataFrame([(1, "D", "P")], "page_id long, doc string, page string")
+    physical = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert physical(align._candidates(tpl, lines)).count("BroadcastHashJoin") == 8 * 3
+    # The two frames of shifts; pages are few.
+    assert physical(align.align_exact(pages, tpl, lines.drop("doc", "page"))).count("SortMergeJoin") == 2
